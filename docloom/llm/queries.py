@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import archives, decontaminate, lines, packing, quality, secrets
+from docloom.llm import archives, decontaminate, lines, packing, quality, secrets, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op8_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(_table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -79,4 +83,4 @@ FROM s LEFT JOIN n ON n.doc_id = s.doc_id LEFT JOIN t ON t.doc_id = s.doc_id"""
 
 def oracle_sql() -> dict[str, str]:
     """No SQL runs a tokenizer (op5); tests hold that query against a plain version."""
-    return {"op2_warc_bundles": _OP2, "op3_secret_scan": secrets.oracle(), "op7_line_dedup": lines.ORACLE, "op8_quality_cascade": _OP8, "op10_decontamination": _OP10}
+    return {"op2_warc_bundles": _OP2, "op3_secret_scan": secrets.oracle(), "op7_line_dedup": lines.ORACLE, "op8_quality_cascade": _OP8, "op9_substring_dedup": substrings.ORACLE, "op10_decontamination": _OP10}

@@ -39,7 +39,7 @@ def table(df: DataFrame, label: str) -> DataFrame:
 
 def input_bytes(df: DataFrame) -> int:
     """Bytes of the files below a frame, from the optimizer's statistics; without such, text is counted."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     if size < 1 << 55:
         return size
     counted = df.selectExpr(*(f"octet_length({c})" if t in ("string", "binary") else "8" for c, t in df.dtypes)).toDF(*(f"c{i}" for i in range(len(df.columns))))
