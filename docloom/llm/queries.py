@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import archives, decontaminate, lines, packing, quality, secrets, substrings, suffixes
+from docloom.llm import archives, decontaminate, lines, neardup, packing, quality, secrets, substrings, suffixes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.digest(_table(spark, sf_dir, "documents"))
+
+
 def op2_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archives.digest(_table(spark, sf_dir, "pages"))
 
@@ -87,4 +91,4 @@ FROM s LEFT JOIN n ON n.doc_id = s.doc_id LEFT JOIN t ON t.doc_id = s.doc_id"""
 
 def oracle_sql() -> dict[str, str]:
     """No SQL runs a tokenizer (op5); tests hold that query against a plain version."""
-    return {"op2_warc_bundles": _OP2, "op3_secret_scan": secrets.oracle(), "op7_line_dedup": lines.ORACLE, "op8_quality_cascade": _OP8, "op9_substring_dedup": substrings.ORACLE, "op10_decontamination": _OP10}
+    return {"op1_near_dedup": neardup.ORACLE, "op2_warc_bundles": _OP2, "op3_secret_scan": secrets.oracle(), "op7_line_dedup": lines.ORACLE, "op8_quality_cascade": _OP8, "op9_substring_dedup": substrings.ORACLE, "op10_decontamination": _OP10}
