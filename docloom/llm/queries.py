@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import archives, decontaminate, lines, neardup, packing, quality, secrets, substrings, suffixes
+from docloom.llm import archives, decontaminate, hmm, lines, neardup, packing, quality, secrets, substrings, suffixes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(_table(spark, sf_dir, "documents"))
 
 
+def op4_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.digest(_table(spark, sf_dir, "documents"))
+
+
 def op5_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
