@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm import work
+
 LEAST = 20
 THRESHOLD = 1
 
@@ -48,9 +50,8 @@ def within(a: Column, b: Column, t: int) -> Column:
     """Whether two texts are at most t edits apart: bit c of state d says that the cell c - t off the diagonal is reached with d edits."""
     width = (1 << (2 * t + 1)) - 1
     start = F.struct(*(F.lit(((1 << (d + 1)) - 1) << t & width).alias(f"d{d}") for d in range(t + 1)), F.lit(0).alias("i"))
-    other = F.split(b, "")
 
-    def step(s: Column, c: Column) -> Column:
+    def step(s: Column, c: Column, other: Column) -> Column:
         i = s["i"]
         match = sum((F.when(F.get(other, i + (k - t)) == c, 1 << k).otherwise(0) for k in range(2 * t + 1)), F.lit(0))
         new = [s["d0"].bitwiseAND(match)]
@@ -60,7 +61,8 @@ def within(a: Column, b: Column, t: int) -> Column:
             new.append(reached.bitwiseAND(width))
         return F.struct(*(x.cast("int").alias(f"d{d}") for d, x in enumerate(new)), (i + 1).alias("i"))
 
-    ended = F.aggregate(F.split(a, ""), start, step, lambda s: s[f"d{t}"])
+    # b is split once, as the only element of an array that transform() walks
+    ended = F.get(F.transform(F.array(F.split(b, "")), lambda other: F.aggregate(F.split(a, ""), start, lambda s, c: step(s, c, other), lambda s: s[f"d{t}"])), F.lit(0))
     off = F.length(b) - F.length(a) + t
     reached = F.get(F.array(*(ended.bitwiseAND(1 << k) > 0 for k in range(2 * t + 1))), off)
     return (F.abs(F.length(b) - F.length(a)) <= t) & reached
@@ -74,26 +76,33 @@ def occurrences(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
 
 
 def removed(docs: DataFrame, threshold: int = THRESHOLD, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Distinct (id, at): the lines to remove, numbered from 0."""
+    """Distinct (id, at): the lines to remove, numbered from 0.
+
+    The texts are split once; later steps read the columns they need of the written lines.
+    """
     lines = occurrences(docs, id_column, text_column)
     index, probe = keys(F.col("line"), F.col("n"), threshold)
-    own = len(index)
-    probe = [*index, *probe[own:]] if threshold < 2 else probe
-    keyed = lines.select("id", "at", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(7)).alias("h2"), *(k.alias(f"x{j}") for j, k in enumerate(index)), *(k.alias(f"p{j}") for j, k in enumerate(probe)))
-    firsts = keyed.groupBy("h1", "h2").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("m"), *(F.min(f"x{j}").alias(f"x{j}") for j in range(own)), *(F.min(f"p{j}").alias(f"p{j}") for j in range(len(probe))))
+    own, names = len(index), [f"p{j}" for j in range(len(probe))]
+    lines = work.table(lines.select("id", "at", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(7)).alias("h2"), *(k.alias(c) for k, c in zip(probe, names, strict=True)), *(k.alias(f"x{j}") for j, k in enumerate(index)), "line"), "lines")
+    # an occurrence as one number, in order of (id, at): such a minimum needs no sorting
+    place = F.expr("CAST(id AS DECIMAL(20, 0)) * 4294967296 + at")
+    firsts = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("m"), *(F.min(c).alias(c) for c in names), *(F.min(f"x{j}").alias(f"x{j}") for j in range(own)))
+    firsts = work.table(firsts, "firsts")
     # equal lines: all but the first occurrence
     many = firsts.filter("m > 1").select("h1", "h2", "first")
-    copies = keyed.select("id", "at", "h1", "h2").join(many, ["h1", "h2"]).filter(F.struct("id", "at") > F.col("first")).select("id", "at")
+    copies = lines.select("id", "at", "h1", "h2").join(many, ["h1", "h2"]).filter(place > F.col("first")).select("id", "at")
     # near lines: pairs that share a key, the earlier first
-    indexed = firsts.select("first", F.explode(F.array(*(F.col(f"x{j}") for j in range(own)))).alias("key"))
-    probing = firsts.select(F.col("first").alias("mine"), F.explode(F.array(*(F.col(f"p{j}") for j in range(len(probe))))).alias("key")).filter("key IS NOT NULL")
-    pairs = indexed.join(probing, "key").filter("first <> mine").select(F.least("first", "mine").alias("a"), F.greatest("first", "mine").alias("b")).distinct()
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("w")).distinct().select(F.col("w.id").alias("wid"), F.col("w.at").alias("wat"))
-    texts = lines.join(wanted, (lines["id"] == wanted["wid"]) & (lines["at"] == wanted["wat"]), "left_semi").groupBy("id", "at").agg(F.min("line").alias("line"))
-    left = texts.select(F.struct("id", "at").alias("a"), F.col("line").alias("one"))
-    right = texts.select(F.struct("id", "at").alias("b"), F.col("line").alias("two"))
-    near = pairs.join(left, "a").join(right, "b").filter(within(F.col("one"), F.col("two"), threshold)).select(F.col("b.id").alias("id"), F.col("b.at").alias("at"))
-    return copies.unionByName(near).distinct()
+    indexed = firsts.select(F.col("first").alias("a"), F.explode(F.array(*(f"x{j}" for j in range(own)))).alias("key"))
+    probing = firsts.select(F.col("first").alias("b"), F.explode(F.array(*names)).alias("key")).filter("key IS NOT NULL")
+    pairs = indexed.join(probing, "key").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = work.table(pairs, "line-pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("w")).distinct()
+    at_id, at_line = F.expr("CAST((w - pmod(w, 4294967296)) / 4294967296 AS BIGINT)"), F.expr("CAST(pmod(w, 4294967296) AS INT)")
+    wanted = wanted.select("w", at_id.alias("id"), at_line.alias("at"))
+    texts = work.table(lines.select("id", "at", "line").join(wanted, ["id", "at"]).select("w", "line"), "line-texts").groupBy("w").agg(F.min("line").alias("line"))
+    left, right = texts.select(F.col("w").alias("a"), F.col("line").alias("one")), texts.select(F.col("w").alias("b"), F.col("line").alias("two"))
+    near = pairs.join(left, "a").join(right, "b").filter(within(F.col("one"), F.col("two"), threshold)).select(F.col("b").alias("w")).distinct()
+    return work.table(copies.unionByName(near.select(at_id.alias("id"), at_line.alias("at"))).distinct(), "lines-removed")
 
 
 def digest(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
