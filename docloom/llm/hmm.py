@@ -37,6 +37,8 @@ CLASSES = 4096
 ROUNDS = 5
 SEGMENT = 256
 GROUP_BYTES = 8 << 20
+#: Bytes of text whose recursions run side by side.
+BLOCK = 16 << 20
 ADD = 0.1
 END = (np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F))
 
@@ -62,7 +64,7 @@ def tokens(b: scan.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _blocks(group: pa.Table) -> Iterator[scan.Block]:
-    return scan.blocks(iter(group.select(["id", "text"]).combine_chunks().to_batches()), "text")
+    return scan.blocks(iter(group.select(["id", "text"]).combine_chunks().to_batches()), "text", BLOCK)
 
 
 def _vocabulary(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:

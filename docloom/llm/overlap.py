@@ -81,7 +81,9 @@ def runs(units: Units, values: np.ndarray, first: np.ndarray) -> tuple[np.ndarra
 
 
 def _blocks(group: pa.Table) -> list[scan.Block]:
-    return list(scan.blocks(iter(group.select(["id", "text"]).combine_chunks().to_batches()), "text"))
+    """Blocks of a group's rows in one order, whatever order a shuffle has brought them in."""
+    group = group.select(["id", "text"]).sort_by([("id", "ascending"), ("text", "ascending")])
+    return list(scan.blocks(iter(group.combine_chunks().to_batches()), "text"))
 
 
 def _anchors(units: Units, group: pa.Table) -> tuple[np.ndarray, np.ndarray, list]:
@@ -207,11 +209,11 @@ def remove_repeated(docs: DataFrame, units: Units, kernel: Kernel, finish: Finis
             hit = np.flatnonzero(np.isin(short, keys, assume_unique=False)) if len(keys) else np.zeros(0, np.int64)
             if len(hit):
                 payload, ends = units.cut(b, more, at[hit], at[hit] + size[hit] + units.width - 1)
-                begins = np.concatenate([[0], ends[:-1]])
-                one.append(scan.byte_prefix(payload).ranges(begins, ends))
-                two.append(scan.byte_prefix(payload, True).ranges(begins, ends))
+                x, y = scan.range_hashes(payload, ends)
+                one.append(x)
+                two.append(y)
                 texts.append(payload)
-                lens.append(ends - begins)
+                lens.append(np.diff(ends, prepend=0))
                 shorts.append(short[hit])
                 counts.append(size[hit])
                 owners.append(own[hit])
@@ -265,7 +267,7 @@ def remove_repeated(docs: DataFrame, units: Units, kernel: Kernel, finish: Finis
                 continue
             text, size = payload[gather(begin[mine], lens[mine])], lens[mine]
             ends = np.cumsum(size)
-            one, two = (scan.byte_prefix(text, x).ranges(ends - size, ends) for x in (False, True))
+            one, two = scan.range_hashes(text, ends)
             order = np.lexsort((two, one))
             head = np.append(True, (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1]))
             which = np.empty(len(order), np.int64)

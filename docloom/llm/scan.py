@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 256 << 10
 
 # white space of the word classes: \x20 and \x09-\x0D
 SPACE = np.zeros(256, bool)
@@ -120,6 +120,20 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str, target: int = BLOCK_B
             lo = hi
 
 
+def range_hashes(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each of the ranges that follow one another up to ``ends``, taken in pieces that fit a cache."""
+    begins = np.append(0, ends[:-1])
+    one, two = np.empty(len(ends), np.uint64), np.empty(len(ends), np.uint64)
+    lo = 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, begins[lo] + BLOCK_BYTES, side="right")))
+        part, at = buf[begins[lo] : ends[hi - 1]], begins[lo]
+        for out, second in ((one, False), (two, True)):
+            out[lo:hi] = byte_prefix(part, second).ranges(begins[lo:hi] - at, ends[lo:hi] - at)
+        lo = hi
+    return one, two
+
+
 @dataclass
 class Words:
     """Words of a block in order; those of document i are first[i]:first[i+1]."""
