@@ -9,8 +9,8 @@ documents that share a band are candidates and are confirmed on their full sets.
 
 Equal sets collapse to the smallest id before anything is paired. In each bucket of equal bands, every member
 is first held against the bucket's smallest id only; after those links, members of one bucket that are still
-in different components are held against each other, so no candidate is lost and a group of copies costs
-links in proportion to its size. Pairs of sizes that can't reach the threshold are left out beforehand.
+in different components are compared in blocks, so no candidate is lost and a group of copies costs rows in
+proportion to its size. Pairs of sizes that can't reach the threshold are left out beforehand.
 
 With 32 bands of 4 rows a pair at the threshold of 0.8 is missed with a probability of 5e-8.
 
@@ -35,6 +35,8 @@ from docloom.llm import scan, work
 BINS, ROWS = 128, 4
 #: A pivot's members that are compared in one run.
 MEMBERS = 256
+#: Documents of a bucket in a block, and shingles in a slice of the matrix of two blocks.
+SIDE, COLUMNS = 512, 4096
 BLOCK = 6 << 20
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 SEEDS = scan.mix(np.arange(1, 2 * BINS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -143,6 +145,74 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, share: tuple[int, int
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
+def across(members: DataFrame, docs: DataFrame, width: int, share: tuple[int, int]) -> DataFrame:
+    """Links (a, b) between members of one bucket that are in different components.
+
+    ``members`` has band, s, component and the bucket's size m. A bucket is dealt into blocks of about
+    SIDE documents and each pair of blocks is one group: sets meet as rows of a matrix of shingles, pairs are
+    never made as rows, and of the links found only as many come out as join components.
+    """
+    blocks = members.withColumn("k", F.ceil(F.col("m") / SIDE)).withColumn("mine", F.pmod(F.xxhash64("s", F.lit(3)), F.col("k")))
+    dealt = blocks.select("s", "component", "band", "mine", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("other"))
+    dealt = dealt.select("s", "component", "band", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), F.col("mine"))
+    rows = dealt.join(docs, F.col("s") == F.col("id")).select("band", "x", "y", "mine", "id", "component", "text")
+
+    def run(group: pa.Table) -> pa.Table:
+        x, y = group.column("x")[0].as_py(), group.column("y")[0].as_py()
+        ids, comp, mine = (group.column(c).to_numpy() for c in ("id", "component", "mine"))
+        sets: list[np.ndarray] = []
+        for b in scan.blocks(iter(group.select(["text"]).combine_chunks().to_batches()), "text"):
+            h, first = shingles(b.buf, b.offsets, width)
+            sets += [h[first[i] : first[i + 1]] for i in range(b.n)]
+        sizes = np.array([len(s) for s in sets])
+        names, counts = np.unique(comp, return_counts=True)
+        # pairs inside the largest component need no look
+        left = np.flatnonzero(comp != names[np.argmax(counts)])
+        common = _common(sets, left)
+        union = sizes[left][:, None] + sizes[None, :] - common
+        hit = (share[1] * common >= share[0] * union) & (common > 0) & (comp[left][:, None] != comp[None, :])
+        if x != y:
+            hit &= mine[left][:, None] != mine[None, :]
+        root = {c: c for c in names.tolist()}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        out = []
+        for i, j in np.argwhere(hit):
+            a, b = find(int(comp[left[i]])), find(int(comp[j]))
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                out.append((int(ids[left[i]]), int(ids[j])))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    return rows.groupBy("band", "x", "y").applyInArrow(run, "a long, b long").distinct()
+
+
+def _common(sets: list[np.ndarray], left: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets numbered in ``left`` with all sets."""
+    doc = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(np.concatenate(sets), kind="stable")
+    h, doc = np.concatenate(sets)[order], doc[order]
+    new = np.append(True, h[1:] != h[:-1])
+    column, uses = np.cumsum(new) - 1, np.diff(np.append(np.flatnonzero(new), len(h)))
+    # a shingle of one document alone is in no intersection but its own
+    shared = uses > 1
+    keep = shared[column]
+    column = (np.cumsum(shared) - 1)[column[keep]]
+    doc = doc[keep]
+    out = np.zeros((len(left), len(sets)), np.float32)
+    for lo in range(0, int(shared.sum()), COLUMNS):
+        a, b = np.searchsorted(column, [lo, lo + COLUMNS])
+        table = np.zeros((len(sets), COLUMNS), np.float32)
+        table[doc[a:b], column[a:b] - lo] = 1
+        out += table[left] @ table.T
+    return out.astype(np.int64)
+
+
 def groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, share: tuple[int, int] = (80, 100)) -> DataFrame:
     """(id, n_shingles, component_id, kept) per row."""
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
@@ -157,15 +227,13 @@ def groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     first = work.table(starred.filter(alike(F.col("size"), F.col("a_size"))).select("a", F.col("s").alias("b")).distinct(), "pairs")
     links = work.table(confirm(first, rows, width, share), "links")
     comp = work.table(cc.components(links), "components")
-    # buckets whose members are still apart: all their pairs across components that haven't been looked at
-    rest = starred.filter("m > 2").select("band", "s", "size").join(comp.withColumnRenamed("node", "s"), "s", "left").withColumn("component", F.coalesce("component", "s"))
+    # buckets whose members are still apart
+    rest = starred.filter("m > 2").select("band", "s", "m").unionByName(buckets.filter("m > 2").select("band", F.col("a").alias("s"), "m"))
+    rest = rest.join(comp.withColumnRenamed("node", "s"), "s", "left").withColumn("component", F.coalesce("component", "s"))
     open_ = rest.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("band")
-    rest = rest.join(open_, "band")
-    x, y = rest.select("band", *(F.col(c).alias(f"x_{c}") for c in ("s", "size", "component"))), rest.select("band", *(F.col(c).alias(f"y_{c}") for c in ("s", "size", "component")))
-    across = x.join(y, "band").filter((F.col("x_s") < F.col("y_s")) & (F.col("x_component") != F.col("y_component")) & alike(F.col("x_size"), F.col("y_size")))
-    second = work.table(across.select(F.col("x_s").alias("a"), F.col("y_s").alias("b")).distinct().join(first, ["a", "b"], "left_anti"), "pairs")
-    if not second.isEmpty():
-        links = work.table(links.unionByName(confirm(second, rows, width, share)), "links")
+    rest = work.table(rest.join(open_, "band"), "open-buckets")
+    if not rest.isEmpty():
+        links = work.table(links.unionByName(across(rest, rows, width, share)), "links")
         comp = work.table(cc.components(links), "components")
     owner = sets.join(comp, sets["s"] == comp["node"], "left").select("n", "k1", "k2", F.coalesce("component", "s").alias("component_id"))
     out = feats.select("id", "n", "k1", "k2").join(owner, ["n", "k1", "k2"], "left")
