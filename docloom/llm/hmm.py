@@ -37,8 +37,8 @@ CLASSES = 4096
 ROUNDS = 5
 SEGMENT = 256
 GROUP_BYTES = 8 << 20
-#: Bytes of text whose recursions run side by side.
-BLOCK = 16 << 20
+#: Tokens whose recursions run side by side in training, and so whose forward values are held.
+BLOCK_TOKENS = 400_000
 ADD = 0.1
 END = (np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F))
 
@@ -64,7 +64,17 @@ def tokens(b: scan.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _blocks(group: pa.Table) -> Iterator[scan.Block]:
-    return scan.blocks(iter(group.select(["id", "text"]).combine_chunks().to_batches()), "text", BLOCK)
+    return scan.blocks(iter(group.select(["id", "text"]).combine_chunks().to_batches()), "text")
+
+
+def _distinct(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that brings equal pairs together, and where in it a new pair begins."""
+    order = np.argsort(one)
+    a, b = one[order], two[order]
+    if ((a[1:] == a[:-1]) & (b[1:] != b[:-1])).any():
+        order = np.lexsort((two, one))
+        a, b = one[order], two[order]
+    return order, np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
 
 
 def _vocabulary(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
@@ -73,10 +83,9 @@ def _vocabulary(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, li
     one = np.concatenate([p[1] for p in parts])
     two = np.concatenate([p[2] for p in parts])
     train = np.concatenate([np.repeat(~held_out(b.rows.column(0).to_pylist()), np.diff(first)) for b, _, _, first in parts])
-    order = np.lexsort((two, one))
-    new = np.append(True, (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1]))
-    number = np.empty(len(one), np.int64)
-    number[order] = np.cumsum(new) - 1
+    order, new = _distinct(one, two)
+    number = np.empty(len(one), np.int32)
+    number[order] = np.cumsum(new, dtype=np.int32) - 1
     counts = np.bincount(number[train], minlength=int(new.sum()))
     out, at = [], 0
     for b, h, _, first in parts:
@@ -113,8 +122,7 @@ def encode(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
         peers, blobs = group.column("peer").to_pylist(), group.column("blob").to_pylist()
         got = [overlap._unpack(x, "<u8", "<u8", "<u4") for x in blobs]
         one, two, c = (np.concatenate([x[i] for x in got]) for i in range(3))
-        order = np.lexsort((two, one))
-        new = np.append(True, (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1]))
+        order, new = _distinct(one, two)
         heads = np.flatnonzero(new)
         total = np.add.reduceat(c[order].astype(np.int64), heads)
         answer = np.empty(len(one), np.int64)
@@ -148,14 +156,18 @@ def encode(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
         kind = (one % np.uint64(CLASSES)).astype("<u2")
         logs = np.log10(counts + ADD)
         rows: dict[str, list] = {f.name: [] for f in schema}
-        for b, number, first in parts:
+        held: dict[str, list] = {f.name: [] for f in schema}
+        size = 0
+        for k, (b, number, first) in enumerate(parts):
             ids = b.rows.column(0).to_pylist()
-            rows["ids"].append(ids)
-            rows["held"].append(held_out(ids))
-            rows["sizes"].append(np.diff(first))
-            rows["known"].append(scan.sums(counts[number] > 0, first))
-            rows["logs"].append(np.add.reduceat(logs[number], first[:-1]))
-            rows["classes"].append(kind[number].tobytes())
+            values = (ids, held_out(ids), np.diff(first), scan.sums(counts[number] > 0, first), np.add.reduceat(logs[number], first[:-1]), kind[number])
+            for name, v in zip(held, values, strict=True):
+                held[name].append(v)
+            size += len(number)
+            if size >= BLOCK_TOKENS or k == len(parts) - 1:
+                for name, v in held.items():
+                    rows[name].append([x for part in v for x in part] if name == "ids" else np.concatenate(v).tobytes() if name == "classes" else np.concatenate(v))
+                held, size = {name: [] for name in held}, 0
         return pa.table([pa.array(v, f.type) for f, v in zip(schema, rows.values(), strict=True)], schema=schema)
 
     asked = dealt.groupBy("g").applyInArrow(ask, MESSAGE)
@@ -309,12 +321,26 @@ def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, move, emit, within = shared.value
-        now = Model(start, move, emit)
+        now, held, size = Model(start, move, emit), [], 0
+
+        def done() -> pa.RecordBatch:
+            # a long text takes as many steps alone as together with many others
+            classes = np.concatenate([s["classes"] for s in held])
+            sizes = np.concatenate([s["sizes"] for s in held])
+            first = np.cumsum(sizes) - sizes
+            logs = np.concatenate([s["logs"] for s in held])
+            known = pa.concat_arrays([s["known"] for s in held])
+            share = logs - np.add.reduceat(within[classes], first)
+            return pa.RecordBatch.from_arrays([pa.concat_arrays([s["ids"] for s in held]), pa.array(np.concatenate([s["held"] for s in held])), pa.array(sizes), known, pa.array(np.full(len(sizes), total)), pa.array(logs - sizes * rest), pa.array(forward(now, classes, first, sizes) + share)], names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
         for s in _sequences(batches):
-            sizes, first = s["sizes"], s["first"]
-            states_ = forward(now, s["classes"], first, sizes)
-            share = s["logs"] - np.add.reduceat(within[s["classes"]], first)
-            yield pa.RecordBatch.from_arrays([s["ids"], pa.array(s["held"]), pa.array(sizes), s["known"], pa.array(np.full(len(sizes), total)), pa.array(s["logs"] - sizes * rest), pa.array(states_ + share)], names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            held.append(s)
+            size += len(s["classes"])
+            if size >= 8 * BLOCK_TOKENS:
+                yield done()
+                held, size = [], 0
+        if held:
+            yield done()
 
     return encoded.mapInArrow(run, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("id", id_column)
 
