@@ -10,6 +10,10 @@ of the line, segment number, text); every line probes the index with the substri
 can be, for each partner length from its own down to ``threshold`` less. Candidate pairs are verified with a
 bit-parallel automaton on the diagonal band of width 2 * threshold + 1.
 
+With the threshold of 1, a segment shared by a crowd of lines would make pairs in the square of the crowd.
+Lines with such a segment are paired by finer keys instead: of FINE segments one edit touches one, so two
+near lines agree in all the others. For larger thresholds crowds are paired as they are.
+
 Defined results: null and empty texts have one empty line and stay; rows that repeat a document id count as
 one document; the earliest of tied lines stays; an empty table gives an empty result; further columns pass.
 """
@@ -23,6 +27,10 @@ from docloom.llm import work
 
 LEAST = 20
 THRESHOLD = 1
+#: A segment that more distinct lines share than this is told apart by all but one of FINE segments.
+CROWD, FINE = 64, 8
+#: Bits of the map of wanted lines that is broadcast, whatever the input's size: 512 kB.
+MAP_BITS = 1 << 22
 
 
 def segment(n: Column, i: int, t: int) -> tuple[Column, Column]:
@@ -46,6 +54,27 @@ def keys(line: Column, n: Column, t: int) -> tuple[list[Column], list[Column]]:
     return index, probe
 
 
+def fine_keys(line: Column, n: Column, less: int) -> list[Column]:
+    """Hashes of a line of n code points without one of FINE segments of a line that is ``less`` shorter."""
+    out = []
+    for i in range(1, FINE + 1):
+        at, size = segment(n - less, i, FINE - 1)
+        rest = n - less - (at + size - 1)
+        out.append(F.xxhash64((n - less).cast("int"), F.lit(i), F.substring(line, F.lit(1), at - 1), F.substring(line, n - rest + 1, rest)))
+    return out
+
+
+def _texts(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(w, line) for the wanted occurrences. A bit map of fixed size keeps nearly all others out of the shuffle."""
+    wanted = work.table(wanted.select("w", F.expr("CAST((w - pmod(w, 4294967296)) / 4294967296 AS BIGINT)").alias("id"), F.expr("CAST(pmod(w, 4294967296) AS INT)").alias("at")), "lines-wanted")
+    bit = F.pmod(F.xxhash64("id", "at"), F.lit(MAP_BITS))
+    maps = wanted.select(bit.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits"))
+    marked = lines.select("id", "at", "line", bit.alias("h")).withColumn("bucket", F.bitmap_bucket_number("h")).withColumn("p", F.bitmap_bit_position("h"))
+    byte = F.conv(F.hex(F.expr("substring(bits, CAST(p DIV 8 AS INT) + 1, 1)")), 16, 10).cast("int")
+    maybe = marked.join(F.broadcast(maps), "bucket").filter(F.getbit(byte, (F.col("p") % 8).cast("int")) == 1)
+    return work.table(maybe.select("id", "at", "line").join(wanted, ["id", "at"]).groupBy("w").agg(F.min("line").alias("line")), "line-texts")
+
+
 def within(a: Column, b: Column, t: int) -> Column:
     """Whether two texts are at most t edits apart: bit c of state d says that the cell c - t off the diagonal is reached with d edits."""
     width = (1 << (2 * t + 1)) - 1
@@ -94,14 +123,21 @@ def removed(docs: DataFrame, threshold: int = THRESHOLD, id_column: str = "doc_i
     # near lines: pairs that share a key, the earlier first
     indexed = firsts.select(F.col("first").alias("a"), F.explode(F.array(*(f"x{j}" for j in range(own)))).alias("key"))
     probing = firsts.select(F.col("first").alias("b"), F.explode(F.array(*names)).alias("key")).filter("key IS NOT NULL")
-    pairs = indexed.join(probing, "key").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    ordered = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    if threshold == 1:
+        crowds = work.table(indexed.groupBy("key").agg(F.count("*").alias("m")).filter(F.col("m") > CROWD).select("key"), "line-crowds")
+        in_crowds = indexed.select(F.col("a").alias("w"), "key").unionByName(probing.select(F.col("b").alias("w"), "key")).join(crowds, "key", "left_semi").select("w").distinct()
+        crowded = _texts(lines, in_crowds).withColumn("n", F.length("line"))
+        fine = crowded.select(F.col("w").alias("a"), F.explode(F.array(*fine_keys(F.col("line"), F.col("n"), 0))).alias("key"))
+        fine_probe = crowded.select(F.col("w").alias("b"), F.explode(F.array(*fine_keys(F.col("line"), F.col("n"), 0), *fine_keys(F.col("line"), F.col("n"), 1))).alias("key"))
+        pairs = indexed.join(crowds, "key", "left_anti").join(probing, "key").filter("a <> b").select(*ordered).unionByName(fine.join(fine_probe, "key").filter("a <> b").select(*ordered)).distinct()
+    else:
+        pairs = indexed.join(probing, "key").filter("a <> b").select(*ordered).distinct()
     pairs = work.table(pairs, "line-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("w")).distinct()
-    at_id, at_line = F.expr("CAST((w - pmod(w, 4294967296)) / 4294967296 AS BIGINT)"), F.expr("CAST(pmod(w, 4294967296) AS INT)")
-    wanted = wanted.select("w", at_id.alias("id"), at_line.alias("at"))
-    texts = work.table(lines.select("id", "at", "line").join(wanted, ["id", "at"]).select("w", "line"), "line-texts").groupBy("w").agg(F.min("line").alias("line"))
+    texts = _texts(lines, pairs.select(F.explode(F.array("a", "b")).alias("w")).distinct())
     left, right = texts.select(F.col("w").alias("a"), F.col("line").alias("one")), texts.select(F.col("w").alias("b"), F.col("line").alias("two"))
     near = pairs.join(left, "a").join(right, "b").filter(within(F.col("one"), F.col("two"), threshold)).select(F.col("b").alias("w")).distinct()
+    at_id, at_line = F.expr("CAST((w - pmod(w, 4294967296)) / 4294967296 AS BIGINT)"), F.expr("CAST(pmod(w, 4294967296) AS INT)")
     return work.table(copies.unionByName(near.select(at_id.alias("id"), at_line.alias("at"))).distinct(), "lines-removed")
 
 

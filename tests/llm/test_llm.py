@@ -98,6 +98,27 @@ def test_sketch_agrees_with_similarity():
         assert abs((s[0] == s[1]).mean() - true) < 0.2
 
 
+def test_links_across_components(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SIDE", 7)
+    rng = random.Random(9)
+    base = [f"s{i}" for i in range(100)]
+    rows = [(i, " ".join(w if rng.random() > 0.03 else f"z{i}" for w in base)) for i in range(40)]
+    sets = {d: {tuple(t.split()[i : i + 4]) for i in range(97)} for d, t in rows}
+    linked = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    members = spark.createDataFrame([(1, d, d, 40) for d, _ in rows], "band long, s long, component long, m long")
+    found = neardup.across(members, spark.createDataFrame(rows, "id long, text string"), 4, (80, 100)).collect()
+    assert found and {(min(r), max(r)) for r in found} <= linked
+
+    def parts(links):
+        comp = {d: d for d in sets}
+        for _ in sets:
+            for a, b in links:
+                comp[a] = comp[b] = min(comp[a], comp[b])
+        return comp
+
+    assert parts(found) == parts(linked)
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(50, 60), (70, 60), (80, 80)], "a long, b long")
     got = {r.node: r.component for r in components.components(links).collect()}
@@ -301,8 +322,9 @@ def test_wavelet_rank():
     assert got.tolist() == [int((values[:i] == s).sum()) for s, i in zip(symbols, at, strict=True)]
 
 
-@pytest.mark.parametrize("t", [1, 2, 3])
-def test_near_lines(spark, t):
+@pytest.mark.parametrize(("t", "crowd"), [(1, 64), (1, 0), (2, 64), (3, 64)])
+def test_near_lines(spark, t, crowd, monkeypatch):
+    monkeypatch.setattr(lines, "CROWD", crowd)
     rng = random.Random(t)
     rows, base = [], ["".join(rng.choice("abcdeé ") for _ in range(rng.choice([20, 21, 22, 40, 90]))).strip().ljust(20, "x") for _ in range(12)]
     for d in range(30):
