@@ -206,7 +206,7 @@ def remove_repeated(docs: DataFrame, units: Units, kernel: Kernel, finish: Finis
         texts, lens, shorts, counts, owners, docs_, starts, one, two = ([] for _ in range(9))
         base = 0
         for b, more, first, at, size, short, own in per:
-            hit = np.flatnonzero(np.isin(short, keys, assume_unique=False)) if len(keys) else np.zeros(0, np.int64)
+            hit = np.flatnonzero(keys[np.minimum(np.searchsorted(keys, short), len(keys) - 1)] == short) if len(keys) else np.zeros(0, np.int64)
             if len(hit):
                 payload, ends = units.cut(b, more, at[hit], at[hit] + size[hit] + units.width - 1)
                 x, y = scan.range_hashes(payload, ends)
