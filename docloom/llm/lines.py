@@ -29,8 +29,6 @@ LEAST = 20
 THRESHOLD = 1
 #: A segment that more distinct lines share than this is told apart by all but one of FINE segments.
 CROWD, FINE = 64, 8
-#: Bits of the map of wanted lines that is broadcast, whatever the input's size: 512 kB.
-MAP_BITS = 1 << 22
 
 
 def segment(n: Column, i: int, t: int) -> tuple[Column, Column]:
@@ -67,12 +65,8 @@ def fine_keys(line: Column, n: Column, less: int) -> list[Column]:
 def _texts(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     """(w, line) for the wanted occurrences. A bit map of fixed size keeps nearly all others out of the shuffle."""
     wanted = work.table(wanted.select("w", F.expr("CAST((w - pmod(w, 4294967296)) / 4294967296 AS BIGINT)").alias("id"), F.expr("CAST(pmod(w, 4294967296) AS INT)").alias("at")), "lines-wanted")
-    bit = F.pmod(F.xxhash64("id", "at"), F.lit(MAP_BITS))
-    maps = wanted.select(bit.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits"))
-    marked = lines.select("id", "at", "line", bit.alias("h")).withColumn("bucket", F.bitmap_bucket_number("h")).withColumn("p", F.bitmap_bit_position("h"))
-    byte = F.conv(F.hex(F.expr("substring(bits, CAST(p DIV 8 AS INT) + 1, 1)")), 16, 10).cast("int")
-    maybe = marked.join(F.broadcast(maps), "bucket").filter(F.getbit(byte, (F.col("p") % 8).cast("int")) == 1)
-    return work.table(maybe.select("id", "at", "line").join(wanted, ["id", "at"]).groupBy("w").agg(F.min("line").alias("line")), "line-texts")
+    maybe = work.likely(lines.select("id", "at", "line"), wanted, ["id", "at"])
+    return work.table(maybe.join(wanted, ["id", "at"]).groupBy("w").agg(F.min("line").alias("line")), "line-texts")
 
 
 def within(a: Column, b: Column, t: int) -> Column:

@@ -117,7 +117,9 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, share: tuple[int, int
     asked = pairs.join(runs, "a").select("a", F.pmod(F.xxhash64("b"), F.col("m")).alias("run"), "b")
     pivots = asked.select("a", "run").distinct().select("a", "run", F.lit(0).alias("role"), F.col("a").alias("want"))
     wanted = asked.select("a", "run", F.lit(1).alias("role"), F.col("b").alias("want")).unionByName(pivots)
-    rows = wanted.join(docs, F.col("want") == F.col("id")).select("a", "run", "role", "id", "text").repartition("a", "run").sortWithinPartitions("a", "run", "role", "id")
+    wanted = work.table(wanted, "wanted")
+    likely = work.likely(docs, wanted.select(F.col("want").alias("id")), ["id"])
+    rows = wanted.join(likely, F.col("want") == F.col("id")).select("a", "run", "role", "id", "text").repartition("a", "run").sortWithinPartitions("a", "run", "role", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivot, now = np.zeros(0, np.uint64), None
@@ -155,7 +157,8 @@ def across(members: DataFrame, docs: DataFrame, width: int, share: tuple[int, in
     blocks = members.withColumn("k", F.ceil(F.col("m") / SIDE)).withColumn("mine", F.pmod(F.xxhash64("s", F.lit(3)), F.col("k")))
     dealt = blocks.select("s", "component", "band", "mine", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("other"))
     dealt = dealt.select("s", "component", "band", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), F.col("mine"))
-    rows = dealt.join(docs, F.col("s") == F.col("id")).select("band", "x", "y", "mine", "id", "component", "text")
+    likely = work.likely(docs, members.select(F.col("s").alias("id")), ["id"])
+    rows = dealt.join(likely, F.col("s") == F.col("id")).select("band", "x", "y", "mine", "id", "component", "text")
 
     def run(group: pa.Table) -> pa.Table:
         x, y = group.column("x")[0].as_py(), group.column("y")[0].as_py()

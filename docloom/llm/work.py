@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,6 +48,24 @@ def input_bytes(df: DataFrame) -> int:
     return int(row[0] or 0)
 
 
+#: Bits of the map that ``likely`` broadcasts: 512 kB, whatever the input's size.
+MAP_BITS = 1 << 22
+
+
+def likely(df: DataFrame, wanted: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of ``df`` whose key columns may occur in ``wanted``: all that do, and few others while keys are fewer than MAP_BITS.
+
+    Before a join this keeps rows that can't match out of the shuffle. The map has a fixed size; with many
+    more keys it fills and lets every row through, so results never depend on it.
+    """
+    bit = F.pmod(F.xxhash64(*columns), F.lit(MAP_BITS))
+    maps = wanted.select(bit.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("map bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("map bits"))
+    marked = df.withColumn("map h", bit).withColumn("map p", F.bitmap_bit_position("map h"))
+    joined = marked.join(F.broadcast(maps), F.bitmap_bucket_number("map h") == F.col("map bucket"))
+    byte = F.conv(F.hex(F.expr("substring(`map bits`, CAST(`map p` DIV 8 AS INT) + 1, 1)")), 16, 10).cast("int")
+    return joined.filter(F.getbit(byte, (F.col("map p") % 8).cast("int")) == 1).select(*(df[c] for c in df.columns))
+
+
 def groups(df: DataFrame, group_bytes: int, least: int | None = None) -> int:
     """How many groups of about ``group_bytes`` of input a frame is dealt into."""
     least = least or 2 * df.sparkSession.sparkContext.defaultParallelism
