@@ -13,7 +13,7 @@ from docloom.functions.calc import to_ascii_digits
 # Fixed values of the formats: scripts, labels, grade words, tag shapes.
 BENGALI = r"[\x{0980}-\x{09FF}\x{0964}\x{0965}]"
 LETTERS = "কখগঘ"
-GRADES = {"প্রথম": 1, "দ্বিতীয়": 2, "তৃতীয়": 3, "চতুর্থ": 4, "পঞ্চম": 5, "ষষ্ঠ": 6, "সপ্তম": 7, "অষ্টম": 8, "নবম": 9, "দশম": 10, "একাদশ": 11, "দ্বাদশ": 12, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11, "twelve": 12}
+GRADES = {"প্রথম": 1, "দ্বিতীয়": 2, "তৃতীয়": 3, "চতুর্থ": 4, "পঞ্চম": 5, "ষষ্ঠ": 6, "সপ্তম": 7, "অষ্টম": 8, "নবম": 9, "দশম": 10, "একাদশ": 11, "দ্বাদশ": 12, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11, "twelve": 12}
 FRONT = r"(?s)\A\s*---[^\S\n]*\n(.*?)\n---[^\S\n]*(?:\n|\z)"
 FIGURE = r"\[\[FIG:p=(\d+);box=([0-9.,\s]+)\]\]"
 
@@ -70,7 +70,7 @@ def upsert_front(x: Column, changes: dict[str, str]) -> Column:
 
 def strip_stray_front(x: Column) -> Column:
     """Metadata blocks in the middle of a text."""
-    return F.regexp_replace(x, r"(?m)\n---[^\S\n]*\n(?:[A-Za-z_]+[^\S\n]*:[^\n]*\n)+---[^\S\n]*(?=\n|\z)", "\n")
+    return F.regexp_replace(x, r"(?m)\n---[^\S\n]*\n(?:[A-Za-z_]+[^\S\n]*:[^\n]*\n)+---[^\S\n]*(?=\n|\z)", "")
 
 
 def sections(x: Column) -> Column:
@@ -116,9 +116,9 @@ def roman(x: Column) -> Column:
 
 
 def time_and_marks(x: Column) -> Column:
-    """(time, marks) of a line such as "সময়: ২ ঘণ্টা  পূর্ণমান: ১০০"."""
+    """(time, marks) of a line such as "সময়: ২ ঘণ্টা  পূর্ণমান: ১০০"."""
     y = compose_nukta(x)
-    return F.struct(F.trim(F.regexp_extract(y, r"সময়\s*[ঃ:\-–]\s*(.*?)\s*(?:পূর্ণমান|মান|$)", 1)).alias("time"), F.regexp_extract(y, r"(?:পূর্ণমান|মান)\s*[ঃ:\-–]\s*([0-9০-৯]+)", 1).alias("marks"))
+    return F.struct(F.trim(F.regexp_extract(y, r"সময়\s*[ঃ:\-–]\s*(.*?)\s*(?:পূর্ণমান|মান|$)", 1)).alias("time"), F.regexp_extract(y, r"(?:পূর্ণমান|মান)\s*[ঃ:\-–]\s*([0-9০-৯]+)", 1).alias("marks"))
 
 
 def difficulty_free(x: Column) -> Column:
@@ -227,7 +227,7 @@ def checkboxes(x: Column) -> Column:
 def cells(x: Column) -> Column:
     """Cells of a pipe row; pipes inside $…$ don't separate."""
     inner = F.regexp_replace(F.trim(x), r"^\||\|$", "")
-    return F.transform(F.split(inner, r"\|(?=(?:[^$]*\$[^$]*\$)*[^$]*$)", -1), F.trim)
+    return F.transform(F.split(inner, r"\|(?=(?:[^$]*\$[^$]*\$)*[^$]*$)", -1), lambda c: F.trim(c))
 
 
 def tables(x: Column) -> Column:

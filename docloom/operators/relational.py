@@ -277,8 +277,8 @@ def salary(lines: DataFrame) -> DataFrame:
     from docloom.functions.calc import leading_number
 
     line = F.trim("line")
-    head_out = F.col("line").rlike(r"^(?:---\s*কর্তন|কর্তন\s*সমূহ|কর্তনসমূহ|বিয়োগ|কর্তন\s*[ঃ:]?\s*$)")
-    head_in = F.col("line").rlike(r"^(?:---\s*আয়|আয়\s*সমূহ|আয়\s*[ঃ:]?\s*$)")
+    head_out = F.col("line").rlike(r"^(?:---\s*কর্তন|কর্তন\s*সমূহ|কর্তনসমূহ|বিয়োগ|কর্তন\s*[ঃ:]?\s*$)")
+    head_in = F.col("line").rlike(r"^(?:---\s*আয়|আয়\s*সমূহ|আয়\s*[ঃ:]?\s*$)")
     total = F.col("line").rlike(r"^(?:মোট|সর্বমোট|নিট|নীট)") & F.col("line").rlike("[0-9০-৯]")
     rows = lines.withColumn("line", line).withColumn("mode", F.when(head_out & ~total, "deductions").when(head_in & ~total, "earnings"))
     rows = rows.withColumn("kind", F.coalesce(F.last("mode", ignorenulls=True).over(Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)), F.lit("earnings")))
