@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -123,7 +124,14 @@ def _pack(*arrays: np.ndarray) -> bytes:
     return b"".join(x for p in parts for x in (len(p).to_bytes(8, "little"), p))
 
 
+def _squeeze(*arrays: np.ndarray) -> bytes:
+    """A packed message under Zstandard; ``_unpack`` knows it by its magic number, which no length begins with."""
+    return zstandard.ZstdCompressor(level=1).compress(_pack(*arrays))
+
+
 def _unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
+    if blob[:4] == zstandard.FRAME_HEADER:
+        blob = zstandard.ZstdDecompressor().decompress(blob)
     at, out = 0, []
     for kind in kinds:
         n = int.from_bytes(blob[at : at + 8], "little")
@@ -244,10 +252,10 @@ def remove_repeated(docs: DataFrame, units: Units, kernel: Kernel, finish: Finis
             if lo < hi:
                 r = rep[lo:hi]
                 dest.append(s)
-                blobs.append(_pack(payload[gather(begin[r], lens[r])], lens[r].astype("<u4"), (short[r] % np.uint64(PARTS)).astype("u1"), owner[r].astype("<i8"), count[r].astype("<u4")))
+                blobs.append(_squeeze(payload[gather(begin[r], lens[r])], lens[r].astype("<u4"), (short[r] % np.uint64(PARTS)).astype("u1"), owner[r].astype("<i8"), count[r].astype("<u4")))
         # to itself: where each fragment stands
         dest.append(shards + g)
-        blobs.append(_pack(doc.astype("<u4"), start.astype("<u4"), which.astype("<u4"), count[rep].astype("<u4"), owner[rep].astype("<i8"), shard.astype("<u4")))
+        blobs.append(_squeeze(doc.astype("<u4"), start.astype("<u4"), which.astype("<u4"), count[rep].astype("<u4"), owner[rep].astype("<i8"), shard.astype("<u4")))
         return _message(dest, [g] * len(dest), blobs)
 
     def answer(group: pa.Table) -> pa.Table:
@@ -283,7 +291,7 @@ def remove_repeated(docs: DataFrame, units: Units, kernel: Kernel, finish: Finis
             spread = smallest[gather(w_at[:-1][which], count[mine])]
             bits[gather(bit_at[:-1][mine], count[mine])] = spread < np.repeat(owner[mine], count[mine])
         cut = np.concatenate([[0], np.cumsum([len(x[1]) for x in got])])
-        return _message(peers, [dest] * len(peers), [_pack(np.packbits(bits[bit_at[cut[i]] : bit_at[cut[i + 1]]])) for i in range(len(peers))])
+        return _message(peers, [dest] * len(peers), [_squeeze(np.packbits(bits[bit_at[cut[i]] : bit_at[cut[i + 1]]])) for i in range(len(peers))])
 
     def put_together(group: pa.Table, told: pa.Table) -> pa.Table:
         rows = _blocks(group)
