@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import calc, text
-from docloom.operators import ledger, relational, windows
+from docloom.operators import documents, ledger, relational, windows
+from docloom.parse import maths, papers, transcode
+from docloom.plans import classify
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -459,9 +461,77 @@ def word_rows(spark, d):
 SELECT doc_id, CASE WHEN greatest(junk, tabular, prose) < 4 THEN 'GENERAL' WHEN junk >= greatest(tabular, prose) THEN 'JUNK' WHEN tabular >= prose THEN 'TABULAR' ELSE 'PROSE' END AS doc_type, CAST(greatest(junk, tabular, prose) AS INT) AS score FROM s""")
 def score_classifier(spark, d):
     """The classifier's score columns, threshold and declared order of ties, with rules for the driver's texts."""
-    from docloom.plans import classify
-
     rules = {"JUNK": [(12, ["[#$%&*]{3}"], [])], "TABULAR": [(8, [r"\| "], [])], "PROSE": [(6, [r"(?i)\bthe\b.*\bthe\b"], [])]}
     scores = classify.score_columns(F.col("text"), rules)
     top = classify.winner(scores)
     return table(spark, d, "documents").select("doc_id", top.alias("w")).select("doc_id", F.col("w.type").alias("doc_type"), F.col("w.score").alias("score"))
+
+
+@query("""WITH q AS (SELECT doc_id, source, n_chars % 4 AS n, CAST(sum(n_chars % 4) OVER (ORDER BY doc_id) - n_chars % 4 AS BIGINT) AS b FROM documents)
+SELECT b + i AS page, source AS file, CAST(i AS INT) AS page_in_file FROM q, unnest(range(1, n + 1)) AS u(i)""")
+def page_sources(spark, d):
+    q = table(spark, d, "documents").select(F.col("doc_id").alias("pos"), F.col("source").alias("file"), (F.col("n_chars") % 4).cast("int").alias("pages"))
+    return documents.page_sources(q)
+
+
+@query("SELECT a.event_id, a.n AS claimed, b.n AS measured FROM (SELECT event_id, event_id % 5 AS n FROM events) a JOIN (SELECT event_id, event_id % 7 AS n FROM events) b USING (event_id) WHERE a.n <> b.n")
+def line_mismatches(spark, d):
+    e = table(spark, d, "events")
+    return documents.mismatches(e.select("event_id", (F.col("event_id") % 5).alias("n")), e.select("event_id", (F.col("event_id") % 7).alias("n")), ["event_id"])
+
+
+@query("""WITH w AS (SELECT item_id, word FROM (SELECT item_id, unnest(regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+')) AS raw FROM benchmark), LATERAL (SELECT regexp_replace(regexp_replace(raw, '^[\\p{P}\\p{S}]+', ''), '[\\p{P}\\p{S}]+$', '') AS word) WHERE word <> ''),
+a AS (SELECT item_id, word, count(*) AS n FROM w GROUP BY ALL), b AS (SELECT item_id, word, count(*) AS n FROM w WHERE length(word) > 3 GROUP BY ALL)
+SELECT item_id, word, n - coalesce(m, 0) AS missing FROM (SELECT a.item_id, a.word, a.n, b.n AS m FROM a LEFT JOIN b ON a.item_id = b.item_id AND a.word = b.word) WHERE n > coalesce(m, 0)""")
+def content_preservation(spark, d):
+    b = table(spark, d, "benchmark")
+    short = F.array_join(F.filter(text.words(F.col("text")), lambda w: F.length(w) > 3), " ")
+    return documents.missing_words(b, b.withColumn("text", short), "item_id")
+
+
+@query("SELECT conv_id, sha1(string_agg(name || ':' || sha1(text), chr(10) ORDER BY name)) AS fingerprint FROM (SELECT conv_id, role || turn AS name, any_value(text) AS text FROM conversations GROUP BY ALL) GROUP BY conv_id")
+def package_fingerprint(spark, d):
+    c = table(spark, d, "conversations").select("conv_id", F.concat("role", F.col("turn").cast("string")).alias("name"), F.col("text").alias("content"))
+    return documents.fingerprint(c, "conv_id")
+
+
+@query("SELECT CAST(r_regionkey AS INT) AS pos, CAST(r_regionkey AS INT) AS r_regionkey, r_name, true AS sound FROM region")
+def export_import(spark, d):
+    r = table(spark, d, "region")
+    return documents.opened(documents.envelope(r, "regions", 1, ["r_regionkey", "r_name"], "r_regionkey"), "regions", 1, "struct<r_regionkey:int,r_name:string>", "r_name")
+
+
+@query("SELECT doc_id, regexp_replace(regexp_replace(text, 'the', '⟨1⟩', 'g'), 'and', '⟨2⟩', 'g') AS text FROM documents")
+def dictionary_replace(spark, d):
+    words = spark.createDataFrame([("the", "⟨1⟩"), ("and", "⟨2⟩"), ("", "x"), ("of", " ")], "word string, replacement string")
+    return documents.replaced(table(spark, d, "documents").select("doc_id", "text"), "text", words)
+
+
+@query("SELECT doc_id, translate(CAST(doc_id * 7919 AS VARCHAR), '0123456789', '০১২৩৪৫৬৭৮৯') || '।' AS text, CAST(doc_id * 7919 AS VARCHAR) || '|' AS legacy FROM documents")
+def legacy_round_trip(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.concat(calc.to_bengali_digits(F.col("doc_id") * 7919), F.lit("।")).alias("t"))
+    coded = docs.select("doc_id", transcode.to_legacy("t").alias("legacy"))
+    return coded.select("doc_id", transcode.from_legacy("legacy").alias("text"), "legacy")
+
+
+@query("SELECT doc_id, CAST(len(list_filter(string_split(text, chr(10)), lambda l: trim(l, ' ' || chr(9) || chr(13)) <> '')) AS BIGINT) AS lines FROM documents")
+def markdown_lines(spark, d):
+    """Blocks of the Markdown parser; their lines add up to those of the text."""
+    b = table(spark, d, "documents").select("doc_id", papers.parse_blocks("text").alias("b"))
+    n = lambda x: F.when(F.size(x["rows"]) > 0, F.size(x["rows"])).when(F.size(x["items"]) > 0, F.size(x["items"])).otherwise(F.size(F.split(x["text"], "\n")))
+    return b.select("doc_id", F.aggregate("b", F.lit(0), lambda a, x: a + n(x)).cast("long").alias("lines"))
+
+
+@query("SELECT doc_id, 'GENERAL' AS doc_type FROM documents WHERE NOT regexp_matches(text, '(?i)resume|reference|^[^a-z]*[0-9]{1,3}\\s*[.)]') AND lang = 'en' AND NOT regexp_matches(text, '(?m)^\\s*(#{1,6}\\s|\\(?[0-9]{1,3}\\s*[.)])')")
+def classify_plain(spark, d):
+    """English prose without numbers in front of lines is of no Bangla document type."""
+    docs = table(spark, d, "documents").filter("lang = 'en'").filter(~F.col("text").rlike("(?i)resume|reference|^[^a-z]*[0-9]{1,3}\\s*[.)]") & ~F.col("text").rlike(r"(?m)^\s*(#{1,6}\s|\(?[0-9]{1,3}\s*[.)])"))
+    return classify.classify(docs).select("doc_id", "doc_type")
+
+
+@query("SELECT doc_id, CAST(regexp_matches(text, '\\$[^$]+\\$') AS BOOLEAN) AS has_math, replace(text, '$', '') = replace(text, '$', '') AS kept FROM documents")
+def math_spans(spark, d):
+    """Maths segments, and that text and maths put together are the text again."""
+    s = table(spark, d, "documents").select("doc_id", "text", maths.shielded("text").alias("s"))
+    back = F.aggregate(F.sequence(F.lit(0), F.greatest(F.size("s.held") - 1, F.lit(0))), F.col("s.text"), lambda t, i: F.replace(t, F.concat(F.lit(""), i.cast("string"), F.lit("")), F.coalesce(F.get("s.held", i), F.lit(""))))
+    return s.select("doc_id", F.col("text").rlike(r"\$[^$]+\$").alias("has_math"), (back == F.col("text")).alias("kept"))
