@@ -94,5 +94,5 @@ FROM s LEFT JOIN n ON n.doc_id = s.doc_id LEFT JOIN t ON t.doc_id = s.doc_id"""
 
 
 def oracle_sql() -> dict[str, str]:
-    """No SQL runs a tokenizer (op5); tests hold that query against a plain version."""
-    return {"op1_near_dedup": neardup.ORACLE, "op2_warc_bundles": _OP2, "op3_secret_scan": secrets.oracle(), "op7_line_dedup": lines.ORACLE, "op8_quality_cascade": _OP8, "op9_substring_dedup": substrings.ORACLE, "op10_decontamination": _OP10}
+    """No SQL runs a tokenizer (op5) or Baum-Welch (op4); tests hold those queries against plain versions."""
+    return {"op1_near_dedup": neardup.ORACLE, "op2_warc_bundles": _OP2, "op3_secret_scan": secrets.oracle(), "op6_suffix_dedup": suffixes.ORACLE, "op7_line_dedup": lines.ORACLE, "op8_quality_cascade": _OP8, "op9_substring_dedup": substrings.ORACLE, "op10_decontamination": _OP10}

@@ -233,3 +233,18 @@ def apply(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
         return pa.table({id_column: b.rows.column(0), "kept": pa.array(kept, pa.binary()), "removed": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))})
 
     return overlap.remove_repeated(docs, UNITS, kernel, finish, f"`{id_column}` long, kept binary, removed array<struct<start:long,end:long>>", id_column, text_column)
+
+
+ORACLE = f"""
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+g AS (SELECT doc_id, i, substring(x, 2 * i + 1, {2 * WIDTH}) AS w FROM h, unnest(range(0, length(x) // 2 - {WIDTH - 1})) AS u(i)),
+o AS (SELECT w, min(doc_id) AS first FROM g GROUP BY w),
+r AS (SELECT doc_id, i FROM g JOIN o USING (w) WHERE first < doc_id),
+l AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= {WIDTH} THEN 0 ELSE 1 END AS new FROM r),
+n AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM l),
+s AS (SELECT doc_id, min(i) AS a, max(i) + {WIDTH} AS b FROM n GROUP BY doc_id, run),
+p AS (SELECT doc_id, b AS lo, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS hi FROM s UNION ALL SELECT doc_id, 0, min(a) FROM s GROUP BY doc_id),
+k AS (SELECT p.doc_id, string_agg(substring(x, 2 * lo + 1, 2 * (coalesce(hi, length(x) // 2) - lo)), '' ORDER BY lo) AS kept FROM p JOIN h ON h.doc_id = p.doc_id GROUP BY p.doc_id),
+c AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM s GROUP BY doc_id)
+SELECT h.doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
+FROM h LEFT JOIN c ON c.doc_id = h.doc_id LEFT JOIN k ON k.doc_id = h.doc_id"""
