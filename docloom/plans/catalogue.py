@@ -535,3 +535,122 @@ def math_spans(spark, d):
     s = table(spark, d, "documents").select("doc_id", "text", maths.shielded("text").alias("s"))
     back = F.aggregate(F.sequence(F.lit(0), F.greatest(F.size("s.held") - 1, F.lit(0))), F.col("s.text"), lambda t, i: F.replace(t, F.concat(F.lit(""), i.cast("string"), F.lit("")), F.coalesce(F.get("s.held", i), F.lit(""))))
     return s.select("doc_id", F.col("text").rlike(r"\$[^$]+\$").alias("has_math"), (back == F.col("text")).alias("kept"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 0 WHEN o_orderkey % 16 BETWEEN 1 AND 12 THEN CAST(o_orderkey % 16 AS INT) ELSE 0 END AS grade FROM orders")
+def grade_parse(spark, d):
+    n = calc.to_bengali_digits(F.col("o_orderkey") % 16)
+    return table(spark, d, "orders").select("o_orderkey", text.grade(F.when(F.col("o_orderkey") % 3 == 0, "শ্রেণি নেই").otherwise(F.concat(F.lit("শ্রেণি: "), n, F.lit("ম")))).alias("grade"))
+
+
+@query("SELECT o_orderkey, list_sort(list_distinct(list_concat(range(o_orderkey % 5 + 1, o_orderkey % 5 + 4), [least(o_orderkey % 9 + 1, 8)]))) AS pages FROM orders".replace("range(o_orderkey % 5 + 1, o_orderkey % 5 + 4)", "list_filter(range(o_orderkey % 5 + 1, o_orderkey % 5 + 4), lambda p: p <= 8)").replace("[least(o_orderkey % 9 + 1, 8)]", "list_filter([o_orderkey % 9 + 1], lambda p: p <= 8)"))
+def page_ranges(spark, d):
+    a, b = F.col("o_orderkey") % 5 + 1, F.col("o_orderkey") % 9 + 1
+    spec = F.concat(calc.to_bengali_digits(a), F.lit("–"), (a + 2).cast("string"), F.lit(", "), b.cast("string"))
+    return table(spark, d, "orders").select("o_orderkey", F.transform(text.page_range(spec, F.lit(8)), lambda p: p.cast("long")).alias("pages"))
+
+
+@query("SELECT c_custkey, c_name AS text, translate(CAST(c_custkey % 10 AS VARCHAR), '0123456789', '০১২৩৪৫৬৭৮৯') AS mark FROM customer")
+def trailing_marks(spark, d):
+    line = F.concat("c_name", F.lit("  ["), calc.to_bengali_digits(F.col("c_custkey") % 10), F.lit("]"))
+    return table(spark, d, "customer").select("c_custkey", text.split_mark(line).alias("m")).select("c_custkey", "m.text", "m.mark")
+
+
+@query("SELECT c_custkey, c_mktsegment AS label, c_name AS value FROM customer")
+def label_values(spark, d):
+    return table(spark, d, "customer").select("c_custkey", text.label_value(F.concat(F.lit("**"), F.col("c_mktsegment"), F.lit("**: "), F.col("c_name"))).alias("v")).select("c_custkey", "v.label", "v.value")
+
+
+@query("SELECT c_custkey, c_mktsegment AS doc_type, CAST(c_nationkey AS VARCHAR) AS grade, c_name AS body FROM customer")
+def frontmatter_split(spark, d):
+    t = F.concat(F.lit("---\ndoc_type: "), F.col("c_mktsegment"), F.lit('\nGrade: "'), F.col("c_nationkey").cast("string"), F.lit('"\n---\n'), F.col("c_name"))
+    return table(spark, d, "customer").select("c_custkey", text.front(t).alias("f")).select("c_custkey", F.col("f.fields")["doc_type"].alias("doc_type"), F.col("f.fields")["grade"].alias("grade"), F.col("f.body").alias("body"))
+
+
+@query("SELECT doc_id, CAST(n_chars % 7 + n_chars % 3 AS INT) AS cq, CAST(n_chars % 11 AS INT) AS mcq FROM documents")
+def section_counts(spark, d):
+    n = F.col("n_chars")
+    said = F.concat(F.lit("[cq: "), calc.to_bengali_digits(n % 7), F.lit(", mcq="), (n % 11).cast("string"), F.lit("; cq x "), (n % 3).cast("string"), F.lit("]"))
+    return table(spark, d, "documents").select("doc_id", text.sections(said).alias("s")).select("doc_id", F.col("s")["cq"].alias("cq"), F.col("s")["mcq"].alias("mcq"))
+
+
+@query("""WITH g AS (SELECT CAST(floor(abs(o_totalprice) + 0.5) AS BIGINT) AS v, o_orderkey FROM orders)
+SELECT o_orderkey, translate(CASE WHEN v < 1000 THEN CAST(v AS VARCHAR) WHEN v < 100000 THEN CAST(v // 1000 AS VARCHAR) || ',' || printf('%03d', v % 1000) WHEN v < 10000000 THEN CAST(v // 100000 AS VARCHAR) || ',' || printf('%02d', v // 1000 % 100) || ',' || printf('%03d', v % 1000) END, '0123456789', '০১২৩৪৫৬৭৮৯') AS money FROM g""")
+def money_format(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", calc.money(F.abs("o_totalprice")).alias("money"))
+
+
+@query("""WITH r AS (SELECT o_custkey AS doc, o_orderkey, o_orderpriority, CAST(floor(o_totalprice) AS BIGINT) AS v, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS seen FROM orders)
+SELECT doc, CAST(coalesce(sum(v) FILTER (seen = 0), 0) AS DOUBLE) AS earnings, CAST(coalesce(sum(v) FILTER (seen > 0), 0) AS DOUBLE) AS deductions, earnings - deductions AS net FROM r GROUP BY doc""")
+def salary_totals(spark, d):
+    """An order is a line of its customer's slip; from the first finished one on they are deductions."""
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("doc"), (2 * F.col("o_orderkey")).alias("pos"), "o_orderstatus", F.concat(F.lit("দফা: "), calc.to_bengali_digits(F.floor("o_totalprice")), F.lit(" টাকা")).alias("line"))
+    heads = o.filter("o_orderstatus = 'F'").select("doc", (F.col("pos") - 1).alias("pos"), F.lit("কর্তন:").alias("line"))
+    return relational.salary(o.select("doc", "pos", "line").unionByName(heads))
+
+
+@query("SELECT count(*) FILTER (k % 3 = 0) AS ready, count(*) FILTER (k % 3 = 1) AS cooling, count(*) FILTER (k % 3 = 2) AS invalid, CAST(sum(n) AS BIGINT) AS requests FROM (SELECT user_id AS k, count(*) AS n FROM events GROUP BY user_id)")
+def key_status_counts(spark, d):
+    s = table(spark, d, "events").groupBy(F.col("user_id").alias("k")).agg(F.count("*").alias("requests"))
+    return relational.key_status(s.withColumn("shown", F.when(F.col("k") % 3 == 0, "READY").when(F.col("k") % 3 == 1, "COOLING").otherwise("INVALID")))
+
+
+@query("""WITH k AS (SELECT DISTINCT user_id AS key, user_id % 4 = 0 AS cooling FROM events WHERE user_id % 5 <> 0), p AS (SELECT *, row_number() OVER (PARTITION BY cooling ORDER BY key) - 1 AS place, count(*) FILTER (NOT cooling) OVER () AS active FROM k)
+SELECT key, cooling, CASE WHEN cooling THEN place ELSE (place - 7 % active + active) % active END AS turn FROM p""")
+def key_rotation(spark, d):
+    keys = table(spark, d, "events").select(F.col("user_id").alias("key")).distinct().select("key", F.col("key").alias("idx"), (F.col("key") % 5 == 0).alias("invalid"), (F.col("key") % 4 == 0).alias("cooling"))
+    return ledger.rotation(keys, 7, True).select("key", "cooling", F.col("turn").cast("long").alias("turn"))
+
+
+@query("SELECT event_id FROM events WHERE event_type <> 'view' AND event_id NOT IN (SELECT event_id FROM events WHERE value > 80)")
+def read_once_store(spark, d):
+    e = table(spark, d, "events")
+    return relational.consumed(e.filter("event_type <> 'view'"), e.filter("value > 80"), "event_id").select("event_id")
+
+
+@query("""WITH b AS (SELECT event_id AS id, event_type AS text, user_id AS style FROM events WHERE event_id % 3 <> 0), a AS (SELECT event_id AS id, CASE WHEN event_id % 10 = 0 THEN 'x' ELSE event_type END AS text, CASE WHEN event_id % 4 = 0 THEN 0 ELSE user_id END AS style FROM events WHERE event_id % 5 <> 0),
+j AS (SELECT b.id AS was, a.id AS now, b.text = a.text AS t, b.style = a.style AS s FROM b FULL JOIN a ON a.id = b.id)
+SELECT round(count(*) FILTER (was IS NOT NULL AND now IS NOT NULL) / count(was), 9) AS kept, round(count(*) FILTER (t) / count(*) FILTER (was IS NOT NULL AND now IS NOT NULL), 9) AS same_text, round(count(*) FILTER (s) / count(*) FILTER (was IS NOT NULL AND now IS NOT NULL), 9) AS same_style, count(*) FILTER (was IS NULL) AS added FROM j""")
+def edit_scores(spark, d):
+    e = table(spark, d, "events")
+    before = e.filter("event_id % 3 <> 0").select(F.col("event_id").alias("id"), F.col("event_type").alias("text"), F.col("user_id").alias("style"))
+    after = e.filter("event_id % 5 <> 0").select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 10 == 0, "x").otherwise(F.col("event_type")).alias("text"), F.when(F.col("event_id") % 4 == 0, 0).otherwise(F.col("user_id")).alias("style"))
+    s = relational.edit_score(before, after)
+    return s.select(*(F.round(c, 9).alias(c) for c in ("kept", "same_text", "same_style")), "added")
+
+
+@query("""SELECT event_id, CASE WHEN s IN (401, 403) THEN 'unauthorized' WHEN s = 429 AND b = 1 THEN 'daily_cap' WHEN s = 429 THEN 'all_cooling' WHEN b = 2 THEN 'location' WHEN b = 3 THEN 'fatal_input' WHEN s = 0 OR s >= 500 THEN 'server_error' ELSE 'unknown' END AS kind,
+CASE WHEN s IN (401, 403) THEN 0 WHEN s = 429 AND b = 1 THEN 50 WHEN s = 429 THEN 0 WHEN b = 2 THEN 90 WHEN b = 3 THEN 0 WHEN (s = 0 OR s >= 500) AND b = 1 THEN 50 ELSE 60 END AS wait_sec
+FROM (SELECT event_id, [0, 401, 403, 404, 429, 503][event_id % 6 + 1] AS s, event_id % 4 AS b FROM events)""")
+def proxy_failures(spark, d):
+    bodies = F.array(F.lit("{}"), F.lit('{"limit":"ip_daily","retryInSec":50}'), F.lit('{"attempts":[{"class":"SERVER"},{"class":"LOCATION"}]}'), F.lit('{"attempts":[{"class":"FATAL_INPUT"}]}'))
+    e = table(spark, d, "events").select("event_id", F.get(F.array(*(F.lit(x) for x in (0, 401, 403, 404, 429, 503))), (F.col("event_id") % 6).cast("int")).alias("s"), F.get(bodies, (F.col("event_id") % 4).cast("int")).alias("b"))
+    return e.select("event_id", relational.failure(F.col("s"), F.col("b")).alias("f")).select("event_id", "f.kind", F.col("f.wait_sec").cast("int").alias("wait_sec"))
+
+
+@query("SELECT l_orderkey AS doc, CASE WHEN l >= 3 AND r >= 3 AND l + r >= 6 AND l + r > 2 * w THEN 2 ELSE 1 END AS columns FROM (SELECT l_orderkey, count(*) FILTER (l_quantity < 20) AS l, count(*) FILTER (l_quantity BETWEEN 20 AND 40) AS r, count(*) FILTER (l_quantity > 40) AS w FROM lineitem GROUP BY l_orderkey)")
+def page_columns(spark, d):
+    q = F.col("l_quantity")
+    box = F.when(q < 20, F.array(*(F.lit(x) for x in (0.0, 50.0, 10.0, 480.0)))).when(q <= 40, F.array(*(F.lit(x) for x in (0.0, 520.0, 10.0, 950.0)))).otherwise(F.array(*(F.lit(x) for x in (0.0, 50.0, 10.0, 950.0))))
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc"), F.lit(1).alias("page"), F.lit("paragraph").alias("role"), box.alias("box"))
+    return documents.columns_of(li).select("doc", "columns")
+
+
+@query("SELECT o_orderkey, CASE WHEN m <= 240 / 4.0 - 6 THEN 4 WHEN m <= 240 / 2.0 - 6 THEN 2 ELSE 1 END AS columns FROM (SELECT o_orderkey, greatest(o_orderkey % 97, o_orderkey % 131) AS m FROM orders)")
+def option_columns(spark, d):
+    w = F.array((F.col("o_orderkey") % 97).cast("double"), (F.col("o_orderkey") % 131).cast("double"))
+    return table(spark, d, "orders").select("o_orderkey", text.options_grid(w, F.lit(240.0)).alias("columns"))
+
+
+@query("""SELECT event_id, CASE WHEN p > 0 THEN floor(p / 1.15 * 2 + 0.5) / 2 ELSE floor(i / 0.98 * 2 + 0.5) / 2 END AS raw, CAST(least(48, greatest(6, raw)) AS DOUBLE) AS points FROM (SELECT event_id, CAST(value AS DOUBLE) AS p, CAST(event_id % 60 AS DOUBLE) AS i FROM (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN value ELSE 0 END AS value FROM events))""".replace("SELECT event_id, CASE WHEN p", "SELECT event_id, CAST(least(48, greatest(6, raw)) AS DOUBLE) AS points FROM (SELECT event_id, CASE WHEN p").replace(" AS raw, CAST(least(48, greatest(6, raw)) AS DOUBLE) AS points FROM (SELECT event_id, CAST(value", " AS raw FROM (SELECT event_id, CAST(value").replace("1.15 ", "1.15::DOUBLE ").replace("0.98 ", "0.98::DOUBLE ") + ")")
+def font_estimate(spark, d):
+    e = table(spark, d, "events").withColumn("p", F.when(F.col("event_id") % 2 == 0, F.col("value")).otherwise(0.0))
+    return e.select("event_id", calc.font_points((F.col("event_id") % 60).cast("double"), F.col("p")).alias("points"))
+
+
+@query("SELECT conv_id, turn, role || ': ' || text AS line FROM conversations")
+def nested_rewrite(spark, d):
+    """Turns gathered into an array of structs, one field rewritten in place, and flattened again."""
+    c = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("xs"))
+    out = c.select("conv_id", F.explode(F.transform("xs", lambda x: x.withField("text", F.concat(x["role"], F.lit(": "), x["text"])))).alias("x"))
+    return out.select("conv_id", "x.turn", F.col("x.text").alias("line"))
