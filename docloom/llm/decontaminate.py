@@ -24,8 +24,8 @@ from pyspark.sql import types as T
 from docloom.llm import scan, work
 
 WIDTH = 13
-#: Windows in one broadcast: about 100 bytes each.
-BLOCK_WINDOWS = 500_000
+#: Windows in one broadcast: about 300 bytes each in a worker.
+BLOCK_WINDOWS = 200_000
 #: Bits of the first filter.
 FILTER_BITS = 22
 
@@ -43,15 +43,15 @@ class Index:
     """Hash set of windows by their length in words; each hash leads to (window, items)."""
 
     def __init__(self, items: list[tuple[str, list[bytes]]]) -> None:
-        found: dict[int, dict[tuple[bytes, ...], set[str]]] = defaultdict(lambda: defaultdict(set))
+        found: dict[int, dict[bytes, set[str]]] = defaultdict(lambda: defaultdict(set))
         for item, ws in items:
             width = min(WIDTH, len(ws))
             for i in range(len(ws) - width + 1 if width else 0):
-                found[width][tuple(ws[i : i + width])].add(item)
+                found[width][b" ".join(ws[i : i + width])].add(item)
         self.by_width: dict[int, tuple[np.ndarray, np.ndarray, list]] = {}
         for width, entries in found.items():
             keys = list(entries)
-            flat = [w for k in keys for w in k]
+            flat = [w for k in keys for w in k.split(b" ")]
             ends = np.cumsum([len(w) for w in flat])
             buf = np.frombuffer(b"".join(flat), np.uint8)
             hashes = scan.byte_prefix(buf).ranges(np.concatenate([[0], ends[:-1]]), ends)
@@ -59,9 +59,9 @@ class Index:
             order = np.argsort(rolled, kind="stable")
             present = np.zeros(1 << FILTER_BITS, bool)
             present[rolled >> np.uint64(64 - FILTER_BITS)] = True
-            self.by_width[width] = (present, rolled[order], [(keys[i], sorted(entries[keys[i]])) for i in order])
+            self.by_width[width] = (present, rolled[order], [(keys[i], tuple(sorted(entries[keys[i]]))) for i in order])
 
-    def hits(self, block: scan.Block) -> tuple[scan.Words, list[tuple[int, int, list[str]]]]:
+    def hits(self, block: scan.Block) -> tuple[scan.Words, list[tuple[int, int, tuple[str, ...]]]]:
         """The block's words and, for each verified occurrence, (first word, width, items)."""
         buf = scan.LOWER[block.buf]
         w = scan.words(buf, block.offsets, scan.ALNUM)
@@ -74,7 +74,7 @@ class Index:
             at, rolled = at[maybe], rolled[maybe]
             lo, hi = np.searchsorted(known, rolled, "left"), np.searchsorted(known, rolled, "right")
             for i, a, b in zip(at[lo < hi], lo[lo < hi], hi[lo < hi], strict=True):
-                mine = tuple(buf[w.starts[j] : w.ends[j]].tobytes() for j in range(i, i + width))
+                mine = b" ".join(buf[w.starts[j] : w.ends[j]].tobytes() for j in range(i, i + width))
                 out += [(int(i), width, entries[e][1]) for e in range(a, b) if entries[e][0] == mine]
         return w, out
 
