@@ -37,7 +37,7 @@ BINS, ROWS = 128, 4
 MEMBERS = 256
 #: Documents of a bucket in a block, and shingles in a slice of the matrix of two blocks.
 SIDE, COLUMNS = 512, 4096
-BLOCK = 6 << 20
+BLOCK = 3 << 20
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 SEEDS = scan.mix(np.arange(1, 2 * BINS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
