@@ -9,8 +9,9 @@ response; the others are revisits that refer to it and carry no payload. Bundles
 executors into a folder that all share (a path or any URI that pyarrow's file systems open) under names that
 hold the task attempt, and the frame of written bundles lists those of committed attempts only.
 
-Defined results: a null payload or URL is empty; a null id can't name a record and raises; repeated rows with
-the same id are records of the same name; an empty table writes no bundle; further columns are ignored.
+Defined results: a null payload or URL is empty; a null id counts as the largest and is null again when read;
+repeated rows with the same id are records of the same name, and of equal payloads of one id each is a response;
+an empty table writes no bundle; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from pyspark.sql import types as T
 from docloom.llm import work
 
 REVISIT_BYTES = 100
+#: Stands for a null id in an archive.
+NO_ID = (1 << 63) - 1
 #: Uncompressed bytes after which a frame is closed, and compressed bytes after which a bundle is.
 FRAME_BYTES = 256 << 10
 BUNDLE_BYTES = 16 << 20
@@ -146,18 +149,18 @@ def _store(folder: str):
     return fs.FileSystem.from_uri(folder)
 
 
-def roles(pages: DataFrame, id_column: str = "page_id", text_column: str = "html") -> DataFrame:
-    """(id, refers_to): the smallest id with the same payload for revisits, else null. Only digests are shuffled."""
-    p = F.coalesce(F.col(text_column), F.lit("")).cast("binary")
-    keyed = pages.select(F.col(id_column).alias("id"), F.sha2(p, 256).alias("sha"), F.length(p).alias("n")).filter(F.col("n") >= REVISIT_BYTES)
+def roles(rows: DataFrame) -> DataFrame:
+    """(id, sha, refers_to) of the revisits among rows (id, sha, n): only digests are shuffled."""
+    keyed = rows.filter(F.col("n") >= REVISIT_BYTES).select("id", "sha")
     first = keyed.groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("m")).filter("m > 1").drop("m")
-    return keyed.join(first, "sha").filter("id <> first").select("id", F.col("first").alias("refers_to")).distinct()
+    return keyed.join(first, "sha").filter("id <> first").select("id", "sha", F.col("first").alias("refers_to")).distinct()
 
 
 def write(pages: DataFrame, folder: str, id_column: str = "page_id", url_column: str = "url", text_column: str = "html") -> DataFrame:
     """Writes the bundles and returns what was written: (path, records, bytes)."""
-    rows = pages.select(pages[id_column].cast("long").alias("id"), pages[url_column].alias("url"), pages[text_column].alias("html"))
-    rows = rows.join(roles(rows, "id", "html"), "id", "left")
+    payload = F.coalesce(pages[text_column], F.lit("")).cast("binary")
+    rows = pages.select(F.coalesce(pages[id_column].cast("long"), F.lit(NO_ID)).alias("id"), pages[url_column].alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("sha"), F.length(payload).alias("n"))
+    rows = rows.join(roles(rows), ["id", "sha"], "left").select("id", "url", "payload", "sha", "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = _store(folder)
@@ -174,8 +177,7 @@ def write(pages: DataFrame, folder: str, id_column: str = "page_id", url_column:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 for r in batch.slice(lo, 512).to_pylist():
-                    body = (r["html"] or "").encode()
-                    bundle.add(r["id"], record(r["id"], r["url"] or "", body, hashlib.sha256(body).hexdigest(), len(body), r["refers_to"]))
+                    bundle.add(r["id"], record(r["id"], r["url"] or "", r["payload"], r["sha"], len(r["payload"]), r["refers_to"]))
                     if bundle.bytes >= BUNDLE_BYTES:
                         yield put()
                         bundle, count = Bundle(), count + 1
@@ -206,7 +208,7 @@ def read(spark: SparkSession, bundles: DataFrame, payload: bool = False) -> Data
                     if not revisit and hashlib.sha256(body).hexdigest() != sha:
                         raise ValueError(f"{path}: the payload of {page_id} doesn't match its digest")
                     refers = int(r["warc-refers-to"].removeprefix("<urn:page:").rstrip(">")) if revisit else None
-                    row = (page_id, int(r["x-payload-length"]) if revisit else len(body), sha, r["warc-type"], refers)
+                    row = (page_id if page_id != NO_ID else None, int(r["x-payload-length"]) if revisit else len(body), sha, r["warc-type"], refers)
                     done.append((*row, r["warc-target-uri"], body) if payload else row)
                     size += len(body) if payload else 64
                     if size > 8 << 20:

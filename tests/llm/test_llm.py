@@ -146,6 +146,9 @@ def test_archive_round_trip(spark, tmp_path):
         assert all(len(reader.get(i)) == 1 for i, *_ in reader.index)
         assert zstandard.ZstdDecompressor().decompressobj(read_across_frames=True).decompress(data).startswith(b"WARC/1.1")
     assert archives.digest(pages.filter("page_id < 0")).count() == 0
+    odd_pages = spark.createDataFrame([(None, None, body), (4, "u", body), (4, "u", body), (4, "u", body + "x"), (1, "u", body), (2, "u", body + "x"), (None, None, None)], "page_id long, url string, html string")
+    got_ = sorted((str(r.page_id), r.record_type, str(r.refers_to)) for r in archives.digest(odd_pages).collect())
+    assert got_ == sorted([("None", "revisit", "1"), ("4", "revisit", "1"), ("4", "revisit", "1"), ("4", "revisit", "2"), ("1", "response", "None"), ("2", "response", "None"), ("None", "response", "None")])
 
 
 def pages_lit():
