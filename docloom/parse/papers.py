@@ -46,6 +46,8 @@ def options(line: str) -> list[dict]:
     """Labelled options of a line; labels inside maths don't count."""
     masked = re.sub(r"\$[^$]*\$|\\\(.*?\\\)", lambda m: "\0" * len(m[0]), line)
     found = list(OPTION.finditer(masked))
+    if not found:
+        return []
     return [{"label": m[1], "text": line[m.end() : after.start() if after else len(line)].strip()} for m, after in zip(found, [*found[1:], None], strict=True)]
 
 
@@ -81,15 +83,22 @@ def header(lines: list[str]) -> tuple[dict, int]:
 class Paper:
     """Sections and questions of a body, line by line."""
 
-    def __init__(self) -> None:
+    def __init__(self, choice: bool = False) -> None:
         self.sections: list[dict] = []
+        self._choice, self._named = choice, choice
         self._section = {"title": "", "marks": "", "questions": []}
         self._question: dict | None = None
         self._shared, self._stimulus, self._open = "", "", False
 
     def _close_question(self) -> None:
-        if self._question:
-            self._section["questions"].append(self._question)
+        q = self._question
+        if q:
+            parts_ = q["subQuestions"]
+            # four short labels without marks or a stimulus are options, whatever sign follows the label
+            plain = len(parts_) == 4 and not q["options"] and not q["stimulus"] and not q["preContext"] and all(not p["mark"] and not p["isAlternative"] and len(p["text"]) < 60 and not p["text"].endswith(("?", "।")) for p in parts_)
+            if plain and [p["label"] for p in parts_] == list("কখগঘ"):
+                q["options"], q["subQuestions"] = [{"label": p["label"], "text": p["text"]} for p in parts_], []
+            self._section["questions"].append(q)
         self._question = None
 
     def _close_section(self) -> None:
@@ -106,6 +115,7 @@ class Paper:
         if self._section["questions"] and bare(title) == bare(self._section["title"]) != "":
             return
         self._close_section()
+        self._choice = bool(re.search(r"বহুনির্বাচন|নৈর্ব্যক্তিক|\bMCQ\b|multiple[\s-]*choice", title, re.I)) or (self._named and not re.search(r"সৃজনশীল|সংক্ষিপ্ত|creative|short", title, re.I))
         self._section = {"title": title, "marks": tail[1] if tail else "", "questions": []}
 
     def _begin_question(self, number: str, text: str) -> None:
@@ -118,7 +128,7 @@ class Paper:
         self._question = {"num": number, "text": text.strip(), "preContext": self._shared, "stimulus": self._stimulus, "statements": [], "subQuestions": [], "options": []}
         self._shared = self._stimulus = ""
         self._open = False
-        if again and not OPTION.search(text[1:]):
+        if again and not self._choice and not OPTION.search(text[1:]):
             self._question["text"] = ""
             self._part(again[1], again[2])
         elif SHARED.match(text) and not self._question["stimulus"]:
@@ -163,6 +173,10 @@ class Paper:
         short = opts and all(len(o["text"]) < 70 and not MARK.search(" " + o["text"]) for o in opts)
         if statement:
             q["statements"].append(line)
+        elif self._choice and opts and OPTION.match(line):
+            q["options"] += opts
+        elif self._choice and q["options"]:
+            q["options"][-1]["text"] += " " + line
         elif opts and not line[: 1].isspace() and OPTION.match(line) and (len(opts) > 1 or q["options"] or short) and not q["subQuestions"] and (len(opts) > 1 or not parts or q["options"] or ")" in line[:3]):
             q["options"] += opts
         elif parts:
@@ -185,10 +199,11 @@ def paper(text: str) -> dict:
     """Header and sections of an exam paper."""
     try:
         text = re.sub(r"(?im)^\s*\[LAYOUT:[^\]]*\]\s*", "", text.replace("\u09af\u09bc", "\u09df").replace("\r\n", "\n").replace("\r", "\n").replace("\f", "\n"))
-        text = re.sub(r"\A\s*---\n.*?\n---\n", "", text, flags=re.S)
+        front = re.match(r"\A\s*---\n(.*?)\n---\n", text, re.S)
+        text = text[front.end() :] if front else text
         lines = [x.strip() for x in text.split("\n") if x.strip()]
         head, body = header(lines)
-        p = Paper()
+        p = Paper(bool(front and re.search(r"(?im)^\s*(?:doc_type|type|layout)\s*:.*MCQ", front[1])))
         for x in lines[body:]:
             p.line(x)
         return {"error": None, "header": head, "sections": p.done()}

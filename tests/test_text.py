@@ -115,6 +115,14 @@ def test_paper(spark):
     assert got[1]["p"] is None and got[2]["p"]["sections"] == []
 
 
+def test_choice_papers():
+    p = papers.paper("---\ndoc_type: EXAM_MCQ\n---\n১. কোনটি?\nক. এক\nখ. দুই\nদীর্ঘ\nগ. তিন\nঘ. চার\n২. সাধারণ লেখা\nআরও লেখা")
+    a, b = p["sections"][0]["questions"]
+    assert p["error"] is None and [o["text"] for o in a["options"]] == ["এক", "দুই দীর্ঘ", "তিন", "চার"] and b["text"] == "সাধারণ লেখা\nআরও লেখা"
+    q = papers.paper("১. কোনটি সঠিক?\nক. এক\nখ. দুই\nগ. তিন\nঘ. চার")["sections"][0]["questions"][0]
+    assert len(q["options"]) == 4 and not q["subQuestions"]
+
+
 def test_small_parsers():
     assert papers.options("ক) $x)$ খ) y") == [{"label": "ক", "text": "$x)$"}, {"label": "খ", "text": "y"}]
     assert papers.sub_parts("ক. এক ১\tখ. দুই ২") == [{"label": "ক", "text": "এক", "mark": "১"}, {"label": "খ", "text": "দুই", "mark": "২"}]
