@@ -115,12 +115,12 @@ def encode(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
             mine = order[cut[b] : cut[b + 1]]
             if len(mine):
                 dest.append(b)
-                blobs.append(overlap._pack(one[mine], two[mine], counts[mine].astype("<u4")))
-        return overlap._message(dest, [g] * len(dest), blobs)
+                blobs.append(overlap.pack(one[mine], two[mine], counts[mine].astype("<u4")))
+        return overlap.message(dest, [g] * len(dest), blobs)
 
     def count(group: pa.Table) -> pa.Table:
         peers, blobs = group.column("peer").to_pylist(), group.column("blob").to_pylist()
-        got = [overlap._unpack(x, "<u8", "<u8", "<u4") for x in blobs]
+        got = [overlap.unpack(x, "<u8", "<u8", "<u4") for x in blobs]
         one, two, c = (np.concatenate([x[i] for x in got]) for i in range(3))
         order, new = _distinct(one, two)
         heads = np.flatnonzero(new)
@@ -130,15 +130,15 @@ def encode(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
         kind = (one[order][heads] % np.uint64(CLASSES)).astype(np.int64)
         by_class = np.bincount(kind, total, CLASSES).astype(np.int64), np.bincount(kind, total > 0, CLASSES).astype(np.int64)
         cut = np.concatenate([[0], np.cumsum([len(x[0]) for x in got])])
-        out = [overlap._pack(answer[cut[i] : cut[i + 1]]) for i in range(len(peers))]
+        out = [overlap.pack(answer[cut[i] : cut[i + 1]]) for i in range(len(peers))]
         # a message to nobody holds the totals by class
-        return overlap._message([*peers, -1], [group.column("dest")[0].as_py()] * (len(peers) + 1), [*out, overlap._pack(*by_class)])
+        return overlap.message([*peers, -1], [group.column("dest")[0].as_py()] * (len(peers) + 1), [*out, overlap.pack(*by_class)])
 
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, v = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
         for batch in batches:
             for blob in batch.column(0).to_pylist():
-                x, y = overlap._unpack(blob, "<i8", "<i8")
+                x, y = overlap.unpack(blob, "<i8", "<i8")
                 c, v = c + x, v + y
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES, dtype=np.int32)), pa.array(c), pa.array(v)], names=["class", "c", "v"])
 
@@ -152,7 +152,7 @@ def encode(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
         cut = np.searchsorted(bucket[order], np.arange(n + 1))
         counts = np.zeros(len(one), np.int64)
         for b, blob in zip(told.column("peer").to_pylist(), told.column("blob").to_pylist(), strict=True):
-            counts[order[cut[b] : cut[b + 1]]] = overlap._unpack(blob, "<i8")[0]
+            counts[order[cut[b] : cut[b + 1]]] = overlap.unpack(blob, "<i8")[0]
         kind = (one % np.uint64(CLASSES)).astype("<u2")
         logs = np.log10(counts + ADD)
         rows: dict[str, list] = {f.name: [] for f in schema}

@@ -107,29 +107,29 @@ def _anchors(units: Units, group: pa.Table) -> tuple[np.ndarray, np.ndarray, lis
     return short[heads], np.minimum.reduceat(ids, heads) != np.maximum.reduceat(ids, heads), per
 
 
-def _bounds(sorted_keys: np.ndarray, n: int) -> np.ndarray:
+def bounds(sorted_keys: np.ndarray, n: int) -> np.ndarray:
     return np.searchsorted(sorted_keys, np.arange(n + 1))
 
 
-def _message(dest: list, peer: list, blobs: list) -> pa.Table:
+def message(dest: list, peer: list, blobs: list) -> pa.Table:
     return pa.table({"dest": pa.array(dest, pa.int32()), "peer": pa.array(peer, pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
 
 MESSAGE = "dest int, peer int, blob binary"
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
+def pack(*arrays: np.ndarray) -> bytes:
     """Arrays of one message, each behind its length in bytes."""
     parts = [np.ascontiguousarray(a).tobytes() for a in arrays]
     return b"".join(x for p in parts for x in (len(p).to_bytes(8, "little"), p))
 
 
-def _squeeze(*arrays: np.ndarray) -> bytes:
-    """A packed message under Zstandard; ``_unpack`` knows it by its magic number, which no length begins with."""
-    return zstandard.ZstdCompressor(level=1).compress(_pack(*arrays))
+def squeeze(*arrays: np.ndarray) -> bytes:
+    """A packed message under Zstandard; ``unpack`` knows it by its magic number, which no length begins with."""
+    return zstandard.ZstdCompressor(level=1).compress(pack(*arrays))
 
 
-def _unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
+def unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
     if blob[:4] == zstandard.FRAME_HEADER:
         blob = zstandard.ZstdDecompressor().decompress(blob)
     at, out = 0, []
@@ -169,20 +169,20 @@ def remove_repeated(docs: DataFrame, units: Units, kernel: Kernel, finish: Finis
         keys, many, _ = _anchors(units, group)
         bucket = (keys % np.uint64(n)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        cut = _bounds(bucket[order], n)
+        cut = bounds(bucket[order], n)
         dest, blobs = [], []
         for b in range(n):
             mine = order[cut[b] : cut[b + 1]]
             if len(mine):
                 dest.append(b)
-                blobs.append(_pack(_six(keys[mine]), np.packbits(many[mine])))
-        return _message(dest, [g] * len(dest), blobs)
+                blobs.append(pack(_six(keys[mine]), np.packbits(many[mine])))
+        return message(dest, [g] * len(dest), blobs)
 
     def match(group: pa.Table) -> pa.Table:
         b, peers = group.column("dest")[0].as_py(), group.column("peer").to_pylist()
         keys, many, sizes = [], [], []
         for blob in group.column("blob").to_pylist():
-            six, bits = _unpack(blob, "u1", "u1")
+            six, bits = unpack(blob, "u1", "u1")
             k = _eight(six)
             keys.append(k)
             sizes.append(len(k))
@@ -196,20 +196,20 @@ def remove_repeated(docs: DataFrame, units: Units, kernel: Kernel, finish: Finis
             shared |= np.isin(key, key[flag])
         cut = np.concatenate([[0], np.cumsum(sizes)])
         # back to the groups: who asked is now who is told
-        return _message(peers, [b] * len(peers), [_pack(np.packbits(shared[cut[i] : cut[i + 1]])) for i in range(len(peers))])
+        return message(peers, [b] * len(peers), [pack(np.packbits(shared[cut[i] : cut[i + 1]])) for i in range(len(peers))])
 
     def fragments(group: pa.Table, told: pa.Table) -> pa.Table:
         if not group.num_rows or not told.num_rows:
-            return _message([], [], [])
+            return message([], [], [])
         g = group.column("g")[0].as_py()
         keys, _, per = _anchors(units, group)
         bucket = (keys % np.uint64(n)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        cut = _bounds(bucket[order], n)
+        cut = bounds(bucket[order], n)
         shared = np.zeros(len(keys), bool)
         for b, blob in zip(told.column("peer").to_pylist(), told.column("blob").to_pylist(), strict=True):
             mine = order[cut[b] : cut[b + 1]]
-            shared[mine] = np.unpackbits(_unpack(blob, "u1")[0])[: len(mine)].astype(bool)
+            shared[mine] = np.unpackbits(unpack(blob, "u1")[0])[: len(mine)].astype(bool)
         keys = keys[shared]
         texts, lens, shorts, counts, owners, docs_, starts, one, two = ([] for _ in range(9))
         base = 0
@@ -230,7 +230,7 @@ def remove_repeated(docs: DataFrame, units: Units, kernel: Kernel, finish: Finis
                 starts.append(at[hit] - first[d])
             base += b.n
         if not texts:
-            return _message([], [], [])
+            return message([], [], [])
         payload, lens, short, count, owner = (np.concatenate(x) for x in (texts, lens, shorts, counts, owners))
         doc, start, one, two = (np.concatenate(x) for x in (docs_, starts, one, two))
         # equal fragments collapse; the smallest id owns them
@@ -246,24 +246,24 @@ def remove_repeated(docs: DataFrame, units: Units, kernel: Kernel, finish: Finis
         place[by] = np.arange(len(by))
         rep, shard, which = rep[by], shard[by], place[which]
         begin = np.concatenate([[0], np.cumsum(lens)])[:-1]
-        cut, dest, blobs = _bounds(shard, shards), [], []
+        cut, dest, blobs = bounds(shard, shards), [], []
         for s in range(shards):
             lo, hi = cut[s], cut[s + 1]
             if lo < hi:
                 r = rep[lo:hi]
                 dest.append(s)
-                blobs.append(_squeeze(payload[gather(begin[r], lens[r])], lens[r].astype("<u4"), (short[r] % np.uint64(PARTS)).astype("u1"), owner[r].astype("<i8"), count[r].astype("<u4")))
+                blobs.append(squeeze(payload[gather(begin[r], lens[r])], lens[r].astype("<u4"), (short[r] % np.uint64(PARTS)).astype("u1"), owner[r].astype("<i8"), count[r].astype("<u4")))
         # to itself: where each fragment stands
         dest.append(shards + g)
-        blobs.append(_squeeze(doc.astype("<u4"), start.astype("<u4"), which.astype("<u4"), count[rep].astype("<u4"), owner[rep].astype("<i8"), shard.astype("<u4")))
-        return _message(dest, [g] * len(dest), blobs)
+        blobs.append(squeeze(doc.astype("<u4"), start.astype("<u4"), which.astype("<u4"), count[rep].astype("<u4"), owner[rep].astype("<i8"), shard.astype("<u4")))
+        return message(dest, [g] * len(dest), blobs)
 
     def answer(group: pa.Table) -> pa.Table:
         dest = group.column("dest")[0].as_py()
         peers, blobs = group.column("peer").to_pylist(), group.column("blob").to_pylist()
         if dest >= shards:
-            return _message(peers, [-1] * len(peers), blobs)
-        got = [_unpack(x, "u1", "<u4", "u1", "<i8", "<u4") for x in blobs]
+            return message(peers, [-1] * len(peers), blobs)
+        got = [unpack(x, "u1", "<u4", "u1", "<i8", "<u4") for x in blobs]
         payload, lens, part, owner, count = (np.concatenate([x[i] for x in got]) for i in range(5))
         lens, count = lens.astype(np.int64), count.astype(np.int64)
         begin = np.concatenate([[0], np.cumsum(lens)])[:-1]
@@ -291,7 +291,7 @@ def remove_repeated(docs: DataFrame, units: Units, kernel: Kernel, finish: Finis
             spread = smallest[gather(w_at[:-1][which], count[mine])]
             bits[gather(bit_at[:-1][mine], count[mine])] = spread < np.repeat(owner[mine], count[mine])
         cut = np.concatenate([[0], np.cumsum([len(x[1]) for x in got])])
-        return _message(peers, [dest] * len(peers), [_squeeze(np.packbits(bits[bit_at[cut[i]] : bit_at[cut[i + 1]]])) for i in range(len(peers))])
+        return message(peers, [dest] * len(peers), [squeeze(np.packbits(bits[bit_at[cut[i]] : bit_at[cut[i + 1]]])) for i in range(len(peers))])
 
     def put_together(group: pa.Table, told: pa.Table) -> pa.Table:
         rows = _blocks(group)
@@ -299,7 +299,7 @@ def remove_repeated(docs: DataFrame, units: Units, kernel: Kernel, finish: Finis
         marks = [np.zeros(len(values) + 1, np.int32) for _, values, _, _ in parsed]
         if told.num_rows:
             peers, blobs = told.column("peer").to_pylist(), told.column("blob").to_pylist()
-            doc, start, which, count, owner, shard = _unpack(blobs[peers.index(-1)], "<u4", "<u4", "<u4", "<u4", "<i8", "<u4")
+            doc, start, which, count, owner, shard = unpack(blobs[peers.index(-1)], "<u4", "<u4", "<u4", "<u4", "<i8", "<u4")
             count = count.astype(np.int64)
             bits = np.zeros(count.sum(), bool)
             bit_at = np.concatenate([[0], np.cumsum(count)])
@@ -307,7 +307,7 @@ def remove_repeated(docs: DataFrame, units: Units, kernel: Kernel, finish: Finis
             for s, blob in zip(peers, blobs, strict=True):
                 if s >= 0:
                     lo, hi = bit_at[cut[s]], bit_at[cut[s + 1]]
-                    bits[lo:hi] = np.unpackbits(_unpack(blob, "u1")[0])[: hi - lo]
+                    bits[lo:hi] = np.unpackbits(unpack(blob, "u1")[0])[: hi - lo]
             base = 0
             for (b, _, first, _), mark in zip(parsed, marks, strict=True):
                 lo, hi = np.searchsorted(doc, [base, base + b.n])
