@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from docloom.functions import calc, text
 from docloom.operators import documents, ledger, relational, windows
 from docloom.parse import maths, papers, transcode
 from docloom.plans import classify
+from docloom.streaming import limits
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -654,3 +656,36 @@ def nested_rewrite(spark, d):
     c = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("xs"))
     out = c.select("conv_id", F.explode(F.transform("xs", lambda x: x.withField("text", F.concat(x["role"], F.lit(": "), x["text"])))).alias("x"))
     return out.select("conv_id", "x.turn", F.col("x.text").alias("line"))
+
+
+def _event_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The events as a stream of files."""
+    schema = table(spark, d, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+
+
+def _drained(stream: DataFrame, mode: str) -> DataFrame:
+    """All that a stream gives over the files that are there now, as a table of its last results."""
+    name = f"stream_{uuid.uuid4().hex}"
+    run = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return stream.sparkSession.table(name)
+
+
+@query("SELECT user_id, CAST(date_trunc('day', ts) AS TIMESTAMP) AS window_start, count(*) AS n, greatest(count(*) - 3, 0) AS blocked FROM events GROUP BY ALL")
+def daily_cap_stream(spark, d):
+    """The daily cap as a stream: tumbling windows under a watermark, drained over the files at hand."""
+    e = _event_stream(spark, d).select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    return _drained(limits.limited(e, "user_id", "ts", "1 day", 3), "complete").select("user_id", "window_start", "n", "blocked")
+
+
+@query("""WITH e AS (SELECT user_id, event_type <> 'error' AS ok, event_type, event_id, CAST((ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/Los_Angeles' AS DATE) AS day, ts FROM events),
+l AS (SELECT user_id, arg_max(day, (ts, event_id)) AS day, arg_max(event_id, (ts, event_id)) AS last_id FROM e GROUP BY user_id),
+t AS (SELECT *, sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM e)
+SELECT CAST(l.user_id AS VARCHAR) AS key, (SELECT count(*) FROM e WHERE e.user_id = l.user_id AND e.day = l.day) AS requests, (SELECT count(*) FROM e WHERE e.user_id = l.user_id AND e.day = l.day AND ok) AS success,
+(SELECT count(*) FROM e WHERE e.user_id = l.user_id AND e.day = l.day AND NOT ok) AS fail, (SELECT count(*) FROM t WHERE t.user_id = l.user_id AND NOT ok AND run = (SELECT max(run) FROM t t2 WHERE t2.user_id = l.user_id)) AS fail_streak FROM l""")
+def ledger_stream_fold(spark, d):
+    """Keyed state over a stream: counts of the last Pacific day and the streak of server failures at the end."""
+    ts = F.col("ts").cast("timestamp")
+    e = _event_stream(spark, d).select(F.col("user_id").cast("string").alias("key"), calc.pacific_day(ts).cast("string").alias("day"), F.unix_micros(ts).alias("at_ms"), F.col("event_id").cast("int").alias("seq"), (F.col("event_type") != "error").alias("ok"), F.when(F.col("event_type") == "error", "SERVER").alias("cls"), (F.col("value") * 10).cast("long").alias("latency_ms"), F.lit(30000).cast("long").alias("reopen_after_ms"))
+    return _drained(limits.ledger_stream(e), "update").select("key", "requests", "success", "fail", "fail_streak")
