@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -152,18 +154,82 @@ def similarity(left: DataFrame, right: DataFrame) -> DataFrame:
     return out.select("a", "b", ((F.col("common") / F.col("na") + F.col("common") / F.col("nb")) / 2).alias("similarity"))
 
 
-def best_first(candidates: DataFrame, rounds: int = 20) -> DataFrame:
-    """Greedy one-to-one pairs (a, b, similarity), best first and ties by (a, b): rounds of mutual best."""
-    out, left = None, candidates
-    for _ in range(rounds):
-        order = (F.desc("similarity"), "a", "b")
-        tops = left.withColumn("ra", F.row_number().over(Window.partitionBy("a").orderBy(*order))).withColumn("rb", F.row_number().over(Window.partitionBy("b").orderBy(*order))).filter("ra = 1 AND rb = 1").select("a", "b", "similarity")
-        tops = tops.checkpoint() if tops.sparkSession.sparkContext.getCheckpointDir() else tops.cache()
-        if tops.isEmpty():
-            break
-        out = tops if out is None else out.unionByName(tops)
-        left = left.join(tops.select("a"), "a", "left_anti").join(tops.select("b"), "b", "left_anti")
-    return candidates.limit(0) if out is None else out
+def match_candidates(left: DataFrame, right: DataFrame, least: float = 0.6, share: float = 0.25) -> DataFrame:
+    """Pairs (a, b, similarity) of texts (id, page, text) on the same or the next page (a page may be unknown), of like length and likeness."""
+    def side(d: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        facts = d.select("id", F.col("page").alias(f"page_{name}"), F.length("text").alias(f"length_{name}"))
+        grams = bigrams(d, "id", "text")
+        total = grams.groupBy("id").agg(F.sum("n").alias(f"n_{name}"))
+        return grams.join(facts, "id").withColumnRenamed("id", name).withColumnRenamed("n", f"g_{name}"), total.withColumnRenamed("id", name)
+
+    (x, nx), (y, ny) = side(left, "a"), side(right, "b")
+    near = F.coalesce(F.abs(F.col("page_a") - F.col("page_b")) <= 1, F.lit(True))
+    like = F.least("length_a", "length_b") >= share * F.greatest("length_a", "length_b")
+    common = x.join(y, "gram").filter(near & like).groupBy("a", "b").agg(F.sum(F.least("g_a", "g_b")).alias("common"))
+    out = common.join(nx, "a").join(ny, "b").select("a", "b", ((F.col("common") / F.col("n_a") + F.col("common") / F.col("n_b")) / 2).alias("similarity"))
+    return out.filter(F.col("similarity") >= least)
+
+
+def matched_texts(left: DataFrame, right: DataFrame, least: float = 0.6, share: float = 0.25) -> DataFrame:
+    """One-to-one pairs (a, b, similarity) of texts (id, page, text), the most alike first."""
+    return best_first(match_candidates(left, right, least, share))
+
+
+#: Candidates that are matched on the driver: what many short rounds would be left for.
+FEW = 100_000
+
+
+def _greedy(rows: list) -> list:
+    """Greedy pairs of (a, b, similarity), one by one; as in Spark, NaN is above and null below every number."""
+    def key(r) -> tuple:
+        s = r[2]
+        return (2, 0.0, r[0], r[1]) if s is None else (0, 0.0, r[0], r[1]) if s != s else (1, -s, r[0], r[1])
+
+    out, a, b = [], set(), set()
+    for r in sorted(rows, key=key):
+        if r[0] not in a and r[1] not in b:
+            a.add(r[0])
+            b.add(r[1])
+            out.append(r)
+    return out
+
+
+def _round(left: DataFrame) -> DataFrame:
+    """Pairs that greedy matching takes whatever the others do: mutual bests, and groups in which every a ties with every b, k-th to k-th."""
+    order = (F.desc("similarity"), "a", "b")
+    by_a, by_b = Window.partitionBy("a"), Window.partitionBy("b")
+    e = left.withColumn("ra", F.row_number().over(by_a.orderBy(*order))).withColumn("rb", F.row_number().over(by_b.orderBy(*order)))
+    e = e.withColumn("top_a", F.col("similarity").eqNullSafe(F.max("similarity").over(by_a))).withColumn("top_b", F.col("similarity").eqNullSafe(F.max("similarity").over(by_b)))
+    e = e.withColumn("first", F.min(F.when(F.col("top_a"), F.col("b"))).over(by_a)).withColumn("closed_a", F.bool_and(~F.col("top_a") | F.col("top_b")).over(by_a))
+    mine = F.when(F.col("top_b"), F.col("first"))
+    e = e.withColumn("closed", F.col("closed_a") & F.bool_and(~F.col("top_b") | F.col("top_a")).over(by_b) & (F.min(mine).over(by_b) == F.max(mine).over(by_b))).withColumn("n", F.count_if("top_b").over(by_b))
+    tops = e.filter("top_a AND top_b")
+    # a closed group, named by the first b of all its a, is whole if each b has as many a as that one
+    whole = tops.groupBy("first").agg(F.min("a").alias("least"), F.bool_and("closed").alias("ok"), F.min("n").alias("lo"), F.max("n").alias("hi")).filter("ok AND lo = hi").select("first", "least")
+    grouped = tops.join(whole, "first")
+    k = lambda c: F.row_number().over(Window.partitionBy("first").orderBy(c))
+    sides = grouped.filter("b = first").select("first", "a", "similarity", k("a").alias("k")).join(grouped.filter("a = least").select("first", "b", k("b").alias("k")), ["first", "k"])
+    rest = tops.filter("ra = 1 AND rb = 1").join(whole, "first", "left_anti")
+    return sides.select("a", "b", "similarity").unionByName(rest.select("a", "b", "similarity"))
+
+
+def best_first(candidates: DataFrame) -> DataFrame:
+    """Greedy one-to-one pairs (a, b, similarity), best first and ties by (a, b); candidates without an a or b pair with none.
+
+    Rounds go on until no candidate is left; each takes one pair at least. The last ``FEW`` candidates are matched on the driver.
+    """
+    spark = candidates.sparkSession
+    held = lambda d: d.checkpoint() if spark.sparkContext.getCheckpointDir() else d.localCheckpoint()
+    left = held(candidates.filter("a IS NOT NULL AND b IS NOT NULL").groupBy("a", "b").agg(F.max("similarity").alias("similarity")))
+    schema, parts = left.schema, []
+    while (n := left.count()) > FEW:
+        tops = held(_round(left))
+        parts.append(tops)
+        if len(parts) == 20:
+            parts = [held(reduce(DataFrame.unionByName, parts))]
+        left = held(left.join(tops.select("a"), "a", "left_anti").join(tops.select("b"), "b", "left_anti").select("a", "b", "similarity"))
+    parts.append(spark.createDataFrame(_greedy(left.collect()) if n else [], schema))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def near_pairs(left: DataFrame, right: DataFrame, key: str, tolerance: float) -> DataFrame:

@@ -38,6 +38,34 @@ def test_matching(spark):
     assert [r.f for r in fit.select(relational.table_fit(F.col("h"), F.col("c"), F.col("r")).alias("f")).collect()] == [2, 1, 0]
 
 
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_best_first_leaves_nothing(spark, monkeypatch, few):
+    monkeypatch.setattr(relational, "FEW", few)
+    rng = np.random.default_rng(5)
+    # 30 equal texts on each side; a chain of falling similarity; ties that are no whole group; odd values
+    rows = [(a, b, 0.9) for a in range(30) for b in range(100, 130)]
+    chain = [(200 + (i + 1) // 2, 300 + i // 2, 0.8 - i / 1000) for i in range(0 if few == 0 else 99)]
+    ties = [(400 + int(a), 500 + int(b), float(s)) for a, b, s in zip(rng.integers(0, 15, 60), rng.integers(0, 15, 60), rng.integers(1, 4, 60) / 4, strict=True)]
+    odd = [(600, 700, None), (601, 700, float("nan")), (None, 701, 1.0), (602, None, 1.0), (0, 100, 0.5)]
+    every = rows + chain + ties + odd
+    used_a, used_b, want = set(), set(), []
+    for a, b, s in sorted((r for r in every if r[0] is not None and r[1] is not None), key=lambda r: (r[2] is None, -9 if r[2] != r[2] else -(r[2] or 0), r[0], r[1])):
+        if a not in used_a and b not in used_b:
+            used_a.add(a)
+            used_b.add(b)
+            want.append((a, b))
+    cand = spark.createDataFrame(every, "a int, b int, similarity double")
+    got = sorted((r.a, r.b) for r in relational.best_first(cand).collect())
+    assert got == sorted(want) and sum(a < 30 for a, _ in got) == 30
+    assert relational.best_first(cand.limit(0)).collect() == []
+
+
+def test_matched_texts_keeps_its_limits(spark):
+    left = spark.createDataFrame([(1, 1, "the same paragraph"), (2, 1, "the same paragraph"), (3, 5, "alone on its page"), (4, 2, "ab"), (5, None, "without a page")], "id int, page int, text string")
+    right = spark.createDataFrame([(1, 2, "the same paragraph"), (2, 1, "the same paragraph"), (3, 7, "alone on its page"), (4, 2, "abababababab"), (5, 9, "without a page"), (6, 1, "quite other words")], "id int, page int, text string")
+    assert sorted((r.a, r.b) for r in relational.matched_texts(left, right).collect()) == [(1, 1), (2, 2), (5, 5)]
+
+
 def test_salary_and_rules(spark):
     slip = ["মূল বেতন: ১৬,০০০", "ভাতা: ৪,০০০ টাকা", "মোট আয়: ২০,০০০", "কর্তন:", "তহবিল: ১,৬০০"]
     df = spark.createDataFrame([(1, i, x) for i, x in enumerate(slip)], "doc int, pos int, line string")
