@@ -6,7 +6,8 @@ words, spans and items are reported. ``BLOCK_WINDOWS`` bounds what is broadcast:
 taken in blocks of that many windows, one scan of the documents each, and the spans are united.
 
 Defined results: null texts have no words; an item without words has no window; a repeated item counts by
-each of its ids; ties need no rule; empty tables give no hits; further columns are ignored or passed on.
+each of its ids; passages of items without an id cover words like any others, and all those items count as one
+item that has no place in the hash of ids (a null at the end of ``items``); ties need no rule; empty tables give no hits; further columns are ignored or passed on.
 """
 
 from __future__ import annotations
@@ -32,6 +33,11 @@ FILTER_BITS = 22
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
 
+def in_order(items: set[str | None]) -> list[str | None]:
+    """Item ids in order, a missing one last."""
+    return sorted(items, key=lambda x: (x is None, x or ""))
+
+
 def normal_words(text: str | None) -> list[bytes]:
     """Words of one text as the kernel finds them; the plain definition, for the small side."""
     buf = scan.LOWER[np.frombuffer((text or "").encode(), np.uint8)]
@@ -42,8 +48,8 @@ def normal_words(text: str | None) -> list[bytes]:
 class Index:
     """Hash set of windows by their length in words; each hash leads to (window, items)."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]]) -> None:
-        found: dict[int, dict[bytes, set[str]]] = defaultdict(lambda: defaultdict(set))
+    def __init__(self, items: list[tuple[str | None, list[bytes]]]) -> None:
+        found: dict[int, dict[bytes, set[str | None]]] = defaultdict(lambda: defaultdict(set))
         for item, ws in items:
             width = min(WIDTH, len(ws))
             for i in range(len(ws) - width + 1 if width else 0):
@@ -59,9 +65,9 @@ class Index:
             order = np.argsort(rolled, kind="stable")
             present = np.zeros(1 << FILTER_BITS, bool)
             present[rolled >> np.uint64(64 - FILTER_BITS)] = True
-            self.by_width[width] = (present, rolled[order], [(keys[i], tuple(sorted(entries[keys[i]]))) for i in order])
+            self.by_width[width] = (present, rolled[order], [(keys[i], tuple(in_order(entries[keys[i]]))) for i in order])
 
-    def hits(self, block: scan.Block) -> tuple[scan.Words, list[tuple[int, int, tuple[str, ...]]]]:
+    def hits(self, block: scan.Block) -> tuple[scan.Words, list[tuple[int, int, tuple[str | None, ...]]]]:
         """The block's words and, for each verified occurrence, (first word, width, items)."""
         buf = scan.LOWER[block.buf]
         w = scan.words(buf, block.offsets, scan.ALNUM)
@@ -81,11 +87,11 @@ class Index:
 
 def _blocks_of(benchmark: DataFrame, item_column: str, text_column: str) -> Iterator[Index]:
     """The benchmark as indexes of at most BLOCK_WINDOWS windows, read row by row."""
-    held: list[tuple[str, list[bytes]]] = []
+    held: list[tuple[str | None, list[bytes]]] = []
     size = 0
     for item, text in benchmark.select(F.col(item_column).cast("string"), text_column).toLocalIterator():
         ws = normal_words(text)
-        if not ws or item is None:
+        if not ws:
             continue
         # a long item is cut where windows still overlap
         for lo in range(0, max(1, len(ws) - WIDTH + 1), BLOCK_WINDOWS):
@@ -132,7 +138,7 @@ def annotate(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", i
                         items[d].update(old["items"])
                         marks[d] += [(s["start"], s["end"]) for s in old["spans"]]
                     fields.pop(k)
-                new = [{"n_words": n, "spans": [{"start": x, "end": y} for x, y in united(marks[d])] if d in marks else [], "items": sorted(items[d]) if d in items else []} for d, n in enumerate(w.counts.tolist())]
+                new = [{"n_words": n, "spans": [{"start": x, "end": y} for x, y in united(marks[d])] if d in marks else [], "items": in_order(items[d]) if d in items else []} for d, n in enumerate(w.counts.tolist())]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(new, arrow)], schema=pa.schema([*fields, pa.field(name, arrow)]))
 
         out = out.mapInArrow(run, schema)
@@ -209,7 +215,7 @@ def brute(docs: list[tuple[int, str | None]], items: list[tuple[object, str | No
         ws = split(t)
         k = min(WIDTH, len(ws))
         for i in range(len(ws) - k + 1 if k else 0):
-            wins[tuple(ws[i : i + k])].add(str(item))
+            wins[tuple(ws[i : i + k])].add(None if item is None else str(item))
     out = []
     for doc, t in docs:
         ws, hit, names = split(t), set(), set()
@@ -218,5 +224,5 @@ def brute(docs: list[tuple[int, str | None]], items: list[tuple[object, str | No
                 if found := wins.get(tuple(ws[i : i + k])):
                     hit.update(range(i, i + k))
                     names |= found
-        out.append((doc, len(ws), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(ws)))
+        out.append((doc, len(ws), len(hit), len(names), hashlib.sha256(",".join(sorted(names - {None})).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(ws)))
     return out

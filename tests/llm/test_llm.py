@@ -397,6 +397,24 @@ def test_decontamination(spark, monkeypatch):
     assert cut[4] == "a " and cut[5] is None and cut[3] == rows[2][1] and set(cut) == {d for d, _ in rows}
 
 
+def test_decontamination_by_items_without_an_id(spark, tmp_path, monkeypatch):
+    items, _ = bench_of(spark)
+    p = [f"p{i}" for i in range(16)]
+    bench = spark.createDataFrame([*items, (None, " ".join(p)), (None, "odd words"), (None, None)], "item_id string, text string")
+    docs = docs_of(spark, [*contaminated_docs(), (20, " ".join(p)), (21, "a short item, and odd words"), (22, "x " * 400 + " ".join(p))], extra=False)
+    want = sorted(decontaminate.brute([(r.doc_id, r.text) for r in docs.collect()], [tuple(r) for r in bench.collect()]))
+    got = {r[0]: r for r in want}
+    assert got[20][2:4] == (16, 1) and got[20][4] == hashlib.sha256(b"").hexdigest() and got[20][5] and got[21][2:4] == (4, 2) and not got[22][5]
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    monkeypatch.setattr(oracle, "TABLES", ["documents", "benchmark"])
+    assert (lambda pair: pair[0] == pair[1] and len(pair[0]) == len(want))(oracle.compare(spark, "op10_decontamination", str(tmp_path), queries.queries(), SQL))
+    assert sorted(map(tuple, decontaminate.digest(docs, bench).collect())) == want
+    monkeypatch.setattr(decontaminate, "BLOCK_WINDOWS", 5)
+    assert sorted(map(tuple, decontaminate.digest(docs, bench).collect())) == want
+    assert 20 not in {r.doc_id for r in decontaminate.apply(docs, bench).collect()}
+
+
 def test_pipeline(spark, sf):
     """Each stage on what the one before has kept, against its plain version."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
