@@ -289,12 +289,36 @@ def consumed(rows: DataFrame, taken: DataFrame, key: str) -> DataFrame:
     return rows.join(taken.select(key).distinct(), key, "left_anti")
 
 
+#: Rows of one name in a piece, on average: a hot name is numbered piece by piece.
+PIECE = 10_000
+
+
+def _place(cuts: Column, x: Column) -> Column:
+    """How many of the sorted cuts are at most x, by halving; 0 without cuts or value."""
+    def step(s: Column, _: Column) -> Column:
+        mid = ((s["lo"] + s["hi"]) / 2).cast("int")
+        up = F.coalesce(F.get(cuts, mid) <= x, F.lit(False)) & (s["lo"] < s["hi"])
+        return F.struct(F.when(up, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(up | (s["lo"] >= s["hi"]), s["hi"]).otherwise(mid).alias("hi"))
+
+    size = F.size(cuts)
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(size + 1)).cast("int"))
+    return F.when(cuts.isNull(), 0).otherwise(F.aggregate(steps, F.struct(F.lit(0).alias("lo"), size.alias("hi")), step, lambda s: s["lo"]))
+
+
 def unique_names(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """New rows (id, name) with " (n)" behind names that are taken, by earlier rows too."""
-    every = existing.select(F.col("name"), F.lit(0).alias("new"), F.col("id")).unionByName(new.select("name", F.lit(1).alias("new"), "id"))
-    w = Window.partitionBy("name").orderBy("new", "id")
-    n = F.row_number().over(w)
-    return every.withColumn("n", n).filter("new = 1").select("id", F.when(F.col("n") > 1, F.concat("name", F.lit(" ("), F.col("n").cast("string"), F.lit(")"))).otherwise(F.col("name")).alias("name"))
+    """New rows (id, name) with " (n)" behind names that are taken, by earlier rows too.
+
+    A name's rows are cut at ids that a hash picks and numbered by pieces, so no task holds all rows of a hot name.
+    """
+    new = new.select("id", "name")
+    cuts = new.filter(F.pmod(F.xxhash64("id"), F.lit(PIECE)) == 0).groupBy("name").agg(F.sort_array(F.collect_set("id")).alias("cuts"))
+    rows = new.join(F.broadcast(cuts), "name", "left").select("id", "name", _place(F.col("cuts"), F.col("id")).alias("piece"))
+    before = Window.partitionBy("name").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    taken = existing.groupBy("name").agg(F.count("*").alias("taken"))
+    offsets = rows.groupBy("name", "piece").agg(F.count("*").alias("rows")).join(taken, "name", "left").select("name", "piece", (F.coalesce("taken", F.lit(0)) + F.coalesce(F.sum("rows").over(before), F.lit(0))).alias("offset"))
+    numbered = rows.withColumn("k", F.row_number().over(Window.partitionBy("name", "piece").orderBy("id"))).join(offsets, ["name", "piece"], "left")
+    n = F.col("k") + F.col("offset")
+    return numbered.select("id", F.when(n > 1, F.concat("name", F.lit(" ("), n.cast("string"), F.lit(")"))).otherwise(F.col("name")).alias("name"))
 
 
 # --- aggregates and measures -----------------------------------------------------------------------------

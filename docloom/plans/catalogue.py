@@ -437,6 +437,14 @@ def name_collisions(spark, d):
     return relational.unique_names(old, g)
 
 
+@query("""SELECT event_id AS id, event_type || CASE WHEN k + x > 1 THEN ' (' || (k + x) || ')' ELSE '' END AS name FROM (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k, CASE WHEN event_type <> 'view' THEN 1 ELSE 0 END AS x FROM events)""")
+def event_names(spark, d):
+    """All events, each with a name of its own."""
+    e = table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("name"))
+    old = e.filter("name <> 'view'").select("name").distinct().withColumn("id", F.lit(-1).cast("long"))
+    return relational.unique_names(old, e)
+
+
 @query("""SELECT event_id, CASE WHEN s = 429 AND b = 1 THEN 'RPD' WHEN s = 429 THEN 'RPM' WHEN s = 404 THEN 'UNKNOWN' WHEN s = 403 OR b = 2 THEN 'INVALID' WHEN s = 400 THEN 'FATAL_INPUT' WHEN s = 0 OR s >= 500 THEN 'SERVER' ELSE 'UNKNOWN' END AS class,
 CASE WHEN s = 429 AND b = 1 THEN 3600000 WHEN s = 429 AND b = 3 THEN 34000 WHEN s = 429 OR s = 404 THEN 60000 WHEN s = 403 OR b = 2 THEN NULL WHEN s = 400 THEN 0 WHEN s = 0 OR s >= 500 THEN 60000 ELSE 60000 END AS reopen_after_ms
 FROM (SELECT event_id, [0, 400, 403, 404, 429, 503, 302][event_id % 7 + 1] AS s, event_id % 4 AS b FROM events)""")

@@ -1,6 +1,7 @@
 """Windows, matching, rasters, nested values, office files and streams."""
 
 import io
+import re
 import struct
 import zipfile
 
@@ -66,6 +67,22 @@ def test_matched_texts_keeps_its_limits(spark):
     assert sorted((r.a, r.b) for r in relational.matched_texts(left, right).collect()) == [(1, 1), (2, 2), (5, 5)]
 
 
+def test_unique_names_of_a_hot_name(spark, monkeypatch):
+    monkeypatch.setattr(relational, "PIECE", 7)
+    new = [(i * 37 % 1009, "hot" if i % 5 else f"n{i % 30}") for i in range(1000)] + [(2000, None)]
+    old = spark.createDataFrame([(1, "hot"), (2, "hot"), (3, "n0"), (4, "gone")], "id long, name string")
+    seen, want = {"hot": 2, "n0": 1, "gone": 1}, []
+    for i, name in sorted(new):
+        seen[name] = seen.get(name, 0) + 1
+        want.append((i, f"{name} ({seen[name]})" if name and seen[name] > 1 else name))
+    for kind in ("long", "string"):
+        df = spark.createDataFrame(new, "id long, name string").withColumn("id", F.lpad(F.col("id").cast("string"), 4, "0").cast(kind))
+        got = relational.unique_names(old.withColumn("id", F.col("id").cast(kind)), df)
+        assert sorted((int(r.id), r.name) for r in got.collect()) == want
+    # no window numbers all rows of a name
+    assert re.search(r"row_number\(\) windowspecdefinition\(name#\d+, piece#", got._jdf.queryExecution().optimizedPlan().toString())
+
+
 def test_salary_and_rules(spark):
     slip = ["মূল বেতন: ১৬,০০০", "ভাতা: ৪,০০০ টাকা", "মোট আয়: ২০,০০০", "কর্তন:", "তহবিল: ১,৬০০"]
     df = spark.createDataFrame([(1, i, x) for i, x in enumerate(slip)], "doc int, pos int, line string")
