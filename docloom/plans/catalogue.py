@@ -524,6 +524,13 @@ def legacy_round_trip(spark, d):
     return coded.select("doc_id", transcode.from_legacy("legacy").alias("text"), "legacy")
 
 
+@query()
+def legacy_texts(spark, d):
+    """Whole texts in the legacy encoding, and those again in Unicode; no SQL has the encoding, tests hold it against pairs of words."""
+    coded = table(spark, d, "documents").select("doc_id", transcode.to_legacy("text").alias("legacy"))
+    return coded.select("doc_id", "legacy", transcode.from_legacy("legacy").alias("text"))
+
+
 @query("SELECT doc_id, CAST(len(list_filter(string_split(text, chr(10)), lambda l: trim(l, ' ' || chr(9) || chr(13)) <> '')) AS BIGINT) AS lines FROM documents")
 def markdown_lines(spark, d):
     """Blocks of the Markdown parser; their lines add up to those of the text."""
@@ -539,6 +546,12 @@ def classify_plain(spark, d):
     return classify.classify(docs).select("doc_id", "doc_type")
 
 
+@query()
+def classify_documents(spark, d):
+    """All documents, all types; no SQL has these rules, tests hold it against a plain version."""
+    return classify.classify(table(spark, d, "documents"))
+
+
 @query("SELECT doc_id, CAST(regexp_matches(text, '\\$[^$]+\\$') AS BOOLEAN) AS has_math, replace(text, '$', '') = replace(text, '$', '') AS kept FROM documents")
 def math_spans(spark, d):
     """Maths segments, and that text and maths put together are the text again."""

@@ -1,9 +1,11 @@
 """Text functions, the classifier and the parsers on hand-made Bangla."""
 
+import re
+
 import pytest
 from docloom.functions import calc, text
 from docloom.parse import forms, maths, papers, transcode
-from docloom.plans import classify
+from docloom.plans import catalogue, classify
 from pyspark.sql import functions as F
 
 
@@ -161,3 +163,67 @@ def test_metadata(spark):
     assert (m["institute"], m["time"], m["marks"]) == ("আদর্শ উচ্চ বিদ্যালয়", "২ ঘণ্টা", "৫০")
     w = one(spark, classify.winner(F.from_json(F.col("x"), "array<struct<type:string,score:int>>")), x='[{"type":"EXAM_CQ","score":30},{"type":"CV_RESUME","score":33}]')
     assert tuple(w) == ("EXAM_CQ", 30)
+
+
+def plain_type(t):
+    """The rules of ``classify`` without its columns: (type, score)."""
+    t = (t or "").replace("\u09a1\u09bc", "\u09dc").replace("\u09a2\u09bc", "\u09dd").replace("\u09af\u09bc", "\u09df").strip(" ")
+    front = re.match(r"---\n(.*?)\n---", t, re.S)
+    named = dict(x.split(": ", 1) for x in front[1].split("\n")).get("doc_type", "").strip().upper() if front else ""
+    known = next((k for k, names in classify.NAMES.items() if named in names), None)
+    blocks = []
+    for x in re.split(r"\r?\n", t):
+        number = re.search(r"^\s*(?:#{1,6}\s*)?(?:প্রশ্ন\s*(?:নং)?[\s\-:ঃ.]*)?\(?[0-9০-৯]{1,3}\s*[।.)]", x, re.A)
+        if number or re.search(r"^\s*#{1,6}\s", x, re.A):
+            blocks.append([])
+        if blocks:
+            p = re.search(r"^\s*\(?\s*([কখগঘ])\s*[.)।]\s*(.+)$", x, re.A)
+            body = p[2].strip(" ") if p else ""
+            marked = bool(len(body) >= 10 and re.search(r"(?:\s|\[|\()[1-4১-৪]\s*[\])]?\s*$", body, re.A))
+            task = bool(p) and bool(re.search(r"(?:করো|কর|দাও|লিখ|নির্ণয়|ব্যাখ্যা|বর্ণনা|প্রমাণ|হিসাব)\s*[।.]?\s*$", body, re.A) or re.search(r"\[[^\]]*\]", x))
+            blocks[-1].append((bool(number), p and p[1], marked, task, bool(re.search(r"\$[^$\n]+\$|\\(?:frac|sqrt|int|sum|theta|pi|begin)\b", x, re.A))))
+    numbered = sum(any(r[0] for r in b) for b in blocks)
+    creative_blocks = [len({r[1] for r in b if r[1]}) >= 3 and sum(r[2] for r in b) >= 2 for b in blocks]
+    mcq = sum(not c and sum(bool(r[1]) for r in b) >= 2 and not any(r[3] for r in b) and any(r[0] for r in b) for b, c in zip(blocks, creative_blocks, strict=True))
+    maths = sum(any(r[0] for r in b) and any(r[4] for r in b) for b in blocks)
+    has = lambda p: re.search(p, t, re.A) is not None
+    special = {k: sum(n for n, need, never in each if all(map(has, need)) and not any(map(has, never))) for k, each in classify.RULES.items()}
+    highest = max(special.values())
+    creative, strict, broken = has(classify.CREATIVE), mcq >= 5 and mcq >= 0.85 * numbered, has(r"(?i)---\s*SECTION_BREAK|\[LAYOUT:\s*COMBINED")
+    general = highest < 4 and not creative and not strict
+    exam = has("শ্রেণি|সময়|পূর্ণমান") and has("পরীক্ষা|বিষয়")
+    score = {"EXAM_MATH": 30 * (numbered >= 3 and maths >= 0.5 * numbered), "EXAM_COMBINED": 50 * (broken or (creative and strict)), "EXAM_CQ": 30 * creative, "EXAM_MCQ": 35 * (not creative and strict)}
+    score["EXAM_GENERAL"] = 25 if general and (exam or numbered >= 2) else 15 if general and (has("শ্রেণি|বিষয়|সময়|পূর্ণমান|পরীক্ষা") or numbered > 0) else 0
+    order = sorted((score | special).items(), key=lambda x: -x[1])
+    top = order[1] if order[0][1] > 0 and order[0][1] - order[1][1] < 4 and order[1][0] == "EXAM_CQ" else order[0]
+    if known:
+        return ("EXAM_COMBINED" if broken else "EXAM_GENERAL" if known == "EXAM_COMBINED" and not any(creative_blocks) else known), None
+    return (top[0] if top[1] >= 4 else "GENERAL"), top[1]
+
+
+#: One text or more for each type, and texts on which several rules fire.
+KINDS = [
+    PAPER, "---\ndoc_type: CV\n---\nনাম: ক", "বরাবর,\nপ্রধান শিক্ষক\nবিষয়: ছুটি\nজনাব, বিনীত নিবেদন এই যে", "ক্যাশ মেমো\nক্রেতার স্বাক্ষর বিক্রেতার স্বাক্ষর", "বেতন স্লিপ\nমূল বেতন: ১০০", "প্রবেশপত্র\nনাম", "হলফনামা\nআমি",
+    "ক্লাস রুটিন\n| বার | ১ম |", "এই মর্মে প্রত্যয়ন করা যাচ্ছে যে", "বিজ্ঞপ্তি\nসকলের জ্ঞাতার্থে", "মেসার্স রহিম\nমোবাইলঃ ০১", "CURRICULUM VITAE\nREFERENCE", "My resume, with a reference to a voucher", "1. one\n2. two", "# a heading\n1) $x$\n2) $y$\n3) $z$",
+    "\n".join(f"{i}. কোনটি?\nক) এক\nখ) দুই\nগ) তিন" for i in range(1, 7)), "উদ্দীপক\n" + "\n".join(f"{i}. কোনটি?\nক) এক\nখ) দুই" for i in range(1, 7)), "বিষয়: গণিত\nশ্রেণি: ৫ম", "--- SECTION_BREAK\nক", "বিজ্ঞপ্তি\nভাউচার নং ৫, বরাবর, বিষয়: x", None, "", "plain words",
+]
+
+
+def test_classify_documents_is_whole(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    own = spark.createDataFrame([(10**9 + i, t) for i, t in enumerate(KINDS)], "doc_id long, text string")
+    docs.unionByName(own).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r.text for r in spark.read.parquet(f"{tmp_path}/documents.parquet").collect()}
+    got = {r.doc_id: (r.doc_type, r.score) for r in catalogue.QUERIES["classify_documents"](spark, str(tmp_path)).collect()}
+    want = {d: plain_type(t) for d, t in rows.items()}
+    assert {d: (got.get(d), w, (rows[d] or "")[:60]) for d, w in want.items() if got.get(d) != w} == {} and len(got) == len(want)
+    assert len({k for k, _ in want.values()}) >= 14
+
+
+def test_legacy_texts_are_whole(spark, tmp_path):
+    known = [(u, b) for u, b in PAIRS if u != "স্কুল"]
+    mixed = [(" $x^2$ ".join(p[k] for p in known) + "\n" + " ".join(p[k] for p in reversed(known))) for k in (0, 1)]
+    rows = [(1, mixed[0]), (2, "The cat is on the mat.\nhttps://a.b/c"), (3, None), (4, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.legacy, r.text) for r in catalogue.QUERIES["legacy_texts"](spark, str(tmp_path)).collect()}
+    assert got == {1: (mixed[1], transcode.normal(mixed[0])), 2: (rows[1][1], rows[1][1]), 3: (None, None), 4: ("", "")}
