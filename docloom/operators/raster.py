@@ -235,9 +235,25 @@ def skew(mask: np.ndarray, reach: float = 8.0, step: float = 0.25) -> float:
 
 
 def orientation(mask: np.ndarray) -> int:
-    """0, or 90 if columns vary more than rows: text lies on its side."""
+    """By how many degrees to turn a page clockwise: 0, or 90 or 270 if its text lies on its side.
+
+    Text lies on its side if columns vary more than rows. The dense stroke of a line is in its upper part, so its side
+    tells where the top is; else the straighter margin is the left one. What tells neither stays.
+    """
     rows, cols = mask.mean(axis=1), mask.mean(axis=0)
-    return 90 if cols.var() > 1.3 * rows.var() else 0
+    if not cols.var() > 1.3 * rows.var():
+        return 0
+    h = mask.shape[0]
+    ink_at = np.convolve(np.pad(mask[int(0.15 * h) : int(0.85 * h)].sum(axis=0).astype(float), 1, mode="edge"), np.ones(3) / 3, "valid")
+    peaks = [np.argmax(ink_at[x0:x1]) / (x1 - x0 - 1) for x0, x1 in spans(ink_at > 0.35 * ink_at.mean()) if 6 <= x1 - x0 <= 80]
+    upper, lower = sum(p <= 0.42 for p in peaks), sum(p >= 0.58 for p in peaks)
+    if abs(upper - lower) >= 2:
+        return 90 if upper > lower else 270
+    lined = mask[:, mask.sum(axis=0) >= max(3, round(0.02 * h))]
+    if lined.shape[1] < 3:
+        return 0
+    first, last = np.argmax(lined, axis=0).var(), np.argmax(lined[::-1], axis=0).var()
+    return 90 if last < 0.8 * first else 270 if first < 0.8 * last else 0
 
 
 def spread(mask: np.ndarray) -> int | None:
@@ -356,17 +372,50 @@ def reliable(quad: np.ndarray, width: int, height: int) -> bool:
     return bool((np.all(cross > 0) or np.all(cross < 0)) and area >= 0.25 * width * height and min(n[0] / n[2], n[2] / n[0], n[1] / n[3], n[3] / n[1]) >= 0.1)
 
 
+def levelled(image: np.ndarray, degrees: float) -> np.ndarray:
+    """The picture turned about its middle so that lines that fall by an angle are level; white where nothing was."""
+    h, w = image.shape[:2]
+    c, s = np.cos(np.radians(degrees)), np.sin(np.radians(degrees))
+    x, y = np.array([[0, 0], [w - 1, 0], [w - 1, h - 1], [0, h - 1]], float).T - np.array([[(w - 1) / 2], [(h - 1) / 2]])
+    pad = int(np.ceil(np.hypot(h, w) / 2))
+    wide = np.pad(image, [(pad, pad), (pad, pad), *[(0, 0)] * (image.ndim - 2)], constant_values=255)
+    return warped(wide, np.stack([pad + (w - 1) / 2 + x * c - y * s, pad + (h - 1) / 2 + x * s + y * c], axis=1), w, h)
+
+
+def sheet(image: np.ndarray) -> np.ndarray | None:
+    """The sheet of a photo made rectangular; none if the picture is all paper, or its sides are no safe cut."""
+    gray = luma(image)
+    h, w = gray.shape
+    border = np.concatenate([gray[0], gray[-1], gray[:, 0], gray[:, -1]]).mean()
+    if border > 180 or gray[h // 4 : 3 * h // 4, w // 4 : 3 * w // 4].mean() - border < 25:
+        return None
+    bright = ~ink(image)
+    quad = corners(bright)
+    if quad is None or not reliable(quad, w, h):
+        return None
+    inner = quad + 0.015 * (quad.mean(axis=0) - quad)
+    for (x0, y0), (x1, y1) in zip(inner, np.roll(inner, -1, axis=0), strict=True):
+        t = np.linspace(0, 1, int(np.hypot(x1 - x0, y1 - y0)) + 1)
+        # ink along a side, a little inside: it would cut text
+        if (~bright[np.round(y0 + t * (y1 - y0)).astype(int), np.round(x0 + t * (x1 - x0)).astype(int)]).mean() > 0.02:
+            return None
+    n = np.linalg.norm(np.roll(quad, -1, axis=0) - quad, axis=1)
+    return warped(image, quad, round(max(n[0], n[2])) + 1, round(max(n[1], n[3])) + 1)
+
+
 def prepared(image: np.ndarray) -> list[np.ndarray]:
-    """A photo as pages: turned upright, parted at a spread, cropped to its content, light evened."""
-    mask = ink(image)
-    if orientation(mask) == 90:
-        image = np.rot90(image)
-        mask = ink(image)
-    at = spread(mask)
+    """A photo as pages: turned upright, parted at a spread, each made rectangular or else level and cropped to its content, light evened."""
+    image = np.rot90(image, -orientation(ink(image)) // 90)
+    at = spread(ink(image))
     out = []
     for part in [image] if at is None else [image[:, :at], image[:, at:]]:
-        x0, y0, x1, y1 = content_box(ink(part))
-        out.append(equalized(luma(part[y0 : y1 + 1, x0 : x1 + 1])))
+        page = sheet(part)
+        if page is None:
+            angle = skew(ink(part))
+            page = levelled(part, angle) if abs(angle) >= 0.4 else part
+            x0, y0, x1, y1 = content_box(ink(page))
+            page = page[y0 : y1 + 1, x0 : x1 + 1]
+        out.append(equalized(luma(page)))
     return out
 
 

@@ -67,6 +67,37 @@ def test_matched_texts_keeps_its_limits(spark):
     assert sorted((r.a, r.b) for r in relational.matched_texts(left, right).collect()) == [(1, 1), (2, 2), (5, 5)]
 
 
+def test_page_is_turned_warped_and_levelled():
+    g = np.full((420, 300), 255, np.uint8)
+    for y in range(40, 380, 30):
+        # a headline with strokes below it, and a ragged right margin
+        end = 240 + y % 37
+        g[y : y + 3, 30:end] = 0
+        g[y + 3 : y + 14, 30:end:7] = 0
+    up = raster.prepared(g)[0]
+    for k, want in ((1, 90), (0, 0), (-1, 270)):
+        side = np.rot90(g, k)
+        assert raster.orientation(raster.ink(side)) == want
+        assert np.array_equal(raster.prepared(side)[0], up)
+    tilted = raster.levelled(g, -3.0)
+    assert abs(raster.skew(raster.ink(tilted)) - 3.0) <= 0.25 and abs(raster.skew(raster.ink(raster.prepared(tilted)[0]))) <= 0.25
+    # a sheet on a dark table
+    photo = np.full((520, 420), 40, np.uint8)
+    quad = np.array([[50, 60], [360, 40], [380, 480], [40, 460]])
+    h = raster.homography(quad, np.array([[0, 0], [299, 0], [299, 419], [0, 419]]))
+    y, x = np.mgrid[0:520, 0:420]
+    u, v, w = h @ np.stack([x.ravel(), y.ravel(), np.ones(x.size)])
+    u, v = np.round(u / w).astype(int), np.round(v / w).astype(int)
+    inside = (u >= 0) & (u < 300) & (v >= 0) & (v < 420)
+    photo.reshape(-1)[inside] = g[v[inside], u[inside]]
+    page = raster.prepared(photo)[0]
+    assert len(page) < 450 and len(page[0]) < 350
+    # each line lies at its share of the height, within the jagged border of the sheet
+    middle = raster.lines(raster.ink(page)[:, 40:-80])
+    assert np.allclose([(a + b) / 2 / len(page) for a, b in middle], [(a + b) / 2 / 420 for a, b in raster.lines(raster.ink(g))], atol=0.01)
+    assert raster.orientation(np.zeros((50, 50), bool)) == 0
+
+
 def test_unique_names_of_a_hot_name(spark, monkeypatch):
     monkeypatch.setattr(relational, "PIECE", 7)
     new = [(i * 37 % 1009, "hot" if i % 5 else f"n{i % 30}") for i in range(1000)] + [(2000, None)]
