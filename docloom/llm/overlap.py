@@ -13,8 +13,10 @@ id, once; then:
    also starts in a document with a smaller id than the group's own for that fragment;
 5. groups put the bits together per document.
 
-A fragment that millions of documents share is sent once by each group, so hot passages and copies cost a
-shard no more than the number of groups. All messages are binary columns, one row per (sender, receiver);
+A fragment that millions of documents share is sent once by each group, so whole copies cost a shard no more
+than the number of groups. At the edges of a hot passage fragments reach into the text around it and differ: one
+anchor then brings a fragment of each document to one shard and part, which is not split further and is indexed
+in memory. All messages are binary columns, one row per (sender, receiver);
 group, bucket and shard sizes follow the input's size. Everything is one plan, and its first exchange is
 reused by steps 1, 3 and 5.
 """

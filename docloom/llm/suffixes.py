@@ -5,7 +5,8 @@ that can match are routed to shards (see ``overlap``); a shard sorts the suffixe
 sorting: the leftmost S-type suffixes are sorted by 8-byte words, round by round among those still tied, and
 all others are induced from them in one ascending and one descending sweep. Suffix tuples wait in one queue
 per first byte; a sweep takes a queue whole, in order, so the queues together are a priority queue whose keys
-are taken in batches. Queues above ``QUEUE_ITEMS`` go to files of the task's temporary folder. Common-prefix
+are taken in batches. Queues above ``QUEUE_ITEMS`` go to files of the task's temporary folder and are read back
+whole; text, words and order of a part are in memory, so a part must fit in memory. Common-prefix
 values of neighbours, in 8-byte words up to the 50 bytes that matter, are then compared exactly, and the
 smallest owner of each group of equal strings decides.
 
