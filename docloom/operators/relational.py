@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom import storage
+
 # --- filters ---------------------------------------------------------------------------------------------
 
 
@@ -219,16 +221,20 @@ def best_first(candidates: DataFrame) -> DataFrame:
     Rounds go on until no candidate is left; each takes one pair at least. The last ``FEW`` candidates are matched on the driver.
     """
     spark = candidates.sparkSession
-    held = lambda d: d.checkpoint() if spark.sparkContext.getCheckpointDir() else d.localCheckpoint()
+    held = lambda d: storage.table(d, "best-first")
     left = held(candidates.filter("a IS NOT NULL AND b IS NOT NULL").groupBy("a", "b").agg(F.max("similarity").alias("similarity")))
     schema, parts = left.schema, []
     while (n := left.count()) > FEW:
         tops = held(_round(left))
         parts.append(tops)
         if len(parts) == 20:
-            parts = [held(reduce(DataFrame.unionByName, parts))]
-        left = held(left.join(tops.select("a"), "a", "left_anti").join(tops.select("b"), "b", "left_anti").select("a", "b", "similarity"))
+            whole = held(reduce(DataFrame.unionByName, parts))
+            storage.drop(*parts)
+            parts = [whole]
+        before, left = left, held(left.join(tops.select("a"), "a", "left_anti").join(tops.select("b"), "b", "left_anti").select("a", "b", "similarity"))
+        storage.drop(before)
     parts.append(spark.createDataFrame(_greedy(left.collect()) if n else [], schema))
+    storage.drop(left)
     return reduce(DataFrame.unionByName, parts)
 
 
