@@ -32,6 +32,9 @@ def components(links: DataFrame) -> DataFrame:
         before = (row["n"], row["h"])
         if not row["n"]:
             break
-        edges = work.table(_small_star(_large_star(edges)), "edges")
+        old, edges = edges, work.table(_small_star(_large_star(edges)), "edges")
+        work.drop(old)
     roots = edges.select(F.col("v").alias("node")).distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
+    out = work.table(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component"))), "components")
+    work.drop(edges)
+    return out

@@ -7,16 +7,20 @@ its smallest value: two sets agree there with a probability equal to their simil
 independent samples, and a large set is done after one or two rounds. ``ROWS`` coordinates make a band;
 documents that share a band are candidates and are confirmed on their full sets.
 
-Equal sets collapse to the smallest id before anything is paired. In each bucket of equal bands, every member
-is first held against the bucket's smallest id only; after those links, members of one bucket that are still
-in different components are compared in blocks, so no candidate is lost and a group of copies costs rows in
-proportion to its size. Pairs of sizes that can't reach the threshold are left out beforehand.
+Equal sets collapse to one node before anything is paired. In each bucket of equal bands, every member is
+first held against one of them only; after those links, members of one bucket that are still in different
+components are compared in blocks, so no candidate is lost and a group of copies costs rows in proportion to
+its size. Pairs of sizes that can't reach the threshold are left out beforehand. Buckets, pivots and sets with
+many rows are joined by broadcast, so none lands in one task.
 
 With 32 bands of 4 rows a pair at the threshold of 0.8 is missed with a probability of 5e-8.
 
-Defined results: texts without words have an empty set and link to nothing; rows that repeat an id or a text
-are copies of the smallest id; a row with a null id is kept out of groups that have an id and is not kept; an
-empty table gives an empty result; further columns pass through ``apply``.
+Defined results: a row is known by its id and a hash of its text, so rows that share an id alone are documents of their
+own, which may be in different groups. Texts without words have an empty set, link to nothing and are all kept by
+``apply``. Of each group it keeps the row with the smallest id, of those with one id that with the smaller hash, and of
+equal rows one; a null id counts as the largest, so in a group of null ids one row is kept. ``groups`` calls a group by
+its smallest id, null if it has none. An empty table gives an empty result; further columns pass through ``apply``. A
+text is held whole by the task that reads it, and so is its set; blocks of texts are bounded by bytes, not by rows.
 """
 
 from __future__ import annotations
@@ -35,8 +39,8 @@ from docloom.llm import scan, work
 BINS, ROWS = 128, 4
 #: A pivot's members that are compared in one run.
 MEMBERS = 256
-#: Documents of a bucket in a block, and shingles in a slice of the matrix of two blocks.
-SIDE, COLUMNS = 512, 4096
+#: Documents and shingles of a bucket in a block at most on average, and shingles in a slice of the matrix of two blocks.
+SIDE, SIDE_SHINGLES, COLUMNS = 512, 1 << 20, 4096
 BLOCK = 3 << 20
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 SEEDS = scan.mix(np.arange(1, 2 * BINS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -82,11 +86,11 @@ def sketch(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out.reshape(n, BINS)
 
 
-FEATURES = T.StructType([T.StructField("id", T.LongType()), *(T.StructField(c, T.LongType()) for c in ("n", "k1", "k2")), T.StructField("bands", T.ArrayType(T.LongType(), False))])
+FEATURES = T.StructType([*(T.StructField(c, T.LongType()) for c in ("id", "oid", "th", "n", "k1", "k2")), T.StructField("bands", T.ArrayType(T.LongType(), False))])
 
 
 def features(docs: DataFrame, width: int) -> DataFrame:
-    """Set size, a 128-bit key of the set and the band hashes, for (id, text) rows."""
+    """Set size, a 128-bit key of the set and the band hashes, for (id, oid, th, text) rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in scan.blocks(batches, "text", BLOCK):
@@ -102,24 +106,31 @@ def features(docs: DataFrame, width: int) -> DataFrame:
                 band = scan.mix(band ^ s[:, :, r]) + np.uint64(r)
             band = band[sizes > 0].astype(np.int64)
             offs = np.concatenate([[0], np.cumsum((sizes > 0) * (BINS // ROWS))]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.rows.column(0), pa.array(sizes, pa.int64()), *(pa.array(k) for k in keys), pa.ListArray.from_arrays(pa.array(offs), pa.array(band.ravel()))], schema=pa.schema([("id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("bands", pa.list_(pa.field("element", pa.int64(), nullable=False)))]))
+            yield pa.RecordBatch.from_arrays([*(b.rows.column(i) for i in range(3)), pa.array(sizes, pa.int64()), *(pa.array(k) for k in keys), pa.ListArray.from_arrays(pa.array(offs), pa.array(band.ravel()))], schema=pa.schema([*((c, pa.int64()) for c in FEATURES.names[:6]), ("bands", pa.list_(pa.field("element", pa.int64(), nullable=False)))]))
 
     return docs.mapInArrow(run, FEATURES)
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, width: int, share: tuple[int, int]) -> DataFrame:
-    """Of pairs (a, b), those with at least share[0] of share[1] of the union in common.
+def _with_texts(wanted: DataFrame, texts: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """Rows of ``wanted`` (want, ...) with the id and text of that node; ``texts`` are the nodes with their rows (node, oid, th) and the rows (oid, th, text)."""
+    nodes, docs = texts
+    named = wanted.join(nodes.select(F.col("node").alias("want"), F.col("oid").alias("want id"), F.col("th").alias("want text")), "want")
+    need = named.select(F.col("want id").alias("oid"), F.col("want text").alias("th"))
+    found = work.likely(docs, need, ["oid", "th"])
+    return named.join(found, (F.col("want id") == F.col("oid")) & (F.col("want text") == F.col("th"))).drop("want id", "want text", "oid", "th")
+
+
+def confirm(pairs: DataFrame, texts: tuple[DataFrame, DataFrame], width: int, share: tuple[int, int]) -> DataFrame:
+    """Of pairs (a, b) of nodes, those with at least share[0] of share[1] of the union in common.
 
     A pivot a meets its members b in runs of at most about MEMBERS; a run starts with the pivot's text, so a
     task holds one pivot's set and streams the members past it, however many there are.
     """
-    runs = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).alias("m"))
-    asked = pairs.join(runs, "a").select("a", F.pmod(F.xxhash64("b"), F.col("m")).alias("run"), "b")
+    runs = pairs.groupBy("a").agg(F.count("*").alias("m"))
+    asked = work.joined(pairs, runs, ["a"], "m").select("a", F.pmod(F.xxhash64("b"), F.ceil(F.col("m") / MEMBERS)).alias("run"), "b")
     pivots = asked.select("a", "run").distinct().select("a", "run", F.lit(0).alias("role"), F.col("a").alias("want"))
-    wanted = asked.select("a", "run", F.lit(1).alias("role"), F.col("b").alias("want")).unionByName(pivots)
-    wanted = work.table(wanted, "wanted")
-    likely = work.likely(docs, wanted.select(F.col("want").alias("id")), ["id"])
-    rows = wanted.join(likely, F.col("want") == F.col("id")).select("a", "run", "role", "id", "text").repartition("a", "run").sortWithinPartitions("a", "run", "role", "id")
+    wanted = work.table(asked.select("a", "run", F.lit(1).alias("role"), F.col("b").alias("want")).unionByName(pivots), "wanted")
+    rows = _with_texts(wanted, texts).select("a", "run", "role", F.col("want").alias("id"), "text").repartition("a", "run").sortWithinPartitions("a", "run", "role", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivot, now = np.zeros(0, np.uint64), None
@@ -144,21 +155,22 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, share: tuple[int, int
             if hits:
                 yield pa.RecordBatch.from_arrays([pa.array(a[hits]), pa.array(ids[hits])], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    out = work.table(rows.mapInArrow(run, "a long, b long").distinct(), "links")
+    work.drop(wanted)
+    return out
 
 
-def across(members: DataFrame, docs: DataFrame, width: int, share: tuple[int, int]) -> DataFrame:
+def across(members: DataFrame, texts: tuple[DataFrame, DataFrame], width: int, share: tuple[int, int]) -> DataFrame:
     """Links (a, b) between members of one bucket that are in different components.
 
-    ``members`` has band, s, component and the bucket's size m. A bucket is dealt into blocks of about
-    SIDE documents and each pair of blocks is one group: sets meet as rows of a matrix of shingles, pairs are
-    never made as rows, and of the links found only as many come out as join components.
+    ``members`` has band, node, component and the bucket's documents m and shingles total. A bucket is dealt into blocks of
+    about SIDE documents or SIDE_SHINGLES shingles, whatever is less, and each pair of blocks is one group: sets meet as
+    rows of a matrix of shingles, pairs are never made as rows, and of the links found only as many come out as join components.
     """
-    blocks = members.withColumn("k", F.ceil(F.col("m") / SIDE)).withColumn("mine", F.pmod(F.xxhash64("s", F.lit(3)), F.col("k")))
-    dealt = blocks.select("s", "component", "band", "mine", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("other"))
-    dealt = dealt.select("s", "component", "band", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), F.col("mine"))
-    likely = work.likely(docs, members.select(F.col("s").alias("id")), ["id"])
-    rows = dealt.join(likely, F.col("s") == F.col("id")).select("band", "x", "y", "mine", "id", "component", "text")
+    blocks = members.withColumn("k", F.greatest(F.ceil(F.col("m") / SIDE), F.ceil(F.col("total") / SIDE_SHINGLES), F.lit(1))).withColumn("mine", F.pmod(F.xxhash64("node", F.lit(3)), F.col("k")))
+    dealt = blocks.select("node", "component", "band", "mine", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("other"))
+    dealt = dealt.select(F.col("node").alias("want"), "component", "band", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), F.col("mine"))
+    rows = _with_texts(dealt, texts).select("band", "x", "y", "mine", F.col("want").alias("id"), "component", "text")
 
     def run(group: pa.Table) -> pa.Table:
         x, y = group.column("x")[0].as_py(), group.column("y")[0].as_py()
@@ -217,42 +229,66 @@ def _common(sets: list[np.ndarray], left: np.ndarray) -> np.ndarray:
 
 
 def groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, share: tuple[int, int] = (80, 100)) -> DataFrame:
-    """(id, n_shingles, component_id, kept) per row."""
-    rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
+    """(id, oid, th, n_shingles, component_id, first) per row: oid and th know the row, ``first`` is true for the row of its group that stays."""
+    oid, th = work.row_key(id_column, text_column)
+    rows = docs.select(F.col(id_column).cast("long").alias("id"), oid.alias("oid"), th.alias("th"), F.col(text_column).alias("text"))
     feats = work.table(features(rows, width), "features")
-    full = feats.filter("n > 0 AND id IS NOT NULL")
-    sets = full.groupBy("n", "k1", "k2").agg(F.min("id").alias("s"))
-    reps = full.join(sets.select(F.col("s").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id", "k1", "k2"])
-    bands = work.table(reps.select(F.col("id").alias("s"), F.col("n").alias("size"), F.explode("bands").alias("band")), "bands")
+    sets = feats.filter("n > 0").groupBy("n", "k1", "k2").agg(F.min(F.struct("oid", "th")).alias("r"), F.first("bands").alias("bands"), F.count("*").alias("copies"))
+    nodes = work.table(sets.select(F.monotonically_increasing_id().alias("node"), "n", "k1", "k2", "r.oid", "r.th", "copies", "bands"), "nodes")
+    texts = nodes, rows.select("oid", "th", "text")
+    bands = nodes.select("node", F.col("n").alias("size"), F.explode("bands").alias("band"))
     alike = lambda x, y: F.least(x, y) * share[1] >= F.greatest(x, y) * share[0]
-    buckets = bands.groupBy("band").agg(F.min(F.struct("s", "size")).alias("p"), F.count("*").alias("m")).filter("m > 1").select("band", F.col("p.s").alias("a"), F.col("p.size").alias("a_size"), "m")
-    starred = work.table(bands.join(buckets, "band").filter(F.col("s") != F.col("a")), "starred")
-    first = work.table(starred.filter(alike(F.col("size"), F.col("a_size"))).select("a", F.col("s").alias("b")).distinct(), "pairs")
-    links = work.table(confirm(first, rows, width, share), "links")
-    comp = work.table(cc.components(links), "components")
+    buckets = bands.groupBy("band").agg(F.min(F.struct("node", "size")).alias("p"), F.count("*").alias("m"), F.sum("size").alias("total")).filter("m > 1")
+    buckets = work.table(buckets.select("band", F.col("p.node").alias("a"), F.col("p.size").alias("a_size"), "m", "total"), "buckets")
+    starred = work.table(work.joined(work.likely(bands, buckets, ["band"]), buckets, ["band"], "m").filter(F.col("node") != F.col("a")).select("band", "node", "size", "a", "a_size", "m", "total"), "starred")
+    first = work.table(starred.filter(alike(F.col("size"), F.col("a_size"))).select("a", F.col("node").alias("b")).distinct(), "pairs")
+    links = confirm(first, texts, width, share)
+    comp = cc.components(links)
     # buckets whose members are still apart
-    rest = starred.filter("m > 2").select("band", "s", "m").unionByName(buckets.filter("m > 2").select("band", F.col("a").alias("s"), "m"))
-    rest = rest.join(comp.withColumnRenamed("node", "s"), "s", "left").withColumn("component", F.coalesce("component", "s"))
-    open_ = rest.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("band")
-    rest = work.table(rest.join(open_, "band"), "open-buckets")
+    rest = starred.filter("m > 2").select("band", "node", "m", "total").unionByName(buckets.filter("m > 2").select("band", F.col("a").alias("node"), "m", "total"))
+    rest = rest.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    apart = rest.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).filter("lo <> hi").select("band", F.col("m").alias("members"))
+    rest = work.table(work.joined(rest, apart, ["band"], "members").select("band", "node", "m", "total", "component"), "open-buckets")
+    more = None
     if not rest.isEmpty():
-        links = work.table(links.unionByName(across(rest, rows, width, share)), "links")
-        comp = work.table(cc.components(links), "components")
-    owner = sets.join(comp, sets["s"] == comp["node"], "left").select("n", "k1", "k2", F.coalesce("component", "s").alias("component_id"))
-    out = feats.select("id", "n", "k1", "k2").join(owner, ["n", "k1", "k2"], "left")
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+        more = work.table(links.unionByName(across(rest, texts, width, share)), "links")
+        work.drop(comp)
+        comp = cc.components(more)
+    work.drop(buckets, starred, first, links, rest, more)
+    # the smallest row of each component; a node without a link is one of its own
+    rooted = nodes.join(comp, "node", "left").select("n", "k1", "k2", "oid", "th", "copies", F.coalesce("component", "node").alias("root"))
+    roots = rooted.groupBy("root").agg(F.min(F.struct("oid", "th")).alias("least"), F.count("*").alias("m"))
+    owner = work.joined(rooted, roots, ["root"], "m").select("n", "k1", "k2", "copies", F.col("least.oid").alias("first_id"), F.col("least.th").alias("first_text"))
+    owner = work.table(owner, "owners")
+    work.drop(comp, nodes)
+    own = work.joined(feats.filter("n > 0").drop("bands"), owner, ["n", "k1", "k2"], "copies")
+    own = own.select("id", "oid", "th", "n", F.nullif("first_id", F.lit(work.NO_ID)).alias("component_id"), ((F.col("oid") == F.col("first_id")) & (F.col("th") == F.col("first_text"))).alias("first"))
+    out = own.unionByName(feats.filter("n = 0").select("id", "oid", "th", "n", F.col("id").alias("component_id"), F.lit(True).alias("first")))
+    return out.withColumnsRenamed({"id": id_column, "n": "n_shingles"})
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """The contract's columns: shingles of four words, 80 of 100."""
-    return groups(docs, width=4)
+    return groups(docs, width=4).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
 def apply(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, share: tuple[int, int] = (80, 100)) -> DataFrame:
-    """One document of each group: the one with the smallest id."""
-    gone = groups(docs, id_column, text_column, width, share).filter("NOT kept").select(F.col(id_column).alias("gone id")).distinct()
-    return docs.join(gone, docs[id_column] == gone["gone id"], "left_anti")
+    """One document of each group: the one with the smallest id. Only texts of rows that may go are shuffled."""
+    found = groups(docs, id_column, text_column, width, share)
+    gone = found.filter("NOT first").select(F.col("oid").alias("gone id"), F.col("th").alias("gone text")).distinct()
+    oid, th = work.row_key(id_column, text_column)
+    keyed = docs.withColumns({"row id": oid, "row text": th})
+
+    def without(rows: DataFrame, keys: DataFrame, how: str = "left_anti") -> DataFrame:
+        return rows.join(keys, (F.col("row id") == F.col("gone id")) & (F.col("row text") == F.col("gone text")), how)
+
+    asked = work.marked(keyed, gone.select(F.col("gone id").alias("row id"), F.col("gone text").alias("row text")), ["row id", "row text"])
+    kept = asked.filter("NOT maybe").drop("maybe").unionByName(without(asked.filter("maybe").drop("maybe"), gone))
+    # equal rows with one id: one of them
+    again = found.filter("n_shingles > 0 AND first").groupBy("oid", "th").agg(F.count("*").alias("m")).filter("m > 1").select(F.col("oid").alias("gone id"), F.col("th").alias("gone text"))
+    if not again.isEmpty():
+        kept = without(kept, again).unionByName(without(kept, again, "left_semi").dropDuplicates(["row id", "row text"]))
+    return kept.select(*docs.columns)
 
 
 ORACLE = r"""

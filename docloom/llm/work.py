@@ -2,40 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.storage import drop, new_path, shared_dir, table
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in tests a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = f"file://{tempfile.gettempdir()}/docloom-shared"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    """A fresh folder under the shared one, deleted when the driver's JVM ends."""
-    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(where)
-    fs.deleteOnExit(where)
-    return path
-
-
-def table(df: DataFrame, label: str) -> DataFrame:
-    """Writes a frame as Parquet into the shared folder and reads it again: lineage ends there."""
-    path = f"{new_path(df.sparkSession, label)}/t"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["drop", "groups", "input_bytes", "joined", "likely", "marked", "new_path", "row_key", "shared_dir", "table"]
 
 
 def input_bytes(df: DataFrame) -> int:
@@ -48,22 +20,50 @@ def input_bytes(df: DataFrame) -> int:
     return int(row[0] or 0)
 
 
-#: Bits of the map that ``likely`` broadcasts: 512 kB, whatever the input's size.
+#: A null id in an order of ids: the largest.
+NO_ID = (1 << 63) - 1
+
+
+def row_key(id_column: str, text_column: str) -> tuple[Column, Column]:
+    """(id, th) of a row: its id, or the largest number for a null, and a hash of its text. Rows that agree in both are copies."""
+    return F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)), F.xxhash64(F.col(text_column))
+
+
+#: Bits of the map that ``likely`` broadcasts, in words of 64: 1 MB, whatever the input's size.
 MAP_BITS = 1 << 22
 
 
-def likely(df: DataFrame, wanted: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows of ``df`` whose key columns may occur in ``wanted``: all that do, and few others while keys are fewer than MAP_BITS.
+def marked(df: DataFrame, wanted: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows with one more column, ``maybe``: whether their key columns may occur in ``wanted`` (true for all that do).
 
-    Before a join this keeps rows that can't match out of the shuffle. The map has a fixed size; with many
-    more keys it fills and lets every row through, so results never depend on it.
+    The map has a fixed size; with many more keys it fills and says maybe to every row, so results never depend on it.
     """
     bit = F.pmod(F.xxhash64(*columns), F.lit(MAP_BITS))
-    maps = wanted.select(bit.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("map bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("map bits"))
-    marked = df.withColumn("map h", bit).withColumn("map p", F.bitmap_bit_position("map h"))
-    joined = marked.join(F.broadcast(maps), F.bitmap_bucket_number("map h") == F.col("map bucket"))
-    byte = F.conv(F.hex(F.expr("substring(`map bits`, CAST(`map p` DIV 8 AS INT) + 1, 1)")), 16, 10).cast("int")
-    return joined.filter(F.getbit(byte, (F.col("map p") % 8).cast("int")) == 1).select(*(df[c] for c in df.columns))
+    maps = wanted.select(bit.alias("map bit")).groupBy(F.shiftright("map bit", 6).alias("map word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(`map bit` & 63 AS INT))")).alias("map bits"))
+    both = df.withColumn("map bit", bit).join(F.broadcast(maps), F.shiftright("map bit", 6) == F.col("map word"), "left")
+    return both.select(*(df[c] for c in df.columns), F.coalesce(F.expr("(`map bits` & shiftleft(1L, CAST(`map bit` & 63 AS INT))) <> 0"), F.lit(False)).alias("maybe"))
+
+
+def likely(df: DataFrame, wanted: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of ``df`` whose key columns may occur in ``wanted``: before a join this keeps rows that can't match out of the shuffle."""
+    return marked(df, wanted, columns).filter("maybe").drop("maybe")
+
+
+#: Keys that are joined by broadcast because they are hot, at most, and rows from which a key counts as hot.
+HOT_KEYS, HOT_ROWS = 20_000, 2_000
+
+
+def joined(rows: DataFrame, keys: DataFrame, on: list[str], weight: str) -> DataFrame:
+    """Inner join of rows with a table of unique keys that says how many rows each has.
+
+    Hot keys, at most HOT_KEYS by their weights, are broadcast, so their rows stay where they are; others are shuffled.
+    """
+    limit = max(HOT_ROWS, int(keys.agg(F.sum(weight)).first()[0] or 0) // HOT_KEYS)
+    hot = keys.filter(F.col(weight) > limit)
+    if hot.isEmpty():
+        return rows.join(keys, on)
+    cold = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(keys.filter(F.col(weight) <= limit), on)
+    return cold.unionByName(rows.join(F.broadcast(hot), on))
 
 
 def groups(df: DataFrame, group_bytes: int, least: int | None = None) -> int:

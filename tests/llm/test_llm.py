@@ -87,6 +87,46 @@ def test_near_groups(spark):
     assert got == {d: (len(s), comp[d], comp[d] == d) for d, s in sets.items()}
 
 
+def test_repeated_and_missing_ids_lose_no_text(spark):
+    a = " ".join(f"w{i}" for i in range(40))
+    b = " ".join(f"own{i}" for i in range(40))
+    rows = [(1, a), (2, a), (2, b), (2, b), (None, a), (None, a), (None, "null " + b[:60]), (None, "null " + b[:60]), (7, None), (7, None), (None, "")]
+    df = docs_of(spark, rows)
+    assert sorted((str(r.doc_id), str(r.text)) for r in neardup.apply(df).collect()) == sorted([("1", a), ("2", b), ("None", "null " + b[:60]), ("7", "None"), ("7", "None"), ("None", "")])
+    assert neardup.apply(df).columns == df.columns
+    got = sorted((str(r.doc_id), str(r.component_id), r.kept) for r in neardup.digest(df).collect())
+    assert got == sorted([("1", "1", True), ("2", "1", False), ("2", "2", True), ("2", "2", True), *[("None", "1", False)] * 2, *[("None", "None", False)] * 2, ("7", "7", True), ("7", "7", True), ("None", "None", False)])
+    line, other = "the very same line of more than twenty letters", "an entirely unique line of more than twenty letters"
+    docs = docs_of(spark, [(1, line), (2, line), (2, other), (2, other), (None, line), (None, other[::-1]), (None, line + "\n" + other[::-1])])
+    assert sorted((str(r.doc_id), r.text) for r in lines.apply(docs).collect() if r.text) == sorted([("1", line), ("2", other), ("2", other), ("None", other[::-1])])
+    found = sorted((str(r.doc_id), r.n_removed) for r in lines.digest(docs).collect())
+    assert found == sorted([("1", 0), ("2", 1), ("2", 0), ("2", 0), ("None", 1), ("None", 0), ("None", 2)]) or found == sorted([("1", 0), ("2", 1), ("2", 0), ("2", 0), ("None", 1), ("None", 1), ("None", 1)])
+
+
+def test_hot_keys_are_split(spark, monkeypatch):
+    monkeypatch.setattr(work, "HOT_ROWS", 3)
+    rows = spark.createDataFrame([(i % 4 if i % 3 else 0, i) for i in range(60)], "k int, v int")
+    keys = rows.groupBy("k").count()
+    assert sorted(map(tuple, work.joined(rows, keys, ["k"], "count").select("k", "v", "count").collect())) == sorted(map(tuple, rows.join(keys, "k").select("k", "v", "count").collect()))
+
+
+def test_crowds_of_templated_lines(spark, monkeypatch):
+    monkeypatch.setattr(lines, "CROWD", 3)
+    monkeypatch.setattr(lines, "SHORT", 4)
+    rng = random.Random(8)
+    texts = [f"request {rng.choice('abcdefgh')}{rng.randrange(30)} of the service took {rng.randrange(40)} ms, all in all a very plain line of a log" for _ in range(150)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+
+    def near(a, b):
+        if abs(len(a) - len(b)) > 1:
+            return False
+        i = next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
+        return a[i + 1 :] == b[i + 1 :] if len(a) == len(b) else a[i + 1 :] == b[i:] if len(a) > len(b) else a[i:] == b[i + 1 :]
+
+    want = {(i, 0) for i, t in rows if any(near(t, u) for u in texts[:i])}
+    assert want and {(r.id, r.at) for r in lines.removed(docs_of(spark, rows)).collect()} == want
+
+
 def test_sketch_agrees_with_similarity():
     rng = np.random.default_rng(5)
     for size in (3, 40, 2000):
@@ -105,8 +145,9 @@ def test_links_across_components(spark, monkeypatch):
     rows = [(i, " ".join(w if rng.random() > 0.03 else f"z{i}" for w in base)) for i in range(40)]
     sets = {d: {tuple(t.split()[i : i + 4]) for i in range(97)} for d, t in rows}
     linked = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
-    members = spark.createDataFrame([(1, d, d, 40) for d, _ in rows], "band long, s long, component long, m long")
-    found = neardup.across(members, spark.createDataFrame(rows, "id long, text string"), 4, (80, 100)).collect()
+    members = spark.createDataFrame([(1, d, d, 40, 97 * 40) for d, _ in rows], "band long, node long, component long, m long, total long")
+    texts = spark.createDataFrame([(d, d, 7) for d, _ in rows], "node long, oid long, th long"), spark.createDataFrame([(d, 7, t) for d, t in rows], "oid long, th long, text string")
+    found = neardup.across(members, texts, 4, (80, 100)).collect()
     assert found and {(min(r), max(r)) for r in found} <= linked
 
     def parts(links):
