@@ -7,7 +7,13 @@
 5. packing: what is left becomes pieces of training sequences.
 
 All stages but the last return the columns of ``documents``; n_chars follows the text. Tokenizing has no SQL, so
-the pipeline has none; tests hold it against plain versions of its stages.
+the pipeline has none; tests hold every stage against a plain version of it.
+
+Defined results: null, empty and blank texts have fewer than ten words and go with the first stage, so later ones see
+texts alone. Rows are documents of their own whether or not their id repeats or is null; of rows that are near copies
+one stays, whatever their ids are. Very long texts pass whole. Ties are settled by id, then by a hash of the text. An
+empty table gives an empty result, an empty benchmark takes nothing out. Further columns pass through all stages but the
+last, which returns pieces, whatever their names are.
 """
 
 from __future__ import annotations
@@ -15,7 +21,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import decontaminate, lines, neardup, packing, quality, work
+from docloom import storage
+from docloom.llm import decontaminate, lines, neardup, packing, quality
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,5 +60,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of a folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = work.table(stage(spark, docs, sf_dir), "pipeline")
+        before = docs
+        with storage.scope() as kept:
+            kept.append(docs := storage.table(stage(spark, before, sf_dir), "pipeline"))
+        storage.drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,6 +35,23 @@ def new_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+#: Tables that were written within each open scope.
+_OPEN: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scope() -> Iterator[list[DataFrame]]:
+    """All tables that are written within go at its end, but for those put into the list that it gives."""
+    made: list[DataFrame] = []
+    kept: list[DataFrame] = []
+    _OPEN.append(made)
+    try:
+        yield kept
+    finally:
+        _OPEN.pop()
+        drop(*(t for t in made if not any(t is k for k in kept)))
+
+
 def table(df: DataFrame, label: str) -> DataFrame:
     """Writes a frame as Parquet into the shared folder and reads it again: lineage ends there."""
     spark = df.sparkSession
@@ -40,6 +59,8 @@ def table(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(f"{path}/t")
     out = spark.read.schema(df.schema).parquet(f"{path}/t")
     out._shared_path = path
+    if _OPEN:
+        _OPEN[-1].append(out)
     return out
 
 
@@ -51,3 +72,4 @@ def drop(*tables: DataFrame | None) -> None:
             fs, where = _located(t.sparkSession, path)
             fs.delete(where, True)
             fs.cancelDeleteOnExit(where)
+            t._shared_path = None
