@@ -1,22 +1,28 @@
 """Language-model scoring with a hidden Markov model.
 
-Tokens are words, lower-cased in A-Z, and one end per text. Every token has a class, its hash modulo
-``CLASSES``. Latent states emit classes, and a class emits its tokens by their smoothed share in the training
-texts, so the model's tables stay of one size while the vocabulary, of any size, is counted whole.
-
-1. Documents are dealt into groups by id. A group sends each distinct token, as a 128-bit hash with its count
-   in training texts, to the token's bucket; the bucket adds up and answers the groups that asked.
-2. Groups write their texts as class sequences, with what the counts say of each text, to the shared folder.
-3. Baum-Welch: each round every task runs the forward and backward recursions over its training texts, all
-   texts of a group side by side, and emits expected counts by class; these are added up by Spark across
-   partitions, in ``CLASSES`` rows, and the driver re-estimates. Long texts train in segments.
-4. The scaled forward recursion over each whole text gives its exact likelihood under the model.
+Tokens are words, lower-cased in A-Z, and one end per text. Every token has a class: the OWN most frequent ones have
+one of their own, others share HASHED classes by their hash. Latent states emit classes, and a class emits its tokens by
+their smoothed share in the training texts, so the model's tables stay of one size while the vocabulary, of any
+size, is counted whole.
+
+1. A task writes its texts in blocks: the distinct tokens of a block as 128-bit hashes with their counts in
+   training texts, and the texts as numbers into that list. Counts are added up across blocks by an ordinary grouping.
+2. Baum-Welch: each round every task runs the forward and backward recursions over its training texts and emits
+   expected counts by class; these are added up by Spark across partitions, in as many rows as there are classes, and the
+   driver re-estimates. Rounds end when the likelihood grows by less than TOLERANCE of itself, or after ROUNDS.
+3. The counts go back to the blocks, and the scaled forward recursion over each whole text gives its exact likelihood.
+
+Recursions run over whole texts. Texts of more than SEGMENT tokens are cut for the run alone: the product of the
+transition and emission matrices of a segment says how it carries a state distribution on, so a pass over
+segments gives each the exact distributions at its borders, and all segments of a block then run side by side. Memory is
+bounded by BLOCK_TOKENS whatever the length of a text, but for two bytes or four for each of its tokens.
 
 Texts whose crc32 of the id as text is 0 modulo ``FOLDS`` are held out: no count or expectation sees them.
 
 Defined results: a null or empty text is one end token; a null id counts as the text ""; rows that repeat an
 id are texts of their own; with no training text all counts are 0; an empty table gives an empty result;
-further columns are ignored.
+further columns are ignored. Sums of doubles across partitions have no fixed order, so ``score`` may differ between
+runs in its last digits.
 """
 
 from __future__ import annotations
@@ -26,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,12 +40,11 @@ from docloom.llm import overlap, scan, work
 
 FOLDS = 10
 STATES = 8
-CLASSES = 4096
-ROUNDS = 5
-SEGMENT = 256
-GROUP_BYTES = 8 << 20
-#: Tokens whose recursions run side by side in training, and so whose forward values are held.
-BLOCK_TOKENS = 400_000
+#: Classes of one token each, and classes that all others share.
+OWN, HASHED = 2048, 4096
+ROUNDS, TOLERANCE = 5, 1e-3
+#: Tokens of a segment, and tokens in a block and whose forward values are held at a time.
+SEGMENT, BLOCK_TOKENS = 1024, 400_000
 ADD = 0.1
 END = (np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F))
 
@@ -63,10 +69,6 @@ def tokens(b: scan.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out[0], out[1], first
 
 
-def _blocks(group: pa.Table) -> Iterator[scan.Block]:
-    return scan.blocks(iter(group.select(["id", "text"]).combine_chunks().to_batches()), "text")
-
-
 def _distinct(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """An order that brings equal pairs together, and where in it a new pair begins."""
     order = np.argsort(one)
@@ -74,111 +76,98 @@ def _distinct(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     if ((a[1:] == a[:-1]) & (b[1:] != b[:-1])).any():
         order = np.lexsort((two, one))
         a, b = one[order], two[order]
-    return order, np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
-
-
-def _vocabulary(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
-    """Distinct tokens of a group as two hashes, their training counts, and per block (block, token numbers, first)."""
-    parts = [(b, *tokens(b)) for b in _blocks(group)]
-    one = np.concatenate([p[1] for p in parts])
-    two = np.concatenate([p[2] for p in parts])
-    train = np.concatenate([np.repeat(~held_out(b.rows.column(0).to_pylist()), np.diff(first)) for b, _, _, first in parts])
-    order, new = _distinct(one, two)
-    number = np.empty(len(one), np.int32)
-    number[order] = np.cumsum(new, dtype=np.int32) - 1
-    counts = np.bincount(number[train], minlength=int(new.sum()))
-    out, at = [], 0
-    for b, h, _, first in parts:
-        out.append((b, number[at : at + len(h)], first))
-        at += len(h)
-    return one[order][new], two[order][new], counts, out
-
-
-MESSAGE = "dest int, peer int, blob binary"
-ENCODED = "ids array<long>, held array<boolean>, sizes array<int>, known array<long>, logs array<double>, classes binary"
-
-
-def encode(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, np.ndarray, np.ndarray]:
-    """Class sequences with counts folded in, and training tokens and distinct tokens by class."""
-    n = work.groups(docs, GROUP_BYTES)
-    ids = F.col(id_column).cast("long")
-    dealt = docs.select(ids.alias("id"), F.col(text_column).alias("text"), F.pmod(F.xxhash64(ids, F.col(text_column)), F.lit(n)).cast("int").alias("g")).repartition(n, "g")
-
-    def ask(group: pa.Table) -> pa.Table:
-        g = group.column("g")[0].as_py()
-        one, two, counts, _ = _vocabulary(group)
-        bucket = (two % np.uint64(n)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        cut = np.searchsorted(bucket[order], np.arange(n + 1))
-        dest, blobs = [], []
-        for b in range(n):
-            mine = order[cut[b] : cut[b + 1]]
-            if len(mine):
-                dest.append(b)
-                blobs.append(overlap.pack(one[mine], two[mine], counts[mine].astype("<u4")))
-        return overlap.message(dest, [g] * len(dest), blobs)
-
-    def count(group: pa.Table) -> pa.Table:
-        peers, blobs = group.column("peer").to_pylist(), group.column("blob").to_pylist()
-        got = [overlap.unpack(x, "<u8", "<u8", "<u4") for x in blobs]
-        one, two, c = (np.concatenate([x[i] for x in got]) for i in range(3))
-        order, new = _distinct(one, two)
-        heads = np.flatnonzero(new)
-        total = np.add.reduceat(c[order].astype(np.int64), heads)
-        answer = np.empty(len(one), np.int64)
-        answer[order] = np.repeat(total, np.diff(np.append(heads, len(one))))
-        kind = (one[order][heads] % np.uint64(CLASSES)).astype(np.int64)
-        by_class = np.bincount(kind, total, CLASSES).astype(np.int64), np.bincount(kind, total > 0, CLASSES).astype(np.int64)
-        cut = np.concatenate([[0], np.cumsum([len(x[0]) for x in got])])
-        out = [overlap.pack(answer[cut[i] : cut[i + 1]]) for i in range(len(peers))]
-        # a message to nobody holds the totals by class
-        return overlap.message([*peers, -1], [group.column("dest")[0].as_py()] * (len(peers) + 1), [*out, overlap.pack(*by_class)])
-
-    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, v = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
-        for batch in batches:
-            for blob in batch.column(0).to_pylist():
-                x, y = overlap.unpack(blob, "<i8", "<i8")
-                c, v = c + x, v + y
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES, dtype=np.int32)), pa.array(c), pa.array(v)], names=["class", "c", "v"])
-
-    def write(group: pa.Table, told: pa.Table) -> pa.Table:
-        schema = pa.schema([("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())), ("known", pa.list_(pa.int64())), ("logs", pa.list_(pa.float64())), ("classes", pa.binary())])
-        if not group.num_rows:
-            return schema.empty_table()
-        one, two, _, parts = _vocabulary(group)
-        bucket = (two % np.uint64(n)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        cut = np.searchsorted(bucket[order], np.arange(n + 1))
-        counts = np.zeros(len(one), np.int64)
-        for b, blob in zip(told.column("peer").to_pylist(), told.column("blob").to_pylist(), strict=True):
-            counts[order[cut[b] : cut[b + 1]]] = overlap.unpack(blob, "<i8")[0]
-        kind = (one % np.uint64(CLASSES)).astype("<u2")
-        logs = np.log10(counts + ADD)
-        rows: dict[str, list] = {f.name: [] for f in schema}
-        held: dict[str, list] = {f.name: [] for f in schema}
+    return order, np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
+
+
+ENCODED = "block long, ids array<long>, held array<boolean>, sizes array<int>, one binary, two binary, counts binary, numbers binary"
+
+
+def encode(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The texts in blocks, one row each: ids, folds, sizes, distinct tokens with their training counts, and the texts as numbers into those."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        task, done = (context.partitionId() if context else 0) << 32, 0
+        held: list[tuple] = []
+
+        def block() -> pa.RecordBatch:
+            ids = [i for part, *_ in held for i in part]
+            one, two = (np.concatenate([h[k] for h in held]) for k in (1, 2))
+            sizes = np.concatenate([h[3] for h in held])
+            out = held_out(ids)
+            order, new = _distinct(one, two)
+            number = np.empty(len(one), np.int32)
+            number[order] = np.cumsum(new, dtype=np.int32) - 1
+            counts = np.bincount(number[np.repeat(~out, sizes)], minlength=int(new.sum()))
+            number = number.astype("<u2" if new.sum() <= 1 << 16 else "<u4")
+            values = ([task + done], [ids], [out], [sizes.astype(np.int32)], *([x.tobytes()] for x in (one[order][new], two[order][new], counts.astype("<u4"), number)))
+            return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, schema, strict=True)], schema=schema)
+
+        schema = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())), *((c, pa.binary()) for c in ("one", "two", "counts", "numbers"))])
         size = 0
-        for k, (b, number, first) in enumerate(parts):
-            ids = b.rows.column(0).to_pylist()
-            values = (ids, held_out(ids), np.diff(first), scan.sums(counts[number] > 0, first), np.add.reduceat(logs[number], first[:-1]), kind[number])
-            for name, v in zip(held, values, strict=True):
-                held[name].append(v)
-            size += len(number)
-            if size >= BLOCK_TOKENS or k == len(parts) - 1:
-                for name, v in held.items():
-                    rows[name].append([x for part in v for x in part] if name == "ids" else np.concatenate(v).tobytes() if name == "classes" else np.concatenate(v))
-                held, size = {name: [] for name in held}, 0
-        return pa.table([pa.array(v, f.type) for f, v in zip(schema, rows.values(), strict=True)], schema=schema)
-
-    asked = dealt.groupBy("g").applyInArrow(ask, MESSAGE)
-    counted = asked.groupBy("dest").applyInArrow(count, MESSAGE)
-    counted = work.table(counted, "counts")
-    sums = counted.filter("dest = -1").select("blob").mapInArrow(totals, "class int, c long, v long").groupBy("class").agg(F.sum("c").alias("c"), F.sum("v").alias("v")).collect()
-    c, v = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
-    for r in sums:
+        for b in scan.blocks(batches, "text"):
+            one, two, first = tokens(b)
+            held.append((b.rows.column(0).to_pylist(), one, two, np.diff(first)))
+            size += len(one)
+            if size >= BLOCK_TOKENS:
+                yield block()
+                held, size, done = [], 0, done + 1
+        if held:
+            yield block()
+
+    rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
+    return work.table(rows.mapInArrow(run, ENCODED), "encoded")
+
+
+VOCABULARY = pa.schema([("block", pa.int64()), ("number", pa.int32()), ("one", pa.int64()), ("two", pa.int64()), ("c", pa.int64())])
+
+
+def vocabulary(encoded: DataFrame) -> DataFrame:
+    """The distinct tokens of each block (block, number, one, two, c)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, one, two, counts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                one, two, counts = np.frombuffer(one, "<i8"), np.frombuffer(two, "<i8"), np.frombuffer(counts, "<u4")
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(one), block)), pa.array(np.arange(len(one), dtype=np.int32)), pa.array(one), pa.array(two), pa.array(counts.astype(np.int64))], schema=VOCABULARY)
+
+    return encoded.select("block", "one", "two", "counts").mapInArrow(run, "block long, number int, one long, two long, c long")
+
+
+class Classes:
+    """The class of a token by its hashes."""
+
+    def __init__(self, one: np.ndarray, two: np.ndarray) -> None:
+        order = np.argsort(one)
+        self._one, self._two, self.n = one[order], two[order], OWN + HASHED
+
+    def __call__(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        out = (OWN + one % np.uint64(HASHED)).astype(np.int64)
+        if len(self._one):
+            at = np.minimum(np.searchsorted(self._one, one), len(self._one) - 1)
+            own = (self._one[at] == one) & (self._two[at] == two)
+            out[own] = at[own]
+        return out
+
+
+def classes_of(counts: DataFrame) -> tuple[Classes, np.ndarray, np.ndarray]:
+    """The classes, and training tokens and distinct tokens of each, from counts (one, two, c) of all tokens."""
+    top = counts.filter("c > 0").orderBy(F.desc("c"), "one", "two").limit(OWN).collect()
+    kind = Classes(*(np.array([r[i] for r in top], np.int64).view(np.uint64) for i in ("one", "two")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c, v = np.zeros(kind.n, np.int64), np.zeros(kind.n, np.int64)
+        for batch in batches:
+            one, two, n = (batch.column(i).to_numpy() for i in range(3))
+            k = kind(one.view(np.uint64), two.view(np.uint64))
+            c += np.bincount(k, n, kind.n).astype(np.int64)
+            v += np.bincount(k, n > 0, kind.n).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(kind.n, dtype=np.int32)), pa.array(c), pa.array(v)], names=["class", "c", "v"])
+
+    c, v = np.zeros(kind.n, np.int64), np.zeros(kind.n, np.int64)
+    for r in counts.select("one", "two", "c").mapInArrow(run, "class int, c long, v long").groupBy("class").agg(F.sum("c").alias("c"), F.sum("v").alias("v")).collect():
         c[r["class"]], v[r["class"]] = r["c"], r["v"]
-    encoded = dealt.groupBy("g").cogroup(counted.filter("dest >= 0").groupBy("dest")).applyInArrow(write, ENCODED)
-    return work.table(encoded, "encoded"), c, v
+    return kind, c, v
 
 
 class Model:
@@ -208,141 +197,195 @@ def _lockstep(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(-sizes[order], -np.arange(longest), side="left")
 
 
-def forward(model: Model, classes: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """log10 likelihood of each class sequence, by the scaled forward recursion."""
+class Pieces:
+    """Sequences cut into segments: each piece's first token, size and sequence, and what it borders on."""
+
+    def __init__(self, model: Model, classes: np.ndarray, first: np.ndarray, sizes: np.ndarray, segment: int, both: bool) -> None:
+        count = np.maximum(-(-sizes // segment), 1)
+        self.sequence = np.repeat(np.arange(len(sizes)), count)
+        k = overlap.gather(np.zeros(len(sizes), np.int64), count)
+        self.first = first[self.sequence] + k * segment
+        self.sizes = np.minimum(sizes[self.sequence] - k * segment, segment)
+        self.begins = k == 0
+        n, states = len(k), len(model.start)
+        #: Distribution before the first token, distribution after the last token of the piece before, and what follows the last token.
+        self.start = np.tile(model.start, (n, 1))
+        self.before = np.zeros((n, states))
+        self.after = np.ones((n, states))
+        long = np.flatnonzero(count > 1)
+        if not len(long):
+            return
+        mine = np.flatnonzero(count[self.sequence] > 1)
+        carry = np.empty((n, states, states))
+        carry[mine] = _carry(model, classes, self.first[mine], self.sizes[mine])
+        at, order = np.cumsum(count) - count, long[np.argsort(-count[long], kind="stable")]
+        for j in range(1, int(count[order[0]])):
+            now = at[order[: int(np.searchsorted(-count[order], -j, side="left"))]] + j
+            a = np.einsum("ns,nst->nt", self.start[now - 1], carry[now - 1])
+            self.before[now] = a / a.sum(1, keepdims=True)
+            self.start[now] = self.before[now] @ model.move
+        if both:
+            for j in range(int(count[order[0]]) - 1, 0, -1):
+                now = at[order[: int(np.searchsorted(-count[order], -j, side="left"))]] + j
+                b = np.einsum("nst,nt->ns", carry[now], self.after[now]) @ model.move.T
+                self.after[now - 1] = b / b.sum(1, keepdims=True)
+
+    def batches(self, tokens_: int) -> Iterator[np.ndarray]:
+        """The pieces in runs of about so many tokens."""
+        ends = np.cumsum(self.sizes)
+        for run in np.split(np.arange(len(ends)), np.flatnonzero(np.diff((ends - 1) // tokens_)) + 1):
+            if len(run):
+                yield run
+
+
+def _carry(model: Model, classes: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each piece the matrix that takes a distribution before its first token to one after its last, up to a factor."""
     order, running = _lockstep(sizes)
-    at, out = first[order], np.zeros(len(sizes))
-    a = np.broadcast_to(model.start, (len(sizes), len(model.start)))
+    at, states = first[order], len(model.start)
+    out = np.eye(states)[None] * model.emit[classes[at]][:, None, :]
+    for t, k in enumerate(running[1:], 1):
+        m = (out[:k].reshape(-1, states) @ model.move).reshape(k, states, states) * model.emit[classes[at[:k] + t]][:, None, :]
+        out[:k] = m / m.sum((1, 2), keepdims=True)
+    back = np.empty_like(out)
+    back[order] = out
+    return back
+
+
+def forward(model: Model, classes: np.ndarray, first: np.ndarray, sizes: np.ndarray, segment: int = SEGMENT) -> np.ndarray:
+    """log10 likelihood of each class sequence, by the scaled forward recursion."""
+    p, total = Pieces(model, classes, first, sizes, segment, False), np.zeros(len(sizes))
+    order, running = _lockstep(p.sizes)
+    at, out, a = p.first[order], np.zeros(len(order)), p.start[order]
     for t, k in enumerate(running):
         a = a[:k] * model.emit[classes[at[:k] + t]]
         scale = a.sum(1)
         out[:k] += np.log10(scale)
         a = (a / scale[:, None]) @ model.move
-    back = np.empty(len(sizes))
-    back[order] = out
-    return back
+    np.add.at(total, p.sequence[order], out)
+    return total
 
 
-def expect(model: Model, classes: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+def expect(model: Model, classes: np.ndarray, first: np.ndarray, sizes: np.ndarray, segment: int = SEGMENT, tokens_: int = BLOCK_TOKENS) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Expected counts of starts, moves and emissions over the sequences, and their log10 likelihood."""
-    order, running = _lockstep(sizes)
     states = len(model.start)
-    move, emit = np.zeros((states, states)), np.zeros_like(model.emit)
-    if not len(running):
-        return np.zeros(states), move, emit, 0.0
-    at, level = first[order], 0.0
-    alphas, scales = [], []
-    a = np.broadcast_to(model.start, (len(sizes), states))
-    for t, k in enumerate(running):
-        a = a[:k] * model.emit[classes[at[:k] + t]]
-        scale = a.sum(1)
-        level += float(np.log10(scale).sum())
-        a = a / scale[:, None]
-        alphas.append(a)
-        scales.append(scale)
-        a = a @ model.move
-    gammas, seen = [], []
-    beta = np.ones((0, states))
-    for t in range(len(running) - 1, -1, -1):
-        k = int(running[t])
-        if t + 1 < len(running):
-            nxt = int(running[t + 1])
-            later = beta * model.emit[classes[at[:nxt] + t + 1]] / scales[t + 1][:, None]
-            move += alphas[t][:nxt].T @ later
-            beta = np.concatenate([later @ model.move.T, np.ones((k - nxt, states))])
-        else:
-            beta = np.ones((k, states))
-        gamma = alphas[t] * beta
-        gammas.append(gamma)
-        seen.append(classes[at[:k] + t])
-    start = gammas[-1].sum(0)
-    gamma, seen_ = np.concatenate(gammas), np.concatenate(seen)
-    for s in range(states):
-        emit[:, s] = np.bincount(seen_, gamma[:, s], len(emit))
+    start, move, emit, level = np.zeros(states), np.zeros((states, states)), np.zeros_like(model.emit), 0.0
+    if not len(sizes):
+        return start, move, emit, level
+    p = Pieces(model, classes, first, sizes, segment, True)
+    for run in p.batches(tokens_):
+        order, running = _lockstep(p.sizes[run])
+        order = run[order]
+        at, after = p.first[order], p.after[order]
+        alphas, scales = [], []
+        a = p.start[order]
+        for t, k in enumerate(running):
+            a = a[:k] * model.emit[classes[at[:k] + t]]
+            scale = a.sum(1)
+            level += float(np.log10(scale).sum())
+            a = a / scale[:, None]
+            alphas.append(a)
+            scales.append(scale)
+            a = a @ model.move
+        gammas, seen, beta = [], [], np.ones((0, states))
+        for t in range(len(running) - 1, -1, -1):
+            k, nxt = int(running[t]), int(running[t + 1]) if t + 1 < len(running) else 0
+            ended = after[nxt:k] / (alphas[t][nxt:k] * after[nxt:k]).sum(1, keepdims=True)
+            if nxt:
+                later = beta * model.emit[classes[at[:nxt] + t + 1]] / scales[t + 1][:, None]
+                move += alphas[t][:nxt].T @ later
+                ended = np.concatenate([later @ model.move.T, ended])
+            beta = ended
+            gammas.append(alphas[t] * beta)
+            seen.append(classes[at[:k] + t])
+        # the move into a piece from the one before it
+        inner = ~p.begins[order]
+        if inner.any():
+            move += p.before[order[inner]].T @ (beta[inner] * model.emit[classes[at[inner]]] / scales[0][inner][:, None])
+        start += gammas[-1][~inner].sum(0)
+        gamma, seen_ = np.concatenate(gammas), np.concatenate(seen)
+        for s in range(states):
+            emit[:, s] += np.bincount(seen_, gamma[:, s], len(emit))
     return start, move * model.move, emit, level
 
 
-def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    """The blocks of texts that ``encode`` has written."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            row = {name: batch.column(j)[i] for j, name in enumerate(batch.schema.names)}
-            sizes = row["sizes"].values.to_numpy().astype(np.int64)
-            held = row["held"].values.to_numpy(zero_copy_only=False).astype(bool)
-            yield {"ids": row["ids"].values, "held": held, "sizes": sizes, "first": np.cumsum(sizes) - sizes, "known": row["known"].values, "logs": row["logs"].values.to_numpy(), "classes": np.frombuffer(row["classes"].as_py(), "<u2")}
+def _block(row: dict, kind: Classes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(numbers, classes, first token and size of each text) of a block that ``encode`` has written."""
+    one, two = np.frombuffer(row["one"], "<u8"), np.frombuffer(row["two"], "<u8")
+    number = np.frombuffer(row["numbers"], "<u2" if len(one) <= 1 << 16 else "<u4")
+    sizes = np.array(row["sizes"], np.int64)
+    return number, kind(one, two).astype(np.int32)[number], np.cumsum(sizes) - sizes, sizes
 
 
-def train(encoded: DataFrame, c: np.ndarray, states: int = STATES, rounds: int = ROUNDS, segment: int = SEGMENT) -> Model:
-    """Baum-Welch over all training texts."""
-    spark, model = encoded.sparkSession, Model.initial(c, states)
+def train(encoded: DataFrame, kind: Classes, c: np.ndarray, states: int = STATES, rounds: int = ROUNDS, tolerance: float = TOLERANCE, segment: int = SEGMENT) -> tuple[Model, list[float]]:
+    """Baum-Welch over all training texts, and the log10 likelihood before each round."""
+    spark, model, levels = encoded.sparkSession, Model.initial(c, states), []
     for _ in range(rounds):
-        shared = spark.sparkContext.broadcast((model.start, model.move, model.emit))
+        shared = spark.sparkContext.broadcast((model.start, model.move, model.emit, kind))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            now = Model(*shared.value)
-            start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros((CLASSES, states))
-            for s in _sequences(batches):
-                take = np.flatnonzero(~s["held"])
-                pieces = -(-s["sizes"][take] // segment)
-                k = overlap.gather(np.zeros(len(take), np.int64), pieces)
-                first = np.repeat(s["first"][take], pieces) + k * segment
-                sizes = np.minimum(np.repeat(s["sizes"][take], pieces) - k * segment, segment)
-                x, y, z, _ = expect(now, s["classes"], first, sizes)
-                start, move, emit = start + x, move + y, emit + z
-            # class -1 - i: row i of the moves; class -1 - states: the starts
-            keys = np.concatenate([np.arange(CLASSES), -1 - np.arange(states + 1)]).astype(np.int32)
-            table = np.concatenate([emit, move, start[None]])
+            *tables, kind = shared.value
+            now, total = Model(*tables), None
+            for batch in batches:
+                for row in batch.to_pylist():
+                    _, classes, first, sizes = _block(row, kind)
+                    take = np.flatnonzero(~np.array(row["held"], bool))
+                    got = expect(now, classes, first[take], sizes[take], segment)
+                    total = got if total is None else tuple(x + y for x, y in zip(total, got, strict=True))
+            if total is None:
+                return
+            start, move, emit, level = total
+            # class -1 - i: row i of the moves; then the starts and the likelihood
+            keys = np.concatenate([np.arange(len(emit)), -1 - np.arange(states + 2)]).astype(np.int32)
+            table = np.concatenate([emit, move, start[None], np.full((1, states), level)])
             yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(table[:, i]) for i in range(states))], names=["class", *(f"s{i}" for i in range(states))])
 
         schema = "class int, " + ", ".join(f"s{i} double" for i in range(states))
-        summed = encoded.mapInArrow(run, schema).groupBy("class").agg(*(F.sum(f"s{i}").alias(f"s{i}") for i in range(states))).collect()
-        start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros((CLASSES, states))
+        used = encoded.select("held", "sizes", "one", "two", "numbers")
+        summed = used.mapInArrow(run, schema).groupBy("class").agg(*(F.sum(f"s{i}").alias(f"s{i}") for i in range(states))).collect()
+        start, move, emit, level = np.zeros(states), np.zeros((states, states)), np.zeros((kind.n, states)), 0.0
         for r in summed:
             values = np.array(r[1:], float)
             if r[0] >= 0:
                 emit[r[0]] = values
             elif r[0] >= -states:
                 move[-1 - r[0]] = values
-            else:
+            elif r[0] == -1 - states:
                 start = values
+            else:
+                level = float(values[0])
+        shared.destroy()
         model = Model.from_counts(start, move, emit)
-        shared.unpersist()
-    return model
+        levels.append(level)
+        if len(levels) > 1 and level - levels[-2] < tolerance * abs(levels[-2]):
+            break
+    return model, levels
 
 
 def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
     """Per text: counts, the base score and the model's log10 probability."""
-    encoded, c, v = encode(docs, id_column, text_column)
-    model = train(encoded, c, states, rounds)
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((model.start, model.move, model.emit, np.log10(c + ADD * (v + 1))))
+    encoded = encode(docs, id_column, text_column)
+    words = vocabulary(encoded)
+    counts = work.table(words.groupBy("one", "two").agg(F.sum("c").alias("c")), "counts")
+    kind, c, v = classes_of(counts)
+    model, _ = train(encoded, kind, c, states, rounds)
     total, distinct = int(c.sum()), int(v.sum())
-    rest = float(np.log10(total + ADD * (distinct + 1)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start, move, emit, within = shared.value
-        now, held, size = Model(start, move, emit), [], 0
-
-        def done() -> pa.RecordBatch:
-            # a long text takes as many steps alone as together with many others
-            classes = np.concatenate([s["classes"] for s in held])
-            sizes = np.concatenate([s["sizes"] for s in held])
-            first = np.cumsum(sizes) - sizes
-            logs = np.concatenate([s["logs"] for s in held])
-            known = pa.concat_arrays([s["known"] for s in held])
-            share = logs - np.add.reduceat(within[classes], first)
-            return pa.RecordBatch.from_arrays([pa.concat_arrays([s["ids"] for s in held]), pa.array(np.concatenate([s["held"] for s in held])), pa.array(sizes), known, pa.array(np.full(len(sizes), total)), pa.array(logs - sizes * rest), pa.array(forward(now, classes, first, sizes) + share)], names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-        for s in _sequences(batches):
-            held.append(s)
-            size += len(s["classes"])
-            if size >= 8 * BLOCK_TOKENS:
-                yield done()
-                held, size = [], 0
-        if held:
-            yield done()
-
-    return encoded.mapInArrow(run, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("id", id_column)
+    rest, within = float(np.log10(total + ADD * (distinct + 1))), np.log10(c + ADD * (v + 1))
+    shared = docs.sparkSession.sparkContext.broadcast((model.start, model.move, model.emit, kind, within))
+
+    def run(block: pa.Table, told: pa.Table) -> pa.Table:
+        start, move, emit, kind, within = shared.value
+        row = block.to_pylist()[0]
+        number, classes, first, sizes = _block(row, kind)
+        seen = np.zeros(len(row["one"]) // 8, np.int64)
+        seen[told.column("number").to_numpy()] = told.column("total").to_numpy()
+        logs = np.add.reduceat(np.log10(seen + ADD)[number], first)
+        share = logs - np.add.reduceat(within[classes], first)
+        values = [pa.array(row["ids"], pa.int64()), pa.array(row["held"]), pa.array(sizes), pa.array(scan.sums((seen > 0)[number], np.append(first, len(number)))), pa.array(np.full(len(sizes), total)), pa.array(logs - sizes * rest), pa.array(forward(Model(start, move, emit), classes, first, sizes) + share)]
+        return pa.table(values, names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    answers = words.select("block", "number", "one", "two").join(counts.withColumnRenamed("c", "total"), ["one", "two"]).select("block", "number", "total")
+    out = encoded.drop("counts").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return out.withColumnRenamed("id", id_column)
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -261,10 +261,51 @@ def test_forward_and_expectations_against_sums_over_paths():
                 emit[s[i], state] += p / total
                 if i:
                     move[path[i - 1], state] += p / total
-    assert np.allclose(hmm.forward(model, classes, first, sizes), logs)
-    a, b, c, level = hmm.expect(model, classes, first, sizes)
-    assert np.allclose(a, start) and np.allclose(b, move) and level == pytest.approx(sum(logs))
-    assert np.allclose(c, emit)
+    for segment, held in ((1024, 9), (1, 1), (2, 3), (3, 100)):
+        assert np.allclose(hmm.forward(model, classes, first, sizes, segment), logs)
+        a, b, c, level = hmm.expect(model, classes, first, sizes, segment, held)
+        assert np.allclose(a, start) and np.allclose(b, move) and level == pytest.approx(sum(logs))
+        assert np.allclose(c, emit)
+
+
+def test_training_equals_a_plain_baum_welch(spark):
+    rng = random.Random(12)
+    rows = [(i, " ".join(rng.choice(("sun rain wind snow", "bread milk salt tea")[(i + k // 6) % 2].split()) + rng.choice(["", "s"]) for k in range(rng.choice([1, 5, 40, 300])))) for i in range(60)] + [(70, None), (71, "")]
+    want = None
+    for parts in (1, 3, 7):
+        encoded = hmm.encode(docs_of(spark, rows).repartition(parts))
+        counts = hmm.vocabulary(encoded).groupBy("one", "two").sum("c").withColumnRenamed("sum(c)", "c")
+        kind, c, v = hmm.classes_of(counts)
+        model, levels = hmm.train(encoded, kind, c, states=3, rounds=4, tolerance=0.0, segment=16)
+        assert all(b >= a - 1e-9 for a, b in zip(levels, levels[1:], strict=False))
+        if want is None:
+            seqs = []
+            for row in encoded.collect():
+                _, classes, first, sizes = hmm._block(row.asDict(), kind)
+                seqs += [classes[f : f + n] for f, n, held in zip(first, sizes, row.held, strict=True) if not held]
+            plain = hmm.Model.initial(c, 3)
+            for _ in levels:
+                start, move, emit = np.zeros(3), np.zeros((3, 3)), np.zeros((kind.n, 3))
+                for s in seqs:
+                    alpha, beta = [plain.start * plain.emit[s[0]]], [np.ones(3)]
+                    alpha[0] = alpha[0] / alpha[0].sum()
+                    for o in s[1:]:
+                        a = alpha[-1] @ plain.move * plain.emit[o]
+                        alpha.append(a / a.sum())
+                    for o in s[:0:-1]:
+                        b = plain.move @ (plain.emit[o] * beta[0])
+                        beta.insert(0, b / b.sum())
+                    for t, o in enumerate(s):
+                        g = alpha[t] * beta[t]
+                        emit[o] += g / g.sum()
+                        if t == 0:
+                            start += g / g.sum()
+                        else:
+                            x = alpha[t - 1][:, None] * plain.move * (plain.emit[o] * beta[t])[None]
+                            move += x / x.sum()
+                plain = hmm.Model.from_counts(start, move, emit)
+            want = plain
+        assert np.allclose(model.start, want.start) and np.allclose(model.move, want.move) and np.allclose(model.emit, want.emit)
 
 
 def test_packing(spark, sf):
