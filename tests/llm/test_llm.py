@@ -388,14 +388,49 @@ def test_repeated_bytes(spark, letters):
         assert got[d] == (len(s), sum(g), spans, hashlib.sha256(left).hexdigest())
 
 
+def common_prefix(a, b, most=50):
+    return next((i for i, (x, y) in enumerate(zip(a[:most], b[:most], strict=False)) if x != y), min(len(a), len(b), most))
+
+
 def test_suffix_order_with_files():
     rng = np.random.default_rng(1)
+    spilled = 0
     for trial in range(60):
         t = np.append(rng.integers(0, rng.integers(2, 6), rng.integers(1, 300)), 0).astype(np.uint8)
-        order = suffixes.suffix_order(t, suffixes.words8(t), limit=int(rng.integers(1, 40)))
-        data = t.tobytes() + bytes(60)
-        keys = [data[i : i + 56] for i in order]
-        assert keys == sorted(keys) and sorted(order.tolist()) == list(range(len(t))), trial
+        if trial % 5 == 0:
+            t = np.append(np.tile(t[: rng.integers(1, 9)], 60), 0).astype(np.uint8)
+        sorter = suffixes.Sorter(np.concatenate([t, np.zeros(80, np.uint8)]), len(t), limit=int(rng.integers(1, 40)), chunk=int(rng.integers(1, 30)))
+        runs = list(sorter.run())
+        order, common = (np.concatenate([r[i] for r in runs])[::1] for i in (0, 1))
+        data = t.tobytes()
+        padded = data + bytes(60)
+        keys = [padded[i : i + 50] for i in order]
+        assert keys == sorted(keys, reverse=True) and sorted(order.tolist()) == list(range(len(t))), trial
+        # a common prefix ends where the text ends; only windows inside of fragments are used, so zeros behind it may count
+        for i, j, c in zip(order[1:], order[:-1], common[1:], strict=True):
+            true = common_prefix(data[i:], data[j:])
+            assert c == true or (c > true and max(i, j) + true == len(data) and padded[i : i + c] == padded[j : j + c]), trial
+        spilled += sorter.pool.spilled
+    assert spilled
+
+
+def test_a_shard_larger_than_its_memory(monkeypatch):
+    monkeypatch.setattr(suffixes, "MAPPED_BYTES", 1 << 12)
+    rng = np.random.default_rng(6)
+    shared = rng.integers(97, 100, 400).astype(np.uint8)
+    parts = []
+    for lo, more, n in zip(rng.integers(0, 300, 120), rng.integers(40, 120, 120), rng.integers(1, 80, 120), strict=True):
+        parts.append(np.concatenate([rng.integers(97, 123, n), shared[lo : lo + more], rng.integers(97, 123, 5)]).astype(np.uint8))
+    ends = np.cumsum([len(p) for p in parts])
+    owner = rng.permutation(len(parts)).astype(np.int64)
+    # ten times as many suffixes as the queues may hold
+    limit = int(ends[-1]) // 10
+    got = suffixes.kernel(np.concatenate(parts), ends, owner, limit=limit, chunk=limit // 4)
+    first: dict = {}
+    for p, o in zip(parts, owner.tolist(), strict=True):
+        for i in range(len(p) - 49):
+            first[p[i : i + 50].tobytes()] = min(first.get(p[i : i + 50].tobytes(), o), o)
+    assert got.tolist() == [first[p[i : i + 50].tobytes()] for p in parts for i in range(len(p) - 49)]
 
 
 def test_wavelet_rank():
