@@ -2,11 +2,11 @@
 
 A window is ``width`` consecutive units (bytes or words) of one document. Its anchor is the smallest hash of
 the ``gram``-unit strings inside it, so equal windows have equal anchors. Documents are dealt into groups by
-id, once; then:
+id and text, once; then:
 
-1. every group sends the sorted set of its anchors, 6 bytes each, to buckets (a truncated hash can only add
-   work, never lose a match);
-2. a bucket answers with one bit per anchor: whether more than one document has it;
+1. every group sends the sorted set of its anchors, 6 bytes and a capped count each, to buckets (a truncated hash can
+   only add work, never lose a match);
+2. a bucket answers with two bits per anchor: whether more than one document has it, and whether it is hot;
 3. groups cut the runs of windows with a shared anchor into fragments, collapse equal fragments, and send the
    text of each, with the smallest id that has it, to the shard of its anchor: all equal windows meet there;
 4. a shard runs the operator's own index over its fragments and answers with one bit per window: whether it
@@ -14,11 +14,14 @@ id, once; then:
 5. groups put the bits together per document.
 
 A fragment that millions of documents share is sent once by each group, so whole copies cost a shard no more
-than the number of groups. At the edges of a hot passage fragments reach into the text around it and differ: one
-anchor then brings a fragment of each document to one shard and part, which is not split further and is indexed
-in memory. All messages are binary columns, one row per (sender, receiver);
-group, bucket and shard sizes follow the input's size. Everything is one plan, and its first exchange is
-reused by steps 1, 3 and 5.
+than the number of groups. At the edges of a hot passage fragments reach into the text around it and differ. An anchor
+with HOT_RUNS runs or more is hot: its runs are cut into single windows, and each goes to the shard of its own hash, so
+that they spread over all shards.
+
+All messages are binary columns, one row per (sender, receiver). Their number is groups x buckets and groups x shards:
+it grows with the square of the input until a message holds a single anchor, and in proportion from there on. Groups grow
+from GROUP_BYTES to GROUP_MOST with the input, buckets take BUCKET_BYTES of it and shards SHARD_BYTES, which keeps the
+square small. Everything is one plan, and its first exchange is reused by steps 1, 3 and 5.
 """
 
 from __future__ import annotations
@@ -34,8 +37,12 @@ from pyspark.sql import functions as F
 
 from docloom.llm import scan, work
 
-#: Input bytes in a group of documents.
-GROUP_BYTES = 8 << 20
+#: Input bytes in a group of documents: so many up to GROUPS groups, then more, up to GROUP_MOST.
+GROUP_BYTES, GROUPS, GROUP_MOST = 8 << 20, 512, 32 << 20
+#: Input bytes whose anchors make a bucket, and whose fragments make a shard.
+BUCKET_BYTES, SHARD_BYTES = 64 << 20, 8 << 20
+#: Runs of an anchor, as far as groups count them (255 each), from which it is hot.
+HOT_RUNS = 100_000
 #: Parts of a shard that are indexed one after another.
 PARTS = 4
 
@@ -89,8 +96,8 @@ def _blocks(group: pa.Table) -> list[scan.Block]:
     return list(scan.blocks(iter(group.combine_chunks().to_batches()), "text"))
 
 
-def _anchors(units: Units, group: pa.Table) -> tuple[np.ndarray, np.ndarray, list]:
-    """Distinct truncated anchors of a group in order, whether more than one of its documents has each, and the runs by block."""
+def _anchors(units: Units, group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
+    """Distinct truncated anchors of a group in order, whether more than one of its documents has each, how many runs it has, and the runs by block."""
     seen, per = [], []
     for b in _blocks(group):
         values, first, more = units.split(b)
@@ -105,8 +112,8 @@ def _anchors(units: Units, group: pa.Table) -> tuple[np.ndarray, np.ndarray, lis
     short, ids = short[order], ids[order]
     heads = np.flatnonzero(np.append(True, short[1:] != short[:-1])) if len(short) else np.zeros(0, np.int64)
     if not len(heads):
-        return short, np.zeros(0, bool), per
-    return short[heads], np.minimum.reduceat(ids, heads) != np.maximum.reduceat(ids, heads), per
+        return short, np.zeros(0, bool), heads, per
+    return short[heads], np.minimum.reduceat(ids, heads) != np.maximum.reduceat(ids, heads), np.diff(heads, append=len(short)), per
 
 
 def bounds(sorted_keys: np.ndarray, n: int) -> np.ndarray:
@@ -159,77 +166,87 @@ Finish = Callable[[scan.Block, object, np.ndarray, np.ndarray], pa.Table]
 def remove_repeated(docs: DataFrame, units: Units, kernel: Kernel, finish: Finish, schema: str, id_column: str, text_column: str) -> DataFrame:
     """Runs the plan. ``kernel(payload, ends, owner)`` gives a bit per window of the distinct fragments of a shard part;
     ``finish(block, more, first, covered units)`` gives the rows of a block of documents."""
-    n = work.groups(docs, GROUP_BYTES)
-    shards = 2 * n
-    # a null id counts as the largest
+    size = work.input_bytes(docs)
+    n, buckets, shards = (work.groups(docs, b) for b in (min(GROUP_MOST, max(GROUP_BYTES, size // GROUPS)), BUCKET_BYTES, SHARD_BYTES))
+    hot_runs = HOT_RUNS
+    # a null id counts as the largest; rows that share an id need not meet
     ids = F.coalesce(F.col(id_column).cast("long"), F.lit((1 << 63) - 1))
-    dealt = docs.select(ids.alias("id"), F.col(text_column).alias("text"), F.pmod(F.xxhash64(ids), F.lit(n)).cast("int").alias("g"))
+    dealt = docs.select(ids.alias("id"), F.col(text_column).alias("text"), F.pmod(F.xxhash64(ids, F.col(text_column)), F.lit(n)).cast("int").alias("g"))
     dealt = dealt.repartition(n, "g")
 
     def say(group: pa.Table) -> pa.Table:
         g = group.column("g")[0].as_py()
-        keys, many, _ = _anchors(units, group)
-        bucket = (keys % np.uint64(n)).astype(np.int64)
+        keys, many, runs_, _ = _anchors(units, group)
+        bucket = (keys % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        cut = bounds(bucket[order], n)
+        cut = bounds(bucket[order], buckets)
+        counts = np.minimum(runs_, 255).astype(np.uint8)
         dest, blobs = [], []
-        for b in range(n):
+        for b in range(buckets):
             mine = order[cut[b] : cut[b + 1]]
             if len(mine):
                 dest.append(b)
-                blobs.append(pack(_six(keys[mine]), np.packbits(many[mine])))
+                blobs.append(squeeze(_six(keys[mine]), np.packbits(many[mine]), counts[mine]))
         return message(dest, [g] * len(dest), blobs)
 
     def match(group: pa.Table) -> pa.Table:
         b, peers = group.column("dest")[0].as_py(), group.column("peer").to_pylist()
-        keys, many, sizes = [], [], []
+        keys, many, counts, sizes = [], [], [], []
         for blob in group.column("blob").to_pylist():
-            six, bits = unpack(blob, "u1", "u1")
+            six, bits, c = unpack(blob, "u1", "u1", "u1")
             k = _eight(six)
             keys.append(k)
             sizes.append(len(k))
+            counts.append(c)
             many.append(np.unpackbits(bits)[: len(k)].astype(bool))
-        key, flag = np.concatenate(keys), np.concatenate(many)
+        key, flag, count = np.concatenate(keys), np.concatenate(many), np.concatenate(counts)
         order = np.argsort(key)
-        same = key[order][1:] == key[order][:-1]
-        shared = np.zeros(len(key), bool)
-        shared[order[1:][same]] = shared[order[:-1][same]] = True
-        if flag.any():
-            shared |= np.isin(key, key[flag])
+        heads = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
+        times = np.diff(heads, append=len(key))
+        of_key = (times > 1) | np.logical_or.reduceat(flag[order], heads), np.add.reduceat(count[order].astype(np.int64), heads) >= hot_runs
+        shared, hot = np.empty(len(key), bool), np.empty(len(key), bool)
+        shared[order], hot[order] = (np.repeat(x, times) for x in of_key)
         cut = np.concatenate([[0], np.cumsum(sizes)])
         # back to the groups: who asked is now who is told
-        return message(peers, [b] * len(peers), [pack(np.packbits(shared[cut[i] : cut[i + 1]])) for i in range(len(peers))])
+        return message(peers, [b] * len(peers), [pack(*(np.packbits(x[cut[i] : cut[i + 1]]) for x in (shared, hot))) for i in range(len(peers))])
 
     def fragments(group: pa.Table, told: pa.Table) -> pa.Table:
         if not group.num_rows or not told.num_rows:
             return message([], [], [])
         g = group.column("g")[0].as_py()
-        keys, _, per = _anchors(units, group)
-        bucket = (keys % np.uint64(n)).astype(np.int64)
+        keys, _, _, per = _anchors(units, group)
+        bucket = (keys % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        cut = bounds(bucket[order], n)
-        shared = np.zeros(len(keys), bool)
+        cut = bounds(bucket[order], buckets)
+        shared, hot = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
         for b, blob in zip(told.column("peer").to_pylist(), told.column("blob").to_pylist(), strict=True):
             mine = order[cut[b] : cut[b + 1]]
-            shared[mine] = np.unpackbits(unpack(blob, "u1")[0])[: len(mine)].astype(bool)
-        keys = keys[shared]
+            shared[mine], hot[mine] = (np.unpackbits(x)[: len(mine)].astype(bool) for x in unpack(blob, "u1", "u1"))
+        keys, hot = keys[shared], hot[shared]
         texts, lens, shorts, counts, owners, docs_, starts, one, two = ([] for _ in range(9))
         base = 0
         for b, more, first, at, size, short, own in per:
-            hit = np.flatnonzero(keys[np.minimum(np.searchsorted(keys, short), len(keys) - 1)] == short) if len(keys) else np.zeros(0, np.int64)
+            place = np.minimum(np.searchsorted(keys, short), len(keys) - 1)
+            hit = np.flatnonzero(keys[place] == short) if len(keys) else np.zeros(0, np.int64)
             if len(hit):
-                payload, ends = units.cut(b, more, at[hit], at[hit] + size[hit] + units.width - 1)
+                at, size, short, own, single = at[hit], size[hit], short[hit], own[hit], hot[place[hit]]
+                if single.any():
+                    # the runs of hot anchors as single windows
+                    times = np.where(single, size, 1)
+                    at = gather(at, times)
+                    size, short, own, single = np.repeat(np.where(single, 1, size), times), np.repeat(short, times), np.repeat(own, times), np.repeat(single, times)
+                payload, ends = units.cut(b, more, at, at + size + units.width - 1)
                 x, y = scan.range_hashes(payload, ends)
                 one.append(x)
                 two.append(y)
                 texts.append(payload)
                 lens.append(np.diff(ends, prepend=0))
-                shorts.append(short[hit])
-                counts.append(size[hit])
-                owners.append(own[hit])
-                d = np.searchsorted(first, at[hit], side="right") - 1
+                shorts.append(np.where(single, x >> np.uint64(16), short))
+                counts.append(size)
+                owners.append(own)
+                d = np.searchsorted(first, at, side="right") - 1
                 docs_.append(d + base)
-                starts.append(at[hit] - first[d])
+                starts.append(at - first[d])
             base += b.n
         if not texts:
             return message([], [], [])

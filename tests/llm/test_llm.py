@@ -362,8 +362,9 @@ def small_corpus(seed, vocabulary, n=40):
     return out
 
 
-@pytest.mark.parametrize("vocabulary", [2, 400])
-def test_repeated_words(spark, vocabulary):
+@pytest.mark.parametrize(("vocabulary", "hot"), [(2, 100_000), (400, 100_000), (400, 5)])
+def test_repeated_words(spark, vocabulary, hot, monkeypatch):
+    monkeypatch.setattr(overlap, "HOT_RUNS", hot)
     items = small_corpus(1, [f"w{i}é" for i in range(vocabulary)]) + [(5, []), (6, ["only"])]
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.digest(docs_of(spark, [(d, " \n".join(s)) for d, s in items])).collect()}
     gone = overlap.brute(items, 13)
@@ -374,8 +375,9 @@ def test_repeated_words(spark, vocabulary):
     assert texts == {d: " ".join(w for w, g in zip(s, gone[d], strict=True) if not g) for d, s in items}
 
 
-@pytest.mark.parametrize("letters", ["ab", "abcdefghijklmnopqrstuvwxyz äö\x00\n"])
-def test_repeated_bytes(spark, letters):
+@pytest.mark.parametrize(("letters", "hot"), [("ab", 100_000), ("abcdefghijklmnopqrstuvwxyz äö\x00\n", 100_000), ("abcdefghijklmnopqrstuvwxyz äö\x00\n", 5)])
+def test_repeated_bytes(spark, letters, hot, monkeypatch):
+    monkeypatch.setattr(overlap, "HOT_RUNS", hot)
     items = [(d, list("".join(s).encode())) for d, s in small_corpus(2, [letters[i : i + 1] for i in range(len(letters))])]
     items = [(d, s) for d, s in items if bytes(s).decode("utf-8", "ignore").encode() == bytes(s)]
     rows = [(d, bytes(s).decode()) for d, s in items]
@@ -386,6 +388,12 @@ def test_repeated_bytes(spark, letters):
         spans = sum(1 for i in range(len(g)) if g[i] and (not i or not g[i - 1]))
         left = bytes(b for b, x in zip(s, g, strict=True) if not x)
         assert got[d] == (len(s), sum(g), spans, hashlib.sha256(left).hexdigest())
+    kept = {r.doc_id: (bytes(r.kept), [(x.start, x.end) for x in r.removed]) for r in suffixes.apply(docs_of(spark, rows)).collect()}
+    for d, s in items:
+        data = bytes(s)
+        assert kept[d][0] == bytes(b for b, x in zip(s, gone[d], strict=True) if not x)
+        assert b"".join(data[a:b] for a, b in kept[d][1]) == bytes(b for b, x in zip(s, gone[d], strict=True) if x)
+    assert suffixes.apply(docs_of(spark, [])).collect() == []
 
 
 def common_prefix(a, b, most=50):
