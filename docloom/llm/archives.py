@@ -1,8 +1,9 @@
 """WARC archives as seekable Zstandard bundles.
 
 A bundle is a file of independent Zstandard frames, each holding a few WARC records, followed by two
-skippable frames: an index from record id to (frame, offset in the frame, length) and, last, the seek table
-of the Zstandard seekable format. Any record is read by seeking to its frame and decompressing that alone.
+skippable frames: an index from record id, in order, to (frame, offset in the frame, length) and, last, the seek table
+of the Zstandard seekable format. Any record is found by bisection and read by seeking to its frame, which alone is
+read and decompressed. ``index`` gives the indexes of bundles as rows, ``fetch`` reads the records of chosen rows.
 
 Of records with equal payloads of at least ``REVISIT_BYTES`` bytes the one with the smallest id is a
 response; the others are revisits that refer to it and carry no payload. Bundles are written by the
@@ -11,11 +12,13 @@ hold the task attempt, and the frame of written bundles lists those of committed
 
 Defined results: a null payload or URL is empty; a null id counts as the largest and is null again when read;
 repeated rows with the same id are records of the same name, and of equal payloads of one id each is a response;
-an empty table writes no bundle; further columns are ignored.
+an empty table writes no bundle; further columns are ignored. A payload is held whole by the task that writes it, and a
+frame by the one that reads it, so a very long payload makes a large frame of its own.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import struct
 from collections.abc import Iterator
@@ -107,37 +110,47 @@ class Bundle:
 
 
 class Reader:
-    """Random access to the records of a bundle held as bytes."""
+    """Random access to the records of a bundle: an open file with ``size`` and ``read_at``, or its bytes. Only what is asked for is read."""
 
-    def __init__(self, data: bytes) -> None:
-        n, flags, magic = struct.unpack("<IBI", data[-9:])
+    def __init__(self, source) -> None:
+        self._file = pa.BufferReader(source) if isinstance(source, (bytes, memoryview)) else source
+        size = self._file.size()
+        n, flags, magic = struct.unpack("<IBI", self._at(size - 9, 9))
         if magic != SEEKABLE or flags:
             raise ValueError("no seek table")
-        sizes = list(struct.iter_unpack("<II", data[-9 - 8 * n : -9]))
-        self._data, self._at = data, [0]
-        for packed, _ in sizes:
-            self._at.append(self._at[-1] + packed)
-        index = data[self._at[n - 1] : self._at[n]]
-        if struct.unpack("<I", index[:4])[0] != INDEX:
+        self._begins = [0]
+        for packed, _ in struct.iter_unpack("<II", self._at(size - 9 - 8 * n, 8 * n)):
+            self._begins.append(self._begins[-1] + packed)
+        found = self._at(self._begins[n - 1], self._begins[n] - self._begins[n - 1])
+        if struct.unpack("<I", found[:4])[0] != INDEX:
             raise ValueError("no record index")
-        self.index = list(struct.iter_unpack("<qIII", index[8:-4]))
-        self._sizes, self._open, self._frame = sizes, -1, b""
+        #: (id, frame, offset in the frame, length) in order of the ids
+        self.index = list(struct.iter_unpack("<qIII", found[8:-4]))
+        self._open, self._frame = -1, b""
         self._press = zstandard.ZstdDecompressor()
 
+    def _at(self, offset: int, n: int) -> bytes:
+        return bytes(self._file.read_at(n, offset))
+
     def frame(self, k: int) -> bytes:
         if k != self._open:
-            self._frame = self._press.decompress(self._data[self._at[k] : self._at[k + 1]])
+            self._frame = self._press.decompress(self._at(self._begins[k], self._begins[k + 1] - self._begins[k]))
             self._open = k
         return self._frame
 
+    def record(self, frame: int, at: int, n: int) -> dict:
+        return parse(self.frame(frame)[at : at + n])
+
     def get(self, page_id: int) -> list[dict]:
         """Every record of that id."""
-        return [parse(self.frame(f)[at : at + n]) for i, f, at, n in self.index if i == page_id]
+        lo = bisect.bisect_left(self.index, (page_id,))
+        hi = bisect.bisect_left(self.index, (page_id + 1,))
+        return [self.record(*x) for _, *x in self.index[lo:hi]]
 
     def records(self) -> Iterator[tuple[int, dict]]:
         """All records, frame by frame."""
-        for i, f, at, n in sorted(self.index, key=lambda x: (x[1], x[2])):
-            yield i, parse(self.frame(f)[at : at + n])
+        for i, *x in sorted(self.index, key=lambda x: (x[1], x[2])):
+            yield i, self.record(*x)
 
 
 def _store(folder: str):
@@ -187,41 +200,86 @@ def write(pages: DataFrame, folder: str, id_column: str = "page_id", url_column:
     return work.table(rows.mapInArrow(run, "path string, records long, bytes long"), "archive-list")
 
 
+RECORD = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("payload_bytes", T.LongType()), T.StructField("payload_digest", T.StringType()), T.StructField("record_type", T.StringType()), T.StructField("refers_to", T.LongType())])
+
+
+def _rows(path: str, records: Iterator[tuple[int, dict]], payload: bool) -> Iterator[pa.RecordBatch]:
+    """Records as batches of bounded size; a response whose payload doesn't match its digest is an error."""
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), *([pa.string(), pa.binary()] if payload else [])]
+    names = [*RECORD.names, *(["url", "body"] if payload else [])]
+    batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done, strict=True), kinds, strict=True)], names=names)
+    done: list[tuple] = []
+    size = 0
+    for page_id, r in records:
+        body, revisit = r["body"], r["warc-type"] == "revisit"
+        sha = r["warc-payload-digest"].removeprefix("sha256:")
+        if not revisit and hashlib.sha256(body).hexdigest() != sha:
+            raise ValueError(f"{path}: the payload of {page_id} doesn't match its digest")
+        refers = int(r["warc-refers-to"].removeprefix("<urn:page:").rstrip(">")) if revisit else None
+        row = (page_id if page_id != NO_ID else None, int(r["x-payload-length"]) if revisit else len(body), sha, r["warc-type"], refers)
+        done.append((*row, r["warc-target-uri"], body) if payload else row)
+        size += len(body) if payload else 64
+        if size > 8 << 20:
+            yield batch()
+            done, size = [], 0
+    if done:
+        yield batch()
+
+
+def _schema(payload: bool) -> T.StructType:
+    return T.StructType([*RECORD.fields, *([T.StructField("url", T.StringType()), T.StructField("body", T.BinaryType())] if payload else [])])
+
+
 def read(spark: SparkSession, bundles: DataFrame, payload: bool = False) -> DataFrame:
-    """The records of the listed bundles, one row each; ``payload`` adds url and body."""
-    schema = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("payload_bytes", T.LongType()), T.StructField("payload_digest", T.StringType()), T.StructField("record_type", T.StringType()), T.StructField("refers_to", T.LongType())])
-    if payload:
-        schema = schema.add("url", T.StringType()).add("body", T.BinaryType())
+    """The records of the listed bundles, one row each, read frame by frame; ``payload`` adds url and body."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = schema.names
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 store, name = _store(path)
                 with store.open_input_file(name) as f:
-                    reader = Reader(f.read())
-                done: list[tuple] = []
-                size = 0
-                for page_id, r in reader.records():
-                    body, revisit = r["body"], r["warc-type"] == "revisit"
-                    sha = r["warc-payload-digest"].removeprefix("sha256:")
-                    if not revisit and hashlib.sha256(body).hexdigest() != sha:
-                        raise ValueError(f"{path}: the payload of {page_id} doesn't match its digest")
-                    refers = int(r["warc-refers-to"].removeprefix("<urn:page:").rstrip(">")) if revisit else None
-                    row = (page_id if page_id != NO_ID else None, int(r["x-payload-length"]) if revisit else len(body), sha, r["warc-type"], refers)
-                    done.append((*row, r["warc-target-uri"], body) if payload else row)
-                    size += len(body) if payload else 64
-                    if size > 8 << 20:
-                        yield _batch(done, names)
-                        done, size = [], 0
-                if done:
-                    yield _batch(done, names)
-
-    def _batch(done: list[tuple], names: list[str]) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done, strict=True), kinds, strict=False)], names=names)
-
-    return bundles.select("path").repartition(max(1, spark.sparkContext.defaultParallelism), "path").mapInArrow(run, schema)
+                    yield from _rows(path, Reader(f).records(), payload)
+
+    return bundles.select("path").repartition(max(1, spark.sparkContext.defaultParallelism), "path").mapInArrow(run, _schema(payload))
+
+
+def index(bundles: DataFrame) -> DataFrame:
+    """The indexes of bundles as rows (path, page_id, frame, at, length): footers are read, no records."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                store, name = _store(path)
+                with store.open_input_file(name) as f:
+                    rows = Reader(f).index
+                ids = pa.array([None if x[0] == NO_ID else x[0] for x in rows], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows)), ids, *(pa.array([x[k] for x in rows], pa.int64()) for k in (1, 2, 3))], names=["path", "page_id", "frame", "at", "length"])
+
+    return bundles.select("path").mapInArrow(run, "path string, page_id long, frame long, at long, length long")
+
+
+def fetch(wanted: DataFrame, payload: bool = True) -> DataFrame:
+    """The records of chosen rows of ``index``: each frame that holds one is read once by a task, no others are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, f, reader = None, None, None
+        for batch in batches:
+            rows = batch.to_pylist()
+            for lo in range(len(rows)):
+                if rows[lo]["path"] != path:
+                    if f is not None:
+                        f.close()
+                    path = rows[lo]["path"]
+                    store, name = _store(path)
+                    f = store.open_input_file(name)
+                    reader = Reader(f)
+                r = rows[lo]
+                yield from _rows(path, iter([(NO_ID if r["page_id"] is None else r["page_id"], reader.record(r["frame"], r["at"], r["length"]))]), payload)
+        if f is not None:
+            f.close()
+
+    dealt = wanted.select("path", "page_id", "frame", "at", "length").repartition("path").sortWithinPartitions("path", "frame", "at")
+    return dealt.mapInArrow(run, _schema(payload))
 
 
 def digest(pages: DataFrame) -> DataFrame:

@@ -41,7 +41,7 @@ BINS, ROWS = 128, 4
 MEMBERS = 256
 #: Documents and shingles of a bucket in a block at most on average, and shingles in a slice of the matrix of two blocks.
 SIDE, SIDE_SHINGLES, COLUMNS = 512, 1 << 20, 4096
-BLOCK = 3 << 20
+BLOCK = 3 << 19
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 SEEDS = scan.mix(np.arange(1, 2 * BINS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 

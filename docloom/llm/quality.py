@@ -1,28 +1,36 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule has a cost and a rejection rate, both measured on a bounded sample (``SAMPLE_ROWS`` documents);
-rules run in the order of rejections per second and a document that one rule rejects is not shown to the
-next. The order changes the time spent and never the verdict: a document is kept if no rule rejects it.
-
-Defined results: a null or empty text has no words and is rejected by the base rule; ties and repeated rows
-are judged alike; an empty table gives an empty result; further columns pass through ``apply`` untouched.
+Each rule has a cost and a selectivity, both measured on a bounded sample: about SAMPLE_TASKS partitions picked by a hash
+of their numbers, and of each the first SAMPLE_BYTES of text. Executors measure; only seconds and counts come to the
+driver. The rule with the most rejections per second goes first, the next ones by what they reject of the rest, and a
+document that one rule rejects is not shown to the next. Words, which all rules need, count for none. The order changes
+the time spent and never the verdict: a document is kept if no rule rejects it. ``apply`` orders the base rule with the
+others; ``judge`` states its verdict and all measures for every document, so there it comes first.
+
+Defined results: a null or empty text has no words and is rejected by the base rule; null and repeated ids, ties and
+repeated rows are judged alike, each row by its own text; an empty table gives an empty result; further columns pass
+through ``apply`` untouched, whatever their names are. A very long text is a block of its own.
 """
 
 from __future__ import annotations
 
 import time
+import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm import scan
+from docloom.llm import scan, work
 
-#: Documents on which cost and selectivity are estimated.
-SAMPLE_ROWS = 512
+#: Partitions on which cost and selectivity are estimated, and bytes of text of each.
+SAMPLE_TASKS, SAMPLE_BYTES = 32, 256 << 10
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 LETTER = np.zeros(256, bool)
@@ -123,22 +131,58 @@ RULES = (
 )
 
 
-def order_rules(rules: tuple[Rule, ...], blocks: list[View]) -> tuple[Rule, ...]:
-    """Rules by rejections per second over the sample, most first; equal rates keep the given order."""
-    rates = []
-    for rule in rules:
-        began, hits = time.perf_counter(), 0
-        for b in blocks:
-            hits += int(rule.rejects(View(b.buf, b.offsets)).sum())
-        rates.append(hits / max(time.perf_counter() - began, 1e-9))
-    return tuple(r for _, r in sorted(zip(rates, rules, strict=True), key=lambda x: -x[0]))
-
+def measured(rules: tuple[Rule, ...], views: Iterator[View]) -> tuple[np.ndarray, dict[int, int]]:
+    """Seconds of each rule, and how many documents each set of rules (as bits) rejects."""
+    seconds, sets = np.zeros(len(rules)), Counter()
+    for v in views:
+        bits = np.zeros(len(v.offsets) - 1, np.int64)
+        for i, rule in enumerate(rules):
+            fresh = View(v.buf, v.offsets, {"words": v.words})
+            began = time.perf_counter()
+            bits |= rule.rejects(fresh).astype(np.int64) << i
+            seconds[i] += time.perf_counter() - began
+        sets.update(bits.tolist())
+    return seconds, dict(sets)
+
+
+def ordered(rules: tuple[Rule, ...], seconds: np.ndarray, sets: dict[int, int]) -> tuple[Rule, ...]:
+    """Rules by rejections per second among what the rules before them leave; equal rates keep the given order."""
+    left, out = list(range(len(rules))), []
+    while left:
+        rate = lambda i: sum(n for bits, n in sets.items() if bits >> i & 1) / max(seconds[i], 1e-9)
+        best = max(left, key=lambda i: (rate(i), -i))
+        out.append(rules[best])
+        left.remove(best)
+        sets = {bits: n for bits, n in sets.items() if not bits >> best & 1}
+    return tuple(out)
+
+
+def order_rules(docs: DataFrame, rules: tuple[Rule, ...], column: str) -> tuple[Rule, ...]:
+    """The rules in the order that the sample suggests."""
+    each = docs.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    every = max(1, work.input_bytes(docs) // each // SAMPLE_TASKS)
 
-def sample_views(docs: DataFrame, column: str, rows: int = SAMPLE_ROWS) -> list[View]:
-    """The bounded sample on which rules are timed."""
-    got = [r[0] or "" for r in docs.select(column).limit(rows).collect()]
-    batch = pa.RecordBatch.from_arrays([pa.array(got, pa.string())], names=["text"])
-    return [View(b.buf, b.offsets) for b in scan.blocks(iter([batch]), "text")]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        task = context.partitionId() if context else 0
+        if zlib.crc32(str(task).encode()) % every:
+            return
+        views, size = [], 0
+        for b in scan.blocks(batches, "text"):
+            views.append(View(b.buf, b.offsets))
+            size += len(b.buf)
+            if size >= SAMPLE_BYTES:
+                break
+        seconds, sets = measured(rules, iter(views))
+        rows = [*((-1 - i, float(x)) for i, x in enumerate(seconds)), *((k, float(n)) for k, n in sets.items())]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.float64())], names=["key", "value"])
+
+    rows = docs.select(docs[column].alias("text")).mapInArrow(run, "key long, value double").groupBy("key").agg(F.sum("value").alias("value")).collect()
+    seconds = np.zeros(len(rules))
+    for r in rows:
+        if r["key"] < 0:
+            seconds[-1 - r["key"]] = r["value"]
+    return ordered(rules, seconds, {r["key"]: int(r["value"]) for r in rows if r["key"] >= 0})
 
 
 def cascade(view: View, rules: tuple[Rule, ...]) -> np.ndarray:
@@ -158,7 +202,7 @@ DIGEST = T.StructType([T.StructField(n, T.LongType()) for n in ("n_words", "word
 
 def judge(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Measures and verdict per document; one pass, no shuffle."""
-    ordered = order_rules(rules, sample_views(docs, text_column))
+    by_rate = order_rules(docs, rules, text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in scan.blocks(batches, "text"):
@@ -166,7 +210,7 @@ def judge(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
             failed = BASE.rejects(v)
             kept = np.zeros(b.n, bool)
             sound = np.flatnonzero(~failed)
-            kept[sound[cascade(v.take(~failed), ordered)]] = True
+            kept[sound[cascade(v.take(~failed), by_rate)]] = True
             out = [b.rows.column(0), *(pa.array(np.asarray(getattr(v, n), np.int64)) for n in DIGEST.names[:5]), pa.array(failed), pa.array(kept)]
             yield pa.RecordBatch.from_arrays(out, names=["id", *DIGEST.names])
 
@@ -177,11 +221,11 @@ def judge(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
 
 def apply(docs: DataFrame, text_column: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents that no rule rejects, with all their columns; the rules' measures are not computed for others."""
-    ordered = (BASE, *order_rules(rules, sample_views(docs, text_column)))
+    by_rate = order_rules(docs, (BASE, *rules), text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in scan.blocks(batches, text_column):
-            alive = cascade(View(b.buf, b.offsets), ordered)
+            alive = cascade(View(b.buf, b.offsets), by_rate)
             if len(alive):
                 yield b.rows.take(pa.array(alive))
 

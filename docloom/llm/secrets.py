@@ -9,8 +9,13 @@ document ordered by position, so no pairs are made however dense a text is.
 Positions are code points, end exclusive. Spark has no function for match positions; a text is split by the
 pattern and the running sum of the lengths of gaps and matches gives them. Only lengths are shuffled.
 
-Defined results: a null or empty text has no spans; rows that repeat an id are scanned apart; spans that
-start together are listed in the order of ``KINDS``; an empty table gives an empty result.
+``credentials`` gives the links themselves: each secret part with the nearest access id and, if there is one in reach of that, the
+nearest endpoint.
+
+Defined results: a null or empty text has no spans; rows that repeat an id, or have none, are scanned apart; spans that
+start together are listed in the order of ``KINDS``; of two parts that are equally near the earlier one is linked; an
+empty table gives an empty result; further columns are ignored. A text is scanned whole by one task; of its matches only
+lengths leave it.
 """
 
 from __future__ import annotations
@@ -50,14 +55,19 @@ def _pieces(text: Column, k: int) -> Column:
     return F.when(text.rlike(pattern), rows).otherwise(nothing)
 
 
-def parts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per reported span (id, row, kind number, start, end), and one with a null kind per document without."""
+def _placed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """Every match (id, row, kind, start, end) and one row with a null kind per document without."""
     rows = docs.select(F.col(id_column).alias("id"), F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     found = rows.select("id", "row", F.explode_outer(F.concat(*(_pieces(F.col("text"), k) for k in range(len(KINDS))))).alias("p"))
     found = found.select("id", "row", "p.*").repartition("row")
     upto = F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy("row", "kind").orderBy("at"))
     placed = found.withColumn("end", upto).withColumn("start", F.col("end") - F.col("size"))
-    placed = placed.withColumn("kind", F.when(F.col("sound"), F.col("kind")))
+    return placed.withColumn("kind", F.when(F.col("sound"), F.col("kind")))
+
+
+def parts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row per reported span (id, row, kind number, start, end), and one with a null kind per document without."""
+    placed = _placed(docs, id_column, text_column)
     near = Window.partitionBy("row").orderBy("start").rangeBetween(-REACH, REACH)
     access = F.max(F.when(F.col("kind") == 1, 1).otherwise(0)).over(near) == 1
     secret = F.max(F.when(F.col("kind").isin(0, 3), 1).otherwise(0)).over(near) == 1
@@ -65,6 +75,22 @@ def parts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     return placed.withColumn("told", told).select("id", "row", F.when(F.col("told"), F.col("kind")).alias("kind"), "start", "end")
 
 
+def credentials(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(id, secret, access, endpoint) as spans: each assignment or weak secret within REACH of an access id, with the nearest one and the endpoint nearest to the secret."""
+    placed = _placed(docs, id_column, text_column).filter("kind IS NOT NULL")
+    span = F.struct("start", "end")
+    before = Window.partitionBy("row").orderBy("start").rangeBetween(-REACH, 0)
+    behind = Window.partitionBy("row").orderBy("start").rangeBetween(0, REACH)
+
+    def nearest(kind: int) -> Column:
+        own = F.when(F.col("kind") == kind, span)
+        a, b = F.max(own).over(before), F.min(own).over(behind)
+        return F.when(b.isNull() | (F.col("start") - a["start"] <= b["start"] - F.col("start")), a).otherwise(b)
+
+    linked = placed.withColumns({"access": nearest(1), "endpoint": nearest(4), "secret": span})
+    return linked.filter(F.col("kind").isin(0, 3) & F.col("access").isNotNull()).select(F.col("id").alias(id_column), "secret", "access", "endpoint")
+
+
 def scan_secrets(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per document: counts of the strong kinds and the spans as array<struct<start,kind,end,name>>."""
     one = F.struct("start", "kind", "end", F.element_at(F.array(*(F.lit(k) for k, _ in KINDS)), F.col("kind") + 1).alias("name"))

@@ -50,7 +50,7 @@ def likely(df: DataFrame, wanted: DataFrame, columns: list[str]) -> DataFrame:
 
 
 #: Keys that are joined by broadcast because they are hot, at most, and rows from which a key counts as hot.
-HOT_KEYS, HOT_ROWS = 20_000, 2_000
+HOT_KEYS, HOT_ROWS = 20_000, 200
 
 
 def joined(rows: DataFrame, keys: DataFrame, on: list[str], weight: str) -> DataFrame:
