@@ -479,6 +479,49 @@ def test_a_shard_larger_than_its_memory(monkeypatch):
     assert got.tolist() == [first[p[i : i + 50].tobytes()] for p in parts for i in range(len(p) - 49)]
 
 
+def test_bits():
+    rng = np.random.default_rng(3)
+    for n, share in ((1, 1.0), (64, 0.5), (1000, 0.02), (1000, 0.9)):
+        bits = rng.random(n) < share
+        bits[0] = True
+        held = substrings.Bits(bits)
+        at = np.arange(n + 1)
+        assert held.rank(at).tolist() == [int(bits[:i].sum()) for i in at]
+        assert held.select(np.arange(held.total)).tolist() == np.flatnonzero(bits).tolist()
+
+
+def test_index_finds_windows_of_other_sequences():
+    rng = np.random.default_rng(9)
+    for depth in (2, 3, 5):
+        parts = [rng.integers(1, 5, rng.integers(1, 40)) for _ in range(12)]
+        owner = rng.permutation(12)
+        text = np.concatenate([[0], *(np.append(p, 0) for p in parts)])
+        own = np.concatenate([[99], *(np.append(np.full(len(p), o), 99) for p, o in zip(parts, owner, strict=True))])
+        index = substrings.FMIndex(text, own, depth)
+        first: dict = {}
+        for p, o in zip(parts, owner, strict=True):
+            for i in range(len(p) - depth + 1):
+                first[tuple(p[i : i + depth])] = min(first.get(tuple(p[i : i + depth]), 99), o)
+        asked = rng.integers(-1, 6, 300)
+        asked[asked == 5] = 4
+        begin, count = np.array([0, 100, 101, 150]), np.array([100, 1, 49, 150])
+        at, least = index.stream(asked, begin, count)
+        want = {b + i: first[tuple(asked[b + i : b + i + depth])] for b, n in zip(begin, count, strict=True) for i in range(n - depth + 1) if tuple(asked[b + i : b + i + depth]) in first}
+        assert want and dict(zip(at.tolist(), least.tolist(), strict=True)) == want and len(at) == len(want)
+
+
+def test_words_with_one_hash_stay_apart(monkeypatch):
+    payload = np.frombuffer(b"aa bb aa cc", np.uint8)
+    w = substrings.scan.words(payload, np.array([0, len(payload)]), substrings.scan.WORD)
+
+    class Same:
+        def ranges(self, a, b):
+            return np.zeros(len(a), np.uint64)
+
+    monkeypatch.setattr(substrings.scan, "byte_prefix", lambda *_: Same())
+    assert substrings.symbols_of(payload, w).tolist() == [1, 2, 1, 3]
+
+
 def test_wavelet_rank():
     rng = np.random.default_rng(4)
     values = rng.integers(0, 37, 500)
