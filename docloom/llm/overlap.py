@@ -40,19 +40,18 @@ from docloom.llm import scan, work
 #: Input bytes in a group of documents: so many up to GROUPS groups, then more, up to GROUP_MOST.
 GROUP_BYTES, GROUPS, GROUP_MOST = 8 << 20, 512, 32 << 20
 #: Input bytes whose anchors make a bucket, and whose fragments make a shard.
-BUCKET_BYTES, SHARD_BYTES = 64 << 20, 8 << 20
+BUCKET_BYTES, SHARD_BYTES = 16 << 20, 8 << 20
 #: Runs of an anchor, as far as groups count them (255 each), from which it is hot.
 HOT_RUNS = 100_000
-#: Parts of a shard that are indexed one after another.
-PARTS = 4
 
 
 @dataclass(frozen=True)
 class Units:
-    """What a window is made of. ``split`` gives unit values and the first unit of each document, ``cut`` the bytes of unit ranges."""
+    """What a window is made of. ``split`` gives unit values and the first unit of each document, ``cut`` the bytes of unit ranges; a shard is indexed in ``parts``, one after another."""
 
     width: int
     gram: int
+    parts: int
     split: Callable[[scan.Block], tuple[np.ndarray, np.ndarray, object]]
     cut: Callable[[scan.Block, object, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
@@ -271,7 +270,7 @@ def remove_repeated(docs: DataFrame, units: Units, kernel: Kernel, finish: Finis
             if lo < hi:
                 r = rep[lo:hi]
                 dest.append(s)
-                blobs.append(squeeze(payload[gather(begin[r], lens[r])], lens[r].astype("<u4"), (short[r] % np.uint64(PARTS)).astype("u1"), owner[r].astype("<i8"), count[r].astype("<u4")))
+                blobs.append(squeeze(payload[gather(begin[r], lens[r])], lens[r].astype("<u4"), (short[r] % np.uint64(units.parts)).astype("u1"), owner[r].astype("<i8"), count[r].astype("<u4")))
         # to itself: where each fragment stands
         dest.append(shards + g)
         blobs.append(squeeze(doc.astype("<u4"), start.astype("<u4"), which.astype("<u4"), count[rep].astype("<u4"), owner[rep].astype("<i8"), shard.astype("<u4")))
@@ -288,7 +287,7 @@ def remove_repeated(docs: DataFrame, units: Units, kernel: Kernel, finish: Finis
         begin = np.concatenate([[0], np.cumsum(lens)])[:-1]
         bit_at = np.concatenate([[0], np.cumsum(count)])
         bits = np.zeros(bit_at[-1], bool)
-        for p in range(PARTS):
+        for p in range(units.parts):
             mine = np.flatnonzero(part == p)
             if not len(mine):
                 continue

@@ -46,7 +46,7 @@ def _cut(b: scan.Block, w: scan.Words, lo: np.ndarray, hi: np.ndarray) -> tuple[
     return out, stops[np.cumsum(hi - lo) - 1]
 
 
-UNITS = overlap.Units(WIDTH, GRAM, _split, _cut)
+UNITS = overlap.Units(WIDTH, GRAM, 16, _split, _cut)
 
 
 class Bits:
@@ -189,7 +189,8 @@ def symbols_of(payload: np.ndarray, w: scan.Words) -> np.ndarray:
     hashes = scan.byte_prefix(payload).ranges(w.starts, w.ends)
     _, rep, symbol = np.unique(hashes, return_index=True, return_inverse=True)
     size, rep = w.ends - w.starts, rep[symbol]
-    if np.array_equal(size, size[rep]) and np.array_equal(payload[overlap.gather(w.starts, size)], payload[overlap.gather(w.starts[rep], size)]):
+    runs = np.split(np.arange(len(rep)), np.arange(1 << 15, len(rep), 1 << 15))
+    if np.array_equal(size, size[rep]) and all(np.array_equal(payload[overlap.gather(w.starts[k], size[k])], payload[overlap.gather(w.starts[rep[k]], size[k])]) for k in runs):
         return symbol + 1
     seen: dict[bytes, int] = {}
     return np.array([seen.setdefault(payload[a:b].tobytes(), len(seen) + 1) for a, b in zip(w.starts, w.ends, strict=True)])

@@ -43,7 +43,7 @@ DEPTH = 56
 #: Bytes whose hashes are anchors.
 GRAM = 20
 #: Items that all queues keep in memory, items that a step takes, and bytes from which a table is a mapped file.
-POOL_ITEMS, CHUNK, MAPPED_BYTES = 1 << 19, 1 << 18, 64 << 20
+POOL_ITEMS, CHUNK, MAPPED_BYTES = 3 << 18, 1 << 18, 64 << 20
 NONE = 255
 
 
@@ -55,7 +55,7 @@ def _cut(b: scan.Block, _: None, lo: np.ndarray, hi: np.ndarray) -> tuple[np.nda
     return b.buf[overlap.gather(lo, hi - lo)], np.cumsum(hi - lo)
 
 
-UNITS = overlap.Units(WIDTH, GRAM, _split, _cut)
+UNITS = overlap.Units(WIDTH, GRAM, 4, _split, _cut)
 
 
 def table(n: int, kind: type | str, fill: int | None = None) -> np.ndarray:
