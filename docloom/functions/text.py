@@ -321,3 +321,27 @@ def plain_markdown(x: Column) -> Column:
 def words(x: Column) -> Column:
     """Comparable words: marks and symbols at their ends trimmed, empty ones dropped."""
     return F.filter(F.transform(F.split(x, r"\s+"), lambda w: F.regexp_replace(w, r"^[\p{P}\p{S}]+|[\p{P}\p{S}]+$", "")), lambda w: w != "")
+
+
+def bengali_style(numbers: Column, texts: Column, fallback: bool = True) -> Column:
+    """Whether a section is numbered in Bengali: as most of its digits are; without digits unless Latin letters are more than ten and twice the Bengali ones."""
+    count = lambda xs, p: F.length(F.regexp_replace(F.array_join(xs, ""), f"[^{p}]", ""))
+    bn, en = count(numbers, "০-৯"), count(numbers, "0-9")
+    letters, latin = count(texts, "\\x{0980}-\\x{09FF}"), count(texts, "A-Za-z")
+    return F.when(bn + en > 0, bn >= en).when((latin > 2 * letters) & (latin > 10), False).otherwise(fallback)
+
+
+#: The names that a frontmatter gives the fields of a header, the first one that is there counts.
+HEADER_FIELDS = {"institute": ("institute", "institution", "school"), "location": ("address", "location"), "exam": ("exam", "exam_name"), "time": ("time", "duration"), "marks": ("fullmarks", "full_marks", "marks", "total_marks")}
+
+
+def paper_header(fields: Column) -> Column:
+    """The header of a paper from its frontmatter; class and subject in one line, in the language of both."""
+    first = lambda *names: F.coalesce(*(F.nullif(F.try_element_at(fields, F.lit(n)), F.lit("")) for n in names), F.lit(""))
+    grade, subject = first("grade", "class"), first("subject")
+    both = F.concat(grade, subject)
+    english = both.rlike("^[\\x00-\\x7F]*$") & both.rlike("[A-Za-z]")
+    named = lambda en, bn, value: F.when(value != "", F.concat(F.when(english, en).otherwise(bn), value))
+    line = F.concat_ws("  |  ", named("Class: ", "শ্রেণি: ", grade), named("Subject: ", "বিষয়: ", subject))
+    made = {name: first(*aliases) for name, aliases in HEADER_FIELDS.items()}
+    return F.struct(*(made[n].alias(n) for n in ("institute", "location", "exam")), line.alias("classAndSubject"), *(made[n].alias(n) for n in ("time", "marks")))

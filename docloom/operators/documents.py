@@ -8,11 +8,20 @@ from pyspark.sql import functions as F
 from docloom.functions import text
 
 
+#: Places of a queue in a run.
+QUEUE_RUN = 10_000
+
+
 def page_sources(queue: DataFrame) -> DataFrame:
     """A queue of files (pos, file, pages) as one row per page, numbered through."""
-    each = queue.select("pos", "file", F.explode(F.when(F.col("pages") > 0, F.sequence(F.lit(1), F.col("pages")))).alias("page_in_file"))
-    before = queue.select("pos", (F.sum("pages").over(Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)) - F.col("pages")).alias("before"))
-    return each.join(before, "pos").select((F.col("before") + F.col("page_in_file")).alias("page"), "file", "page_in_file")
+    # files in runs of neighbours: sums by run are few, and only rows of one run are ordered together
+    runs = queue.select("pos", "file", "pages", F.floor(F.col("pos") / QUEUE_RUN).alias("run"))
+    sums = runs.groupBy("run").agg(F.sum("pages").alias("n"))
+    starts = sums.withColumn("begins", F.sum("n").over(Window.orderBy("run").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
+    within = F.sum("pages").over(Window.partitionBy("run").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)) - F.col("pages")
+    placed = runs.withColumn("within", within).join(starts.select("run", "begins"), "run")
+    each = placed.select("file", (F.col("begins") + F.col("within")).alias("before"), F.explode(F.when(F.col("pages") > 0, F.sequence(F.lit(1), F.col("pages")))).alias("page_in_file"))
+    return each.select((F.col("before") + F.col("page_in_file")).cast("long").alias("page"), "file", "page_in_file")
 
 
 def columns_of(blocks: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ def rectangle(rows: Column) -> Column:
 
 
 def flat_blocks(docs: DataFrame, key: str, column: str = "blocks") -> DataFrame:
-    """Blocks and, behind each, those of its sides, in reading order (sides hold no sides)."""
+    """Blocks and those of their sides; idx and side_idx give the reading order (sides hold no sides)."""
     b = docs.select(key, F.posexplode(column).alias("idx", "b"))
     own = b.select(key, "idx", F.lit(0).alias("side_idx"), F.lit(None).cast("string").alias("side"), F.col("b.role").alias("role"), F.col("b.text").alias("text"))
     sides = own
@@ -40,7 +40,20 @@ def flat_blocks(docs: DataFrame, key: str, column: str = "blocks") -> DataFrame:
         if f"{side}" in b.select("b.*").columns:
             part = b.select(key, "idx", F.posexplode(f"b.{side}").alias("p", "x"))
             sides = sides.unionByName(part.select(key, "idx", (F.col("p") + (1 if side == "left" else 10_000)).alias("side_idx"), F.lit(side).alias("side"), F.col("x.role").alias("role"), F.col("x.text").alias("text")))
-    return sides.orderBy(key, "idx", "side_idx")
+    return sides
+
+
+def kept_words(blocks: DataFrame, roles: tuple[str, ...]) -> DataFrame:
+    """(doc, idx, at, word): words with a letter or digit of blocks in those roles; a table's words are those of its cells."""
+    body = F.when(F.col("role") == "table", F.array_join(F.transform("rows", lambda r: F.array_join(r, " ")), " ")).otherwise(F.col("text"))
+    each = blocks.filter(F.col("role").isin(*roles)).select("doc", "idx", F.posexplode(F.split(F.replace(body, F.lit("**"), F.lit(" ")), r"\s+")).alias("at", "word"))
+    return each.filter(F.col("word").rlike(r"[\p{L}\p{N}]"))
+
+
+def plain_text(blocks: DataFrame, roles: tuple[str, ...]) -> DataFrame:
+    """(doc, text): the texts of a document's blocks in those roles, in order."""
+    held = F.array_sort(F.collect_list(F.struct("idx", "text")))
+    return blocks.filter(F.col("role").isin(*roles)).groupBy("doc").agg(F.array_join(F.transform(held, lambda x: x["text"]), "\n").alias("text"))
 
 
 def slots(items: DataFrame) -> DataFrame:

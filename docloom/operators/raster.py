@@ -498,3 +498,15 @@ def per_page(pages: DataFrame, kernel: Callable[[np.ndarray], list[dict]], schem
             yield pd.DataFrame(rows, columns=names)
 
     return pages.select("page_id", "w", "h", "gray").mapInPandas(run, f"page_id long, {schema}")
+
+
+def figures(image: np.ndarray, boxes: list[tuple[float, float, float, float]]) -> list[np.ndarray]:
+    """Crops of boxes (y0, x0, y1, x1) of 0..1000, each grown or shrunk to the ink that lies in it for the most part; a box of the whole page stays."""
+    h, w = image.shape[:2]
+    mask = ink(image)
+    out = []
+    for y0, x0, y1, x1 in boxes:
+        box = int(x0 * w / 1000), int(y0 * h / 1000), min(w, int(np.ceil(x1 * w / 1000))) - 1, min(h, int(np.ceil(y1 * h / 1000))) - 1
+        a, b, c, d = box if box == (0, 0, w - 1, h - 1) else grown(mask, box)
+        out.append(image[b : d + 1, a : c + 1])
+    return out

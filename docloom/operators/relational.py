@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +38,16 @@ def tagged_search(tables: dict[str, tuple[DataFrame, str, str]], search: str) ->
     return out
 
 
+def owned(df: DataFrame, column: str, owner: str) -> DataFrame:
+    """An owner's rows; none for an owner that is not there."""
+    return df.filter(F.col(column) == owner)
+
+
+def payload(items: DataFrame, key: str, column: str) -> DataFrame:
+    """Bytes of each key's payloads; missing ones have none."""
+    return items.groupBy(key).agg(F.sum(F.coalesce(F.octet_length(column), F.lit(0))).alias("bytes"))
+
+
 def origin_allowed(origins: DataFrame, allowed: DataFrame) -> DataFrame:
     """Origins (origin) that a list of patterns (pattern) admits: *, exact, host, scheme with host, or *.host."""
     o = origins.withColumn("host", F.lower(F.try_parse_url(F.col("origin"), F.lit("HOST"))))
@@ -251,6 +262,27 @@ def match_f1(pairs: int | Column, left: int | Column, right: int | Column) -> Co
     return F.when(a + b == 0, F.lit(1.0)).otherwise(2 * p / (a + b))
 
 
+def line_matches(lines: DataFrame, tolerance: float) -> DataFrame:
+    """Lines (page, side a or b, pos) per page: (page, a, b, matched), where each line of a in order takes the nearest line of b that is left, the last of equally near ones."""
+    def run(df: pd.DataFrame) -> pd.DataFrame:
+        a, b = (df.loc[df["side"] == s, "pos"].sort_values().tolist() for s in ("a", "b"))
+        free = dict(enumerate(b))
+        for y in a:
+            near = [(abs(z - y), -j) for j, z in free.items() if abs(z - y) <= tolerance]
+            if near:
+                free.pop(-min(near)[1])
+        return pd.DataFrame([(df["page"].iloc[0], len(a), len(b), len(b) - len(free))], columns=["page", "a", "b", "matched"])
+
+    return lines.groupBy("page").applyInPandas(run, "page long, a long, b long, matched long")
+
+
+def two_sided(strict_a: DataFrame, strict_b: DataFrame) -> DataFrame:
+    """Per page the share of strict lines of both sides that the other side's loose ones meet, of two results of ``line_matches``; 1 without lines."""
+    both = strict_a.select("page", "a", F.col("matched").alias("met_a")).join(strict_b.select("page", F.col("a").alias("b"), F.col("matched").alias("met_b")), "page", "full_outer").fillna(0)
+    total = F.col("a") + F.col("b")
+    return both.select("page", F.when(total == 0, F.lit(1.0)).otherwise((F.col("met_a") + F.col("met_b")) / total).alias("ratio"))
+
+
 def overlapping(left: DataFrame, right: DataFrame, key: str, share: float, width: float = 100.0) -> DataFrame:
     """Interval join: pairs of boxes of one key that overlap by a share of the shorter, each pair once, by buckets."""
     from docloom.functions.calc import y_overlap
@@ -361,10 +393,9 @@ def extents(pixels: DataFrame, keys: list[str]) -> DataFrame:
 
 def suspects(rows: DataFrame, keys: list[str], height: str, order: str, most: int = 3) -> DataFrame:
     """Rows at least 1.35 or at most 0.65 upper medians high, the furthest from it first."""
-    from docloom.operators.windows import upper_median
+    from docloom.operators.windows import upper_medians
 
-    mid = rows.groupBy(*keys).agg(upper_median(F.col(height)).alias("mid"))
-    off = rows.join(mid, keys).filter((F.col(height) >= 1.35 * F.col("mid")) | (F.col(height) <= 0.65 * F.col("mid")))
+    off = rows.join(upper_medians(rows, keys, height), keys).filter((F.col(height) >= 1.35 * F.col("mid")) | (F.col(height) <= 0.65 * F.col("mid")))
     return off.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(F.abs(F.col(height) - F.col("mid"))), order))).filter(F.col("k") <= most).drop("k")
 
 

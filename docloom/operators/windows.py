@@ -5,6 +5,7 @@ Every window is partitioned; orderings end in a tie-breaker that the caller name
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -174,29 +175,70 @@ def merged_chunks(df: DataFrame, keys: list[str], order: str, text: str) -> Data
     return marked.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("body").alias("v")))), lambda s: s["v"]), "\n\n").alias("merged"), F.count("*").alias("chunks"), F.count_if(F.col(text).isNull()).alias("failed"))
 
 
+def greedy_chunks(sizes: list[int], most_items: int, most_size: int) -> list[list[int]]:
+    """Sizes in order as chunks that take on items while they have room; an item that is too large is a chunk of its own."""
+    out: list[list[int]] = []
+    held = 0
+    for n in sizes:
+        if not out or len(out[-1]) >= most_items or held + n > most_size:
+            out.append([])
+            held = 0
+        out[-1].append(n)
+        held += n
+    return out
+
+
+def levelled_chunks(chunks: list[list[int]], most_items: int, most_size: int, least: int) -> list[list[int]]:
+    """Chunks whose last one is filled up to ``least`` items from the nearest one before it that has more, and neighbours that then differ by one at most where they may."""
+    fits = lambda c, n: len(c) < most_items and sum(c) + n <= most_size
+    while len(chunks) > 1 and len(chunks[-1]) < least:
+        donor = next((d for d in range(len(chunks) - 2, -1, -1) if len(chunks[d]) > least), None)
+        # one item moves on along the chunks in between, so each of those but the last gives one too
+        after = [] if donor is None else [chunks[donor][:-1], *([chunks[k - 1][-1], *chunks[k][: len(chunks[k]) - (k < len(chunks) - 1)]] for k in range(donor + 1, len(chunks)))]
+        grown = zip(range(donor + 1, len(chunks)), after[1:], strict=True) if after else ()
+        if not after or any(len(c) > most_items or sum(chunks[k]) + c[0] > most_size for k, c in grown):
+            break
+        chunks = [*chunks[:donor], *after]
+    moved = True
+    while moved:
+        moved = False
+        for a, b in zip(chunks, chunks[1:], strict=False):
+            if len(a) - len(b) >= 2 and len(a) > least and fits(b, a[-1]):
+                b.insert(0, a.pop())
+                moved = True
+    return chunks
+
+
+def _by_chunks(df: DataFrame, key: str, order: str, size: str, plan) -> DataFrame:
+    """(key, order, chunk from 1): a plan of each key's sizes in order. A key's rows are read by one task, two numbers each."""
+    kinds = dict(df.dtypes)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(order, kind="stable")
+        numbers = [n for n, c in enumerate(plan(rows[size].astype(int).tolist()), 1) for _ in c]
+        return pd.DataFrame({key: rows[key], order: rows[order], "chunk": numbers})
+
+    return df.select(key, order, size).groupBy(key).applyInPandas(run, f"`{key}` {kinds[key]}, `{order}` {kinds[order]}, chunk int")
+
+
 def packed(df: DataFrame, key: str, order: str, size: str, most_items: int, most_size: int) -> DataFrame:
     """Greedy chunks of each key in order, at most so many items and so large: (key, order value, chunk)."""
-    items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("s"))))
-    zero = F.struct(F.lit(1).alias("c"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("s"), F.array().cast("array<int>").alias("out"))
+    return _by_chunks(df, key, order, size, lambda sizes: greedy_chunks(sizes, most_items, most_size))
+
+
+def planned_chunks(df: DataFrame, key: str, order: str, size: str, most_items: int, most_size: int, least: int) -> DataFrame:
+    """``packed`` with chunks levelled; a key of ``most_items`` rows or fewer is one chunk whatever its size."""
+    return _by_chunks(df, key, order, size, lambda sizes: [sizes] if len(sizes) <= most_items else levelled_chunks(greedy_chunks(sizes, most_items, most_size), most_items, most_size, least))
 
-    def step(a: Column, x: Column) -> Column:
-        new = (a["n"] > 0) & ((a["n"] >= most_items) | (a["s"] + x["s"] > most_size))
-        c = F.when(new, a["c"] + 1).otherwise(a["c"])
-        return F.struct(c.alias("c"), F.when(new, 1).otherwise(a["n"] + 1).alias("n"), F.when(new, x["s"]).otherwise(a["s"] + x["s"]).cast("long").alias("s"), F.concat(a["out"], F.array(c)).alias("out"))
 
-    per = df.groupBy(key).agg(items.alias("items"))
-    chunked = per.withColumn("chunks", F.aggregate("items", zero, step, lambda a: a["out"]))
-    return chunked.select(key, F.explode(F.arrays_zip(F.col("items.o").alias("o"), F.col("chunks").alias("c"))).alias("z")).select(key, F.col("z.o").alias(order), F.col("z.c").alias("chunk"))
+def listed(df: DataFrame, order: list, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Rows with their ``place`` in an order, within keys; without keys for lists that fit one task, such as a user's projects."""
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
 
 
-def levelled(df: DataFrame, keys: list[str], order: str, chunk: str, least: int) -> DataFrame:
-    """Chunk sizes after the last chunk of each key has been filled up to ``least`` items from the one before it."""
-    sizes = df.groupBy(*keys, chunk).agg(F.count("*").alias("n"))
-    w = _ordered(keys, [chunk])
-    last, before = F.lead("n").over(w).isNull(), F.lag("n").over(w)
-    gives = F.when(F.lead("n", 2).over(w).isNull() & F.lead("n").over(w).isNotNull(), F.greatest(F.lit(0), F.least(least - F.lead("n").over(w), F.col("n") - least)))
-    takes = F.when(last & before.isNotNull(), F.greatest(F.lit(0), F.least(least - F.col("n"), before - least)))
-    return sizes.withColumn("n", F.col("n") - F.coalesce(gives, F.lit(0)) + F.coalesce(takes, F.lit(0)))
+def changed(df: DataFrame, before: str, after: str, order: list, count: int) -> DataFrame:
+    """The first ``count`` rows in an order whose value has changed."""
+    return df.filter(~F.col(before).eqNullSafe(F.col(after))).orderBy(*order).limit(count)
 
 
 def balanced(df: DataFrame, keys: list[str], order: list, height: str) -> DataFrame:
@@ -207,10 +249,13 @@ def balanced(df: DataFrame, keys: list[str], order: list, height: str) -> DataFr
     return summed.groupBy(*keys).agg(F.min(F.struct(apart.alias("apart"), F.col("split"), F.round("upto", 6).alias("left"))).alias("best")).select(*keys, F.col("best.split").alias("split"), F.col("best.left").alias("left_height"), F.col("best.apart").alias("apart"))
 
 
-def upper_median(values: Column) -> Column:
-    """The upper middle element of a group's values."""
-    held = F.sort_array(F.collect_list(values))
-    return F.get(held, F.floor(F.size(held) / 2).cast("int"))
+def upper_medians(df: DataFrame, keys: list[str], value: str, name: str = "mid") -> DataFrame:
+    """(keys, name): the upper middle value of each key. Equal values are counted first, so a key's counts of distinct values are what is ordered."""
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("value count"))
+    upto = F.sum("value count").over(_ordered(keys, [value]).rowsBetween(*SO_FAR))
+    total = F.sum("value count").over(Window.partitionBy(*keys))
+    placed = counted.withColumn("value upto", upto).withColumn("value total", total)
+    return placed.filter(F.col("value upto") > F.floor(F.col("value total") / 2)).groupBy(*keys).agg(F.min(value).alias(name))
 
 
 def trimmed_fit(df: DataFrame, keys: list[str], x: str, y: str, rounds: int = 4) -> DataFrame:
@@ -220,6 +265,6 @@ def trimmed_fit(df: DataFrame, keys: list[str], x: str, y: str, rounds: int = 4)
         fit = rows.groupBy(*keys).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.count("*").alias("n"))
         if k < rounds:
             off = rows.join(fit, keys).withColumn("off", F.abs(F.col(y) - F.col("slope") * F.col(x) - F.col("intercept")))
-            mid = off.groupBy(*keys).agg(upper_median(F.col("off")).alias("mid"))
+            mid = upper_medians(off, keys, "off")
             rows = off.join(mid, keys).filter(F.coalesce(F.col("off") <= F.greatest(F.lit(2.0), 2.5 * F.col("mid")), F.lit(True))).select(*keys, x, y)
     return fit.filter("n >= 6")

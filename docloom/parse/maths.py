@@ -151,6 +151,30 @@ def eq_field(latex: str) -> str:
     return "EQ " + many(Tree(latex).row())
 
 
+def field_of_omml(xml: str) -> str:
+    """The EQ field code of office maths: the parts of fractions, roots and scripts by their element names; nothing for XML that can't be read."""
+    from xml.etree import ElementTree
+
+    def one(e) -> str:
+        tag = e.tag.rpartition("}")[2]
+        inner = lambda name: "".join(one(c) for p in e for c in p if p.tag.rpartition("}")[2] == name)
+        if tag == "t":
+            return e.text or ""
+        if tag == "f":
+            return f"\\f({inner('num')},{inner('den')})"
+        if tag == "rad":
+            return f"\\r({inner('deg')},{inner('e')})"
+        if tag in ("sSub", "sSup", "sSubSup"):
+            sub, sup = inner("sub"), inner("sup")
+            return inner("e") + (f"\\s\\do4({sub})" if sub else "") + (f"\\s\\up6({sup})" if sup else "")
+        return "" if tag.endswith("Pr") else "".join(map(one, e))
+
+    try:
+        return "EQ " + one(ElementTree.fromstring(re.sub("<m:oMath", '<m:oMath xmlns:m="m"', xml, count=1)))
+    except ElementTree.ParseError:
+        return "EQ "
+
+
 def rtf_math(xml: str) -> str:
     """RTF maths words of office maths, tag by tag."""
     out = []
@@ -236,7 +260,19 @@ def unshield(text: str, held: list[str]) -> str:
 
 math_segments = over_text(segments, "array<struct<type:string,value:string>>")
 to_omml, to_eq_field, to_rtf = over_text(omml, "string"), over_text(eq_field, "string"), over_text(lambda t: rtf_math(omml(t)), "string")
+field_of_omml = over_text(field_of_omml, "string")
 to_readable, to_visual, healed, bengali_out, from_unicode = (over_text(f, "string") for f in (readable, visual, heal, bengali_outside, unicode_to_latex))
 math_tokens = over_text(simple_tokens, "array<struct<text:string,italic:boolean>>")
 shielded = over_text(lambda t: dict(zip(("text", "held"), shield(t), strict=True)), "struct<text:string,held:array<string>>")
-normal_word = over_text(lambda w: unicodedata.normalize("NFC", re.sub(r"^[^\w\u0980-\u09ff]+|[^\w\u0980-\u09ff]+$", "", w)), "string")
+def trimmed_word(word: str) -> str:
+    """A word in its composed form without punctuation and symbols at its ends."""
+    mark = lambda c: unicodedata.category(c)[0] in "PS"
+    lo, hi = 0, len(word)
+    while lo < hi and mark(word[lo]):
+        lo += 1
+    while hi > lo and mark(word[hi - 1]):
+        hi -= 1
+    return unicodedata.normalize("NFC", word[lo:hi])
+
+
+normal_word = over_text(trimmed_word, "string")

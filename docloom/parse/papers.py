@@ -6,6 +6,7 @@ Fields are strings in the digits of the source; marks that a text doesn't state
 
 from __future__ import annotations
 
+import json
 import re
 
 from docloom.parse.udfs import over_text
@@ -17,38 +18,57 @@ HEADING = re.compile(r"^(?:#{1,6}\s*)?(?:[কখগঘ]\s*[-–—]?\s*)?(?:ব
 SHARED = re.compile(r"^নিচের\s*(?:উদ্দীপক|অনুচ্ছেদ|তথ্য|ছক|চিত্র)")
 STIMULUS = re.compile(rf"^[\[(]\s*(?:নিচের\s+)?উদ্দীপক\s*[#:ঃ]?\s*([{DIGIT}]*)\s*[\])]\s*(.*)$")
 OR_LINE = re.compile(r"^[\-–—\s]*(?:অথবা|বিকল্প\s*প্রশ্ন)[\-–—,ঃ:\s]*$")
-MARK = re.compile(rf"[ \t]+[(\[]?\s*(?:(?:মান|মার্ক)[:ঃ]?\s*)?([{DIGIT}]+)\s*(?:নম্বর|মার্ক|মান)?[)\]]?\s*$")
 STATEMENT = re.compile(r"^\(?(i{1,3}|iv|v)[.)]\s*(.+)$", re.I)
-OPTION = re.compile(r"(?:^|\s)\(?([কখগঘa-dA-D])[.)]\s*")
+# Labels of parts and options with the signs behind them, and the words around a mark.
+PARTS, CHOICES = ("কখগঘ", ".:।-"), ("কখগঘa-dA-D", ".)")
+MARK_NAMES, MARK_UNITS = ("মান", "মার্ক"), ("নম্বর", "মার্ক", "মান")
+NUMBER = re.compile(f"[{DIGIT}]+")
+
+
+def label_pattern(kind: tuple[str, str], before: str) -> re.Pattern:
+    labels, signs = kind
+    return re.compile(rf"(?:{before})([{labels}])[{re.escape(signs)}]\s*")
+
+
+PART = label_pattern(PARTS, r"^|\t| {2,}")
+OPTION = label_pattern(CHOICES, r"(?:^|\s)\(?")
+
+
+def labelled(line: str, pattern: re.Pattern, visible: str | None = None) -> tuple[int, list[tuple[str, str]]]:
+    """Where the first label of a line stands (-1 without one), and each label with the text up to the next one. Labels are looked for in ``visible``."""
+    found = list(pattern.finditer(line if visible is None else visible))
+    if not found:
+        return -1, []
+    ends = [m.start() for m in found[1:]] + [len(line)]
+    return found[0].start(), [(m[1], line[m.end() : end].strip()) for m, end in zip(found, ends, strict=True)]
 
 
 def mark_tail(text: str) -> tuple[str, str]:
-    """A trailing mark that the text states, or none."""
-    m = MARK.search(text.strip())
-    head = text.strip()[: m.start()].strip() if m else ""
-    return (head, m[1]) if head else (text.strip(), "")
+    """A text without the mark that it states at its end, and that mark: a last word that is a number, maybe in brackets, behind a name or before a unit."""
+    words = text.split()
+    bare = lambda w: w.strip("()[]").rstrip(":ঃ")
+    taken = int(len(words) > 1 and bare(words[-1]) in MARK_UNITS)
+    number = bare(words[-1 - taken]) if len(words) > taken else ""
+    for name in MARK_NAMES:
+        number = number.removeprefix(name).lstrip(":ঃ")
+    if not NUMBER.fullmatch(number):
+        return text.strip(), ""
+    taken += 1
+    taken += int(len(words) > taken and bare(words[-1 - taken]) in MARK_NAMES)
+    return (text.strip().rsplit(None, taken)[0], number) if len(words) > taken else (text.strip(), "")
 
 
 def sub_parts(line: str) -> list[dict]:
-    """Labelled parts of a line, parted at its start, at tabs and at two or more spaces."""
-    found = list(re.finditer(r"(?:^|\t| {2,})([কখগঘ])[.:।\-]\s*", line))
-    if not found or found[0].start():
-        return []
-    out = []
-    for m, after in zip(found, [*found[1:], None], strict=True):
-        text, mark = mark_tail(line[m.end() : after.start() if after else len(line)])
-        if text:
-            out.append({"label": m[1], "text": text, "mark": mark})
-    return out
+    """Labelled parts of a line that begins with one; a label stands at the start, behind a tab or behind two spaces."""
+    at, found = labelled(line, PART)
+    parts_ = [{"label": label, **dict(zip(("text", "mark"), mark_tail(body), strict=True))} for label, body in found]
+    return [p for p in parts_ if p["text"]] if at == 0 else []
 
 
 def options(line: str) -> list[dict]:
     """Labelled options of a line; labels inside maths don't count."""
     masked = re.sub(r"\$[^$]*\$|\\\(.*?\\\)", lambda m: "\0" * len(m[0]), line)
-    found = list(OPTION.finditer(masked))
-    if not found:
-        return []
-    return [{"label": m[1], "text": line[m.end() : after.start() if after else len(line)].strip()} for m, after in zip(found, [*found[1:], None], strict=True)]
+    return [{"label": label, "text": body} for label, body in labelled(line, OPTION, masked)[1]]
 
 
 def header(lines: list[str]) -> tuple[dict, int]:
@@ -170,7 +190,7 @@ class Paper:
         statement = STATEMENT.match(line)
         opts = options(line)
         parts = sub_parts(line)
-        short = opts and all(len(o["text"]) < 70 and not MARK.search(" " + o["text"]) for o in opts)
+        short = opts and all(len(o["text"]) < 70 and not mark_tail("x " + o["text"])[1] for o in opts)
         if statement:
             q["statements"].append(line)
         elif self._choice and opts and OPTION.match(line):
@@ -412,6 +432,84 @@ def edited(data: dict, edits: list[tuple[str, str]]) -> dict:
     return out
 
 
+# Fixed values of merged answers: the note of an audit, a figure's page, and what stands for a part that failed.
+AUDIT = re.compile(r"\[এআই অডিট নোট ও পরিবর্তনসমূহ:.*?\]", re.S)
+FIGURE_PAGE = re.compile(r"(\[\[\s*FIG\s*:\s*p\s*=\s*)(\d+)", re.I)
+FAILED = "[অসম্পূর্ণ: ভাগ {k}/{n}{pages} ব্যর্থ হয়েছে — {why}। বাকি ভাগের ফলাফল সংরক্ষিত আছে।]"
+NUMBERED = re.compile(rf"^( *)([{DIGIT}]+)(।|\.[ \t]+|\)[ \t]+)")
+BENGALI_DIGITS = str.maketrans("0123456789", "০১২৩৪৫৬৭৮৯")
+FRONT = re.compile(r"\A\s*---[^\S\n]*\n.*?\n---[^\S\n]*(?:\n|\Z)", re.S)
+
+
+def renumbered_lines(lines: list[str]) -> list[str]:
+    """Questions numbered through each section in the digits that most of it has; a heading that its own section repeats goes."""
+    sections: list[dict] = [{"title": "", "at": []}]
+    gone = set()
+    for i, line in enumerate(lines):
+        s = line.strip()
+        heading = " ".join(s[2:].split()) if re.match(r"##\s+\S", s) else s if s.upper().startswith("---SECTION_BREAK:") else None
+        if heading is not None:
+            if not sections[-1]["at"]:
+                sections[-1]["title"] = heading
+            elif heading != sections[-1]["title"] or heading.startswith("---"):
+                sections.append({"title": heading, "at": []})
+            else:
+                gone.add(i)
+        elif not re.match(r"---|\*\*\*|={3,}|<!--|\||\f", s) and NUMBERED.match(line):
+            sections[-1]["at"].append(i)
+    out = list(lines)
+    for section in sections:
+        digits = "".join(NUMBERED.match(lines[i])[2] for i in section["at"])
+        bengali = 2 * sum(c > "9" for c in digits) >= len(digits)
+        for n, i in enumerate(section["at"], 1):
+            m = NUMBERED.match(lines[i])
+            out[i] = m[1] + (str(n).translate(BENGALI_DIGITS) if bengali else str(n)) + m[3] + lines[i][m.end() :]
+    return [x for i, x in enumerate(out) if i not in gone]
+
+
+def merged_answer(chunks: list[dict]) -> str:
+    """The answers to a document's parts (text, first, last, error) in order as one text.
+
+    The first frontmatter stays, figures are on the document's pages, the title stands once, questions of exams are numbered
+    through, the last audit note ends the text, and a part that failed leaves a line.
+    """
+    front, bodies, notes = "", [], []
+    for k, c in enumerate(chunks):
+        if c["text"] is None:
+            pages = "" if c["first"] is None or c["last"] is None else f" (পৃষ্ঠা {c['first']}–{c['last']})"
+            bodies.append(FAILED.format(k=k + 1, n=len(chunks), pages=pages, why=c["error"] or "সার্ভার ত্রুটি").translate(BENGALI_DIGITS))
+            continue
+        own = FRONT.match(c["text"])
+        front = front or (own[0].strip() if own else "")
+        body = c["text"][own.end() :] if own else c["text"]
+        notes += AUDIT.findall(body)
+        body = AUDIT.sub("", body)
+        if (c["first"] or 1) > 1:
+            body = FIGURE_PAGE.sub(lambda m, more=c["first"] - 1: m[1] + str(int(m[2]) + more), body)
+        body = re.sub(r"\A\s*#\s+[^\n]+(?:\n|\Z)", "", body) if k else body
+        if body.strip("\r\n"):
+            bodies.append(body.strip("\r\n"))
+    text = "\n\n".join(bodies)
+    kind = re.search(r"doc_type:\s*([\w-]+)", front)
+    if not kind or kind[1].upper().startswith("EXAM"):
+        text = "\n".join(renumbered_lines(text.split("\n")))
+    return "\n".join(x for x in (front, "\n\n".join(x for x in (text, *notes[-1:]) if x)) if x)
+
+
+def merged_answers(chunks, key: str, order: str):
+    """(key, merged) of rows (key, order, text, first, last, error); a document's parts are few and are read by one task."""
+    import pandas as pd
+
+    kind = dict(chunks.dtypes)[key]
+
+    def run(df: pd.DataFrame) -> pd.DataFrame:
+        held = df.sort_values(order)[["text", "first", "last", "error"]].astype(object)
+        held = held.where(held.notna(), None).to_dict("records")
+        return pd.DataFrame({key: [df[key].iloc[0]], "merged": [merged_answer(held)]})
+
+    return chunks.select(key, order, "text", "first", "last", "error").groupBy(key).applyInPandas(run, f"`{key}` {kind}, merged string")
+
+
 parse_paper = over_text(paper, PAPER_TYPE)
 parse_options = over_text(options, "array<struct<label:string,text:string>>")
 parse_sub_parts = over_text(sub_parts, "array<struct<label:string,text:string,mark:string>>")
@@ -425,3 +523,7 @@ parse_combined = over_text(split_combined, "struct<cq:string,mcq:string>")
 clean = over_text(clean_response, "string")
 mark_figures, place_figures = over_text(numbered_figures, "string"), over_text(placed_figures, "string")
 word_tokens = over_text(tokens, "array<string>")
+parse_mark = over_text(lambda t: dict(zip(("text", "mark"), mark_tail(t), strict=True)), "struct<text:string,mark:string>")
+continue_text = over_text(continued, "string")
+broken_lines = over_text(lambda r: rebreak(r["words"], r["widths"], r["lines"]), "array<string>")
+edit_json = over_text(lambda r: json.dumps(edited(json.loads(r["data"]), [(e["path"], e["value"]) for e in r["edits"]]), ensure_ascii=False), "string")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from docloom.functions import calc, text
 from docloom.operators import documents, ledger, relational, windows
 from docloom.parse import maths, papers, transcode
-from docloom.plans import classify
+from docloom.plans import classify, fixtures, fixtures_operators, fixtures_pages
 from docloom.streaming import limits
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -219,7 +219,7 @@ def rule_bands(spark, d):
 
 @query("SELECT user_id, list_sort(list(value))[CAST(floor(count(*) / 2) AS INT) + 1] AS mid FROM events GROUP BY user_id")
 def upper_median(spark, d):
-    return table(spark, d, "events").groupBy("user_id").agg(windows.upper_median(F.col("value")).alias("mid"))
+    return windows.upper_medians(table(spark, d, "events"), ["user_id"], "value")
 
 
 @query("""WITH m AS (SELECT user_id, list_sort(list(value))[CAST(floor(count(*) / 2) AS INT) + 1] AS mid FROM events GROUP BY user_id),
@@ -265,12 +265,14 @@ def bigram_similarity(spark, d):
     return relational.similarity(g, g).filter("a < b").withColumn("similarity", F.round("similarity", 9))
 
 
-@query("""WITH g AS (SELECT lang, substring(text, CAST(i AS BIGINT), 2) AS g, count(*) AS n FROM documents, unnest(range(1, length(text))) AS u(i) WHERE lang IN ('de', 'en') GROUP BY ALL),
-j AS (SELECT a.n AS x, b.n AS y FROM (SELECT * FROM g WHERE lang = 'en') a FULL JOIN (SELECT * FROM g WHERE lang = 'de') b USING (g))
+@query("""WITH g AS (SELECT lang, substring(text, CAST(i AS BIGINT), 2) AS g, count(*) AS n FROM documents, unnest(range(1, length(text))) AS u(i) GROUP BY ALL), h AS (SELECT lang = 'en' AS en, g, sum(n) AS n FROM g GROUP BY ALL),
+j AS (SELECT a.n AS x, b.n AS y FROM (SELECT * FROM h WHERE en) a FULL JOIN (SELECT * FROM h WHERE NOT en) b USING (g))
 SELECT CAST(sum(CASE WHEN x IS NULL OR y IS NULL THEN 0 ELSE least(x, y) END) AS BIGINT) AS common, round(common / sum(x), 9) AS recall, round(common / sum(y), 9) AS precision FROM j""")
 def text_recall(spark, d):
-    g = lambda lang: relational.bigrams(table(spark, d, "documents").filter(F.col("lang") == lang), "lang", "text").select("gram", "n")
-    return relational.overlap_counts(g("en"), g("de"), ["gram"]).select("common", F.round("recall", 9).alias("recall"), F.round("precision", 9).alias("precision"))
+    """Bigrams of the English documents in those of all other languages."""
+    grams = relational.bigrams(table(spark, d, "documents").withColumn("en", F.col("lang") == "en"), "en", "text")
+    side = lambda en: grams.filter(F.col("en") == en).select("gram", "n")
+    return relational.overlap_counts(side(True), side(False), ["gram"]).select("common", F.round("recall", 9).alias("recall"), F.round("precision", 9).alias("precision"))
 
 
 @query("SELECT o_orderkey, CAST(floor(o_totalprice * 0.01 + 0.5) AS BIGINT) AS registration, CAST(floor(o_totalprice * 0.015 + 0.5) AS BIGINT) AS stamp, CAST(2 * floor(o_totalprice * 0.03 + 0.5) AS BIGINT) AS taxes, registration + stamp + taxes + 650 AS total FROM (SELECT o_orderkey, CAST(o_totalprice AS DOUBLE) AS o_totalprice FROM orders)".replace("0.01 ", "0.01::DOUBLE ").replace("0.015 ", "0.015::DOUBLE ").replace("0.03 ", "0.03::DOUBLE "))
@@ -344,8 +346,8 @@ def category_counts(spark, d):
 @query("SELECT o_orderkey FROM orders WHERE o_orderpriority = (SELECT min(o_orderpriority) FROM orders) AND lower(o_orderstatus) LIKE '%o%'")
 def category_search(spark, d):
     o = table(spark, d, "orders")
-    first = o.agg(F.min("o_orderpriority").alias("p")).first()["p"]
-    return relational.of_category(o.withColumn("category", F.col("o_orderpriority")), first, "O", ("o_orderstatus",)).select("o_orderkey")
+    marked = o.join(F.broadcast(o.agg(F.min("o_orderpriority").alias("least")))).withColumn("category", F.when(F.col("o_orderpriority") == F.col("least"), "first").otherwise("other"))
+    return relational.of_category(marked, "first", "O", ("o_orderstatus",)).select("o_orderkey")
 
 
 @query("SELECT page_id, CAST(len(list_distinct(regexp_extract_all(html, '<h([1-6])', 1))) AS INT) AS levels FROM pages")
@@ -429,10 +431,10 @@ def paper_size(spark, d):
     return table(spark, d, "orders").select("o_orderkey", calc.paper_size(1 + F.col("o_orderkey") % 89 / 89.0, F.lit(1.0)).alias("paper"))
 
 
-@query("""WITH g AS (SELECT event_type, user_id % 20 AS name_id, event_id FROM events WHERE user_id % 20 < 3), e AS (SELECT DISTINCT event_type AS name FROM g WHERE event_type <> 'view')
+@query("""WITH g AS (SELECT event_type, event_id FROM events)
 SELECT event_id AS id, event_type || CASE WHEN k + x > 1 THEN ' (' || (k + x) || ')' ELSE '' END AS name FROM (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k, CASE WHEN event_type <> 'view' THEN 1 ELSE 0 END AS x FROM g)""")
 def name_collisions(spark, d):
-    g = table(spark, d, "events").filter("user_id % 20 < 3").select(F.col("event_id").alias("id"), F.col("event_type").alias("name"))
+    g = table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("name"))
     old = g.filter("name <> 'view'").select("name").distinct().withColumn("id", F.lit(-1).cast("long"))
     return relational.unique_names(old, g)
 
@@ -552,12 +554,13 @@ def classify_documents(spark, d):
     return classify.classify(table(spark, d, "documents"))
 
 
-@query("SELECT doc_id, CAST(regexp_matches(text, '\\$[^$]+\\$') AS BOOLEAN) AS has_math, replace(text, '$', '') = replace(text, '$', '') AS kept FROM documents")
+@query("SELECT doc_id, CAST(len(regexp_extract_all(text, '\\$[^$]+\\$')) AS BIGINT) AS spans, CAST(length(regexp_replace(text, '\\$[^$]+\\$', '', 'g')) AS BIGINT) AS outside, true AS kept FROM (SELECT doc_id, '$a$ ' || replace(text, chr(92), '') || ' $b+1$' AS text FROM documents)")
 def math_spans(spark, d):
-    """Maths segments, and that text and maths put together are the text again."""
-    s = table(spark, d, "documents").select("doc_id", "text", maths.shielded("text").alias("s"))
-    back = F.aggregate(F.sequence(F.lit(0), F.greatest(F.size("s.held") - 1, F.lit(0))), F.col("s.text"), lambda t, i: F.replace(t, F.concat(F.lit(""), i.cast("string"), F.lit("")), F.coalesce(F.get("s.held", i), F.lit(""))))
-    return s.select("doc_id", F.col("text").rlike(r"\$[^$]+\$").alias("has_math"), (back == F.col("text")).alias("kept"))
+    """Every document between two formulae: how many there are, what is left outside of them, and whether the shielded text with its formulae put back is the text again."""
+    wrapped = F.concat(F.lit("$a$ "), F.replace("text", F.lit("\\"), F.lit("")), F.lit(" $b+1$"))
+    s = table(spark, d, "documents").select("doc_id", wrapped.alias("text")).withColumn("s", maths.shielded("text"))
+    outside = F.length(F.regexp_replace("s.text", "\ue000\\d+\ue001", ""))
+    return s.select("doc_id", F.size("s.held").cast("long").alias("spans"), outside.cast("long").alias("outside"), (maths.unshielded("s") == F.col("text")).alias("kept"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 0 WHEN o_orderkey % 16 BETWEEN 1 AND 12 THEN CAST(o_orderkey % 16 AS INT) ELSE 0 END AS grade FROM orders")
@@ -710,3 +713,8 @@ def ledger_stream_fold(spark, d):
     ts = F.col("ts").cast("timestamp")
     e = _event_stream(spark, d).select(F.col("user_id").cast("string").alias("key"), calc.pacific_day(ts).cast("string").alias("day"), F.unix_micros(ts).alias("at_ms"), F.col("event_id").cast("int").alias("seq"), (F.col("event_type") != "error").alias("ok"), F.when(F.col("event_type") == "error", "SERVER").alias("cls"), (F.col("value") * 10).cast("long").alias("latency_ms"), F.lit(30000).cast("long").alias("reopen_after_ms"))
     return _drained(limits.ledger_stream(e), "update").select("key", "requests", "success", "fail", "fail_streak")
+
+
+for _more in (fixtures, fixtures_operators, fixtures_pages):
+    QUERIES |= _more.QUERIES
+    SQL |= _more.SQL

@@ -258,6 +258,43 @@ def cells(frame: DataFrame) -> DataFrame:
     return frame.select("path", "content").mapInPandas(read, "path string, sheet string, cell string, text string, error string")
 
 
+def _per_file(frame: DataFrame, read_one, schema: str) -> DataFrame:
+    """read_one(bytes) per file: its rows behind the path; a file that can't be read has none."""
+    names = ["path", *(c.split()[0] for c in schema.split(", "))]
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            out: list[tuple] = []
+            for path, content in zip(df["path"], df["content"], strict=True):
+                try:
+                    out += [(path, *r) for r in read_one(bytes(content))]
+                except Exception:  # noqa: BLE001  a bad file gives no rows
+                    continue
+            yield pd.DataFrame(out, columns=names)
+
+    return frame.select("path", "content").mapInPandas(read, f"path string, {schema}")
+
+
+def tables(frame: DataFrame) -> DataFrame:
+    """(path, tables) of DOCX files: rows of cells with text, span and whether a cell goes on from the one above."""
+    return _per_file(frame, lambda c: [(docx_tables(c),)], "tables array<array<array<struct<text:string,span:int,goes_on:boolean>>>>")
+
+
+def targets(frame: DataFrame) -> DataFrame:
+    """(path, rel, target) of the relationships of DOCX files."""
+    return _per_file(frame, lambda c: list(relationships(c).items()), "rel string, target string")
+
+
+def bundle_parts(frame: DataFrame) -> DataFrame:
+    """(path, part, location, type, data) of MIME bundles."""
+    return _per_file(frame, lambda c: [(i, *p) for i, p in enumerate(mhtml_parts(c))], "part int, location string, type string, data binary")
+
+
+def pictures(frame: DataFrame) -> DataFrame:
+    """(path, at, kind, data) of the JPEG and PNG streams in files of any kind."""
+    return _per_file(frame, lambda c: [(i, *p) for i, p in enumerate(embedded_images(c))], "at int, kind string, data binary")
+
+
 def texts(frame: DataFrame) -> DataFrame:
     """(path, kind, text, was_legacy, error) of any supported file; legacy glyph text is decoded."""
     from docloom.parse.transcode import from_legacy_text
@@ -329,9 +366,12 @@ def resolved(parent, tag, klass, inline):
     """Styles in rising order of precedence: parent, tag, class, inline."""
     empty = F.create_map().cast("map<string,string>")
     out = F.coalesce(parent, empty)
+
+    def over(lower, upper):
+        return F.map_concat(F.map_filter(lower, lambda k, _: ~F.map_contains_key(upper, k)), upper)
+
     for more in (tag, klass, inline):
-        more = F.coalesce(more, empty)
-        out = F.map_concat(F.map_filter(out, lambda k, _, m=more: ~F.map_contains_key(m, k)), more)
+        out = over(out, F.coalesce(more, empty))
     return out
 
 
