@@ -5,8 +5,9 @@ one of their own, others share HASHED classes by their hash. Latent states emit
 their smoothed share in the training texts, so the model's tables stay of one size while the vocabulary, of any
 size, is counted whole.
 
-1. A task writes its texts in blocks: the distinct tokens of a block as 128-bit hashes with their counts in
-   training texts, and the texts as numbers into that list. Counts are added up across blocks by an ordinary grouping.
+1. A task writes its texts in blocks: the distinct tokens of a block as 96-bit hashes with their counts in training texts,
+   the most frequent first, and the texts as numbers into that list under Zstandard. Counts are added up across blocks by
+   a window over all rows of a token, of which each block has one.
 2. Baum-Welch: each round every task runs the forward and backward recursions over its training texts and emits
    expected counts by class; these are added up by Spark across partitions, in as many rows as there are classes, and the
    driver re-estimates. Rounds end when the likelihood grows by less than TOLERANCE of itself, or after ROUNDS.
@@ -32,8 +33,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.llm import overlap, scan, work
@@ -43,8 +45,8 @@ STATES = 8
 #: Classes of one token each, and classes that all others share.
 OWN, HASHED = 2048, 4096
 ROUNDS, TOLERANCE = 5, 1e-3
-#: Tokens of a segment, and tokens in a block and whose forward values are held at a time.
-SEGMENT, BLOCK_TOKENS = 1024, 400_000
+#: Tokens of a segment, tokens whose forward values are held at a time, and tokens in a block.
+SEGMENT, BLOCK_TOKENS, ENCODED_TOKENS = 1024, 250_000, 1_000_000
 ADD = 0.1
 END = (np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F))
 
@@ -98,18 +100,24 @@ def encode(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
             order, new = _distinct(one, two)
             number = np.empty(len(one), np.int32)
             number[order] = np.cumsum(new, dtype=np.int32) - 1
-            counts = np.bincount(number[np.repeat(~out, sizes)], minlength=int(new.sum()))
-            number = number.astype("<u2" if new.sum() <= 1 << 16 else "<u4")
-            values = ([task + done], [ids], [out], [sizes.astype(np.int32)], *([x.tobytes()] for x in (one[order][new], two[order][new], counts.astype("<u4"), number)))
+            # small numbers for frequent tokens
+            by_use = np.argsort(-np.bincount(number), kind="stable")
+            place = np.empty(len(by_use), np.int32)
+            place[by_use] = np.arange(len(by_use), dtype=np.int32)
+            number = place[number]
+            counts = np.bincount(number[np.repeat(~out, sizes)], minlength=len(by_use))
+            squeezed = zstandard.ZstdCompressor(level=1).compress(number.astype("<u2" if len(by_use) <= 1 << 16 else "<u4").tobytes())
+            values = ([task + done], [ids], [out], [sizes.astype(np.int32)], *([x.tobytes()] for x in (one[order][new][by_use], two[order][new][by_use].astype("<u4"), counts.astype("<u4"))), [squeezed])
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, schema, strict=True)], schema=schema)
 
         schema = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())), *((c, pa.binary()) for c in ("one", "two", "counts", "numbers"))])
         size = 0
         for b in scan.blocks(batches, "text"):
             one, two, first = tokens(b)
+            two &= np.uint64(0xFFFFFFFF)
             held.append((b.rows.column(0).to_pylist(), one, two, np.diff(first)))
             size += len(one)
-            if size >= BLOCK_TOKENS:
+            if size >= ENCODED_TOKENS:
                 yield block()
                 held, size, done = [], 0, done + 1
         if held:
@@ -119,7 +127,7 @@ def encode(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     return work.table(rows.mapInArrow(run, ENCODED), "encoded")
 
 
-VOCABULARY = pa.schema([("block", pa.int64()), ("number", pa.int32()), ("one", pa.int64()), ("two", pa.int64()), ("c", pa.int64())])
+VOCABULARY = pa.schema([("block", pa.int64()), ("number", pa.int32()), ("one", pa.int64()), ("two", pa.int32()), ("c", pa.int64())])
 
 
 def vocabulary(encoded: DataFrame) -> DataFrame:
@@ -128,10 +136,18 @@ def vocabulary(encoded: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, one, two, counts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                one, two, counts = np.frombuffer(one, "<i8"), np.frombuffer(two, "<i8"), np.frombuffer(counts, "<u4")
+                one, two, counts = np.frombuffer(one, "<i8"), np.frombuffer(two, "<i4"), np.frombuffer(counts, "<u4")
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(one), block)), pa.array(np.arange(len(one), dtype=np.int32)), pa.array(one), pa.array(two), pa.array(counts.astype(np.int64))], schema=VOCABULARY)
 
-    return encoded.select("block", "one", "two", "counts").mapInArrow(run, "block long, number int, one long, two long, c long")
+    return encoded.select("block", "one", "two", "counts").mapInArrow(run, "block long, number int, one long, two int, c long")
+
+
+def totals(words: DataFrame) -> DataFrame:
+    """(block, number, total, one, two): each token of each block with its count over all blocks; one row of a token alone has its hashes."""
+    same = Window.partitionBy("one", "two")
+    first = F.row_number().over(same.orderBy("block")) == 1
+    counted = words.select("block", "number", F.sum("c").over(same).alias("total"), *(F.when(first, F.col(c)).alias(c) for c in ("one", "two")))
+    return work.table(counted, "counts")
 
 
 class Classes:
@@ -153,13 +169,13 @@ class Classes:
 def classes_of(counts: DataFrame) -> tuple[Classes, np.ndarray, np.ndarray]:
     """The classes, and training tokens and distinct tokens of each, from counts (one, two, c) of all tokens."""
     top = counts.filter("c > 0").orderBy(F.desc("c"), "one", "two").limit(OWN).collect()
-    kind = Classes(*(np.array([r[i] for r in top], np.int64).view(np.uint64) for i in ("one", "two")))
+    kind = Classes(np.array([r["one"] for r in top], np.int64).view(np.uint64), np.array([r["two"] for r in top], np.int32).view(np.uint32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, v = np.zeros(kind.n, np.int64), np.zeros(kind.n, np.int64)
         for batch in batches:
             one, two, n = (batch.column(i).to_numpy() for i in range(3))
-            k = kind(one.view(np.uint64), two.view(np.uint64))
+            k = kind(one.view(np.uint64), two.view(np.uint32))
             c += np.bincount(k, n, kind.n).astype(np.int64)
             v += np.bincount(k, n > 0, kind.n).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(kind.n, dtype=np.int32)), pa.array(c), pa.array(v)], names=["class", "c", "v"])
@@ -308,12 +324,23 @@ def expect(model: Model, classes: np.ndarray, first: np.ndarray, sizes: np.ndarr
     return start, move * model.move, emit, level
 
 
-def _block(row: dict, kind: Classes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """The rows of batches, one at a time."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield {name: batch.column(j)[i].as_py() for j, name in enumerate(batch.schema.names)}
+
+
+def _kinds(row: dict, kind: Classes) -> np.ndarray:
+    """The class of each distinct token of a block."""
+    return kind(np.frombuffer(row["one"], "<u8"), np.frombuffer(row["two"], "<u4")).astype("<u2")
+
+
+def _block(row: dict, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(numbers, classes, first token and size of each text) of a block that ``encode`` has written."""
-    one, two = np.frombuffer(row["one"], "<u8"), np.frombuffer(row["two"], "<u8")
-    number = np.frombuffer(row["numbers"], "<u2" if len(one) <= 1 << 16 else "<u4")
+    number = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["numbers"]), "<u2" if len(kinds) <= 1 << 16 else "<u4")
     sizes = np.array(row["sizes"], np.int64)
-    return number, kind(one, two).astype(np.int32)[number], np.cumsum(sizes) - sizes, sizes
+    return number, kinds[number], np.cumsum(sizes) - sizes, sizes
 
 
 def train(encoded: DataFrame, kind: Classes, c: np.ndarray, states: int = STATES, rounds: int = ROUNDS, tolerance: float = TOLERANCE, segment: int = SEGMENT) -> tuple[Model, list[float]]:
@@ -325,12 +352,11 @@ def train(encoded: DataFrame, kind: Classes, c: np.ndarray, states: int = STATES
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             *tables, kind = shared.value
             now, total = Model(*tables), None
-            for batch in batches:
-                for row in batch.to_pylist():
-                    _, classes, first, sizes = _block(row, kind)
-                    take = np.flatnonzero(~np.array(row["held"], bool))
-                    got = expect(now, classes, first[take], sizes[take], segment)
-                    total = got if total is None else tuple(x + y for x, y in zip(total, got, strict=True))
+            for row in _rows(batches):
+                _, classes, first, sizes = _block(row, _kinds(row, kind))
+                take = np.flatnonzero(~np.array(row["held"], bool))
+                got = expect(now, classes, first[take], sizes[take], segment)
+                total = got if total is None else tuple(x + y for x, y in zip(total, got, strict=True))
             if total is None:
                 return
             start, move, emit, level = total
@@ -364,27 +390,33 @@ def train(encoded: DataFrame, kind: Classes, c: np.ndarray, states: int = STATES
 def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
     """Per text: counts, the base score and the model's log10 probability."""
     encoded = encode(docs, id_column, text_column)
-    words = vocabulary(encoded)
-    counts = work.table(words.groupBy("one", "two").agg(F.sum("c").alias("c")), "counts")
-    kind, c, v = classes_of(counts)
+    answers = totals(vocabulary(encoded))
+    kind, c, v = classes_of(answers.filter("one IS NOT NULL").select("one", "two", F.col("total").alias("c")))
     model, _ = train(encoded, kind, c, states, rounds)
     total, distinct = int(c.sum()), int(v.sum())
     rest, within = float(np.log10(total + ADD * (distinct + 1))), np.log10(c + ADD * (v + 1))
     shared = docs.sparkSession.sparkContext.broadcast((model.start, model.move, model.emit, kind, within))
 
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # classes are all that scoring needs of the hashes
+        for row in _rows(batches):
+            made = ([row["block"]], [row["ids"]], [row["held"]], [row["sizes"]], [_kinds(row, shared.value[3]).tobytes()], [row["numbers"]])
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(made, (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary()), strict=True)], names=["block", "ids", "held", "sizes", "kinds", "numbers"])
+
     def run(block: pa.Table, told: pa.Table) -> pa.Table:
-        start, move, emit, kind, within = shared.value
-        row = block.to_pylist()[0]
-        number, classes, first, sizes = _block(row, kind)
-        seen = np.zeros(len(row["one"]) // 8, np.int64)
+        start, move, emit, _, within = shared.value
+        row = next(_rows(block.to_batches()))
+        kinds = np.frombuffer(row["kinds"], "<u2")
+        number, classes, first, sizes = _block(row, kinds)
+        seen = np.zeros(len(kinds), np.int64)
         seen[told.column("number").to_numpy()] = told.column("total").to_numpy()
         logs = np.add.reduceat(np.log10(seen + ADD)[number], first)
         share = logs - np.add.reduceat(within[classes], first)
         values = [pa.array(row["ids"], pa.int64()), pa.array(row["held"]), pa.array(sizes), pa.array(scan.sums((seen > 0)[number], np.append(first, len(number)))), pa.array(np.full(len(sizes), total)), pa.array(logs - sizes * rest), pa.array(forward(Model(start, move, emit), classes, first, sizes) + share)]
         return pa.table(values, names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    answers = words.select("block", "number", "one", "two").join(counts.withColumnRenamed("c", "total"), ["one", "two"]).select("block", "number", "total")
-    out = encoded.drop("counts").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    blocks = encoded.drop("counts").mapInArrow(lean, "block long, ids array<long>, held array<boolean>, sizes array<int>, kinds binary, numbers binary")
+    out = blocks.groupBy("block").cogroup(answers.select("block", "number", "total").groupBy("block")).applyInArrow(run, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("id", id_column)
 
 

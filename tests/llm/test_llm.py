@@ -314,12 +314,13 @@ def test_training_equals_a_plain_baum_welch(spark):
         encoded = hmm.encode(docs_of(spark, rows).repartition(parts))
         counts = hmm.vocabulary(encoded).groupBy("one", "two").sum("c").withColumnRenamed("sum(c)", "c")
         kind, c, v = hmm.classes_of(counts)
+        assert sorted(map(tuple, hmm.totals(hmm.vocabulary(encoded)).filter("one IS NOT NULL").select("one", "two", "total").collect())) == sorted(map(tuple, counts.collect()))
         model, levels = hmm.train(encoded, kind, c, states=3, rounds=4, tolerance=0.0, segment=16)
         assert all(b >= a - 1e-9 for a, b in zip(levels, levels[1:], strict=False))
         if want is None:
             seqs = []
             for row in encoded.collect():
-                _, classes, first, sizes = hmm._block(row.asDict(), kind)
+                _, classes, first, sizes = hmm._block(row.asDict(), hmm._kinds(row.asDict(), kind))
                 seqs += [classes[f : f + n] for f, n, held in zip(first, sizes, row.held, strict=True) if not held]
             plain = hmm.Model.initial(c, 3)
             for _ in levels:
