@@ -264,6 +264,9 @@ field_of_omml = over_text(field_of_omml, "string")
 to_readable, to_visual, healed, bengali_out, from_unicode = (over_text(f, "string") for f in (readable, visual, heal, bengali_outside, unicode_to_latex))
 math_tokens = over_text(simple_tokens, "array<struct<text:string,italic:boolean>>")
 shielded = over_text(lambda t: dict(zip(("text", "held"), shield(t), strict=True)), "struct<text:string,held:array<string>>")
+unshielded = over_text(lambda s: unshield(s["text"], s["held"]), "string")
+
+
 def trimmed_word(word: str) -> str:
     """A word in its composed form without punctuation and symbols at its ends."""
     mark = lambda c: unicodedata.category(c)[0] in "PS"

@@ -541,11 +541,23 @@ def markdown_lines(spark, d):
     return b.select("doc_id", F.aggregate("b", F.lit(0), lambda a, x: a + n(x)).cast("long").alias("lines"))
 
 
-@query("SELECT doc_id, 'GENERAL' AS doc_type FROM documents WHERE NOT regexp_matches(text, '(?i)resume|reference|^[^a-z]*[0-9]{1,3}\\s*[.)]') AND lang = 'en' AND NOT regexp_matches(text, '(?m)^\\s*(#{1,6}\\s|\\(?[0-9]{1,3}\\s*[.)])')")
+def _rule_scores() -> str:
+    """The classifier's scoring rules as SQL over all documents: the highest score, and the first type that has it."""
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    holds = lambda need, never: " AND ".join([*(f"regexp_matches(t, {quoted(p)})" for p in need), *(f"NOT regexp_matches(t, {quoted(p)})" for p in never)])
+    each = ", ".join(f"{' + '.join(f'CASE WHEN {holds(need, never)} THEN {points} ELSE 0 END' for points, need, never in rules)} AS {kind}" for kind, rules in classify.RULES.items())
+    best = f"greatest({', '.join(classify.RULES)})"
+    first = " ".join(f"WHEN {kind} = {best} THEN '{kind}'" for kind in classify.RULES)
+    nukta = "replace(replace(replace(coalesce(text, ''), chr(2479) || chr(2492), chr(2527)), chr(2465) || chr(2492), chr(2524)), chr(2466) || chr(2492), chr(2525))"
+    return f"WITH d AS (SELECT doc_id, trim({nukta}) AS t FROM documents), s AS (SELECT doc_id, {each} FROM d) SELECT doc_id, CASE {first} END AS doc_type, CAST({best} AS INT) AS score FROM s"
+
+
+@query(_rule_scores())
 def classify_plain(spark, d):
-    """English prose without numbers in front of lines is of no Bangla document type."""
-    docs = table(spark, d, "documents").filter("lang = 'en'").filter(~F.col("text").rlike("(?i)resume|reference|^[^a-z]*[0-9]{1,3}\\s*[.)]") & ~F.col("text").rlike(r"(?m)^\s*(#{1,6}\s|\(?[0-9]{1,3}\s*[.)])"))
-    return classify.classify(docs).select("doc_id", "doc_type")
+    """The scoring rules of the special types over all documents: the type of the highest score, ties to the one declared first."""
+    t = F.trim(text.compose_nukta(F.coalesce("text", F.lit(""))))
+    scored = table(spark, d, "documents").select("doc_id", t.alias("t")).select("doc_id", classify.ranked(classify.score_columns(F.col("t"), classify.RULES))[0].alias("top"))
+    return scored.select("doc_id", F.col("top.type").alias("doc_type"), F.col("top.score").alias("score"))
 
 
 @query()
@@ -554,7 +566,7 @@ def classify_documents(spark, d):
     return classify.classify(table(spark, d, "documents"))
 
 
-@query("SELECT doc_id, CAST(len(regexp_extract_all(text, '\\$[^$]+\\$')) AS BIGINT) AS spans, CAST(length(regexp_replace(text, '\\$[^$]+\\$', '', 'g')) AS BIGINT) AS outside, true AS kept FROM (SELECT doc_id, '$a$ ' || replace(text, chr(92), '') || ' $b+1$' AS text FROM documents)")
+@query("SELECT doc_id, CAST(len(regexp_extract_all(text, '(?s)\\$\\$.*?\\$\\$|\\$[^$]+?\\$')) AS BIGINT) AS spans, CAST(length(regexp_replace(text, '(?s)\\$\\$.*?\\$\\$|\\$[^$]+?\\$', '', 'g')) AS BIGINT) AS outside, true AS kept FROM (SELECT doc_id, '$a$ ' || replace(text, chr(92), '') || ' $b+1$' AS text FROM documents)")
 def math_spans(spark, d):
     """Every document between two formulae: how many there are, what is left outside of them, and whether the shielded text with its formulae put back is the text again."""
     wrapped = F.concat(F.lit("$a$ "), F.replace("text", F.lit("\\"), F.lit("")), F.lit(" $b+1$"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from docloom.functions import text
 from docloom.operators import documents, ledger, nested, relational, windows
 from docloom.parse import papers
+from docloom.plans import classify
 from docloom.plans.fixtures import QUERIES as _TAKEN
 from docloom.plans.fixtures import values
 from docloom.sources import office
@@ -126,6 +127,49 @@ def _(spark):
     return df.select("id", ledger.available(F.col("state"), F.col("k"), F.col("m"), F.lit(100)).alias("out"))
 
 
+_EXAM = "১. নিচের উদ্দীপক পড়।\nক. পানি কাকে বলে? ১\nখ. বায়ু কেন দরকার বল। ২\nগ. মাটি ব্যাখ্যা কর। ৩"
+_CHOICE = "\n".join(f"{n}. রং কোনটি?\nক) লাল\nখ) নীল\nগ) কালো\nঘ) সাদা" for n in "১২৩৪৫৬")
+_TYPES = [
+    ("---\ndoc_type: CASH_MEMO\n---\nক", "CASH_MEMO:1.0"),
+    ("---\ndoc_type: EXAM_CQ\nlayout_lock: true\ngrade: 3\n---\nক", "EXAM_CQ:1.0"),
+    ("---\ndoc_type: EXAM_CQ\ngrade: ৩\n---\nক", "EXAM_GENERAL:0.97"),
+    ("---\ncontent: SYLLABUS\n---\nক", "EXAM_GENERAL:0.97"),
+    (f"---\ndoc_type: EXAM_GENERAL\nsections: cq:1\n---\n{_EXAM}", "EXAM_CQ:0.96"),
+    (f"---\nsections: cq:1\nsubject: গণিত\n---\n{_EXAM}", "EXAM_MATH:0.96"),
+    ("---\ndoc_type: EXAM_CQ\nsections: cq:4\n---\nকোনো গঠন নেই", "EXAM_GENERAL:0.9"),
+    (f"---\nsections: mcq:6\n---\n{_CHOICE}", "EXAM_MCQ:0.96"),
+    (f"---\nsections: cq:1, mcq:6\n---\n{_EXAM}\n{_CHOICE}", "EXAM_COMBINED:0.96"),
+    (f"---\nsections: cq:1, essay:2\n---\n{_EXAM}", "EXAM_GENERAL:0.95"),
+    (f"সৃজনশীল প্রশ্ন\n{_EXAM}", "EXAM_CQ:"),
+    (_CHOICE, "EXAM_MCQ:"),
+    ("ক্যাশ মেমো\nক্রেতার স্বাক্ষর\nবিক্রেতার স্বাক্ষর", "CASH_MEMO:"),
+    ("বরাবর,\nবিষয়: ছুটি\nমহোদয়,\nবিনীত নিবেদন আবেদন", "GOVT_APP:"),
+    ("PAY SLIP\nমূল বেতন", "SALARY_SLIP:"),
+    ("প্রবেশপত্র", "ADMIT_CARD:"),
+    ("জরুরি বিজ্ঞপ্তি\nস্মারক নং ৫", "OFFICIAL_NOTICE:"),
+    ("ক্লাস রুটিন\n| বার | সময় |", "ROUTINE:"),
+    ("জীবনবৃত্তান্ত", "CV_RESUME:"),
+    ("হলফনামা", "STAMP_DEED:"),
+    ("এই মর্মে প্রত্যয়ন করা যাচ্ছে", "PROTTOYON:"),
+    ("মেসার্স করিম ট্রেডার্স", "OFFICE_PAD:"),
+    ("কথা", "GENERAL:"),
+    (None, "GENERAL:"),
+]
+
+
+@frame("classified_texts", [(i, out) for i, (_, out) in enumerate(_TYPES, 1)])
+def _(spark):
+    df = rows(spark, "doc_id int, text string", *((i, t) for i, (t, _) in enumerate(_TYPES, 1)))
+    return classify.classify(df).select(F.col("doc_id").alias("id"), F.concat(F.col("doc_type"), F.lit(":"), F.coalesce(F.col("confidence").cast("string"), F.lit(""))).alias("out"))
+
+
+@frame("block_statistics", [(1, "1:1:0:0"), (2, "6:0:6:0"), (3, "1:0:0:1")])
+def _(spark):
+    df = rows(spark, "doc int, t string", (1, _EXAM), (2, _CHOICE), (3, "১. $x^2$ কত?"))
+    lines = df.select("doc", F.posexplode(F.split("t", "\n")).alias("pos", "line"))
+    return classify.block_counts(lines).select(F.col("doc").alias("id"), told("numbered", "cq", "mcq", "math").alias("out"))
+
+
 # --- matching --------------------------------------------------------------------------------------------
 
 
