@@ -7,7 +7,9 @@ taken in blocks of that many windows, one scan of the documents each, and the sp
 
 Defined results: null texts have no words; an item without words has no window; a repeated item counts by
 each of its ids; passages of items without an id cover words like any others, and all those items count as one
-item that has no place in the hash of ids (a null at the end of ``items``); ties need no rule; empty tables give no hits; further columns are ignored or passed on.
+item that has no place in the hash of ids (a null at the end of ``items``); null and repeated document ids are rows of
+their own; ties need no rule; empty tables give no hits; further columns are ignored or passed on. A very long text is a
+block of its own, held whole by one task.
 """
 
 from __future__ import annotations

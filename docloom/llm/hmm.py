@@ -47,6 +47,8 @@ OWN, HASHED = 2048, 4096
 ROUNDS, TOLERANCE = 5, 1e-3
 #: Tokens of a segment, tokens whose forward values are held at a time, and tokens in a block.
 SEGMENT, BLOCK_TOKENS, ENCODED_TOKENS = 1024, 250_000, 1_000_000
+#: Steps after which products of matrices are scaled.
+SCALED = 16
 ADD = 0.1
 END = (np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F))
 
@@ -259,9 +261,13 @@ def _carry(model: Model, classes: np.ndarray, first: np.ndarray, sizes: np.ndarr
     order, running = _lockstep(sizes)
     at, states = first[order], len(model.start)
     out = np.eye(states)[None] * model.emit[classes[at]][:, None, :]
+    ones = np.ones(states * states)
     for t, k in enumerate(running[1:], 1):
-        m = (out[:k].reshape(-1, states) @ model.move).reshape(k, states, states) * model.emit[classes[at[:k] + t]][:, None, :]
-        out[:k] = m / m.sum((1, 2), keepdims=True)
+        m = (out[:k].reshape(-1, states) @ model.move).reshape(k, states, states)
+        m *= model.emit[classes[at[:k] + t]][:, None, :]
+        if t % SCALED == 0 or t == len(running) - 1:
+            m /= (m.reshape(k, -1) @ ones)[:, None, None]
+        out[:k] = m
     back = np.empty_like(out)
     back[order] = out
     return back
@@ -271,12 +277,13 @@ def forward(model: Model, classes: np.ndarray, first: np.ndarray, sizes: np.ndar
     """log10 likelihood of each class sequence, by the scaled forward recursion."""
     p, total = Pieces(model, classes, first, sizes, segment, False), np.zeros(len(sizes))
     order, running = _lockstep(p.sizes)
-    at, out, a = p.first[order], np.zeros(len(order)), p.start[order]
+    at, out, a, ones = p.first[order], np.zeros(len(order)), p.start[order], np.ones(len(model.start))
     for t, k in enumerate(running):
         a = a[:k] * model.emit[classes[at[:k] + t]]
-        scale = a.sum(1)
+        scale = a @ ones
         out[:k] += np.log10(scale)
-        a = (a / scale[:, None]) @ model.move
+        a /= scale[:, None]
+        a = a @ model.move
     np.add.at(total, p.sequence[order], out)
     return total
 
@@ -287,27 +294,30 @@ def expect(model: Model, classes: np.ndarray, first: np.ndarray, sizes: np.ndarr
     start, move, emit, level = np.zeros(states), np.zeros((states, states)), np.zeros_like(model.emit), 0.0
     if not len(sizes):
         return start, move, emit, level
-    p = Pieces(model, classes, first, sizes, segment, True)
+    p, ones = Pieces(model, classes, first, sizes, segment, True), np.ones(states)
     for run in p.batches(tokens_):
         order, running = _lockstep(p.sizes[run])
         order = run[order]
         at, after = p.first[order], p.after[order]
-        alphas, scales = [], []
+        alphas, scales, emits = [], [], []
         a = p.start[order]
         for t, k in enumerate(running):
-            a = a[:k] * model.emit[classes[at[:k] + t]]
-            scale = a.sum(1)
-            level += float(np.log10(scale).sum())
-            a = a / scale[:, None]
+            e = model.emit[classes[at[:k] + t]]
+            a = a[:k] * e
+            scale = a @ ones
+            a /= scale[:, None]
             alphas.append(a)
             scales.append(scale)
+            e /= scale[:, None]
+            emits.append(e)
             a = a @ model.move
+        level += float(np.log10(np.concatenate(scales)).sum())
         gammas, seen, beta = [], [], np.ones((0, states))
         for t in range(len(running) - 1, -1, -1):
             k, nxt = int(running[t]), int(running[t + 1]) if t + 1 < len(running) else 0
             ended = after[nxt:k] / (alphas[t][nxt:k] * after[nxt:k]).sum(1, keepdims=True)
             if nxt:
-                later = beta * model.emit[classes[at[:nxt] + t + 1]] / scales[t + 1][:, None]
+                later = beta * emits[t + 1]
                 move += alphas[t][:nxt].T @ later
                 ended = np.concatenate([later @ model.move.T, ended])
             beta = ended
@@ -316,7 +326,7 @@ def expect(model: Model, classes: np.ndarray, first: np.ndarray, sizes: np.ndarr
         # the move into a piece from the one before it
         inner = ~p.begins[order]
         if inner.any():
-            move += p.before[order[inner]].T @ (beta[inner] * model.emit[classes[at[inner]]] / scales[0][inner][:, None])
+            move += p.before[order[inner]].T @ (beta[inner] * emits[0][inner])
         start += gammas[-1][~inner].sum(0)
         gamma, seen_ = np.concatenate(gammas), np.concatenate(seen)
         for s in range(states):

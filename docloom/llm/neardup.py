@@ -283,7 +283,7 @@ def apply(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
         return rows.join(keys, (F.col("row id") == F.col("gone id")) & (F.col("row text") == F.col("gone text")), how)
 
     asked = work.marked(keyed, gone.select(F.col("gone id").alias("row id"), F.col("gone text").alias("row text")), ["row id", "row text"])
-    kept = asked.filter("NOT maybe").drop("maybe").unionByName(without(asked.filter("maybe").drop("maybe"), gone))
+    kept = asked.filter(~F.col(work.MAYBE)).drop(work.MAYBE).unionByName(without(asked.filter(F.col(work.MAYBE)).drop(work.MAYBE), gone))
     # equal rows with one id: one of them
     again = found.filter("n_shingles > 0 AND first").groupBy("oid", "th").agg(F.count("*").alias("m")).filter("m > 1").select(F.col("oid").alias("gone id"), F.col("th").alias("gone text"))
     if not again.isEmpty():

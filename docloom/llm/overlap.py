@@ -40,7 +40,7 @@ from docloom.llm import scan, work
 #: Input bytes in a group of documents: so many up to GROUPS groups, then more, up to GROUP_MOST.
 GROUP_BYTES, GROUPS, GROUP_MOST = 8 << 20, 512, 32 << 20
 #: Input bytes whose anchors make a bucket, and whose fragments make a shard.
-BUCKET_BYTES, SHARD_BYTES = 16 << 20, 8 << 20
+BUCKET_BYTES, SHARD_BYTES = 16 << 20, 4 << 20
 #: Runs of an anchor, as far as groups count them (255 each), from which it is hot.
 HOT_RUNS = 100_000
 

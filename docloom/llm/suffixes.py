@@ -356,14 +356,15 @@ def kernel(payload: np.ndarray, ends: np.ndarray, owner: np.ndarray, limit: int
     count = np.maximum(size - WIDTH + 1, 0)
     number_at = np.concatenate([[0], np.cumsum(count)])
     windows = int(number_at[-1])
-    starts, own = table(n, np.int64, -1), table(windows, np.int64)
+    kind = np.int32 if windows < 1 << 31 else np.int64
+    starts, own = table(n, kind, -1), table(windows, np.int64)
     # fragments in runs of bounded size
     for run in np.split(np.arange(len(size)), np.flatnonzero(np.diff((ends - 1) // chunk)) + 1):
         text[overlap.gather(begin[run], size[run])] = payload[ends[run[0]] - size[run[0]] : ends[run[-1]]]
         lo, hi = number_at[run[0]], number_at[run[-1] + 1]
         starts[overlap.gather(begin[run], count[run])] = np.arange(lo, hi)
         own[lo:hi] = np.repeat(owner[run], count[run])
-    group, least = table(windows, np.int64), table(windows, np.int64, np.iinfo(np.int64).max)
+    group, least = table(windows, kind), table(windows, np.int64, np.iinfo(np.int64).max)
     now = seen = 0
     for at, common in Sorter(text, n, limit, chunk).run():
         number = starts[at]
@@ -380,10 +381,9 @@ def kernel(payload: np.ndarray, ends: np.ndarray, owner: np.ndarray, limit: int
             at_ = np.flatnonzero(head)
             least[place[at_]] = np.minimum(least[place[at_]], np.minimum.reduceat(own[number], at_))
             seen, last = int(place[-1]) + 1, ids[-1]
-    out = table(windows, np.int64)
     for lo in range(0, windows, chunk):
-        out[lo : lo + chunk] = least[group[lo : lo + chunk]]
-    return out
+        own[lo : lo + chunk] = least[group[lo : lo + chunk]]
+    return own
 
 
 def _finish(b: scan.Block, _: None, first: np.ndarray, covered: np.ndarray) -> pa.Table:

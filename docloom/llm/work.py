@@ -31,22 +31,23 @@ def row_key(id_column: str, text_column: str) -> tuple[Column, Column]:
 
 #: Bits of the map that ``likely`` broadcasts, in words of 64: 1 MB, whatever the input's size.
 MAP_BITS = 1 << 22
+MAYBE = "may occur"
 
 
 def marked(df: DataFrame, wanted: DataFrame, columns: list[str]) -> DataFrame:
-    """The rows with one more column, ``maybe``: whether their key columns may occur in ``wanted`` (true for all that do).
+    """The rows with one more column, MAYBE: whether their key columns may occur in ``wanted`` (true for all that do).
 
     The map has a fixed size; with many more keys it fills and says maybe to every row, so results never depend on it.
     """
     bit = F.pmod(F.xxhash64(*columns), F.lit(MAP_BITS))
     maps = wanted.select(bit.alias("map bit")).groupBy(F.shiftright("map bit", 6).alias("map word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(`map bit` & 63 AS INT))")).alias("map bits"))
     both = df.withColumn("map bit", bit).join(F.broadcast(maps), F.shiftright("map bit", 6) == F.col("map word"), "left")
-    return both.select(*(df[c] for c in df.columns), F.coalesce(F.expr("(`map bits` & shiftleft(1L, CAST(`map bit` & 63 AS INT))) <> 0"), F.lit(False)).alias("maybe"))
+    return both.select(*(df[c] for c in df.columns), F.coalesce(F.expr("(`map bits` & shiftleft(1L, CAST(`map bit` & 63 AS INT))) <> 0"), F.lit(False)).alias(MAYBE))
 
 
 def likely(df: DataFrame, wanted: DataFrame, columns: list[str]) -> DataFrame:
     """Rows of ``df`` whose key columns may occur in ``wanted``: before a join this keeps rows that can't match out of the shuffle."""
-    return marked(df, wanted, columns).filter("maybe").drop("maybe")
+    return marked(df, wanted, columns).filter(F.col(MAYBE)).drop(MAYBE)
 
 
 #: Keys that are joined by broadcast because they are hot, at most, and rows from which a key counts as hot.

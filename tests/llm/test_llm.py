@@ -622,8 +622,54 @@ def test_decontamination_by_items_without_an_id(spark, tmp_path, monkeypatch):
     assert 20 not in {r.doc_id for r in decontaminate.apply(docs, bench).collect()}
 
 
+def plain_line_dedup(texts):
+    """Texts by id without lines that an earlier line is one edit away from; earlier is by id, then by line."""
+    seen, shorter, changed = set(), set(), set()
+    out = {}
+    for d, text in sorted(texts.items()):
+        kept, cut = [], False
+        for raw in text.split("\n"):
+            line = raw.strip(" \t\r")
+            if len(line) >= lines.LEAST:
+                without = [line[:i] + line[i + 1 :] for i in range(len(line))]
+                repeated = line in seen or line in shorter or any(w in seen for w in without) or any(p in changed for p in enumerate(without))
+                seen.add(line)
+                shorter.update(without)
+                changed.update(enumerate(without))
+                if repeated:
+                    cut = True
+                    continue
+            kept.append(raw)
+        left = "\n".join(kept)
+        if not cut or SPACES.search(left):
+            out[d] = left
+    return out
+
+
+def plain_near_dedup(texts, width):
+    """The ids of texts that are the smallest of their group, and all without words."""
+    def shingles(t):
+        ws = SPACES.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t))
+        return {tuple(ws[i : i + width]) for i in range(len(ws) - width + 1)} if len(ws) >= width else ({tuple(ws)} if ws else set())
+
+    sets = {d: shingles(t) for d, t in texts.items()}
+    comp = {d: d for d in sets}
+    ids = sorted(sets)
+    links = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    for _ in ids:
+        before = dict(comp)
+        for a, b in links:
+            comp[a] = comp[b] = min(comp[a], comp[b])
+        if before == comp:
+            break
+    return {d for d in ids if comp[d] == d or not sets[d]}
+
+
 def test_pipeline(spark, sf):
     """Each stage on what the one before has kept, against its plain version."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     columns = docs.columns
     names = [n for n, _ in corpus_pipeline.STAGES]
@@ -635,12 +681,48 @@ def test_pipeline(spark, sf):
         if name == "packing":
             break
         assert docs.columns == columns
-        kept[name] = {r.doc_id: r.text for r in docs.collect()}
+        found = docs.collect()
+        kept[name] = {r.doc_id: r.text for r in found}
+        assert len(found) == len(kept[name]) and all(r.n_chars == len(r.text) for r in found)
     sound = {r.doc_id for r in queries.op8_quality_cascade(spark, sf).filter("kept").collect()}
-    assert set(kept["quality rules"]) == sound and all(kept["quality rules"][d] == before[d] for d in sound)
-    assert set(kept["near dedup"]) <= set(kept["line dedup"]) <= sound
+    assert kept["quality rules"] == {d: before[d] for d in sound}
+    assert kept["line dedup"] == plain_line_dedup(kept["quality rules"])
+    single = plain_near_dedup(kept["line dedup"], 5)
+    assert kept["near dedup"] == {d: t for d, t in kept["line dedup"].items() if d in single}
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     clean = {r[0] for r in decontaminate.brute(list(kept["near dedup"].items()), items) if not r[5]}
-    assert set(kept["benchmark decontamination"]) == clean
-    assert {r.doc_id for r in docs.select("doc_id").collect()} == clean
+    assert kept["benchmark decontamination"] == {d: t for d, t in kept["near dedup"].items() if d in clean}
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = collections.defaultdict(list)
+    for r in docs.collect():
+        pieces[r.doc_id].append((r.start, r.length, r.ids_crc32, r.doc_tokens))
+    want = {d: np.array([*plain.encode(t, add_special_tokens=False).ids, 1], "<u4") for d, t in kept["benchmark decontamination"].items()}
+    assert set(pieces) == set(want)
+    for d, ids in want.items():
+        at = 0
+        for start, length, crc, total in sorted(pieces[d]):
+            assert (start, crc, total) == (at, zlib.crc32(ids[at : at + length].tobytes()), len(ids))
+            at += length
+        assert at == len(ids)
     assert corpus_pipeline.run(spark, sf).select("doc_id").distinct().count() == len(clean)
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Nulls, blanks, repeated and missing ids, a long text, further columns and empty tables pass all stages."""
+    prose = " ".join(f"word{i} of" for i in range(40))
+    other = " ".join(f"other{i} in" for i in range(40))
+    rows = [(1, prose), (1, other), (None, prose), (None, None), (2, ""), (3, " \n "), (4, " ".join(f"t{i} x{i * 7}" for i in range(60_000)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "coalesce(length(text), 0) AS n_chars", "7 AS id", "8 AS maybe")
+    docs = docs.withColumn("n_chars", docs.n_chars.cast("long"))
+    bench = spark.createDataFrame([(None, other), ("b", None)], "item_id string, text string")
+    for name, table, items in (("odd", docs, bench), ("empty", docs.limit(0), bench.limit(0))):
+        table.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        items.write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        got = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for stage, run in corpus_pipeline.STAGES[:-1]:
+            got = work.table(run(spark, got, f"{tmp_path}/{name}"), "odd")
+            assert got.columns == docs.columns, stage
+        left = sorted((str(r.doc_id), r.text) for r in got.collect())
+        assert left == ([("1", prose), ("4", rows[-1][1])] if name == "odd" else [])
+        packed = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert {r.doc_id for r in packed} == ({1, 4} if name == "odd" else set())
