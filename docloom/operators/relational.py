@@ -124,13 +124,80 @@ def matched(slots: DataFrame, parts: DataFrame, passes: list[list[str]]) -> Data
     """Passes of matching from the strictest keys to the loosest; each takes what earlier ones left. (slot_id, part_id, pass)"""
     out = None
     for n, keys in enumerate(passes, 1):
-        got = ranked_match(slots, parts, keys, ["slot_pos", "slot_id"], ["part_pos", "part_id"]).withColumn("pass", F.lit(n))
+        # written, so that a later pass doesn't run the earlier ones again
+        got = storage.table(ranked_match(slots, parts, keys, ["slot_pos", "slot_id"], ["part_pos", "part_id"]).withColumn("pass", F.lit(n)), "matched")
         out = got if out is None else out.unionByName(got)
         slots = slots.join(got.select("slot_id"), "slot_id", "left_anti")
         parts = parts.join(got.select("part_id"), "part_id", "left_anti")
     return out
 
 
+def same_text(x: Column | str) -> Column:
+    """A text as it is compared: lower case, without spaces and marks at its end."""
+    return F.lower(F.regexp_replace(F.regexp_replace(F.coalesce(F.col(x) if isinstance(x, str) else x, F.lit("")), r"\s+", ""), r"[,:।;.]+$", ""))
+
+
+def slot_matching(slots: DataFrame, parts: DataFrame) -> DataFrame:
+    """(doc, slot_id, part_id, rule) for the slots and parts of drafts, each slot and part once, by rules from the strictest to the loosest.
+
+    Slots have (doc, slot_id, pos, kind, role, key, ctx, text, header, cols), parts (doc, part_id, pos, kind, key, ctx, text, rows). Rules: label
+    and address; label where one side has no address; equal texts (of a fixed slot, the rule is "present"); tables that fit, or
+    the only two; equal short first lines; and what is left between two matches in order, if both sides have equally many.
+    """
+    s = slots.withColumns({"same": same_text("text"), "line": same_text(F.substring_index("text", "\n", 1)), "ctx": F.coalesce("ctx", F.lit(""))})
+    p = parts.withColumns({"same": same_text("text"), "line": same_text(F.substring_index("text", "\n", 1)), "ctx": F.coalesce("ctx", F.lit(""))})
+    found: list[DataFrame] = []
+
+    def take(pairs: DataFrame, rule: str | Column) -> None:
+        nonlocal s, p
+        got = storage.table(pairs.select("doc", "slot_id", "part_id", (rule if isinstance(rule, Column) else F.lit(rule)).alias("rule")), "slots")
+        found.append(got)
+        s, p = s.join(got, ["doc", "slot_id"], "left_anti"), p.join(got, ["doc", "part_id"], "left_anti")
+
+    def in_order(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+        k = lambda d: d.withColumn("k", F.row_number().over(Window.partitionBy("doc", *keys).orderBy("pos")))
+        return k(a).select("doc", *keys, "k", "slot_id", "role").join(k(b).select("doc", *keys, "k", "part_id"), ["doc", *keys, "k"])
+
+    keyed, pairs = F.col("key").isNotNull() & F.col("kind").isin("kv", "para"), F.col("kind") == "kv"
+    take(in_order(s.filter(keyed), p.filter(pairs), ["key", "ctx"]), "label")
+    take(in_order(s.filter(keyed & (F.col("ctx") == "")), p.filter(pairs), ["key"]), "label alone")
+    take(in_order(s.filter(keyed), p.filter(pairs & (F.col("ctx") == "")), ["key"]), "label alone")
+    free = ~F.col("kind").isin("kv", "table") & (F.col("same") != "")
+    take(in_order(s.filter(free), p.filter(free), ["same"]), F.when(F.col("role") == "fixed", "present").otherwise("text"))
+    tables = s.filter("kind = 'table'").select("doc", "slot_id", "header", "cols", F.col("pos").alias("a")).join(p.filter("kind = 'table'").select("doc", "part_id", "rows", F.col("pos").alias("b")), "doc")
+    alone = (F.count("*").over(Window.partitionBy("doc")) == 1).cast("double") / 2
+    fit = tables.withColumn("fit", F.greatest(table_fit(F.col("header"), F.col("cols"), F.col("rows")).cast("double"), alone)).filter("fit > 0")
+    one, two = F.struct("doc", "slot_id"), F.struct("doc", "part_id")
+    best = best_first(fit.select(one.alias("a"), two.alias("b"), (F.col("fit") - F.col("a") / 1e5 - F.col("b") / 1e9).alias("similarity")))
+    take(best.select("a.doc", "a.slot_id", "b.part_id"), "table")
+    several = F.col("text").contains("\n")
+    first = F.col("kind").isin("para", "list") & F.length("line").between(2, 30)
+    take(in_order(s.filter(first & (F.col("role") == "var") & several), p.filter(first), ["line"]), "first line")
+    take(in_order(s.filter(first & (F.col("role") == "var")), p.filter(first & several), ["line"]), "first line")
+    # matches in order on both sides part what is left into gaps
+    every = reduce(DataFrame.unionByName, found)
+    placed = every.join(slots.select("doc", "slot_id", F.col("pos").alias("a")), ["doc", "slot_id"]).join(parts.select("doc", "part_id", F.col("pos").alias("b")), ["doc", "part_id"])
+    upto = F.max("b").over(Window.partitionBy("doc").orderBy("a").rowsBetween(Window.unboundedPreceding, -1))
+    anchors = placed.withColumn("upto", upto).filter(F.col("upto").isNull() | (F.col("b") > F.col("upto")))
+
+    def gaps(rows: DataFrame, side: str, name: str) -> DataFrame:
+        both = rows.select("doc", "pos", F.col(name), "kind", F.lit(0).alias("anchor")).unionByName(anchors.select("doc", F.col(side).alias("pos"), F.lit(None).cast("string").alias(name), F.lit(None).cast("string").alias("kind"), F.lit(1).alias("anchor")))
+        gap = F.sum("anchor").over(Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+        return both.withColumn("gap", gap).filter("anchor = 0")
+
+    gs, gp = gaps(s.filter(F.col("role") == "var"), "a", "slot_id").filter(F.col("kind").isin("para", "list", "heading", "sign")), gaps(p, "b", "part_id").filter(F.col("kind").isin("para", "list", "heading"))
+    plain = F.col("kind").isin("para", "list")
+    size = lambda d, n: d.groupBy("doc", "gap").agg(F.count("*").alias(n), F.count_if(plain).alias(f"{n}_plain"))
+    counts = size(gs, "slots").join(size(gp, "parts"), ["doc", "gap"])
+    # headings of the draft count only where the numbers then agree, and other slots than text only in such gaps
+    whole = counts.filter("slots = parts").select("doc", "gap")
+    partly = counts.filter("slots <> parts AND slots = parts_plain AND slots = slots_plain").select("doc", "gap")
+    left = gs.withColumn("role", F.lit("var"))
+    for chosen, rows in ((whole, gp), (partly, gp.filter(plain))):
+        take(in_order(left.join(chosen, ["doc", "gap"], "left_semi"), rows.join(chosen, ["doc", "gap"], "left_semi"), ["gap"]), "order")
+    return reduce(DataFrame.unionByName, found)
+
+
 def left_over(slots: DataFrame, parts: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Slots without a part and parts without a slot."""
     return slots.join(pairs, "slot_id", "left_anti"), parts.join(pairs, "part_id", "left_anti")

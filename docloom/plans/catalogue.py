@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom import storage
 from docloom.functions import calc, text
 from docloom.operators import documents, ledger, relational, windows
 from docloom.parse import maths, papers, transcode
@@ -700,19 +700,25 @@ def _event_stream(spark: SparkSession, d: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
 
 
-def _drained(stream: DataFrame, mode: str) -> DataFrame:
-    """All that a stream gives over the files that are there now, as a table of its last results."""
-    name = f"stream_{uuid.uuid4().hex}"
-    run = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+def _drained(stream: DataFrame, mode: str, keys: list[str]) -> DataFrame:
+    """The last result of each key over the files that are there now; micro-batches are written to the shared folder, nothing is held by the driver."""
+    path = f"{storage.new_path(stream.sparkSession, 'stream')}/t"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.withColumn("micro batch", F.lit(number)).write.mode("append").parquet(path)
+
+    run = stream.writeStream.outputMode(mode).foreachBatch(keep).trigger(availableNow=True).option("checkpointLocation", storage.new_path(stream.sparkSession, "stream-state")).start()
     run.awaitTermination()
-    return stream.sparkSession.table(name)
+    written = stream.sparkSession.read.parquet(path)
+    rest = [c for c in stream.columns if c not in keys]
+    return written.groupBy(*keys).agg(F.max_by(F.struct(*rest), "micro batch").alias("last")).select(*keys, "last.*")
 
 
 @query("SELECT user_id, CAST(date_trunc('day', ts) AS TIMESTAMP) AS window_start, count(*) AS n, greatest(count(*) - 3, 0) AS blocked FROM events GROUP BY ALL")
 def daily_cap_stream(spark, d):
     """The daily cap as a stream: tumbling windows under a watermark, drained over the files at hand."""
     e = _event_stream(spark, d).select("user_id", F.col("ts").cast("timestamp").alias("ts"))
-    return _drained(limits.limited(e, "user_id", "ts", "1 day", 3), "complete").select("user_id", "window_start", "n", "blocked")
+    return _drained(limits.limited(e, "user_id", "ts", "1 day", 3), "update", ["user_id", "window_start"]).select("user_id", "window_start", "n", "blocked")
 
 
 @query("""WITH e AS (SELECT user_id, event_type <> 'error' AS ok, event_type, event_id, CAST((ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/Los_Angeles' AS DATE) AS day, ts FROM events),
@@ -724,7 +730,7 @@ def ledger_stream_fold(spark, d):
     """Keyed state over a stream: counts of the last Pacific day and the streak of server failures at the end."""
     ts = F.col("ts").cast("timestamp")
     e = _event_stream(spark, d).select(F.col("user_id").cast("string").alias("key"), calc.pacific_day(ts).cast("string").alias("day"), F.unix_micros(ts).alias("at_ms"), F.col("event_id").cast("int").alias("seq"), (F.col("event_type") != "error").alias("ok"), F.when(F.col("event_type") == "error", "SERVER").alias("cls"), (F.col("value") * 10).cast("long").alias("latency_ms"), F.lit(30000).cast("long").alias("reopen_after_ms"))
-    return _drained(limits.ledger_stream(e), "update").select("key", "requests", "success", "fail", "fail_streak")
+    return _drained(limits.ledger_stream(e), "update", ["key"]).select("key", "requests", "success", "fail", "fail_streak")
 
 
 for _more in (fixtures, fixtures_operators, fixtures_pages):

@@ -180,6 +180,23 @@ def _(spark):
     return relational.matched_texts(left, right).select(F.col("a").alias("id"), F.col("b").alias("out"))
 
 
+@frame("slot_passes", [(1, "p3:label"), (2, "p1:label"), (3, "p2:label alone"), (4, "p4:present"), (5, "p6:table"), (6, "p7:first line"), (7, "p8:order"), (8, "p9:order")])
+def _(spark):
+    s = rows(
+        spark, "doc int, slot_id string, pos int, kind string, role string, key string, ctx string, text string, header array<string>, cols int",
+        (1, "1", 1, "kv", "var", "village", "present", "গ্রাম: ক", None, None), (1, "2", 2, "kv", "var", "village", "permanent", "গ্রাম: খ", None, None), (1, "3", 3, "kv", "var", "name", None, "নাম", None, None),
+        (1, "4", 4, "para", "fixed", None, None, "জনাব,", None, None), (1, "5", 5, "table", "var", None, None, None, ["পণ্য", "দর"], 2), (1, "6", 6, "para", "var", None, None, "বিনীত নিবেদক\nক", None, None),
+        (1, "7", 7, "para", "var", None, None, "নমুনা", None, None), (1, "8", 8, "heading", "var", None, None, "শির", None, None), (2, "9", 1, "para", "var", None, None, "একা", None, None),
+    )
+    p = rows(
+        spark, "doc int, part_id string, pos int, kind string, key string, ctx string, text string, rows array<array<string>>",
+        (1, "p1", 1, "kv", "village", "permanent", "গ্রাম: গ", None), (1, "p2", 2, "kv", "name", "present", "নাম: রহিম", None), (1, "p3", 0, "kv", "village", "present", "গ্রাম: ঘ", None),
+        (1, "p4", 4, "para", None, None, " জনাব", None), (1, "p5", 5, "table", None, None, None, [["x", "y", "z"]]), (1, "p6", 6, "table", None, None, None, [["পণ্য", "দর"], ["চাল", "৫"]]),
+        (1, "p7", 7, "para", None, None, "বিনীত নিবেদক\nরহিম", None), (1, "p8", 8, "para", None, None, "নতুন", None), (1, "p9", 9, "heading", None, None, "নতুন শির", None), (2, "pa", 1, "para", None, None, "এক", None), (2, "pb", 2, "para", None, None, "দুই", None),
+    )
+    return relational.slot_matching(s, p).select(F.col("slot_id").alias("id"), told("part_id", "rule").alias("out"))
+
+
 @frame("checked_maps", [(1, "p1"), (2, "p2")])
 def _(spark):
     wanted = rows(spark, "slot_id string, part_id string, pos int", ("1", "p1", 0), ("2", "p1", 1), ("2", "p2", 2), ("3", "p9", 3), ("4", "p3", 4))

@@ -55,20 +55,26 @@ def _shown(key: str, s: list) -> tuple:
     return (key, s[0], s[1], s[2], s[3], s[4], "INVALID" if s[8] else "READY", s[6], s[7], s[9])
 
 
-def ledger_stream(events: DataFrame) -> DataFrame:
+def ledger_stream(events: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """The state of each key after its events (key, day, at_ms, seq, ok, cls, latency_ms, reopen_after_ms), as a stream of updates.
 
-    Events of one key within a micro-batch are folded in order of (at_ms, seq).
+    Events of one key within a micro-batch are folded in order of (at_ms, seq). With ``idle_ms`` a key that has had none for so
+    long loses its state; that is for streams that run on, as such a query never ends by itself.
     """
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         held = list(state.get) if state.exists else list(EMPTY)
         rows = pd.concat(list(batches)).sort_values(["at_ms", "seq"])
         for row in rows.itertuples():
             held = fold(held, row)
         state.update(tuple(held))
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame([_shown(key[0], held)], columns=[c.split()[0] for c in OUT.split(", ")])
 
-    return events.groupBy("key").applyInPandasWithState(update, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
+    return events.groupBy("key").applyInPandasWithState(update, OUT, STATE, "update", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
 
 
 def ledger_batch(events: DataFrame) -> DataFrame:
