@@ -34,6 +34,43 @@ def columns_of(blocks: DataFrame) -> DataFrame:
     return counted.select("doc", "page", F.when(two, 2).otherwise(1).alias("columns"))
 
 
+# Fixed values of captures: roles by block type, those that may stand side by side, and what a rule looks like.
+CAPTURE_ROLES = {"title": "title", "heading": "heading", "paragraph": "paragraph", "list_item": "list", "label_value": "label_value", "table": "table", "question": "question", "option_row": "option_row", "signature": "signature", "stamp": "stamp", "footer": "footer", "figure": "figure", "header": "header", "page_number": "page_number", "other": "other", "note": "note", "marginal_note": "note"}
+SIDE_ROLES = ("paragraph", "signature", "label_value", "heading", "list")
+CAPTURED_RULE = r"^\s*⟦[─\-—_=]×\d+⟧\s*$"
+
+
+def model_of_capture(blocks: DataFrame) -> DataFrame:
+    """Capture blocks (doc, page, idx, type, fs, box, text) as model blocks: (doc, page, idx, role, level, rows, pair, side).
+
+    A table has its pipe rows, without separators; one without rows goes. Text blocks that follow one another and stand beside
+    each other in at least half of their height are the two sides of a pair, named by the first one.
+    """
+    from docloom.functions.calc import y_overlap
+
+    roles = F.create_map(*(F.lit(x) for kv in CAPTURE_ROLES.items() for x in kv))
+    role = F.coalesce(F.try_element_at(roles, "type"), F.lit("paragraph"))
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    cells = F.transform(F.filter(lines, lambda x: F.trim(x) != ""), text.cells)
+    rows = F.filter(cells, lambda r: ~F.forall(r, lambda c: c.rlike("^:?-{2,}:?$") | (c == "")) | (F.size(F.filter(r, lambda c: c != "")) == 0))
+    b = blocks.withColumn("role", F.when((role == "other") & (F.size(lines) == 1) & F.col("text").rlike(CAPTURED_RULE), "rule").otherwise(role))
+    b = b.withColumn("rows", F.when(F.col("role") == "table", rows)).filter("role <> 'table' OR size(rows) > 0")
+    b = b.withColumn("level", F.when(F.col("role") == "heading", F.when(F.col("fs").isin("xl", "l"), 1).otherwise(2)))
+    w = Window.partitionBy("doc", "page").orderBy("idx")
+    at = lambda box, i: F.get(box, F.lit(i))
+    after, own = F.lead("box").over(w), F.col("box")
+    narrow = lambda box: at(box, 3) - at(box, 1) < 700
+    beside = F.col("role").isin(*SIDE_ROLES) & F.lead("role").over(w).isin(*SIDE_ROLES) & (at(own, 3) <= at(after, 1)) & narrow(own) & narrow(after) & (y_overlap(at(own, 0), at(own, 2), at(after, 0), at(after, 2)) >= 0.5)
+    b = b.withColumn("beside", F.coalesce(beside, F.lit(False)))
+    # in a row of blocks that could all pair with the next one, every second one does
+    run = F.sum((~F.col("beside")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    b = b.withColumn("run", F.coalesce(run, F.lit(0)))
+    k = F.row_number().over(Window.partitionBy("doc", "page", "run").orderBy("idx"))
+    b = b.withColumn("left", F.col("beside") & (k % 2 == 1))
+    b = b.withColumn("pair", F.when(F.col("left"), F.col("idx")).when(F.lag("left").over(w), F.lag("idx").over(w)))
+    return b.select("doc", "page", "idx", "role", "level", "rows", "pair", F.when(F.col("left"), "left").when(F.col("pair").isNotNull(), "right").alias("side"))
+
+
 def cut_line(x: Column, role: Column) -> Column:
     """A rule to cut along: scissors or a row of dashes, alone on its line."""
     return role.isin("rule", "cut_line") | x.rlike(r"^\s*(?:[✂✁]\s*)?[-–—_.·•\s]{10,}(?:\s*[✂✁])?\s*$") | x.rlike("^\\s*[✂✁]")

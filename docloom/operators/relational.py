@@ -378,6 +378,11 @@ def cached(keys: DataFrame, session: DataFrame, history: DataFrame) -> DataFrame
     return keys.join(best.select("cache_key", "source", "payload"), "cache_key", "left")
 
 
+def session(saved: DataFrame, key: str, version: int, now: Column, seconds: int) -> DataFrame:
+    """Saved sessions that a key may go on with: of that version and not too old."""
+    return saved.filter((F.col("key") == key) & (F.col("v") == version) & (F.unix_timestamp(now) - F.unix_timestamp("at") <= seconds))
+
+
 def content_hash(parts: Column) -> Column:
     """SHA-256 of one part; of several, that of their hexadecimal hashes joined by a pipe."""
     hashes = F.transform(parts, lambda p: F.sha2(p.cast("binary"), 256))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import struct
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -93,6 +94,24 @@ def _(spark):
     return windows.listed(out, [F.desc("at")]).select(F.col("place").alias("id"), F.concat(F.col("at").cast("string"), F.lit(":"), F.col("source"), F.lit(">"), F.col("target")).alias("out"))
 
 
+@frame("saved_sessions", [(1, "kept")])
+def _(spark):
+    df = rows(spark, "id int, key string, v int, at string", (1, "a", 1, "2024-05-01 10:00:00"), (2, "b", 1, "2024-05-01 10:00:00"), (3, "a", 2, "2024-05-01 10:00:00"), (4, "a", 1, "2024-04-29 10:00:00"))
+    return relational.session(df.withColumn("at", F.col("at").cast("timestamp")), "a", 1, F.lit("2024-05-02 09:59:59").cast("timestamp"), 86400).select("id", F.lit("kept").alias("out"))
+
+
+@frame("capture_models", [(0, "heading:1::"), (1, "paragraph::1:left"), (2, "paragraph::1:right"), (3, "label_value::3:left"), (4, "list::3:right"), (5, "paragraph:::"), (6, 'table[["a","b"],["1","2"]]:::'), (8, "rule:::"), (9, "paragraph:::")])
+def _(spark):
+    left, right = [100.0, 50.0, 200.0, 450.0], [120.0, 500.0, 220.0, 950.0]
+    df = rows(
+        spark, "doc int, page int, idx int, type string, fs string, box array<double>, text string",
+        (1, 1, 0, "heading", "xl", [10.0, 50.0, 50.0, 950.0], "শির"), (1, 1, 1, "paragraph", None, left, "এক"), (1, 1, 2, "unknown", None, right, "দুই"), (1, 1, 3, "label_value", None, [300.0, 50.0, 400.0, 300.0], "ক: খ"), (1, 1, 4, "list_item", None, [300.0, 310.0, 400.0, 500.0], "গ"),
+        (1, 1, 5, "paragraph", None, [300.0, 510.0, 400.0, 900.0], "ঘ"), (1, 1, 6, "table", None, None, "| a | b |\n|---|---|\n| 1 | 2 |"), (1, 1, 7, "table", None, None, ""), (1, 1, 8, "other", None, None, "⟦─×12⟧"), (1, 1, 9, "paragraph", None, None, "শেষ"),
+    )
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    return documents.model_of_capture(df).select(F.col("idx").alias("id"), F.concat_ws(":", F.concat("role", F.coalesce(F.to_json("rows"), F.lit(""))), blank("level"), blank("pair"), blank("side")).alias("out"))
+
+
 @frame("stale_scores", [(2, "new"), (3, "changed")])
 def _(spark):
     now = rows(spark, "id int, fingerprint string", (1, "a"), (2, "b"), (3, "d"))
@@ -530,6 +549,52 @@ def _(spark):
     return windows.changed(c, "text", "after", ["path", "cell"], 10).select(F.col("path").alias("id"), F.concat("cell", F.lit(":"), "text", F.lit(">"), "after").alias("out"))
 
 
+@frame("page_facts", [(1, "portrait:10.0:0"), (2, "landscape:7.5:2")])
+def _(spark):
+    other = zipped({"word/document.xml": f'<w:document {W}><w:body><w:p><w:pPr><w:framePr/></w:pPr><w:r><w:rPr><w:sz w:val="15"/></w:rPr><w:t>ক</w:t></w:r></w:p><w:tbl><w:tblPr><w:tblpPr/></w:tblPr></w:tbl><w:sectPr><w:pgSz w:orient="landscape"/></w:sectPr></w:body></w:document>'})
+    return office.page_facts(files(spark, DOCX, other)).select(F.col("path").alias("id"), told("orientation", "least_size", "frames").alias("out"))
+
+
+def compound(streams: dict[str, bytes]) -> bytes:
+    """A small compound file: every stream is 4096 bytes or more and so in ordinary sectors."""
+    fat: list[int] = []
+    blocks: list[bytes] = []
+
+    def put(data: bytes) -> int:
+        start, n = len(fat), -(-len(data) // 512)
+        fat.extend([*range(start + 1, start + n), 0xFFFFFFFE])
+        blocks.append(data.ljust(n * 512, b"\0"))
+        return start
+
+    entries = [(name, 2, put(data), len(data)) for name, data in streams.items()]
+    entries.insert(0, ("Root Entry", 5, 0xFFFFFFFE, 0))
+    directory = put(b"".join(n.encode("utf-16-le").ljust(64, b"\0") + struct.pack("<H", 2 * len(n) + 2) + bytes([k, 0]) + b"\xff" * 12 + b"\0" * 36 + struct.pack("<II", s, z) + b"\0" * 4 for n, k, s, z in entries))
+    table = len(fat)
+    fat.append(0xFFFFFFFD)
+    blocks.append(b"".join(struct.pack("<I", x) for x in fat).ljust(512, b"\xff"))
+    head = bytes.fromhex("d0cf11e0a1b11ae1") + b"\0" * 16 + struct.pack("<HHHHH", 0x3E, 3, 0xFFFE, 9, 6) + b"\0" * 10 + struct.pack("<IIIIIIII", 1, directory, 0, 4096, 0xFFFFFFFE, 0, 0xFFFFFFFE, 0)
+    return (head + struct.pack("<109I", table, *[0xFFFFFFFF] * 108)).ljust(512, b"\0") + b"".join(blocks)
+
+
+def old_doc(wide: str, narrow: bytes) -> bytes:
+    """An old Word file of two pieces: UTF-16, then eight bits."""
+    word = bytearray(4096)
+    data = wide.encode("utf-16-le")
+    word[1024 : 1024 + len(data)], word[2048 : 2048 + len(narrow)] = data, narrow
+    struct.pack_into("<H", word, 10, 0x200)
+    n = len(wide), len(wide) + len(narrow)
+    pieces = struct.pack("<III", 0, *n) + struct.pack("<HIH", 0, 1024, 0) + struct.pack("<HIH", 0, 0x40000000 | 2 * 2048, 0)
+    clx = b"\x02" + struct.pack("<I", len(pieces)) + pieces
+    struct.pack_into("<II", word, 0x1A2, 0, len(clx))
+    return compound({"WordDocument": bytes(word), "1Table": clx.ljust(4096, b"\0")})
+
+
+@frame("old_word_files", [(1, "doc:পুরোনো\nplain – text"), (2, "bad")])
+def _(spark):
+    got = office.texts(files(spark, old_doc("পুরোনো\r", b"plain \x96 text"), bytes.fromhex("d0cf11e0a1b11ae1")))
+    return got.select(F.col("path").alias("id"), F.when(F.col("error").isNotNull(), "bad").otherwise(told("kind", "text")).alias("out"))
+
+
 @frame("document_tables", [(1, '[[[{"text":"ক","span":2,"goes_on":false}],[{"text":"","span":1,"goes_on":true},{"text":"খ","span":1,"goes_on":false}]]]')])
 def _(spark):
     return office.tables(files(spark, DOCX)).select(F.col("path").alias("id"), F.to_json("tables").alias("out"))

@@ -295,6 +295,21 @@ def pictures(frame: DataFrame) -> DataFrame:
     return _per_file(frame, lambda c: [(i, *p) for i, p in enumerate(embedded_images(c))], "at int, kind string, data binary")
 
 
+def page_facts(frame: DataFrame) -> DataFrame:
+    """(path, orientation, least_size, frames) of DOCX files: of the last section, the smallest size of text in points, and floating frames and tables."""
+    def one(content: bytes) -> list[tuple]:
+        package = zipfile.ZipFile(io.BytesIO(content))
+        body = ElementTree.fromstring(package.read("word/document.xml"))
+        given = ElementTree.fromstring(package.read("word/styles.xml")).find(f"{W}docDefaults//{W}sz") if "word/styles.xml" in package.namelist() else None
+        default = float(given.get(f"{W}val")) / 2 if given is not None else 10.0
+        sizes = [default if size is None else size for part, *_, size, text in docx_runs(content) if part == "word/document.xml" and text.strip()]
+        page = list(body.iter(f"{W}pgSz"))
+        floating = sum(1 for tag in ("framePr", "tblpPr") for _ in body.iter(f"{W}{tag}"))
+        return [(page[-1].get(f"{W}orient", "portrait") if page else "portrait", min(sizes, default=None), floating)]
+
+    return _per_file(frame, one, "orientation string, least_size double, frames int")
+
+
 def texts(frame: DataFrame) -> DataFrame:
     """(path, kind, text, was_legacy, error) of any supported file; legacy glyph text is decoded."""
     from docloom.parse.transcode import from_legacy_text
