@@ -32,13 +32,20 @@ FORMS = {
 }
 
 
+#: What stands for a value to be filled in by hand, and lines of signatures.
+BLANK, SIGNED = re.compile(r"[.…_\-–—\s]*"), re.compile("স্বাক্ষর|signature", re.I)
+
+
 def parse(kind: str, text: str) -> dict:
-    """Fields, heading lines, sections and tables of a document of one kind; paragraphs in between are its body."""
+    """Fields, heading lines, sections, tables and signatures of a document of one kind; paragraphs in between are its body.
+
+    A field whose value is a line to be filled in takes none, nor what stands on the next line.
+    """
     form = FORMS[kind]
     text = text.replace("\u09af\u09bc", "\u09df").replace("\u09a1\u09bc", "\u09dc").replace("\u09a2\u09bc", "\u09dd")
     text = re.sub(r"\A\s*---\n.*?\n---\n", "", text, flags=re.S)
     names = {alias.strip().lower(): f for f, aliases in form.fields.items() for alias in aliases.split("|")}
-    out: dict = {"fields": {}, "heads": [], "sections": [], "tables": [], "body": []}
+    out: dict = {"fields": {}, "heads": [], "sections": [], "tables": [], "body": [], "signs": []}
     waiting = None
     for b in markdown_blocks(text):
         if b["type"] == "table":
@@ -48,12 +55,15 @@ def parse(kind: str, text: str) -> dict:
             plain = re.sub(r"[*#]+", "", line).strip()
             pairs = re.findall(r"([^:ঃ\t]{1,30}?)\s*[:ঃ]\s*(.*?)(?=\s{2,}|\t|$)", plain)
             known = [(names[k.strip().lower()], v.strip()) for k, v in pairs if k.strip().lower() in names]
-            if any(plain.rstrip(":ঃ ").lower() == s for s in form.sections):
+            known = [(f, "" if BLANK.fullmatch(v) else v) for f, v in known]
+            if not known and SIGNED.search(plain):
+                out["signs"] += [x.strip() for x in re.split(r"\t+|\s{3,}|\|", line) if x.strip()]
+            elif any(plain.rstrip(":ঃ ").lower() == s for s in form.sections):
                 out["sections"].append({"title": plain.rstrip(":ঃ "), "lines": []})
             elif known:
                 for f, v in known:
                     out["fields"].setdefault(f, v)
-                waiting = known[-1][0] if not known[-1][1] else None
+                waiting = known[-1][0] if not known[-1][1] and plain.rstrip()[-1:] in ":ঃ" else None
             elif plain.rstrip(",") in names:
                 waiting = names[plain.rstrip(",")]
             elif waiting:
@@ -68,7 +78,7 @@ def parse(kind: str, text: str) -> dict:
     for name, value in zip(form.heads, out["heads"], strict=False):
         out["fields"].setdefault(name, value)
     missing = next((f for f in form.required if not out["fields"].get(f)), None)
-    return {"doc_type": kind, "fields": {k: v for k, v in out["fields"].items() if v}, "sections": out["sections"], "tables": out["tables"], "body": "\n".join(out["body"]), "missing": missing}
+    return {"doc_type": kind, "fields": {k: v for k, v in out["fields"].items() if v}, "sections": out["sections"], "tables": out["tables"], "body": "\n".join(out["body"]), "signs": out["signs"], "missing": missing}
 
 
 def routine(text: str) -> dict:
@@ -86,7 +96,7 @@ def routine(text: str) -> dict:
     return {"headers": rows[0] if rows else [], "rows": rows[1:]}
 
 
-FORM_TYPE = "struct<doc_type:string,fields:map<string,string>,sections:array<struct<title:string,lines:array<string>>>,tables:array<array<array<string>>>,body:string,missing:string>"
+FORM_TYPE = "struct<doc_type:string,fields:map<string,string>,sections:array<struct<title:string,lines:array<string>>>,tables:array<array<array<string>>>,body:string,signs:array<string>,missing:string>"
 
 
 parse_form = over_text(lambda kind, text: parse(kind, text) if kind in FORMS else None, FORM_TYPE)

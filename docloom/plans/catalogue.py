@@ -244,15 +244,21 @@ def otsu_histogram(spark, d):
     return relational.otsu(e, ["event_type"], "level", 0, 255).select("event_type", F.col("threshold").cast("long").alias("threshold"))
 
 
-@query("""WITH RECURSIVE r0 AS (SELECT user_id, value AS x, value * 2 + event_id % 7 AS y FROM events),
-f0 AS (SELECT user_id, regr_slope(y, x) AS a, regr_intercept(y, x) AS b FROM r0 GROUP BY user_id),
-o0 AS (SELECT r0.*, abs(y - a * x - b) AS o FROM r0 JOIN f0 USING (user_id)),
-m0 AS (SELECT user_id, list_sort(list(o))[CAST(floor(count(*) / 2) AS INT) + 1] AS m FROM o0 GROUP BY user_id),
-r1 AS (SELECT user_id, x, y FROM o0 JOIN m0 USING (user_id) WHERE coalesce(o <= greatest(2, 2.5 * m), true))
-SELECT user_id, round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 6) AS intercept, count(*) AS n FROM r1 GROUP BY user_id HAVING count(*) >= 6""")
+def _refits(rounds: int) -> str:
+    """Least squares refitted without large residuals, round by round."""
+    steps = "r0 AS (SELECT user_id, value AS x, value * 2 + event_id % 7 AS y FROM events)"
+    for k in range(rounds):
+        steps += f""", f{k} AS (SELECT user_id, regr_slope(y, x) AS a, regr_intercept(y, x) AS b FROM r{k} GROUP BY user_id),
+o{k} AS (SELECT r{k}.*, abs(y - a * x - b) AS o FROM r{k} JOIN f{k} USING (user_id)),
+m{k} AS (SELECT user_id, list_sort(list(o))[CAST(floor(count(*) / 2) AS INT) + 1] AS m FROM o{k} GROUP BY user_id),
+r{k + 1} AS (SELECT user_id, x, y FROM o{k} JOIN m{k} USING (user_id) WHERE coalesce(o <= greatest(2, 2.5 * m), true))"""
+    return f"WITH {steps} SELECT user_id, round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 6) AS intercept, count(*) AS n FROM r{rounds} GROUP BY user_id HAVING count(*) >= 6"
+
+
+@query(_refits(4))
 def drift_regression(spark, d):
     e = table(spark, d, "events").select("user_id", F.col("value").alias("x"), (F.col("value") * 2 + F.col("event_id") % 7).alias("y"))
-    return windows.trimmed_fit(e, ["user_id"], "x", "y", 1).select("user_id", F.round("slope", 6).alias("slope"), F.round("intercept", 6).alias("intercept"), "n")
+    return windows.trimmed_fit(e, ["user_id"], "x", "y", 4).select("user_id", F.round("slope", 6).alias("slope"), F.round("intercept", 6).alias("intercept"), "n")
 
 
 _GRAMS = "g AS (SELECT item_id AS id, substring(text, CAST(i AS BIGINT), 2) AS g, count(*) AS n FROM benchmark, unnest(range(1, length(text))) AS u(i) GROUP BY ALL), t AS (SELECT id, sum(n) AS t FROM g GROUP BY id)"

@@ -139,6 +139,19 @@ scalar("exam_headers", "t string", [(_PAPER, "আদর্শ বিদ্যা
 scalar("exam_sections", "t string", [(_PAPER, "ক বিভাগ সৃজনশীল প্রশ্ন:১:3:0;বহুনির্বাচনি:১:0:4"), ("", "")], lambda t: F.array_join(F.transform(papers.parse_paper(t)["sections"], lambda s: F.concat_ws(":", s["title"], F.array_join(F.transform(s["questions"], lambda q: F.concat_ws(":", q["num"], F.size(q["subQuestions"]).cast("string"), F.size(q["options"]).cast("string"))), ","))), ";"), composed=True)
 scalar("exam_part_marks", "t string", [(_PAPER, "ক:পানি কী?:১|খ:বায়ু কেন লাগে বল।:২|গ:মাটি ব্যাখ্যা কর।:৩")], lambda t: F.array_join(F.transform(papers.parse_paper(t)["sections"][0]["questions"][0]["subQuestions"], lambda p: F.concat_ws(":", p["label"], p["text"], p["mark"])), "|"), composed=True)
 scalar("exam_stimuli", "t string", [("[উদ্দীপক ২] করিম বাজারে যায়।\n২. সে কেন যায়?\nক. কী? ১", "২|উদ্দীপক ২\nকরিম বাজারে যায়।|সে কেন যায়?")], lambda t: F.concat_ws("|", *(papers.parse_paper(t)["sections"][0]["questions"][0][c] for c in ("num", "stimulus", "text"))), composed=True)
+_PARTS = lambda t: F.array_join(F.flatten(F.transform(papers.parse_paper(t)["sections"], lambda s: F.transform(s["questions"], lambda q: F.concat(q["num"], F.lit(":"), F.array_join(F.transform(q["subQuestions"], lambda p: F.concat(p["label"], F.lit("="), p["mark"])), ","))))), "|")
+scalar("exam_abbreviations", "t string", [
+    ("সময়: ১ ঘণ্টা\n## প্রশ্ন ১২। চাল বিক্রি হলো।\n\tক. সূত্র লেখো।\t২\n\tখ. কত টাকা?\t৮\n## প্রশ্ন ০৭। ব্যাংকে জমা।\n\tক. $A$ ও $B$ এর গ. সা. গু. নির্ণয় করো।\t১০", "১২:ক=২,খ=৮|০৭:ক=১০"),
+    ("১. কী?\nক. এক\nখ. দুই\nগ. তিন\nঘ. চার\nঙ. পাঁচ", "১:ক=,খ=,গ=,ঘ=,ঙ="),
+    ("১. ক. এক কী? ১\n১. খ. দুই কেন? ২", "১:ক=১,খ=২"),
+    ("১. What is it?\n(a) one way to say 2\n(b) two ways to say 3", "১:a=2,b=3"),
+], _PARTS)
+scalar("exam_stimulus_lines", "t string", [
+    ("উদ্দীপক: ১\nকরিম যায়।\n১. কেন?\nক. বল ১", ":১:উদ্দীপক ১\nকরিম যায়।"),
+    ("[উদ্দীপক ১] করিম\n## খ বিভাগ মান: ২০\n১. কী?\nক. বল ১", "খ বিভাগ২০:১:উদ্দীপক ১\nকরিম"),
+    ("১. নিচের উদ্দীপকটি পড়ে উত্তর দাও।\n(ক) কী বলে বলো? ১", ":১:নিচের উদ্দীপকটি পড়ে উত্তর দাও।"),
+    ("## ক বিভাগ\n১. এক?\n## ক বিভাগ\n২. দুই?", "ক বিভাগ:১:|ক বিভাগ:২:"),
+], lambda t: F.array_join(F.flatten(F.transform(papers.parse_paper(t)["sections"], lambda s: F.transform(s["questions"], lambda q: F.concat(s["title"], s["marks"], F.lit(":"), q["num"], F.lit(":"), q["stimulus"])))), "|"), composed=True)
 scalar("exam_alternatives", "t string", [("১. কী?\nক. এক বল। ২\nঅথবা\nখ. দুই বল। ২", "ক:false,:true,খ:false")], lambda t: F.array_join(F.transform(papers.parse_paper(t)["sections"][0]["questions"][0]["subQuestions"], lambda p: F.concat_ws(":", p["label"], p["isAlternative"].cast("string"))), ","))
 scalar("exam_statements", "t string", [("১. কোনটি ঠিক?\ni. এক\nii. দুই\nক) i খ) ii গ) i ও ii ঘ) নেই", '["i. এক","ii. দুই"]')], lambda t: papers.parse_paper(t)["sections"][0]["questions"][0]["statements"])
 scalar("combined_papers", "t string", [("১. কী?\n## বহুনির্বাচনি\n১. না?", '{"cq":"১. কী?","mcq":"## বহুনির্বাচনি\\n১. না?"}'), ("১. কী?\n---SECTION_BREAK:MCQ---\n২. না?", '{"cq":"১. কী?","mcq":"২. না?"}'), ("১. কী?", '{"cq":"১. কী?"}')], papers.parse_combined)
@@ -183,10 +196,11 @@ scalar("shielded_maths", "t string", [("ক $x$ খ \\(y\\)", '{"text":"ক 0
 _FORM = lambda kind: lambda t: F.to_json(forms.parse_form(F.lit(kind), t)["fields"])
 scalar("cash_memos", "t string", [("করিম ট্রেডার্স\nক্যাশ মেমো\nমেমো নং: ১২  তারিখ: ১/১/২৪\nনাম: রহিম\n| পণ্য | দর |\n|---|---|\n| চাল | ৫০ |\nসর্বমোট: ৫০\nকথায়: পঞ্চাশ", '{"number":"১২","date":"১/১/২৪","name":"রহিম","total":"৫০","in_words":"পঞ্চাশ","institute":"করিম ট্রেডার্স","title":"ক্যাশ মেমো"}')], _FORM("CASH_MEMO"))
 scalar("cash_memo_tables", "t string", [("ক\n| পণ্য | দর |\n|---|---|\n| চাল | ৫০ |", '[[["পণ্য","দর"],["চাল","৫০"]]]')], lambda t: F.to_json(forms.parse_form(F.lit("CASH_MEMO"), t)["tables"]))
+scalar("memo_signatures", "t string", [("ক\nনাম: ........\nকথায়: একশত\nক্রেতার স্বাক্ষর\tবিক্রেতার স্বাক্ষর", '{"in_words":"একশত","institute":"ক"}|["ক্রেতার স্বাক্ষর","বিক্রেতার স্বাক্ষর"]')], lambda t: F.concat_ws("|", F.to_json(forms.parse_form(F.lit("CASH_MEMO"), t)["fields"]), F.to_json(forms.parse_form(F.lit("CASH_MEMO"), t)["signs"])))
 scalar("receipts", "t string", [("ক সমিতি\nরসিদ\nরসিদ নং: ৭\nটাকা: ৫০০\nবাবদ: চাঁদা", '{"number":"৭","amount":"৫০০","purpose":"চাঁদা","institute":"ক সমিতি","title":"রসিদ"}')], _FORM("RECEIPT"))
 scalar("admit_cards", "t string", [("ক স্কুল\nপ্রবেশপত্র\nপরীক্ষার্থীর নাম: রহিম\nরোল: ১২\nশ্রেণি: দশম", '{"name":"রহিম","roll":"১২","class":"দশম","institute":"ক স্কুল","title":"প্রবেশপত্র"}')], _FORM("ADMIT_CARD"))
-scalar("curricula", "t string", [("জীবনবৃত্তান্ত\nনাম: রহিম\nমোবাইল: ০১৭\nশিক্ষাগত যোগ্যতা\nএসএসসি ২০১০", '{"doc_type":"CV_RESUME","fields":{"name":"রহিম","phone":"০১৭","title":"জীবনবৃত্তান্ত"},"sections":[{"title":"শিক্ষাগত যোগ্যতা","lines":["এসএসসি ২০১০"]}],"tables":[],"body":""}')], lambda t: forms.parse_form(F.lit("CV_RESUME"), t))
-scalar("deeds", "t string", [("চুক্তিপত্র\n১ম পক্ষ: রহিম\n২য় পক্ষ: করিম\nতফসিল\nদাগ ১২", '{"doc_type":"STAMP_DEED","fields":{"first_party":"রহিম","second_party":"করিম","title":"চুক্তিপত্র"},"sections":[{"title":"তফসিল","lines":["দাগ ১২"]}],"tables":[],"body":""}')], lambda t: forms.parse_form(F.lit("STAMP_DEED"), t))
+scalar("curricula", "t string", [("জীবনবৃত্তান্ত\nনাম: রহিম\nমোবাইল: ০১৭\nশিক্ষাগত যোগ্যতা\nএসএসসি ২০১০", '{"doc_type":"CV_RESUME","fields":{"name":"রহিম","phone":"০১৭","title":"জীবনবৃত্তান্ত"},"sections":[{"title":"শিক্ষাগত যোগ্যতা","lines":["এসএসসি ২০১০"]}],"tables":[],"body":"","signs":[]}')], lambda t: forms.parse_form(F.lit("CV_RESUME"), t))
+scalar("deeds", "t string", [("চুক্তিপত্র\n১ম পক্ষ: রহিম\n২য় পক্ষ: করিম\nতফসিল\nদাগ ১২", '{"doc_type":"STAMP_DEED","fields":{"first_party":"রহিম","second_party":"করিম","title":"চুক্তিপত্র"},"sections":[{"title":"তফসিল","lines":["দাগ ১২"]}],"tables":[],"body":"","signs":[]}')], lambda t: forms.parse_form(F.lit("STAMP_DEED"), t))
 scalar("certificates", "t string", [("ক ইউনিয়ন\nপ্রত্যয়নপত্র\nস্মারক নং: ৫\nনাম: রহিম\nতিনি ভালো।", '{"memo":"৫","name":"রহিম","institute":"ক ইউনিয়ন","title":"প্রত্যয়নপত্র"}')], _FORM("PROTTOYON"), composed=True)
 scalar("applications", "t string", [("তারিখ: ১/১\nবরাবর,\nপ্রধান শিক্ষক\nবিষয়: ছুটি\nমহোদয়, ছুটি চাই।", '{"date":"১/১","to":"প্রধান শিক্ষক","subject":"ছুটি"}')], _FORM("GOVT_APP"))
 scalar("missing_fields", "kind string, t string", [("ADMIT_CARD", "নাম: রহিম", "roll"), ("ADMIT_CARD", "নাম: রহিম\nরোল: ১", None), ("GOVT_APP", "ক", "subject")], lambda k, t: forms.parse_form(k, t)["missing"])

@@ -94,6 +94,20 @@ def _(spark):
     return windows.listed(out, [F.desc("at")]).select(F.col("place").alias("id"), F.concat(F.col("at").cast("string"), F.lit(":"), F.col("source"), F.lit(">"), F.col("target")).alias("out"))
 
 
+@frame("export_envelopes", [(1, '{"format":"f","formatVersion":2,"templates":[{"id":1,"name":"a"},{"id":2,"name":""}]}')])
+def _(spark):
+    df = rows(spark, "id int, name string, hidden int", (2, "", 9), (1, "a", 9))
+    return documents.envelope(df, "f", 2, ["id", "name"], "id").select(F.lit(1).alias("id"), F.col("json").alias("out"))
+
+
+@frame("imported_envelopes", [(0, "1:a:true"), (1, "2::false")])
+def _(spark):
+    row = '"templates":[{"id":1,"name":"a"},{"id":2,"name":""}]'
+    df = rows(spark, "json string", ('{"format":"f","formatVersion":2,' + row + "}",), ('{"format":"f","formatVersion":3,' + row + "}",), ('{"format":"g","formatVersion":1,' + row + "}",), ("no json",), (None,))
+    got = documents.opened(df, "f", 2, "struct<id:int,name:string>", "name")
+    return got.select(F.col("pos").alias("id"), F.concat_ws(":", F.col("id").cast("string"), "name", F.col("sound").cast("string")).alias("out"))
+
+
 @frame("saved_sessions", [(1, "kept")])
 def _(spark):
     df = rows(spark, "id int, key string, v int, at string", (1, "a", 1, "2024-05-01 10:00:00"), (2, "b", 1, "2024-05-01 10:00:00"), (3, "a", 2, "2024-05-01 10:00:00"), (4, "a", 1, "2024-04-29 10:00:00"))
