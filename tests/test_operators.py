@@ -1,12 +1,14 @@
 """Windows, matching, rasters, nested values, office files and streams."""
 
 import io
+import pathlib
 import re
 import struct
 import zipfile
 
 import numpy as np
 import pytest
+from docloom import storage
 from docloom.operators import ledger, nested, raster, relational, windows
 from docloom.sources import office
 from docloom.streaming import limits
@@ -300,3 +302,25 @@ def test_retries(spark):
 
     chunks = spark.createDataFrame([(1, "ok"), (2, "SERVER"), (3, "FATAL_INPUT")], "id long, payload string")
     assert {r.id: (r.text, r.failure, r.tries) for r in limits.with_retries(chunks, call).collect()} == {1: ("done", None, 1), 2: (None, "SERVER", 3), 3: (None, "FATAL_INPUT", 1)}
+
+
+def test_tables_of_a_scope_go(spark):
+    with storage.scope() as kept:
+        gone = storage.table(spark.range(5), "test")
+        path = gone._shared_path.removeprefix("file://")
+        kept.append(stays := storage.table(gone.filter("id > 2"), "test"))
+        assert pathlib.Path(path).exists() and gone.count() == 5
+    assert not pathlib.Path(path).exists() and stays.count() == 2
+    storage.drop(stays, None, spark.range(1))
+    assert not hasattr(stays, "_shared_path") or stays._shared_path is None
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_planned_chunks_keep_their_limits(seed):
+    rng = np.random.default_rng(seed)
+    sizes = rng.integers(1, [10, 300, 900][seed % 3], rng.integers(9, 60)).tolist()
+    plan = windows.levelled_chunks(windows.greedy_chunks(sizes, 8, 700), 8, 700, 5)
+    assert [n for c in plan for n in c] == sizes
+    assert all(len(c) <= 8 and (len(c) == 1 or sum(c) <= 700) for c in plan)
+    if seed % 3 == 0:
+        assert all(len(c) >= 5 for c in plan)
