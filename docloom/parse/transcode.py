@@ -15,19 +15,27 @@ from functools import lru_cache
 from docloom.parse.udfs import over_text
 
 # Fixed values of the encoding: letters, signs, and the conjuncts with glyphs of their own.
-SINGLE = dict(
-    zip(
-        "অইঈউঊঋএঐওঔকখগঘঙচছজঝঞটঠডঢণতথদধনপফবভমযরলশষসহ" + "\u09dc\u09dd\u09df" + "ৎংঃঁ্।০১২৩৪৫৬৭৮৯াীুূৃ",
-        "ABCDEFGHIJKLMNOPQRSTUVWXYZ_`abcdefghijklmnopqrstu&|0123456789vxy~„",
-        strict=True,
-    )
-) | {"আ": "Av", "ঽ": ""}
-CONJUNCTS = """
-অ্যা A¨v|অ্য A¨|ন্ত্র š¿|ক্ষ্ম ¶¥|ক্ষ্ণ ÿè|ঙ্ক্ষ ¼¶|ম্ভ্র ¤£|ত্ত্ব Ë¡|স্ত্র ¯¿|স্ক্র ¯Œ|ন্দ্ব ›Ø|ত্র Î|ক্ক °|ক্ট ±|ক্ত ³|ক্ম ´|ক্র µ|ক্ল K¬|ক্ষ ¶|ক্স ·
-গ্ধ »|গ্র MÖ|ঙ্ক ¼|ঙ্গ ½|চ্চ ”P|চ্ছ ”Q|চ্ঞ ”T|জ্জ ¾|জ্ঝ À|জ্ঞ Á|ঞ্চ Â|ঞ্ছ Ã|ঞ্জ Ä|ঞ্ঝ Å|ট্ট Æ|ড্ড Ç|ণ্ট ›U|ন্ট ›U|ন্ঠ Ú|ণ্ঠ Ú|ণ্ড Û|ন্ড Û|ণ্ণ bœ|ত্ত Ë|ত্থ Î|ত্ন Í
-দ্দ Ï|দ্ধ ×|দ্ব Ø|দ্ভ ™¢|দ্ম Ù|ন্ত šÍ|ন্থ š’|ন্দ ›`|ন্ধ Ü|ন্ব š^|ন্স Ý|প্ট Þ|প্ত ß|প্প à|প্র cÖ|প্স á|ফ্র d«|ফ্ল d¬|ব্জ â|ব্দ ã|ব্ধ ä|ব্ব eŸ|ভ্র å|ম্প ¤ú|ম্ফ ç|ম্ব ¤^|ম্ভ ¤¢|ম্ম ¤§|ম্ল ¤ø
-ল্ক é|ল্গ ê|ল্ট ë|ল্ড ì|ল্প í|ল্ফ î|শ্চ ð|শ্ছ ñ|শ্ব k¦|শ্র kÖ|ষ্ক ®‹|ষ্ট ó|ষ্ঠ ô|ষ্ণ ò|ষ্প ®ú|ষ্ফ ®œ|ষ্ম ®§|স্ক ¯‹|স্খ ö|স্ট ÷|স্ত ¯Í|স্থ ¯’|স্প ¯ú|স্ফ ù|স্ব ¯^|স্ম ¯§|হ্ন ý|হ্ণ nè|হ্ব nŸ|হ্ম þ|হ্ল n¬
-"""
+SINGLE = {
+    "অ": "A", "ই": "B", "ঈ": "C", "উ": "D", "ঊ": "E", "ঋ": "F", "এ": "G", "ঐ": "H", "ও": "I", "ঔ": "J", "ক": "K", "খ": "L",
+    "গ": "M", "ঘ": "N", "ঙ": "O", "চ": "P", "ছ": "Q", "জ": "R", "ঝ": "S", "ঞ": "T", "ট": "U", "ঠ": "V", "ড": "W", "ঢ": "X",
+    "ণ": "Y", "ত": "Z", "থ": "_", "দ": "`", "ধ": "a", "ন": "b", "প": "c", "ফ": "d", "ব": "e", "ভ": "f", "ম": "g", "য": "h",
+    "র": "i", "ল": "j", "শ": "k", "ষ": "l", "স": "m", "হ": "n", "ড়": "o", "ঢ়": "p", "য়": "q", "ৎ": "r", "ং": "s", "ঃ": "t",
+    "ঁ": "u", "্": "&", "।": "|", "০": "0", "১": "1", "২": "2", "৩": "3", "৪": "4", "৫": "5", "৬": "6", "৭": "7", "৮": "8",
+    "৯": "9", "া": "v", "ী": "x", "ু": "y", "ূ": "~", "ৃ": "„", "আ": "Av", "ঽ": "",
+}
+CONJUNCTS = {
+    "অ্যা": "A¨v", "অ্য": "A¨", "ন্ত্র": "š¿", "ক্ষ্ম": "¶¥", "ক্ষ্ণ": "ÿè", "ঙ্ক্ষ": "¼¶", "ম্ভ্র": "¤£", "ত্ত্ব": "Ë¡", "স্ত্র": "¯¿", "স্ক্র": "¯Œ",
+    "ন্দ্ব": "›Ø", "ত্র": "Î", "ক্ক": "°", "ক্ট": "±", "ক্ত": "³", "ক্ম": "´", "ক্র": "µ", "ক্ল": "K¬", "ক্ষ": "¶", "ক্স": "·",
+    "গ্ধ": "»", "গ্র": "MÖ", "ঙ্ক": "¼", "ঙ্গ": "½", "চ্চ": "”P", "চ্ছ": "”Q", "চ্ঞ": "”T", "জ্জ": "¾", "জ্ঝ": "À", "জ্ঞ": "Á",
+    "ঞ্চ": "Â", "ঞ্ছ": "Ã", "ঞ্জ": "Ä", "ঞ্ঝ": "Å", "ট্ট": "Æ", "ড্ড": "Ç", "ণ্ট": "›U", "ন্ট": "›U", "ন্ঠ": "Ú", "ণ্ঠ": "Ú",
+    "ণ্ড": "Û", "ন্ড": "Û", "ণ্ণ": "bœ", "ত্ত": "Ë", "ত্থ": "Î", "ত্ন": "Í", "দ্দ": "Ï", "দ্ধ": "×", "দ্ব": "Ø", "দ্ভ": "™¢",
+    "দ্ম": "Ù", "ন্ত": "šÍ", "ন্থ": "š’", "ন্দ": "›`", "ন্ধ": "Ü", "ন্ব": "š^", "ন্স": "Ý", "প্ট": "Þ", "প্ত": "ß", "প্প": "à",
+    "প্র": "cÖ", "প্স": "á", "ফ্র": "d«", "ফ্ল": "d¬", "ব্জ": "â", "ব্দ": "ã", "ব্ধ": "ä", "ব্ব": "eŸ", "ভ্র": "å", "ম্প": "¤ú",
+    "ম্ফ": "ç", "ম্ব": "¤^", "ম্ভ": "¤¢", "ম্ম": "¤§", "ম্ল": "¤ø", "ল্ক": "é", "ল্গ": "ê", "ল্ট": "ë", "ল্ড": "ì", "ল্প": "í",
+    "ল্ফ": "î", "শ্চ": "ð", "শ্ছ": "ñ", "শ্ব": "k¦", "শ্র": "kÖ", "ষ্ক": "®‹", "ষ্ট": "ó", "ষ্ঠ": "ô", "ষ্ণ": "ò", "ষ্প": "®ú",
+    "ষ্ফ": "®œ", "ষ্ম": "®§", "স্ক": "¯‹", "স্খ": "ö", "স্ট": "÷", "স্ত": "¯Í", "স্থ": "¯’", "স্প": "¯ú", "স্ফ": "ù", "স্ব": "¯^",
+    "স্ম": "¯§", "হ্ন": "ý", "হ্ণ": "nè", "হ্ব": "nŸ", "হ্ম": "þ", "হ্ল": "n¬",
+}
 FOLLOWING = {"য": "¨", "র": "ª", "ব": "¡", "ন": "œ", "ম": "¥", "ল": "ø"}
 SIGNS = {"া": "v", "ী": "x", "ু": "y", "ূ": "~", "ৃ": "„"}
 WITH_SIGN = {"কু": "Kz", "রু": "iæ", "রূ": "iƒ", "শু": "ï", "হু": "û", "হৃ": "ü"}
@@ -41,7 +49,7 @@ KEEP = re.compile(r"\$\$.*?\$\$|\$[^$\n]+\$|\\\(.*?\\\)|\\\[.*?\\\]|https?://\S+
 @lru_cache(maxsize=1)
 def tables() -> tuple[dict[str, str], dict[str, str]]:
     """Glyphs by cluster, and clusters by glyphs: the longest glyphs of a text are tried first."""
-    forward = dict(pair.split(" ") for line in CONJUNCTS.split("\n") for pair in line.split("|") if pair)
+    forward = CONJUNCTS
     back: dict[str, str] = {}
     every = list(forward)
     letters = [c for c in SINGLE if re.fullmatch(f"[{CONSONANT}]", c)]
