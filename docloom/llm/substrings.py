@@ -46,7 +46,7 @@ def _cut(b: scan.Block, w: scan.Words, lo: np.ndarray, hi: np.ndarray) -> tuple[
     return out, stops[np.cumsum(hi - lo) - 1]
 
 
-UNITS = overlap.Units(WIDTH, GRAM, 16, _split, _cut)
+UNITS = overlap.Units(WIDTH, GRAM, 8, _split, _cut)
 
 
 class Bits:
