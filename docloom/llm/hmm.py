@@ -46,7 +46,7 @@ STATES = 8
 OWN, HASHED = 2048, 4096
 ROUNDS, TOLERANCE = 5, 1e-3
 #: Tokens of a segment, tokens whose forward values are held at a time, and tokens in a block.
-SEGMENT, BLOCK_TOKENS, ENCODED_TOKENS = 1024, 250_000, 1_000_000
+SEGMENT, BLOCK_TOKENS, ENCODED_TOKENS = 1024, 200_000, 600_000
 #: Steps after which products of matrices are scaled.
 SCALED = 16
 ADD = 0.1
