@@ -38,7 +38,7 @@ from docloom.llm import scan, work
 
 BINS, ROWS = 128, 4
 #: A pivot's members that are compared in one run.
-MEMBERS = 256
+MEMBERS = 128
 #: Documents and shingles of a bucket in a block at most on average, and shingles in a slice of the matrix of two blocks.
 SIDE, SIDE_SHINGLES, COLUMNS = 512, 1 << 20, 4096
 BLOCK = 3 << 19
