@@ -37,7 +37,7 @@ def test_query_equals_sql(spark, sf, name):
 
 
 def test_every_operator_is_registered():
-    assert sorted({int(re.match(r"op(\d+)_", n)[1]) for n in queries.queries()}) == list(range(1, 11))
+    assert sorted({int(re.match(r"op(\d+)_", n)[1]) for n in queries.queries()}) == list(range(1, 14))
 
 
 def odd(spark):
