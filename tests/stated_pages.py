@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from docloom.operators import raster
-from docloom.plans.fixtures import values
+from tests.stated_text import values
 
 QUERIES, SQL = {}, {}
 

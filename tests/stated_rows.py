@@ -13,8 +13,8 @@ from docloom.functions import text
 from docloom.operators import documents, ledger, nested, relational, windows
 from docloom.parse import papers
 from docloom.plans import classify
-from docloom.plans.fixtures import QUERIES as _TAKEN
-from docloom.plans.fixtures import values
+from tests.stated_text import QUERIES as _TAKEN
+from tests.stated_text import values
 from docloom.sources import office
 from docloom.streaming import limits
 

@@ -1,4 +1,4 @@
-"""Operators that the driver's tables can't feed, on small inputs written here beside the rows that must come out.
+"""Operators over single texts on small inputs written here beside the rows that must come out.
 
 Every query gives (id, out): the number of the input, from 1, and the result as text, nested results as JSON. The rows
 that must come out are stated by hand in the SQL.
