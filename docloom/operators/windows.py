@@ -1,6 +1,7 @@
 """Ordered analytics: islands, carried values, retention, renumbering, chunk plans.
 
-Every window is partitioned; orderings end in a tie-breaker that the caller names.
+Every window is partitioned; orderings end in a tie-breaker that the caller names. ``spread`` says how a key's rows are met:
+False keeps a key in one window (a document, a page), True deals keys of any size over pieces (``scans``), None lets the largest key decide.
 """
 
 from __future__ import annotations
@@ -9,6 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom import storage
+from docloom.operators import scans
+
 SO_FAR = (Window.unboundedPreceding, 0)
 
 
@@ -16,22 +20,24 @@ def _ordered(keys: list[str], order: list[str | Column]):
     return Window.partitionBy(*keys).orderBy(*order)
 
 
-def runs(df: DataFrame, keys: list[str], order: list, changed: Column, name: str = "run") -> DataFrame:
+def runs(df: DataFrame, keys: list[str], order: list, changed: Column, name: str = "run", spread: bool | None = False) -> DataFrame:
     """Numbers runs from 1: a row for which ``changed`` holds (nulls count as a start) begins one."""
-    return df.withColumn(name, F.sum(F.coalesce(changed, F.lit(True)).cast("int")).over(_ordered(keys, order).rowsBetween(*SO_FAR)))
+    return scans.scan(df, keys, order, sums={name: F.coalesce(changed, F.lit(True)).cast("int")}, spread=spread)
 
 
-def value_runs(df: DataFrame, keys: list[str], order: list, value: str, name: str = "run") -> DataFrame:
+def value_runs(df: DataFrame, keys: list[str], order: list, value: str, name: str = "run", spread: bool | None = False) -> DataFrame:
     """Runs of equal values (run-length groups)."""
-    before = F.lag(value).over(_ordered(keys, order))
-    start = F.row_number().over(_ordered(keys, order)) == 1
-    return runs(df.withColumn("run start", start | ~before.eqNullSafe(F.col(value))), keys, order, F.col("run start"), name).drop("run start")
+    spread = scans.hot(df, keys) if spread is None else spread
+    met = scans.scan(df, keys, order, lags={"one before": F.lit(1), "value before": F.col(value)}, spread=spread)
+    start = F.col("one before").isNull() | ~F.col("value before").eqNullSafe(F.col(value))
+    return runs(met.withColumn("run start", start).drop("one before", "value before"), keys, order, F.col("run start"), name, spread).drop("run start")
 
 
-def islands(df: DataFrame, keys: list[str], at: str, gap: float, least: int = 1) -> DataFrame:
+def islands(df: DataFrame, keys: list[str], at: str, gap: float, least: int = 1, spread: bool | None = False) -> DataFrame:
     """Clusters of positions no further apart than ``gap``: (keys, lo, hi, n) for those of ``least`` rows or more."""
-    before = F.lag(at).over(_ordered(keys, [at]))
-    numbered = runs(df.withColumn("jump", F.col(at) - before > gap), keys, [at], F.col("jump"))
+    spread = scans.hot(df, keys) if spread is None else spread
+    met = scans.scan(df, keys, [at], lags={"at before": F.col(at)}, spread=spread).withColumn("jump", F.col(at) - F.col("at before") > gap)
+    numbered = runs(met, keys, [at], F.col("jump"), "run", spread)
     return numbered.groupBy(*keys, "run").agg(F.min(at).alias("lo"), F.max(at).alias("hi"), F.count("*").alias("n")).filter(F.col("n") >= least)
 
 
@@ -40,16 +46,18 @@ def bands(clusters: DataFrame, keys: list[str]) -> DataFrame:
     return clusters.withColumn("bottom", F.lead("lo").over(_ordered(keys, ["lo"]))).filter("bottom IS NOT NULL").select(*keys, F.col("hi").alias("top"), "bottom")
 
 
-def carried(df: DataFrame, keys: list[str], order: list, opens: Column, keeps: Column, value: str, name: str = "owner") -> DataFrame:
+def carried(df: DataFrame, keys: list[str], order: list, opens: Column, keeps: Column, value: str, name: str = "owner", spread: bool | None = False) -> DataFrame:
     """The value of the row that opened the current context; a row that neither opens nor keeps one closes it."""
-    numbered = runs(df.withColumn("opens", opens), keys, order, F.col("opens") | ~keeps, "context")
-    head = F.first(F.when(F.col("opens"), F.col(value))).over(_ordered([*keys, "context"], order).rowsBetween(*SO_FAR))
-    return numbered.withColumn(name, F.when(~F.col("opens") & keeps, head)).drop("opens", "context")
+    marked = df.withColumn("opens", opens).withColumn("keeps", keeps)
+    heads = F.when(F.coalesce(F.col("opens") | ~F.col("keeps"), F.lit(True)), F.struct("opens", F.col(value).alias("v")))
+    met = scans.scan(marked, keys, order, lasts={"head": heads}, spread=spread)
+    return met.withColumn(name, F.when(~F.col("opens") & F.col("keeps") & F.col("head.opens"), F.col("head.v"))).drop("opens", "keeps", "head")
 
 
-def filled(df: DataFrame, keys: list[str], order: list, value: str) -> DataFrame:
+def filled(df: DataFrame, keys: list[str], order: list, value: str, spread: bool | None = False) -> DataFrame:
     """Missing values take the last one before them."""
-    return df.withColumn(value, F.last(value, ignorenulls=True).over(_ordered(keys, order).rowsBetween(*SO_FAR)))
+    met = scans.scan(df, keys, order, lasts={"last value": F.col(value)}, spread=spread)
+    return met.withColumn(value, F.col("last value")).drop("last value")
 
 
 def column_kind(box: Column, role: Column) -> Column:
@@ -127,42 +135,45 @@ def without_repeats(df: DataFrame, keys: list[str], order: list, kind: str, valu
     return df.withColumn("repeat", F.coalesce(same, F.lit(False))).filter(~F.col("repeat")).drop("repeat")
 
 
-def renumbered(df: DataFrame, keys: list[str], order: list, bengali: Column, keep: Column | None = None, number: str = "num") -> DataFrame:
+def renumbered(df: DataFrame, keys: list[str], order: list, bengali: Column, keep: Column | None = None, number: str = "num", spread: bool | None = False) -> DataFrame:
     """Questions numbered 1..n per section in the section's digit script; kept numbers stay."""
     from docloom.functions.calc import to_bengali_digits
 
-    n = F.row_number().over(_ordered(keys, order))
+    n = F.col("row number")
     new = F.when(bengali, to_bengali_digits(n)).otherwise(n.cast("string"))
-    return df.withColumn(number, new if keep is None else F.when(keep, F.col(number)).otherwise(new))
+    counted = scans.scan(df, keys, order, sums={"row number": F.lit(1)}, spread=spread)
+    return counted.withColumn(number, new if keep is None else F.when(keep, F.col(number)).otherwise(new)).drop("row number")
 
 
-def continued(df: DataFrame, keys: list[str], order: str, head: str, columns: list[str], glue: str = " ") -> DataFrame:
+def continued(df: DataFrame, keys: list[str], order: str, head: str, columns: list[str], glue: str = " ", spread: bool | None = False) -> DataFrame:
     """Rows with a blank head column are joined to the row before them, column by column."""
-    numbered = runs(df, keys, [order], F.coalesce(F.trim(head), F.lit("")) != "", "row")
+    numbered = runs(df, keys, [order], F.coalesce(F.trim(head), F.lit("")) != "", "row", spread)
     joined = [F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.coalesce(F.trim(c), F.lit("")) != "", F.struct(F.col(order).alias("o"), F.col(c).alias("v"))))), lambda s: s["v"]), glue).alias(c) for c in columns]
     return numbered.groupBy(*keys, "row").agg(*joined)
 
 
-def serial_merges(df: DataFrame, keys: list[str], order: str, serial: str, second: str) -> DataFrame:
+def serial_merges(df: DataFrame, keys: list[str], order: str, serial: str, second: str, spread: bool | None = False) -> DataFrame:
     """restart or continue for the serial column: a serial cell followed by rows without one but with a second cell."""
     is_serial = F.coalesce(F.trim(serial), F.lit("")).rlike("^[0-9০-৯]+[.)।]?$")
-    numbered = runs(df.withColumn("is serial", is_serial), keys, [order], F.col("is serial"), "group")
-    w = Window.partitionBy(*keys, "group")
     follows = (F.coalesce(F.trim(serial), F.lit("")) == "") & (F.coalesce(F.trim(second), F.lit("")) != "")
-    has = F.max(follows.cast("int")).over(w) == 1
-    headed = F.max(F.col("is serial").cast("int")).over(w) == 1
-    return numbered.withColumn("vmerge", F.when(has & headed & F.col("is serial"), "restart").when(has & headed & follows, "continue")).drop("is serial")
+    spread = scans.hot(df, keys) if spread is None else spread
+    numbered = runs(df.withColumn("is serial", is_serial), keys, [order], F.col("is serial"), "group", spread).withColumn("follows", follows)
+    # of the rows that matter, a serial cell begins a merge if the next one follows; one that follows goes on with it if a serial cell came before
+    met = scans.scan(numbered.filter("`is serial` OR follows"), keys, [F.desc(order)], lags={"next follows": F.col("follows")}, spread=spread)
+    named = met.withColumn("vmerge", F.when(F.col("is serial") & F.col("next follows"), "restart").when(F.col("follows") & (F.col("group") > 0), "continue"))
+    rest = numbered.filter("NOT (`is serial` OR follows)").withColumn("vmerge", F.lit(None).cast("string"))
+    return named.drop("next follows").unionByName(rest).drop("is serial", "follows")
 
 
-def leading(df: DataFrame, keys: list[str], order: list, holds: Column) -> DataFrame:
+def leading(df: DataFrame, keys: list[str], order: list, holds: Column, spread: bool | None = False) -> DataFrame:
     """The longest prefix of each key for whose rows a condition holds."""
-    ok = F.min(F.coalesce(holds, F.lit(False)).cast("int")).over(_ordered(keys, order).rowsBetween(*SO_FAR))
-    return df.withColumn("so far", ok).filter(F.col("so far") == 1).drop("so far")
+    failed = F.when(F.coalesce(holds, F.lit(False)), 0).otherwise(1)
+    return scans.scan(df, keys, order, sums={"so far": failed}, spread=spread).filter(F.col("so far") == 0).drop("so far")
 
 
-def merged_runs(df: DataFrame, keys: list[str], order: str, styles: list[str], text: str) -> DataFrame:
+def merged_runs(df: DataFrame, keys: list[str], order: str, styles: list[str], text: str, spread: bool | None = False) -> DataFrame:
     """Neighbouring runs of the same style become one; their texts are joined in order."""
-    numbered = value_runs(df.withColumn("style", F.to_json(F.struct(*styles))), keys, [order], "style")
+    numbered = value_runs(df.withColumn("style", F.to_json(F.struct(*styles))), keys, [order], "style", "run", spread)
     return numbered.groupBy(*keys, "run").agg(*(F.first(s).alias(s) for s in styles), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("v")))), lambda s: s["v"]), "").alias(text))
 
 
@@ -221,9 +232,86 @@ def _by_chunks(df: DataFrame, key: str, order: str, size: str, plan) -> DataFram
     return df.select(key, order, size).groupBy(key).applyInPandas(run, f"`{key}` {kinds[key]}, `{order}` {kinds[order]}, chunk int")
 
 
+#: Rows of a key that are folded in one task; larger keys are packed by jumps. Positions that one task then walks through, at least.
+FOLD_ROWS, WALK = 100_000, 4096
+
+
+def _met(left: DataFrame, right: DataFrame, on: dict[str, str], how: str = "inner") -> DataFrame:
+    """Join in which nulls are equal: columns of the left by those of the right."""
+    same = F.lit(True)
+    for a, b in on.items():
+        same = same & left[a].eqNullSafe(right[b])
+    return left.join(right, same, how)
+
+
+def _hops(rows: DataFrame, key: str, most_items: int, most_size: int) -> DataFrame:
+    """(key, at, next): the chunk that begins at a position ends before ``next``.
+
+    The first item too many is the first whose running sum exceeds what was there before the chunk by more than ``most_size``: limits and
+    sums meet in one falling order, in which a limit stands before equal sums and of those the earliest comes last.
+    """
+    none = F.lit(None).cast("long")
+    sums = rows.select(key, F.col("upto").alias("v"), F.col("at").alias("stop"), none.alias("at"))
+    limits = rows.select(key, (F.col("upto") - F.col("size") + most_size).alias("v"), none.alias("stop"), "at")
+    met = scans.scan(limits.unionByName(sums), [key], [F.desc("v"), F.desc_nulls_first("stop"), "at"], lasts={"over": F.col("stop")}, spread=True)
+    at = F.col("at")
+    return met.filter("at IS NOT NULL").select(key, "at", F.greatest(at + 1, F.least(at + most_items, F.coalesce("over", at + most_items))).alias("next"))
+
+
+def _path(hops: DataFrame, key: str, most_items: int) -> DataFrame:
+    """(key, at) of the positions that are met from 0 on.
+
+    Positions are cut into blocks. Within one, the way out is walked back from its end for each of the few positions where a path can come
+    in. Over blocks the way is found by doubling: the positions that are known to be met jump along, and every jump is put behind itself.
+    """
+    width = max(WALK, 4 * most_items)
+    kind = dict(hops.dtypes)[key]
+    hops = storage.table(hops.withColumn("block", F.floor(F.col("at") / width)), "hops")
+
+    def exits(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("at")
+        first, nexts = int(rows["at"].iloc[0]), rows["next"].tolist()
+        ways = list(nexts)
+        for i in range(len(nexts) - 1, -1, -1):
+            if nexts[i] - first < len(nexts):
+                ways[i] = ways[nexts[i] - first]
+        out = rows.assign(to=ways)
+        return out.loc[out["at"] - first < most_items, [key, "at", "to"]]
+
+    def walked(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("at")
+        first, nexts, at, met = int(rows["at"].iloc[0]), rows["next"].tolist(), int(rows["entry"].iloc[0]), []
+        while at - first < len(nexts):
+            met.append(at)
+            at = nexts[at - first]
+        return pd.DataFrame({key: rows[key].iloc[0], "at": met})
+
+    known = storage.table(hops.filter("at = 0").select(key, "at"), "met")
+    jumps = storage.table(hops.groupBy(key, "block").applyInPandas(exits, f"`{key}` {kind}, at long, to long"), "jumps")
+    blocks = (hops.agg(F.max("block")).first()[0] or 0) + 1
+    for _ in range((blocks - 1).bit_length()):
+        ahead = _met(known, jumps.select(F.col(key).alias("of"), F.col("at").alias("from"), "to"), {key: "of", "at": "from"}).select(key, F.col("to").alias("at"))
+        further = _met(jumps, jumps.select(F.col(key).alias("of"), F.col("at").alias("from"), F.col("to").alias("beyond")), {key: "of", "to": "from"}).select(key, "at", F.col("beyond").alias("to"))
+        before = (known, jumps)
+        known, jumps = storage.table(known.unionByName(ahead).distinct(), "met"), storage.table(further, "jumps")
+        storage.drop(*before)
+    # the last way out may end behind the last position and yet in its block
+    entries = known.groupBy(F.col(key).alias("of"), F.floor(F.col("at") / width).alias("in")).agg(F.min("at").alias("entry"))
+    return _met(hops, entries, {key: "of", "block": "in"}).drop("of", "in").groupBy(key, "block").applyInPandas(walked, f"`{key}` {kind}, at long")
+
+
 def packed(df: DataFrame, key: str, order: str, size: str, most_items: int, most_size: int) -> DataFrame:
-    """Greedy chunks of each key in order, at most so many items and so large: (key, order value, chunk)."""
-    return _by_chunks(df, key, order, size, lambda sizes: greedy_chunks(sizes, most_items, most_size))
+    """Greedy chunks of each key in order, at most so many items and so large: (key, order value, chunk from 1). A null size counts as 0.
+
+    Keys of more than ``FOLD_ROWS`` rows are packed by jumps: no task holds a key, whatever its size.
+    """
+    df = df.select(key, order, F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)).cast("long").alias("size"))
+    if not scans.hot(df, [key], FOLD_ROWS):
+        return _by_chunks(df, key, order, "size", lambda sizes: greedy_chunks(sizes, most_items, most_size))
+    rows = storage.table(scans.scan(df, [key], [order, "size"], sums={"upto": F.col("size"), "number": F.lit(1)}, spread=True).withColumn("at", F.col("number") - 1), "positions")
+    starts = _path(_hops(rows, key, most_items, most_size), key, most_items).select(F.col(key).alias("of"), F.col("at").alias("start"))
+    marked = _met(rows, starts, {key: "of", "at": "start"}, "left")
+    return scans.scan(marked, [key], ["at"], sums={"chunk": F.when(F.col("start").isNotNull(), 1).otherwise(0)}, spread=True).select(key, order, F.col("chunk").cast("int").alias("chunk"))
 
 
 def planned_chunks(df: DataFrame, key: str, order: str, size: str, most_items: int, most_size: int, least: int) -> DataFrame:

@@ -145,13 +145,13 @@ SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN first_value(CASE
 def owner_context(spark, d):
     """signup opens a context, click and view stay in it, others close it."""
     e = table(spark, d, "events")
-    return windows.carried(e, ["user_id"], ["ts", "event_id"], F.col("event_type") == "signup", F.col("event_type").isin("click", "view"), "event_id").select("event_id", "owner")
+    return windows.carried(e, ["user_id"], ["ts", "event_id"], F.col("event_type") == "signup", F.col("event_type").isin("click", "view"), "event_id", spread=None).select("event_id", "owner")
 
 
 @query("SELECT event_id, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS owner FROM events")
 def owner_fill(spark, d):
     e = table(spark, d, "events").withColumn("owner", F.when(F.col("event_type") == "signup", F.col("event_id")))
-    return windows.filled(e, ["user_id"], ["ts", "event_id"], "owner").select("event_id", "owner")
+    return windows.filled(e, ["user_id"], ["ts", "event_id"], "owner", spread=None).select("event_id", "owner")
 
 
 _LINES = "l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate"
@@ -168,7 +168,7 @@ def column_bands_runs(spark, d):
 
 @query("SELECT conv_id, turn, translate(CAST(row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS VARCHAR), CASE WHEN role = 'user' THEN '0123456789' ELSE '' END, CASE WHEN role = 'user' THEN '০১২৩৪৫৬৭৮৯' ELSE '' END) AS num FROM conversations")
 def section_renumber(spark, d):
-    return windows.renumbered(table(spark, d, "conversations"), ["conv_id", "role"], ["turn"], F.col("role") == "user").select("conv_id", "turn", "num")
+    return windows.renumbered(table(spark, d, "conversations"), ["conv_id", "role"], ["turn"], F.col("role") == "user", spread=None).select("conv_id", "turn", "num")
 
 
 @query("SELECT conv_id, string_agg(coalesce(text, '[chunk ' || turn || ' failed]'), chr(10) || chr(10) ORDER BY turn) AS merged, count(*) AS chunks, count(*) FILTER (text IS NULL) AS failed FROM conversations GROUP BY conv_id")
@@ -194,12 +194,12 @@ c AS (SELECT *, max(CASE WHEN s = '' AND t <> '' THEN 1 ELSE 0 END) OVER (PARTIT
 SELECT event_id, CASE WHEN has = 1 AND headed = 1 AND s <> '' THEN 'restart' WHEN has = 1 AND headed = 1 AND s = '' AND t <> '' THEN 'continue' END AS vmerge FROM c""")
 def serial_merge(spark, d):
     e = table(spark, d, "events").withColumn("s", F.when(F.col("event_type") == "signup", F.col("event_id").cast("string")).otherwise("")).withColumn("t", F.when(F.col("value") >= 20, "x").otherwise(""))
-    return windows.serial_merges(e, ["user_id"], "event_id", "s", "t").select("event_id", "vmerge")
+    return windows.serial_merges(e, ["user_id"], "event_id", "s", "t", spread=None).select("event_id", "vmerge")
 
 
 @query("SELECT user_id, event_id FROM (SELECT *, min(CASE WHEN event_type <> 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS ok FROM events) WHERE ok = 1")
 def header_prefix(spark, d):
-    return windows.leading(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], F.col("event_type") != "purchase").select("user_id", "event_id")
+    return windows.leading(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], F.col("event_type") != "purchase", spread=None).select("user_id", "event_id")
 
 
 _ISLANDS = """WITH a AS (SELECT user_id, value, CASE WHEN value - lag(value) OVER (PARTITION BY user_id ORDER BY value) <= 2 THEN 0 ELSE 1 END AS c FROM events),
@@ -209,7 +209,7 @@ c AS (SELECT user_id, run, min(value) AS lo, max(value) AS hi, count(*) AS n FRO
 
 @query(_ISLANDS + " SELECT user_id, CAST(run AS BIGINT) AS run, lo, hi, n FROM c WHERE n >= 2")
 def line_islands(spark, d):
-    return windows.islands(table(spark, d, "events"), ["user_id"], "value", 2.0, 2)
+    return windows.islands(table(spark, d, "events"), ["user_id"], "value", 2.0, 2, spread=None)
 
 
 @query(_ISLANDS + " SELECT user_id, hi AS top, bottom FROM (SELECT user_id, hi, lead(lo) OVER (PARTITION BY user_id ORDER BY lo) AS bottom FROM c) WHERE bottom IS NOT NULL")
