@@ -219,11 +219,18 @@ def table_fit(header: Column, columns: Column, rows: Column) -> Column:
     return F.when(F.coalesce(F.size(rows), F.lit(0)) <= 0, 0).when((F.size(header) > 0) & (hits >= 0.5 * F.greatest(F.lit(1), F.size(heads))), 2).when(widest == columns, 1).otherwise(0)
 
 
-def bigrams(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, gram, n): character bigrams as a multiset; a text of one character counts as itself."""
+#: Characters of a text that are cut into bigrams at a time.
+PIECE_CHARS = 1 << 16
+
+
+def bigrams(df: DataFrame, key: str | list[str], text: str) -> DataFrame:
+    """(key, gram, n): character bigrams as a multiset; a text of one character counts as itself. Texts are cut piece by piece, each into its characters once."""
+    keys = [key] if isinstance(key, str) else key
     n = F.length(text)
-    grams = F.when(n == 1, F.array(text)).when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(F.col(text), i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
-    return df.select(key, F.explode(grams).alias("gram")).groupBy(key, "gram").agg(F.count("*").alias("n"))
+    pieces = df.select(*keys, F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.greatest(n, F.lit(2)) - 2) / PIECE_CHARS).cast("int")), lambda i: F.substring(F.col(text), i * PIECE_CHARS + 1, F.lit(PIECE_CHARS + 1)))).alias("piece"))
+    chars = pieces.select(*keys, F.regexp_extract_all("piece", F.lit("(?s)."), F.lit(0)).alias("chars"))
+    grams = F.when(F.size("chars") <= 1, F.col("chars")).otherwise(F.slice(F.zip_with("chars", F.slice("chars", F.lit(2), F.size("chars")), lambda x, y: F.concat(x, y)), F.lit(1), F.size("chars") - 1))
+    return chars.select(*keys, F.explode(grams).alias("gram")).groupBy(*keys, "gram").agg(F.count("*").alias("n"))
 
 
 def similarity(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -234,25 +241,43 @@ def similarity(left: DataFrame, right: DataFrame) -> DataFrame:
     return out.select("a", "b", ((F.col("common") / F.col("na") + F.col("common") / F.col("nb")) / 2).alias("similarity"))
 
 
-def match_candidates(left: DataFrame, right: DataFrame, least: float = 0.6, share: float = 0.25) -> DataFrame:
-    """Pairs (a, b, similarity) of texts (id, page, text) on the same or the next page (a page may be unknown), of like length and likeness."""
-    def side(d: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-        facts = d.select("id", F.col("page").alias(f"page_{name}"), F.length("text").alias(f"length_{name}"))
-        grams = bigrams(d, "id", "text")
-        total = grams.groupBy("id").agg(F.sum("n").alias(f"n_{name}"))
-        return grams.join(facts, "id").withColumnRenamed("id", name).withColumnRenamed("n", f"g_{name}"), total.withColumnRenamed("id", name)
-
-    (x, nx), (y, ny) = side(left, "a"), side(right, "b")
-    near = F.coalesce(F.abs(F.col("page_a") - F.col("page_b")) <= 1, F.lit(True))
-    like = F.least("length_a", "length_b") >= share * F.greatest("length_a", "length_b")
-    common = x.join(y, "gram").filter(near & like).groupBy("a", "b").agg(F.sum(F.least("g_a", "g_b")).alias("common"))
-    out = common.join(nx, "a").join(ny, "b").select("a", "b", ((F.col("common") / F.col("n_a") + F.col("common") / F.col("n_b")) / 2).alias("similarity"))
-    return out.filter(F.col("similarity") >= least)
+def match_candidates(left: DataFrame, right: DataFrame, least: float = 0.6, share: float = 0.25, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs (a, b, similarity) of texts (id, page, text and the keys) of equal keys on the same or the next page (a page may be unknown), of like length and likeness.
 
-
-def matched_texts(left: DataFrame, right: DataFrame, least: float = 0.6, share: float = 0.25) -> DataFrame:
-    """One-to-one pairs (a, b, similarity) of texts (id, page, text), the most alike first."""
-    return best_first(match_candidates(left, right, least, share))
+    A prefix-filtered join. Two multisets of x and y bigrams reach ``least`` only with (2 * least - 1) * x of them in common, and of y as well, so both
+    have one of their rarest x - that + 1 in common: these prefixes alone are joined. Of the pairs that meet, those go on whose sizes, and what stands
+    behind the first bigram they share, leave room for enough; only these are counted out. Null keys match nothing.
+    """
+    floor, keys = max(2 * least - 1, 0.0), list(keys)
+    each = {}
+    for name, d in (("a", left), ("b", right)):
+        rows = d.select(*keys, F.col("id").alias(name), F.col("page").alias(f"page_{name}"), F.col("text"), F.length("text").alias(f"length_{name}"))
+        each[name] = storage.table(bigrams(rows, [*keys, name, f"page_{name}", f"length_{name}"], "text").withColumnRenamed("n", f"g_{name}"), "bigrams")
+    often = each["a"].select("gram").unionByName(each["b"].select("gram")).groupBy("gram").agg(F.count("*").alias("often"))
+    prefix = {}
+    for name, grams in each.items():
+        w = Window.partitionBy(*keys, name)
+        placed = grams.join(often, "gram").withColumn(f"n_{name}", F.sum(f"g_{name}").over(w)).withColumn(f"at_{name}", F.sum(f"g_{name}").over(w.orderBy("often", "gram").rowsBetween(Window.unboundedPreceding, 0)) - F.col(f"g_{name}"))
+        need = F.greatest(F.lit(1), F.ceil(floor * F.col(f"n_{name}") - 1e-9))
+        prefix[name] = placed.filter(F.col(f"at_{name}") <= F.col(f"n_{name}") - need).drop("often", f"g_{name}")
+    x, y = prefix["a"], prefix["b"]
+    near = F.explode(F.array(*(F.col("page_a") + i for i in (-1, 0, 1))))
+    known = x.filter("page_a IS NOT NULL").withColumn("page_b", near).join(y.filter("page_b IS NOT NULL"), [*keys, "page_b", "gram"])
+    columns = ["a", "b", *(f"{c}_{s}" for c in ("length", "n", "at") for s in "ab")]
+    loose = [x.filter("page_a IS NULL").join(y, [*keys, "gram"]), x.filter("page_a IS NOT NULL").join(y.filter("page_b IS NULL"), [*keys, "gram"])]
+    met = reduce(DataFrame.unionByName, [d.select(*columns) for d in (known, *loose)])
+    met = met.filter((F.least("length_a", "length_b") >= share * F.greatest("length_a", "length_b")) & (F.least("n_a", "n_b") >= floor * F.greatest("n_a", "n_b") - 1e-9))
+    pairs = met.groupBy("a", "b", "n_a", "n_b").agg(F.min("at_a").alias("at_a"), F.min("at_b").alias("at_b"))
+    likeness = lambda c: (c / F.col("n_a") + c / F.col("n_b")) / 2
+    pairs = pairs.filter(likeness(F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))) >= least - 1e-9)
+    counted = pairs.join(each["a"].select("a", "gram", "g_a"), "a").join(each["b"].select("b", "gram", "g_b"), ["b", "gram"])
+    common = counted.groupBy("a", "b", "n_a", "n_b").agg(F.sum(F.least("g_a", "g_b")).alias("common"))
+    return common.select("a", "b", likeness(F.col("common")).alias("similarity")).filter(F.col("similarity") >= least)
+
+
+def matched_texts(left: DataFrame, right: DataFrame, least: float = 0.6, share: float = 0.25, keys: tuple[str, ...] = ()) -> DataFrame:
+    """One-to-one pairs (a, b, similarity) of texts (id, page, text and the keys), the most alike first."""
+    return best_first(match_candidates(left, right, least, share, keys))
 
 
 #: Candidates that are matched on the driver: what many short rounds would be left for.

@@ -271,6 +271,31 @@ def bigram_similarity(spark, d):
     return relational.similarity(g, g).filter("a < b").withColumn("similarity", F.round("similarity", 9))
 
 
+_TURN_GRAMS = """WITH t AS (SELECT conv_id, turn, role, text, conv_id || ':' || turn AS id, length(text) AS l FROM conversations WHERE role IN ('user', 'assistant')),
+g AS (SELECT conv_id, id, role, turn, l, CASE WHEN l = 1 THEN text ELSE substring(text, CAST(i AS BIGINT), 2) END AS g, count(*) AS n FROM t, unnest(range(1, greatest(l, 2))) AS u(i) WHERE l > 0 GROUP BY ALL),
+s AS (SELECT id, sum(n) AS s FROM g GROUP BY id),
+c AS (SELECT a.id AS a, b.id AS b, sum(least(a.n, b.n)) AS c FROM g a JOIN g b ON a.conv_id = b.conv_id AND a.role = 'user' AND b.role = 'assistant' AND abs(a.turn - b.turn) <= 1 AND a.g = b.g AND least(a.l, b.l) >= 0.25 * greatest(a.l, b.l) GROUP BY ALL),
+p AS (SELECT a, b, (c / x.s + c / y.s) / 2 AS similarity FROM c JOIN s x ON x.id = a JOIN s y ON y.id = b WHERE (c / x.s + c / y.s) / 2 >= 0.6)"""
+
+
+def _turns(spark, d):
+    """(questions, answers): conversations' turns as texts on pages, a turn's number being its page."""
+    t = table(spark, d, "conversations").select("conv_id", F.concat_ws(":", "conv_id", "turn").alias("id"), F.col("turn").alias("page"), "text", "role")
+    return t.filter("role = 'user'").drop("role"), t.filter("role = 'assistant'").drop("role")
+
+
+@query(_TURN_GRAMS + " SELECT a, b, round(similarity, 9) AS similarity FROM p")
+def similar_turns(spark, d):
+    """Questions and answers of one conversation, no more than a turn apart, that share six tenths of their bigrams."""
+    return relational.match_candidates(*_turns(spark, d), keys=("conv_id",)).withColumn("similarity", F.round("similarity", 9))
+
+
+@query()
+def matched_turns(spark, d):
+    """Those pairs one to one, the most alike first; no SQL takes the best pair again and again, a test does."""
+    return relational.matched_texts(*_turns(spark, d), keys=("conv_id",))
+
+
 @query("""WITH g AS (SELECT lang, substring(text, CAST(i AS BIGINT), 2) AS g, count(*) AS n FROM documents, unnest(range(1, length(text))) AS u(i) GROUP BY ALL), h AS (SELECT lang = 'en' AS en, g, sum(n) AS n FROM g GROUP BY ALL),
 j AS (SELECT a.n AS x, b.n AS y FROM (SELECT * FROM h WHERE en) a FULL JOIN (SELECT * FROM h WHERE NOT en) b USING (g))
 SELECT CAST(sum(CASE WHEN x IS NULL OR y IS NULL THEN 0 ELSE least(x, y) END) AS BIGINT) AS common, round(common / sum(x), 9) AS recall, round(common / sum(y), 9) AS precision FROM j""")
