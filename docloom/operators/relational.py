@@ -219,18 +219,21 @@ def table_fit(header: Column, columns: Column, rows: Column) -> Column:
     return F.when(F.coalesce(F.size(rows), F.lit(0)) <= 0, 0).when((F.size(header) > 0) & (hits >= 0.5 * F.greatest(F.lit(1), F.size(heads))), 2).when(widest == columns, 1).otherwise(0)
 
 
-#: Characters of a text that are cut into bigrams at a time.
-PIECE_CHARS = 1 << 16
+#: A text is cut into pieces of so many characters, those into smaller ones, and these into bigrams: reaching a character walks from a piece's begin.
+PIECE_CHARS = (1 << 14, 1 << 7)
 
 
 def bigrams(df: DataFrame, key: str | list[str], text: str) -> DataFrame:
-    """(key, gram, n): character bigrams as a multiset; a text of one character counts as itself. Texts are cut piece by piece, each into its characters once."""
+    """(key, gram, n): character bigrams as a multiset; a text of one character counts as itself."""
     keys = [key] if isinstance(key, str) else key
-    n = F.length(text)
-    pieces = df.select(*keys, F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.greatest(n, F.lit(2)) - 2) / PIECE_CHARS).cast("int")), lambda i: F.substring(F.col(text), i * PIECE_CHARS + 1, F.lit(PIECE_CHARS + 1)))).alias("piece"))
-    chars = pieces.select(*keys, F.regexp_extract_all("piece", F.lit("(?s)."), F.lit(0)).alias("chars"))
-    grams = F.when(F.size("chars") <= 1, F.col("chars")).otherwise(F.slice(F.zip_with("chars", F.slice("chars", F.lit(2), F.size("chars")), lambda x, y: F.concat(x, y)), F.lit(1), F.size("chars") - 1))
-    return chars.select(*keys, F.explode(grams).alias("gram")).groupBy(*keys, "gram").agg(F.count("*").alias("n"))
+    piece, at = F.col("piece"), F.col("at")
+    rows = df.select(*keys, F.col(text).alias("piece")).filter(F.length("piece") > 0)
+    for size in PIECE_CHARS:
+        # pieces share a character, so that no bigram is lost between them
+        last = F.floor((F.greatest(F.length(piece), F.lit(2)) - 2) / size)
+        rows = rows.select(*keys, "piece", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("at")).select(*keys, F.substring(piece, (at * size + 1).cast("int"), F.lit(size + 1)).alias("piece"))
+    grams = rows.select(*keys, "piece", F.explode(F.sequence(F.lit(1), F.greatest(F.length(piece) - 1, F.lit(1)))).alias("at")).select(*keys, F.substring(piece, at, F.lit(2)).alias("gram"))
+    return grams.groupBy(*keys, "gram").agg(F.count("*").alias("n"))
 
 
 def similarity(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -259,7 +262,7 @@ def match_candidates(left: DataFrame, right: DataFrame, least: float = 0.6, shar
         w = Window.partitionBy(*keys, name)
         placed = grams.join(often, "gram").withColumn(f"n_{name}", F.sum(f"g_{name}").over(w)).withColumn(f"at_{name}", F.sum(f"g_{name}").over(w.orderBy("often", "gram").rowsBetween(Window.unboundedPreceding, 0)) - F.col(f"g_{name}"))
         need = F.greatest(F.lit(1), F.ceil(floor * F.col(f"n_{name}") - 1e-9))
-        prefix[name] = placed.filter(F.col(f"at_{name}") <= F.col(f"n_{name}") - need).drop("often", f"g_{name}")
+        prefix[name] = storage.table(placed.filter(F.col(f"at_{name}") <= F.col(f"n_{name}") - need).drop("often", f"g_{name}"), "prefixes")
     x, y = prefix["a"], prefix["b"]
     near = F.explode(F.array(*(F.col("page_a") + i for i in (-1, 0, 1))))
     known = x.filter("page_a IS NOT NULL").withColumn("page_b", near).join(y.filter("page_b IS NOT NULL"), [*keys, "page_b", "gram"])

@@ -67,7 +67,7 @@ def test_matched_turns_take_the_best_pair_again_and_again(spark, sf):
 def test_bigrams_of_long_texts(spark, monkeypatch):
     rows = [(1, "abcab" * 40), (2, "é"), (3, ""), (4, None), (5, "x\U0001f600" * 20), (6, "a\nb\r\n" * 30)]
     df = spark.createDataFrame(rows, "id int, t string")
-    for piece in (1, 7, 1 << 16):
+    for piece in ((1, 1), (7, 2), (64, 8), relational.PIECE_CHARS):
         monkeypatch.setattr(relational, "PIECE_CHARS", piece)
         got = collections.defaultdict(collections.Counter)
         for r in relational.bigrams(df, "id", "t").collect():
