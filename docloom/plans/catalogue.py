@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docloom import storage
 from docloom.functions import calc, text
-from docloom.operators import documents, ledger, relational, windows
+from docloom.operators import documents, ledger, patterns, relational, windows
 from docloom.parse import maths, papers, transcode
 from docloom.plans import classify
 from docloom.streaming import limits
@@ -550,6 +550,20 @@ def dictionary_replace(spark, d):
     return documents.replaced(table(spark, d, "documents").select("doc_id", "text"), "text", words)
 
 
+#: Words of the dictionary of ``corpus_dictionary``.
+DICTIONARY_WORDS = 10_000
+
+
+@query()
+def corpus_dictionary(spark, d):
+    """The most frequent words of all documents, each replaced by its rank wherever it occurs, the longest from the left, in one pass; a test holds it against an alternation of all words."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    words = docs.select(F.explode(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]{2,}"), F.lit(0))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    top = words.orderBy(F.desc("n"), "word").limit(DICTIONARY_WORDS)
+    ranked = windows.listed(top, [F.desc("n"), "word"]).select("word", F.concat(F.lit("⟨"), F.col("place").cast("string"), F.lit("⟩")).alias("replacement"))
+    return patterns.replaced_at_once(docs, "text", ranked)
+
+
 @query("SELECT doc_id, translate(CAST(doc_id * 7919 AS VARCHAR), '0123456789', '০১২৩৪৫৬৭৮৯') || '।' AS text, CAST(doc_id * 7919 AS VARCHAR) || '|' AS legacy FROM documents")
 def legacy_round_trip(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.concat(calc.to_bengali_digits(F.col("doc_id") * 7919), F.lit("।")).alias("t"))
@@ -587,7 +601,8 @@ def _rule_scores() -> str:
 def classify_plain(spark, d):
     """The scoring rules of the special types over all documents: the type of the highest score, ties to the one declared first."""
     t = F.trim(text.compose_nukta(F.coalesce("text", F.lit(""))))
-    scored = table(spark, d, "documents").select("doc_id", t.alias("t")).select("doc_id", classify.ranked(classify.score_columns(F.col("t"), classify.RULES))[0].alias("top"))
+    rows = table(spark, d, "documents").select("doc_id", t.alias("t")).withColumn("may", patterns.possible(F.col("t"), classify.patterns_of(classify.RULES)))
+    scored = rows.select("doc_id", classify.ranked(classify.score_columns(F.col("t"), classify.RULES, F.col("may")))[0].alias("top"))
     return scored.select("doc_id", F.col("top.type").alias("doc_type"), F.col("top.score").alias("score"))
 
 
