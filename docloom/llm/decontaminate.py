@@ -179,10 +179,10 @@ def apply(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", text_c
     """Documents without the contaminated ones (mode "documents"), or all with the covered words cut out (mode "spans")."""
     if mode not in ("documents", "spans"):
         raise ValueError(f"unknown mode {mode}")
-    name = "marks_" * (1 + sum(c.startswith("marks_") for c in docs.columns))
+    names, (docs, text_column), name = docs.columns, work.numbered(docs, text_column), "marks"
     found = annotate(docs, benchmark, text_column, name=name)
     if mode == "documents":
-        return found.filter(~contaminated(name)).select(*(found[c] for c in docs.columns))
+        return found.filter(~contaminated(name)).select(*docs.columns).toDF(*names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in scan.blocks(batches, text_column):
@@ -201,7 +201,7 @@ def apply(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", text_c
             out = b.rows.set_column(k, b.rows.schema.field(k), pa.array(texts, b.rows.schema.field(k).type))
             yield out.select([f.name for f in out.schema if f.name != name])
 
-    return found.mapInArrow(run, docs.schema)
+    return found.mapInArrow(run, docs.schema).toDF(*names)
 
 
 def brute(docs: list[tuple[int, str | None]], items: list[tuple[object, str | None]]) -> list[tuple]:

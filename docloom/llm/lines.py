@@ -233,11 +233,14 @@ def digest(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
 def apply(docs: DataFrame, threshold: int = THRESHOLD, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The documents without their repeated lines; those of which only blank lines are left go."""
-    cut = _cut(docs, threshold, id_column, text_column)
-    kept = F.array_join(F.filter(F.split(F.col(text_column), "\n", -1), lambda _, i: ~F.array_contains("gone lines", i)), "\n")
+    # a document's other columns stand in one, so that none of them meets a name that is used here
+    others = [c for c in docs.columns if c != text_column]
+    rows = docs.select(F.struct(*map(work.named, others)).alias("document"), work.named(id_column).alias("doc_id"), work.named(text_column).alias("text"))
+    cut = _cut(rows, threshold, "doc_id", "text")
+    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("gone lines", i)), "\n")
     whole = F.col("gone lines").isNull()
-    out = cut.withColumn(text_column, F.when(whole, F.col(text_column)).otherwise(kept))
-    return out.filter(whole | F.col(text_column).rlike(r"[^\x20\x09-\x0D]")).drop("gone lines")
+    out = cut.withColumn("text", F.when(whole, F.col("text")).otherwise(kept)).filter(whole | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return out.select(*(F.col("text").alias(c) if c == text_column else F.col("document").getField(c).alias(c) for c in docs.columns))
 
 
 ORACLE = f"""

@@ -277,7 +277,8 @@ def apply(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     found = groups(docs, id_column, text_column, width, share)
     gone = found.filter("NOT first").select(F.col("oid").alias("gone id"), F.col("th").alias("gone text")).distinct()
     oid, th = work.row_key(id_column, text_column)
-    keyed = docs.withColumns({"row id": oid, "row text": th})
+    # a document's own columns stand in one, so that none of them meets a name that is used here
+    keyed = docs.select(F.struct(*map(work.named, docs.columns)).alias("document"), oid.alias("row id"), th.alias("row text"))
 
     def without(rows: DataFrame, keys: DataFrame, how: str = "left_anti") -> DataFrame:
         return rows.join(keys, (F.col("row id") == F.col("gone id")) & (F.col("row text") == F.col("gone text")), how)
@@ -288,7 +289,7 @@ def apply(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     again = found.filter("n_shingles > 0 AND first").groupBy("oid", "th").agg(F.count("*").alias("m")).filter("m > 1").select(F.col("oid").alias("gone id"), F.col("th").alias("gone text"))
     if not again.isEmpty():
         kept = without(kept, again).unionByName(without(kept, again, "left_semi").dropDuplicates(["row id", "row text"]))
-    return kept.select(*docs.columns)
+    return kept.select("document.*")
 
 
 ORACLE = r"""

@@ -221,6 +221,7 @@ def judge(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
 
 def apply(docs: DataFrame, text_column: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents that no rule rejects, with all their columns; the rules' measures are not computed for others."""
+    names, (docs, text_column) = docs.columns, work.numbered(docs, text_column)
     by_rate = order_rules(docs, (BASE, *rules), text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,4 +230,4 @@ def apply(docs: DataFrame, text_column: str = "text", rules: tuple[Rule, ...] =
             if len(alive):
                 yield b.rows.take(pa.array(alive))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema).toDF(*names)

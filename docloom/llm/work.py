@@ -7,7 +7,17 @@ from pyspark.sql import functions as F
 
 from docloom.storage import drop, new_path, shared_dir, table
 
-__all__ = ["drop", "groups", "input_bytes", "joined", "likely", "marked", "new_path", "row_key", "shared_dir", "table"]
+__all__ = ["drop", "groups", "input_bytes", "joined", "likely", "marked", "named", "new_path", "numbered", "row_key", "shared_dir", "table"]
+
+
+def named(column: str) -> Column:
+    """A column by its whole name, whatever characters are in it."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def numbered(df: DataFrame, column: str) -> tuple[DataFrame, str]:
+    """The frame with its columns under plain names, and that of one of them: not every name can go through Arrow functions."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))), f"c{df.columns.index(column)}"
 
 
 def input_bytes(df: DataFrame) -> int:
@@ -15,7 +25,7 @@ def input_bytes(df: DataFrame) -> int:
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     if size < 1 << 55:
         return size
-    counted = df.selectExpr(*(f"octet_length({c})" if t in ("string", "binary") else "8" for c, t in df.dtypes)).toDF(*(f"c{i}" for i in range(len(df.columns))))
+    counted = df.select(*((F.octet_length(named(c)) if t in ("string", "binary") else F.lit(8)).alias(f"c{i}") for i, (c, t) in enumerate(df.dtypes)))
     row = counted.selectExpr("sum(" + " + ".join(f"coalesce({c}, 0)" for c in counted.columns) + ")").first()
     return int(row[0] or 0)
 
