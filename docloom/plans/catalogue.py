@@ -12,7 +12,7 @@ from docloom.functions import calc, text
 from docloom.operators import documents, ledger, patterns, relational, windows
 from docloom.parse import maths, papers, transcode
 from docloom.plans import classify
-from docloom.streaming import limits
+from docloom.streaming import limits, timers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -746,7 +746,7 @@ def _event_stream(spark: SparkSession, d: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
 
 
-def _drained(stream: DataFrame, mode: str, keys: list[str]) -> DataFrame:
+def _drained(stream: DataFrame, mode: str, keys: list[str], order: tuple[str, ...] | list[str] = ()) -> DataFrame:
     """The last result of each key over the files that are there now; micro-batches are written to the shared folder, nothing is held by the driver."""
     path = f"{storage.new_path(stream.sparkSession, 'stream')}/t"
 
@@ -757,7 +757,7 @@ def _drained(stream: DataFrame, mode: str, keys: list[str]) -> DataFrame:
     run.awaitTermination()
     written = stream.sparkSession.read.parquet(path)
     rest = [c for c in stream.columns if c not in keys]
-    return written.groupBy(*keys).agg(F.max_by(F.struct(*rest), "micro batch").alias("last")).select(*keys, "last.*")
+    return written.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("micro batch", *order)).alias("last")).select(*keys, "last.*")
 
 
 @query("SELECT user_id, CAST(date_trunc('day', ts) AS TIMESTAMP) AS window_start, count(*) AS n, greatest(count(*) - 3, 0) AS blocked FROM events GROUP BY ALL")
@@ -777,3 +777,27 @@ def ledger_stream_fold(spark, d):
     ts = F.col("ts").cast("timestamp")
     e = _event_stream(spark, d).select(F.col("user_id").cast("string").alias("key"), calc.pacific_day(ts).cast("string").alias("day"), F.unix_micros(ts).alias("at_ms"), F.col("event_id").cast("int").alias("seq"), (F.col("event_type") != "error").alias("ok"), F.when(F.col("event_type") == "error", "SERVER").alias("cls"), (F.col("value") * 10).cast("long").alias("latency_ms"), F.lit(30000).cast("long").alias("reopen_after_ms"))
     return _drained(limits.ledger_stream(e), "update", ["key"]).select("key", "requests", "success", "fail", "fail_streak")
+
+
+def _requests(events: DataFrame) -> DataFrame:
+    """Events as requests of a key to a model: an error fails and closes the model for as many minutes as its value says."""
+    ts = F.col("ts").cast("timestamp")
+    bad = F.col("event_type") == "error"
+    return events.select(F.col("user_id").cast("string").alias("key"), ts.alias("ts"), F.col("event_id").alias("seq"), F.concat(F.lit("m"), (F.col("user_id") % 3).cast("string")).alias("model"), (~bad).alias("ok"), F.when(bad, "SERVER").alias("cls"), F.when(bad, F.floor(F.col("value") * 60_000)).alias("reopen_after_ms"))
+
+
+@query("""WITH e AS (SELECT user_id, event_id, ts, event_type <> 'error' AS ok, value, CAST((ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/Los_Angeles' AS DATE) AS day FROM events),
+n AS (SELECT max(ts) - INTERVAL 10 MINUTE AS now FROM events),
+l AS (SELECT user_id, max(day) AS day, arg_max(ok, (ts, event_id)) AS last_ok, arg_max(ts, (ts, event_id)) AS last_ts, arg_max(value, (ts, event_id)) AS last_value FROM e GROUP BY user_id),
+t AS (SELECT *, sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM e),
+s AS (SELECT user_id, count(*) FILTER (NOT ok) AS streak FROM t JOIN (SELECT user_id, max(run) AS run FROM t GROUP BY user_id) USING (user_id, run) GROUP BY user_id),
+c AS (SELECT l.user_id, l.day, count(*) AS n, count(*) FILTER (ok) AS good FROM l JOIN e ON e.user_id = l.user_id AND e.day = l.day GROUP BY ALL),
+r AS (SELECT l.*, n, good, streak, ((CAST(l.day + 1 AS TIMESTAMP) AT TIME ZONE 'America/Los_Angeles') AT TIME ZONE 'UTC') <= now AS turned, epoch_ms(last_ts) + floor(last_value * 60000) > epoch_ms(now) AND NOT last_ok AS cooling FROM l JOIN c USING (user_id) JOIN s USING (user_id), n)
+SELECT CAST(user_id AS VARCHAR) AS key, CAST(CASE WHEN turned THEN 0 ELSE n END AS BIGINT) AS requests, CAST(CASE WHEN turned THEN 0 ELSE good END AS BIGINT) AS success, CAST(CASE WHEN turned THEN 0 ELSE n - good END AS BIGINT) AS fail, CAST(streak AS BIGINT) AS fail_streak, turned AS day_turned, cooling FROM r""")
+def ledger_timers(spark, d):
+    """Keyed state with timers over the events as a stream: a key that has fallen silent has its counters set back at Pacific midnight and its cooldowns ended."""
+    with timers.rocks(spark):
+        updates = timers.ledger(_requests(_event_stream(spark, d)))
+        last = _drained(updates, "update", ["key"], ["at_ms", "by_timer"])
+    turned = F.col("by_timer") & (F.col("requests") == 0)
+    return last.select("key", "requests", "success", "fail", "fail_streak", turned.alias("day_turned"), (F.size("cooling") > 0).alias("cooling"))
