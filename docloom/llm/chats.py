@@ -142,9 +142,10 @@ RANGE_BYTES = 16 << 20
 def _ordered(conversations: DataFrame, template: Template) -> DataFrame:
     """Turns with their segments, sorted within ranges."""
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    turns = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), role.alias("role"), F.xxhash64(text).alias("tie"), template.segments(role, text).alias("segments"))
+    turns = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), role.alias("role"), F.xxhash64(text).alias("tie"), text.alias("text"))
     order = ("conv_id", "turn", "role", "tie")
-    return turns.repartitionByRange(work.groups(conversations, RANGE_BYTES), *order).sortWithinPartitions(*order).drop("tie")
+    dealt = turns.repartitionByRange(work.groups(conversations, RANGE_BYTES), *order).sortWithinPartitions(*order)
+    return dealt.select("conv_id", "turn", "role", template.segments(F.col("role"), F.col("text")).alias("segments"))
 
 
 def _walked(template: Template):
