@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from docloom.functions import calc, text
 from docloom.operators import documents, ledger, patterns, relational, windows
 from docloom.parse import maths, papers, transcode
 from docloom.plans import classify
-from docloom.streaming import limits, timers
+from docloom.streaming import kept, limits, timers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -801,3 +802,34 @@ def ledger_timers(spark, d):
         last = _drained(updates, "update", ["key"], ["at_ms", "by_timer"])
     turned = F.col("by_timer") & (F.col("requests") == 0)
     return last.select("key", "requests", "success", "fail", "fail_streak", turned.alias("day_turned"), (F.size("cooling") > 0).alias("cooling"))
+
+
+_MEMO_KEY = "concat_ws('|', 'v1', 'template', CASE WHEN lang = 'en' THEN NULL ELSE lang END, sha256(text))"
+
+
+@query(f"""WITH d AS (SELECT doc_id, {_MEMO_KEY} AS cache_key, doc_id % 3 AS batch, length(text) AS n_chars, len(regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+')) AS n_words FROM documents)
+SELECT doc_id, cache_key, CAST(min(batch) OVER w AS BIGINT) AS made_in, batch > min(batch) OVER w AS hit, CAST(n_chars AS BIGINT) AS kept_chars, CAST(n_words AS BIGINT) AS kept_words FROM d WINDOW w AS (PARTITION BY cache_key)""")
+def memoised_runs(spark, d):
+    """All documents in three batches, the second of which comes twice; a text is measured once, in the first batch that has it, and found by key ever after."""
+    docs = table(spark, d, "documents")
+    docs = docs.select("doc_id", "text", relational.cache_key(F.lit("v1"), F.lit("template"), F.when(F.col("lang") != "en", F.col("lang")), relational.content_hash(F.array("text"))).alias("cache_key"), F.pmod("doc_id", F.lit(3)).alias("batch"))
+    memo = kept.Kept(spark, storage.new_path(spark, "memo"), "cache_key string, made_in long, kept_chars long, kept_words long", ["cache_key"], ["made_in"])
+
+    def measured(number: int):
+        words = F.size(F.regexp_extract_all("text", F.lit(r"[^ \t\n\x0B\f\r]+"), 0)).cast("long")
+        return lambda rows: rows.select("cache_key", F.lit(number).cast("long").alias("made_in"), F.length("text").cast("long").alias("kept_chars"), words.alias("kept_words"))
+
+    runs = {n: kept.memoised(memo, n, docs.filter(F.col("batch") == n), measured(n), ["text"]) for n in (0, 1, 1, 2)}
+    return reduce(DataFrame.unionByName, runs.values()).select("doc_id", "cache_key", "made_in", "hit", "kept_chars", "kept_words")
+
+
+@query(f"""WITH l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1)
+SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM l WHERE floor(epoch({LAST})) - floor(epoch(ts)) <= 604800) WHERE r <= 3""")
+def stored_history(spark, d):
+    """Events committed to a keyed table in three batches, one of them twice, with compactions between: the latest of each user and type, of these the newest three of a week."""
+    e = table(spark, d, "events").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), "event_id", "value")
+    history = kept.Kept(spark, storage.new_path(spark, "history"), "user_id long, event_type string, ts timestamp, event_id long, value double", ["user_id", "event_type"], ["ts", "event_id"], most=(["user_id"], "ts", 604800, 3, "event_id"))
+    for n in (0, 1, 1, 2):
+        history.commit(n, e.filter(F.pmod("event_id", F.lit(3)) == n))
+        history.compact()
+    return history.read().select("user_id", "event_type", "event_id", "value")

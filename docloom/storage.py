@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,7 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def _located(spark: SparkSession, path: str):
+def located(spark: SparkSession, path: str):
+    """The file system of a path, and the path as that knows it."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
@@ -29,14 +31,14 @@ def _located(spark: SparkSession, path: str):
 def new_path(spark: SparkSession, label: str) -> str:
     """A fresh folder under the shared one, deleted when the driver's JVM ends at the latest."""
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    fs, where = _located(spark, path)
+    fs, where = located(spark, path)
     fs.mkdirs(where)
     fs.deleteOnExit(where)
     return path
 
 
-#: Tables that were written within each open scope.
-_OPEN: list[list[DataFrame]] = []
+#: Tables that were written within each open scope of this thread, the innermost last.
+_OPEN: ContextVar[tuple[list[DataFrame], ...]] = ContextVar("open scopes", default=())
 
 
 @contextmanager
@@ -44,11 +46,11 @@ def scope() -> Iterator[list[DataFrame]]:
     """All tables that are written within go at its end, but for those put into the list that it gives."""
     made: list[DataFrame] = []
     kept: list[DataFrame] = []
-    _OPEN.append(made)
+    before = _OPEN.set((*_OPEN.get(), made))
     try:
         yield kept
     finally:
-        _OPEN.pop()
+        _OPEN.reset(before)
         drop(*(t for t in made if not any(t is k for k in kept)))
 
 
@@ -59,8 +61,8 @@ def table(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(f"{path}/t")
     out = spark.read.schema(df.schema).parquet(f"{path}/t")
     out._shared_path = path
-    if _OPEN:
-        _OPEN[-1].append(out)
+    if scopes := _OPEN.get():
+        scopes[-1].append(out)
     return out
 
 
@@ -69,7 +71,7 @@ def drop(*tables: DataFrame | None) -> None:
     for t in tables:
         path = getattr(t, "_shared_path", None)
         if path:
-            fs, where = _located(t.sparkSession, path)
+            fs, where = located(t.sparkSession, path)
             fs.delete(where, True)
             fs.cancelDeleteOnExit(where)
             t._shared_path = None
