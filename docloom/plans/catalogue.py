@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from docloom import storage
 from docloom.functions import calc, text
-from docloom.operators import documents, ledger, patterns, relational, windows
+from docloom.operators import documents, ledger, order, patterns, relational, windows
 from docloom.parse import maths, papers, transcode
 from docloom.plans import classify
 from docloom.streaming import kept, limits, timers
@@ -833,3 +833,33 @@ def stored_history(spark, d):
         history.commit(n, e.filter(F.pmod("event_id", F.lit(3)) == n))
         history.compact()
     return history.read().select("user_id", "event_type", "event_id", "value")
+
+
+_COPIES = """WITH l AS (SELECT doc_id, source, pos, trim(line, ' ') AS line FROM (SELECT doc_id, source, unnest(range(0, len(ls))) AS pos, unnest(ls) AS line FROM (SELECT doc_id, source, string_split(text, chr(10)) AS ls FROM documents)) WHERE trim(line, ' ') <> ''),
+f AS (SELECT source, line, min(doc_id) AS base FROM l GROUP BY ALL),
+v AS (SELECT doc_id, base, count(*) AS shared FROM l JOIN f USING (source, line) WHERE base < doc_id GROUP BY ALL),
+b AS (SELECT doc_id, base, shared FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY shared DESC, base) AS k FROM v) WHERE k = 1)"""
+
+
+@query(_COPIES + " SELECT doc_id, base, shared FROM b")
+def copy_bases(spark, d):
+    """Each document's earlier copy within its source: the document that first had most of its lines."""
+    return order.bases(order.lines(table(spark, d, "documents"), "doc_id", "source", "text"), "doc_id", "source")
+
+
+@query(_COPIES + """, o AS (SELECT doc_id, line, min(pos) AS pos FROM l GROUP BY ALL HAVING count(*) = 1),
+m AS (SELECT b.doc_id, b.base, CAST(abs(x.pos - y.pos) AS DOUBLE) AS moved FROM b JOIN o x ON x.doc_id = b.doc_id JOIN o y ON y.doc_id = b.base AND y.line = x.line)
+SELECT doc_id, base, count(*) AS matched, round(avg(moved), 9) AS mean_moved, list_sort(list(moved))[CAST(floor(count(*) / 2) AS INT) + 1] AS median_moved FROM m GROUP BY ALL""")
+def moved_lines(spark, d):
+    """How far lines lie from their places in that copy."""
+    lined = storage.table(order.lines(table(spark, d, "documents"), "doc_id", "source", "text"), "lines")
+    return order.moved_lines(lined, order.bases(lined, "doc_id", "source"), "doc_id").withColumn("mean_moved", F.round("mean_moved", 9))
+
+
+@query()
+def order_scores(spark, d):
+    """The share of the copied document's words that a document has in the same order; no SQL finds longest common sequences of whole texts, a test does by dynamic programming."""
+    docs = table(spark, d, "documents")
+    based = order.bases(order.lines(docs, "doc_id", "source", "text"), "doc_id", "source")
+    pairs = based.join(docs.select("doc_id", F.col("text").alias("out")), "doc_id").join(docs.select(F.col("doc_id").alias("base"), F.col("text").alias("truth")), "base")
+    return order.order_scores(pairs, "truth", "out").select("doc_id", "base", "total", "ordered", "order_score")
