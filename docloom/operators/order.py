@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.operators.windows import upper_medians
+from docloom.operators.medians import upper_medians
 
 WORDS = r"[^ \t\n\x0B\f\r]+"
 
@@ -103,4 +103,4 @@ def moved_lines(lined: DataFrame, based: DataFrame, key: str) -> DataFrame:
     met = mine.join(once.select(F.col(key).alias("base"), "line", F.col("pos").alias("was")), ["base", "line"])
     moved = met.select(key, "base", F.abs(F.col("pos") - F.col("was")).cast("double").alias("moved"))
     means = moved.groupBy(key, "base").agg(F.count("*").alias("matched"), F.avg("moved").alias("mean_moved"))
-    return means.join(upper_medians(moved, [key, "base"], "moved", "median_moved"), [key, "base"])
+    return means.join(upper_medians(moved, [key, "base"], "moved", "median_moved", spread=False), [key, "base"])

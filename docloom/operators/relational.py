@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom import storage
+from docloom.operators import medians
 
 # --- filters ---------------------------------------------------------------------------------------------
 
@@ -48,15 +49,30 @@ def payload(items: DataFrame, key: str, column: str) -> DataFrame:
     return items.groupBy(key).agg(F.sum(F.coalesce(F.octet_length(column), F.lit(0))).alias("bytes"))
 
 
+_SCHEME = r"^([a-z][a-z0-9+.-]*://)"
+#: What admits every origin is dealt over so many keys.
+_ANY = 64
+
+
 def origin_allowed(origins: DataFrame, allowed: DataFrame) -> DataFrame:
-    """Origins (origin) that a list of patterns (pattern) admits: *, exact, host, scheme with host, or *.host."""
-    o = origins.withColumn("host", F.lower(F.try_parse_url(F.col("origin"), F.lit("HOST"))))
+    """Origins (origin) that a list of patterns (pattern) admits: *, exact, host, scheme with host, or *.host.
+
+    Both sides become keys that meet by equality: an origin asks for itself, its host with and without its scheme, and each suffix of its host's labels.
+    """
+    key = lambda kind, c: F.struct(F.lit(kind).alias("kind"), c.alias("key"))
     p = allowed.select(F.lower(F.trim("pattern")).alias("p")).filter("p <> ''").distinct()
-    p = p.withColumn("scheme", F.regexp_extract("p", r"^([a-z][a-z0-9+.-]*://)", 1)).withColumn("bare", F.regexp_replace(F.regexp_replace("p", r"^[a-z][a-z0-9+.-]*://", ""), "/.*$", ""))
-    base = F.expr("substring(bare, 3)")
-    wild = F.col("bare").startswith("*.") & ((F.col("host") == base) | F.endswith(F.col("host"), F.concat(F.lit("."), base)))
-    exact = (F.col("bare") != "") & (F.col("bare") == F.col("host")) & F.lower("origin").startswith(F.col("scheme"))
-    return o.join(p, (F.col("host").isNotNull()) & ((F.col("p") == "*") | (F.col("p") == F.lower("origin")) | wild | exact), "left_semi").select("origin")
+    p = p.withColumn("scheme", F.regexp_extract("p", _SCHEME, 1)).withColumn("bare", F.regexp_replace(F.regexp_replace("p", _SCHEME, ""), "/.*$", ""))
+    anywhere = F.transform(F.sequence(F.lit(0), F.lit(_ANY - 1)), lambda i: key("any", i.cast("string")))
+    exact = F.when(F.col("bare") != "", F.array(key("host", F.concat("scheme", "bare"))))
+    under = F.when(F.col("bare").startswith("*."), F.array(key("under", F.expr("substring(bare, 3)"))))
+    none = F.filter(anywhere, lambda _: F.lit(False))
+    admitted = p.select(F.explode(F.concat(F.array(key("whole", F.col("p"))), F.coalesce(exact, none), F.coalesce(under, none), F.when(F.col("p") == "*", anywhere).otherwise(none))).alias("k")).distinct()
+    o = origins.select("origin").distinct().withColumn("host", F.lower(F.try_parse_url(F.col("origin"), F.lit("HOST")))).filter(F.col("host").isNotNull()).withColumn("low", F.lower("origin"))
+    labels = F.split("host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: key("under", F.array_join(F.slice(labels, i, F.size(labels)), ".")))
+    own = F.array(key("whole", F.col("low")), key("host", F.col("host")), key("host", F.concat(F.regexp_extract("low", _SCHEME, 1), "host")), key("any", F.pmod(F.xxhash64("origin"), F.lit(_ANY)).cast("string")))
+    met = o.select("origin", F.explode(F.concat(own, suffixes)).alias("k")).join(admitted, "k", "left_semi").select("origin").distinct()
+    return origins.join(met, "origin", "left_semi").select("origin")
 
 
 def route(url: Column, stored: Column) -> Column:
@@ -493,9 +509,7 @@ def extents(pixels: DataFrame, keys: list[str]) -> DataFrame:
 
 def suspects(rows: DataFrame, keys: list[str], height: str, order: str, most: int = 3) -> DataFrame:
     """Rows at least 1.35 or at most 0.65 upper medians high, the furthest from it first."""
-    from docloom.operators.windows import upper_medians
-
-    off = rows.join(upper_medians(rows, keys, height), keys).filter((F.col(height) >= 1.35 * F.col("mid")) | (F.col(height) <= 0.65 * F.col("mid")))
+    off = rows.join(medians.upper_medians(rows, keys, height), keys).filter((F.col(height) >= 1.35 * F.col("mid")) | (F.col(height) <= 0.65 * F.col("mid")))
     return off.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(F.abs(F.col(height) - F.col("mid"))), order))).filter(F.col("k") <= most).drop("k")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom import storage
-from docloom.operators import scans
+from docloom.operators import medians, scans
 
 SO_FAR = (Window.unboundedPreceding, 0)
 
@@ -337,22 +337,14 @@ def balanced(df: DataFrame, keys: list[str], order: list, height: str) -> DataFr
     return summed.groupBy(*keys).agg(F.min(F.struct(apart.alias("apart"), F.col("split"), F.round("upto", 6).alias("left"))).alias("best")).select(*keys, F.col("best.split").alias("split"), F.col("best.left").alias("left_height"), F.col("best.apart").alias("apart"))
 
 
-def upper_medians(df: DataFrame, keys: list[str], value: str, name: str = "mid") -> DataFrame:
-    """(keys, name): the upper middle value of each key. Equal values are counted first, so a key's counts of distinct values are what is ordered."""
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("value count"))
-    upto = F.sum("value count").over(_ordered(keys, [value]).rowsBetween(*SO_FAR))
-    total = F.sum("value count").over(Window.partitionBy(*keys))
-    placed = counted.withColumn("value upto", upto).withColumn("value total", total)
-    return placed.filter(F.col("value upto") > F.floor(F.col("value total") / 2)).groupBy(*keys).agg(F.min(value).alias(name))
-
-
 def trimmed_fit(df: DataFrame, keys: list[str], x: str, y: str, rounds: int = 4) -> DataFrame:
     """Least squares per key, refitted without rows whose residual exceeds the larger of 2 and 2.5 upper medians."""
     rows, fit = df.select(*keys, x, y), None
+    spread = scans.hot(rows, keys)
     for k in range(rounds + 1):
         fit = rows.groupBy(*keys).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.count("*").alias("n"))
         if k < rounds:
             off = rows.join(fit, keys).withColumn("off", F.abs(F.col(y) - F.col("slope") * F.col(x) - F.col("intercept")))
-            mid = upper_medians(off, keys, "off")
+            mid = medians.upper_medians(off, keys, "off", spread=spread)
             rows = off.join(mid, keys).filter(F.coalesce(F.col("off") <= F.greatest(F.lit(2.0), 2.5 * F.col("mid")), F.lit(True))).select(*keys, x, y)
     return fit.filter("n >= 6")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from docloom import storage
 from docloom.functions import calc, text
-from docloom.operators import documents, ledger, order, patterns, relational, windows
+from docloom.operators import documents, ledger, medians, order, patterns, relational, windows
 from docloom.parse import maths, papers, transcode
 from docloom.plans import classify
 from docloom.streaming import kept, limits, timers
@@ -220,7 +220,7 @@ def rule_bands(spark, d):
 
 @query("SELECT user_id, list_sort(list(value))[CAST(floor(count(*) / 2) AS INT) + 1] AS mid FROM events GROUP BY user_id")
 def upper_median(spark, d):
-    return windows.upper_medians(table(spark, d, "events"), ["user_id"], "value")
+    return medians.upper_medians(table(spark, d, "events"), ["user_id"], "value")
 
 
 @query("""WITH m AS (SELECT user_id, list_sort(list(value))[CAST(floor(count(*) / 2) AS INT) + 1] AS mid FROM events GROUP BY user_id),
