@@ -153,11 +153,13 @@ def memoised(kept: Kept, number: int, rows: DataFrame, compute: Callable[[DataFr
     A batch that comes again finds its own rows committed: it computes nothing and gives what it gave. ``inputs`` are functions of the keys.
     """
     same = lambda a, b: reduce(Column.__and__, (F.col(f"{a}.`{k}`").eqNullSafe(F.col(f"{b}.`{k}`")) for k in kept.keys))
-    known = kept.read(before=number, wanted=rows)
+    asked = storage.table(rows.select(*kept.keys).distinct(), "asked")
+    known = kept.read(before=number, wanted=asked)
     if number not in kept.committed():
-        fresh = rows.select(*kept.keys, *inputs).alias("asked").join(known.select(*kept.keys).alias("known"), same("asked", "known"), "left_anti")
+        missing = asked.alias("asked").join(known.select(*kept.keys).alias("known"), same("asked", "known"), "left_anti")
+        fresh = rows.select(*kept.keys, *inputs).alias("rows").join(missing.alias("missing"), same("rows", "missing"), "left_semi")
         kept.commit(number, compute(fresh.dropDuplicates(kept.keys)))
-    made = kept.read(before=number + 1, wanted=rows).alias("made")
+    made = kept.read(before=number + 1, wanted=asked).alias("made")
     earlier = known.select(*kept.keys, F.lit(True).alias("was there")).alias("known")
     both = made.join(earlier, same("made", "known"), "left").select("made.*", F.coalesce("was there", F.lit(False)).alias("hit"))
     rest = [c for c in both.columns if c not in kept.keys]
