@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from docloom import storage
 from docloom.functions import calc, text
-from docloom.operators import documents, ledger, medians, order, patterns, relational, windows
+from docloom.operators import documents, ledger, markup, medians, order, patterns, relational, windows
 from docloom.parse import maths, papers, transcode
 from docloom.plans import classify
 from docloom.streaming import kept, limits, timers
@@ -863,3 +863,26 @@ def order_scores(spark, d):
     based = order.bases(order.lines(docs, "doc_id", "source", "text"), "doc_id", "source")
     pairs = based.join(docs.select("doc_id", F.col("text").alias("out")), "doc_id").join(docs.select(F.col("doc_id").alias("base"), F.col("text").alias("truth")), "base")
     return order.order_scores(pairs, "truth", "out").select("doc_id", "base", "total", "ordered", "order_score")
+
+
+@query(r"""WITH s AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<style[^>]*>(.*?)</style>', 1)) AS sheet FROM pages),
+r AS (SELECT page_id, unnest(regexp_extract_all(sheet, '[^{]+\{[^}]+\}')) AS rule FROM s),
+b AS (SELECT page_id, unnest(string_split(split_part(rule, '{', 1), ',')) AS selector, unnest(string_split(rtrim(split_part(rule, '{', 2), '}'), ';')) AS d FROM r)
+SELECT page_id, trim(selector) AS selector, lower(trim(split_part(d, ':', 1))) AS name, trim(d[instr(d, ':') + 1:]) AS value FROM b WHERE instr(d, ':') > 1""")
+def sheet_declarations(spark, d):
+    """Every declaration of the style sheets in pages, by selector."""
+    all_nodes = markup.nodes(table(spark, d, "pages"), ["page_id"], "html")
+    said = markup.sheet_rules(all_nodes, ["page_id"]).select("page_id", "selector", F.explode(markup.declarations(F.col("body"))).alias("said"))
+    return said.select("page_id", "selector", "said.name", "said.value")
+
+
+_TEXTS = r"""WITH t AS (SELECT page_id, unnest(range(len(ts))) AS i, unnest(ts) AS tok FROM (SELECT page_id, regexp_extract_all(html, '(?s)<script.*?</script>|<style.*?</style>|<title.*?</title>|<!--.*?-->|<[^>]*>|[^<]+') AS ts FROM pages)),
+c AS (SELECT *, count(*) FILTER (tok = '<b>') OVER w > 0 AS bold, count(*) FILTER (tok = '<h1>') OVER w > count(*) FILTER (tok = '</h1>') OVER w AS title FROM t WINDOW w AS (PARTITION BY page_id ORDER BY i))"""
+
+
+@query(_TEXTS + r""" SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) AS place, regexp_replace(replace(replace(replace(tok, '&copy;', chr(169)), '&middot;', chr(183)), '&quot;', '"'), '&amp;?', '&', 'g') AS text,
+NULL::VARCHAR AS font_family, CASE WHEN title THEN '18pt' ELSE '12pt' END AS font_size, bold OR title AS is_bold, false AS is_italic, false AS is_underline, NULL::VARCHAR AS color, NULL::VARCHAR AS bg_color, 'left' AS text_align
+FROM c WHERE NOT starts_with(tok, '<') AND trim(tok, chr(32) || chr(9) || chr(10) || chr(13)) <> ''""")
+def text_styles(spark, d):
+    """The style of every text of all pages. The SQL knows what these pages hold: titles, and bold elements that nothing ends, so that all texts behind one are bold."""
+    return markup.text_styles(table(spark, d, "pages"), ["page_id"], "html").drop("tag")
