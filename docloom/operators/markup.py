@@ -332,24 +332,36 @@ def declarations(body: Column) -> Column:
     return F.filter(F.transform(F.filter(F.split(flat, ";"), lambda p: p.contains(":")), pair), lambda d: (d["name"] != "") & (d["value"] != ""))
 
 
-def declared_style(body: Column) -> Column:
-    """The style that declarations state; a field is null where they say nothing about it."""
-    said = declarations(body)
+def with_style(df: DataFrame, body: Column, name: str) -> DataFrame:
+    """The rows with the style that declarations state, as a struct; a field is null where they say nothing about it. Declarations are taken apart once a row."""
+    said = F.col("said list")
 
     def of(*names: str, at: int = -1) -> Column:
         return F.try_element_at(F.filter(said, lambda d: d["name"].isin(*names)), F.lit(at))["value"]
 
-    weight = of("font-weight")
-    return F.struct(
+    raw = F.struct(
         of("font-family").alias("font_family"),
         F.coalesce(of("font-size"), of("mso-bidi-font-size", "mso-font-size", at=1)).alias("font_size"),
-        ((weight == "bold") | F.coalesce(F.regexp_extract(weight, r"^([+-]?\d+)", 1).try_cast("long") >= 700, F.lit(False))).alias("is_bold"),
-        of("font-style").isin("italic", "oblique").alias("is_italic"),
-        of("text-decoration").contains("underline").alias("is_underline"),
-        _colour(of("color")).alias("color"),
-        _colour(of("background-color", "background")).alias("bg_color"),
+        of("font-weight").alias("weight"),
+        of("font-style").alias("slant"),
+        of("text-decoration").alias("line"),
+        of("color").alias("color"),
+        of("background-color", "background").alias("bg_color"),
         of("text-align").alias("text_align"),
     )
+    field = F.col("said raw").getField
+    weight = field("weight")
+    style = F.struct(
+        field("font_family").alias("font_family"),
+        field("font_size").alias("font_size"),
+        ((weight == "bold") | F.coalesce(F.regexp_extract(weight, r"^([+-]?\d+)", 1).try_cast("long") >= 700, F.lit(False))).alias("is_bold"),
+        field("slant").isin("italic", "oblique").alias("is_italic"),
+        field("line").contains("underline").alias("is_underline"),
+        _colour(field("color")).alias("color"),
+        _colour(field("bg_color")).alias("bg_color"),
+        field("text_align").alias("text_align"),
+    )
+    return df.withColumn("said list", declarations(body)).withColumn("said raw", F.when(F.size(said) > 0, raw)).withColumn(name, style).drop("said list", "said raw")
 
 
 def sheet_rules(nodes_: DataFrame, keys: list[str]) -> DataFrame:
@@ -364,7 +376,8 @@ def _keyed_rules(nodes_: DataFrame, keys: list[str]) -> DataFrame:
     """One row for each key of a page that rules are found by: a selector as it is, and the first class that it names. Later rules win."""
     named = F.regexp_extract("selector", CLASS_OF_SELECTOR, 1)
     found = F.array_distinct(F.filter(F.array(F.col("selector"), named), lambda k: k != ""))
-    rules = sheet_rules(nodes_, keys).select(*keys, "rule_order", F.explode(found).alias("rule_key"), "body").select(*keys, "rule_order", "rule_key", declared_style(F.col("body")).alias("said"))
+    rules = sheet_rules(nodes_, keys).select(*keys, "rule_order", found.alias("rule_keys"), "body")
+    rules = with_style(rules, F.col("body"), "said").select(*keys, "rule_order", F.explode("rule_keys").alias("rule_key"), "said")
     rules = rules.filter(reduce(Column.__or__, (F.col(f"said.{s}").isNotNull() for s in STYLE)))
     return rules.groupBy(*keys, "rule_key").agg(*(F.max_by(f"said.{s}", F.when(F.col(f"said.{s}").isNotNull(), F.col("rule_order"))).alias(s) for s in STYLE))
 
@@ -379,7 +392,7 @@ def _stated(elements: DataFrame, keys: list[str], rules: DataFrame) -> DataFrame
 
 
 def _own(tag: Column, attrs: Column) -> tuple[dict[str, Column], dict[str, Column]]:
-    """What an element's tag says by itself, and what its attributes say."""
+    """What an element's tag says by itself, and what its attributes say, the style attribute (as the column ``inline``) above the others."""
     by_tag: dict[str, Column] = {
         "font_size": reduce(lambda c, t: c.when(tag == t[0], t[1]), list(TITLE_SIZES.items())[1:], F.when(tag == "h1", TITLE_SIZES["h1"])),
         "is_bold": F.when(tag.isin(*BOLD), True),
@@ -394,7 +407,6 @@ def _own(tag: Column, attrs: Column) -> tuple[dict[str, Column], dict[str, Colum
     known = F.create_map(*(F.lit(x) for pair in FONT_SIZES.items() for x in pair))
     language = F.upper(given("lang"))
     of_language = reduce(lambda c, p: c.when(language.contains(p[0]), p[1]), FONT_OF_LANGUAGE[1:], F.when(language.contains(FONT_OF_LANGUAGE[0][0]), FONT_OF_LANGUAGE[0][1]))
-    inline = declared_style(given("style"))
     by_attribute = {
         "font_family": F.coalesce(of_language, given("face")),
         "font_size": F.coalesce(F.try_element_at(known, size), F.when(size > 0, F.concat(size.cast("string"), F.lit("pt")))),
@@ -402,7 +414,7 @@ def _own(tag: Column, attrs: Column) -> tuple[dict[str, Column], dict[str, Colum
         "bg_color": _colour(given("bgcolor")),
         "text_align": F.lower(given("align")),
     }
-    return by_tag, {s: F.coalesce(inline[s], by_attribute[s]) if s in by_attribute else inline[s] for s in STYLE}
+    return by_tag, {s: F.coalesce(F.col(f"inline.{s}"), by_attribute[s]) if s in by_attribute else F.col(f"inline.{s}") for s in STYLE}
 
 
 def inherited(df: DataFrame, keys: list[str], node: str, parent: str, columns: list[str], depth: int) -> DataFrame:
@@ -436,7 +448,7 @@ def text_styles(pages: DataFrame, keys: list[str], html: str) -> DataFrame:
         stated = _stated(elements.filter(~bare), key, _keyed_rules(all_nodes, key)).select(*key, "node", F.struct(*STYLE).alias("stated"))
         by_tag, by_attribute = _own(F.col("tag"), F.col("attrs"))
         own = {s: F.coalesce(by_attribute[s], F.col(f"stated.{s}"), *([by_tag[s]] if s in by_tag else [])) for s in STYLE}
-        said = elements.join(stated, [*key, "node"], "left").select(*key, "node", "parent", *(F.when(~bare, own[s]).alias(s) for s in STYLE))
+        said = with_style(elements, F.when(F.col("attrs")["style"] != "", F.col("attrs")["style"]), "inline").join(stated, [*key, "node"], "left").select(*key, "node", "parent", *(F.when(~bare, own[s]).alias(s) for s in STYLE))
         deepest = all_nodes.agg(F.max("depth")).first()[0] or 0
         full = inherited(said, key, "node", "parent", list(STYLE), deepest).drop("parent")
         shown = all_nodes.filter(F.col("place").isNotNull()).select(*key, "place", F.col("within").alias("tag"), "text", F.col("parent").alias("node"))
