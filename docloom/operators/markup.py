@@ -383,12 +383,13 @@ def _keyed_rules(nodes_: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _stated(elements: DataFrame, keys: list[str], rules: DataFrame) -> DataFrame:
-    """What style sheets say about elements: classes in their order, each alone and then with the tag, and the tag last."""
-    classes = F.filter(F.split(F.coalesce(F.col("attrs")["class"], F.lit("")), r"\s+"), lambda c: c != "")
+    """What style sheets say about each kind of element (tag and class attribute) of a page: classes in their order, each alone and then with the tag, and the tag last."""
+    classes = F.filter(F.split("kind", r"\s+"), lambda c: c != "")
     asked = F.flatten(F.array(F.flatten(F.transform(classes, lambda c: F.array(c, F.concat("tag", F.lit("."), c)))), F.array("tag")))
-    asking = elements.select(*keys, "node", F.posexplode(asked).alias("rank", "rule_key"))
+    kinds = elements.select(*keys, "tag", "kind").distinct()
+    asking = kinds.select(*keys, "tag", "kind", F.posexplode(asked).alias("rank", "rule_key"))
     met = asking.join(rules, [*keys, "rule_key"])
-    return met.groupBy(*keys, "node").agg(*(F.max_by(s, F.when(F.col(s).isNotNull(), F.col("rank"))).alias(s) for s in STYLE))
+    return met.groupBy(*keys, "tag", "kind").agg(*(F.max_by(s, F.when(F.col(s).isNotNull(), F.col("rank"))).alias(s) for s in STYLE))
 
 
 def _own(tag: Column, attrs: Column) -> tuple[dict[str, Column], dict[str, Column]]:
@@ -443,14 +444,14 @@ def text_styles(pages: DataFrame, keys: list[str], html: str) -> DataFrame:
     key = ["page key"]
     with storage.scope() as kept:
         all_nodes = storage.table(nodes(pages.select(F.struct(*keys).alias("page key"), html), key, html), "nodes")
-        elements = all_nodes.filter(F.col("tag").isNotNull())
-        bare = F.col("tag").isin("html", "head", "body")
-        stated = _stated(elements.filter(~bare), key, _keyed_rules(all_nodes, key)).select(*key, "node", F.struct(*STYLE).alias("stated"))
+        silent = ("html", "head", "body")
+        elements = all_nodes.filter(~F.col("tag").isin(*silent)).select("*", F.coalesce(F.col("attrs")["class"], F.lit("")).alias("kind"), F.when(~F.col("within").isin(*silent), F.col("parent")).alias("up"))
+        stated = _stated(elements, key, _keyed_rules(all_nodes, key)).select(*key, "tag", "kind", F.struct(*STYLE).alias("stated"))
         by_tag, by_attribute = _own(F.col("tag"), F.col("attrs"))
         own = {s: F.coalesce(by_attribute[s], F.col(f"stated.{s}"), *([by_tag[s]] if s in by_tag else [])) for s in STYLE}
-        said = with_style(elements, F.when(F.col("attrs")["style"] != "", F.col("attrs")["style"]), "inline").join(stated, [*key, "node"], "left").select(*key, "node", "parent", *(F.when(~bare, own[s]).alias(s) for s in STYLE))
-        deepest = all_nodes.agg(F.max("depth")).first()[0] or 0
-        full = inherited(said, key, "node", "parent", list(STYLE), deepest).drop("parent")
+        said = with_style(elements, F.when(F.col("attrs")["style"] != "", F.col("attrs")["style"]), "inline").join(stated, [*key, "tag", "kind"], "left").select(*key, "node", "up", *(own[s].alias(s) for s in STYLE))
+        deepest = elements.agg(F.max(F.when(F.col("up").isNotNull(), F.col("depth"))) - F.min("depth")).first()[0] or 0
+        full = inherited(said, key, "node", "up", list(STYLE), deepest).drop("up")
         shown = all_nodes.filter(F.col("place").isNotNull()).select(*key, "place", F.col("within").alias("tag"), "text", F.col("parent").alias("node"))
         last: dict[str, Column] = {s: F.col(s) for s in STYLE}
         last |= {s: F.coalesce(last[s], F.lit(False)) for s in ("is_bold", "is_italic", "is_underline")}
