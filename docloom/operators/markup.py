@@ -388,7 +388,7 @@ def _stated(elements: DataFrame, keys: list[str], rules: DataFrame) -> DataFrame
     asked = F.flatten(F.array(F.flatten(F.transform(classes, lambda c: F.array(c, F.concat("tag", F.lit("."), c)))), F.array("tag")))
     kinds = elements.select(*keys, "tag", "kind").distinct()
     asking = kinds.select(*keys, "tag", "kind", F.posexplode(asked).alias("rank", "rule_key"))
-    met = asking.join(rules, [*keys, "rule_key"])
+    met = _met(asking, rules, keys, ["rule_key"], "inner")
     return met.groupBy(*keys, "tag", "kind").agg(*(F.max_by(s, F.when(F.col(s).isNotNull(), F.col("rank"))).alias(s) for s in STYLE))
 
 
@@ -418,6 +418,13 @@ def _own(tag: Column, attrs: Column) -> tuple[dict[str, Column], dict[str, Colum
     return by_tag, {s: F.coalesce(F.col(f"inline.{s}"), by_attribute[s]) if s in by_attribute else F.col(f"inline.{s}") for s in STYLE}
 
 
+def _met(left: DataFrame, right: DataFrame, keys: list[str], on: list[str], how: str) -> DataFrame:
+    """A join on keys, of which nulls are equal, and on further columns."""
+    other = right.select(*(F.col(c).alias(f"met {c}" if c in (*keys, *on) else c) for c in right.columns))
+    same = [F.col(k).eqNullSafe(F.col(f"met {k}")) for k in keys] + [F.col(c) == F.col(f"met {c}") for c in on]
+    return left.join(other, reduce(Column.__and__, same), how).drop(*(f"met {c}" for c in (*keys, *on)))
+
+
 def inherited(df: DataFrame, keys: list[str], node: str, parent: str, columns: list[str], depth: int) -> DataFrame:
     """Every row of a forest with its columns filled from the nearest row above that has a value; ``depth`` bounds the longest way up.
 
@@ -426,10 +433,9 @@ def inherited(df: DataFrame, keys: list[str], node: str, parent: str, columns: l
     """
     now = storage.table(df.withColumn("next up", F.col(parent)), "inherit")
     for _ in range(max(depth, 0).bit_length()):
-        above = now.select(*(F.col(k).alias(f"up {k}") for k in keys), F.col(node).alias("up node"), F.col("next up").alias("up next"), *(F.col(c).alias(f"up {c} value") for c in columns))
-        same = reduce(Column.__and__, (F.col(k) == F.col(f"up {k}") for k in keys), F.col("next up") == F.col("up node"))
+        above = now.select(*keys, F.col(node).alias("next up"), F.col("next up").alias("up next"), *(F.col(c).alias(f"up {c} value") for c in columns))
         rest = [c for c in now.columns if c not in columns and c != "next up"]
-        further = now.join(above, same, "left").select(*rest, *(F.coalesce(c, f"up {c} value").alias(c) for c in columns), F.col("up next").alias("next up"))
+        further = _met(now, above, keys, ["next up"], "left").select(*rest, *(F.coalesce(c, f"up {c} value").alias(c) for c in columns), F.col("up next").alias("next up"))
         before, now = now, storage.table(further, "inherit")
         storage.drop(before)
     return now.drop("next up")
@@ -441,15 +447,16 @@ def text_styles(pages: DataFrame, keys: list[str], html: str) -> DataFrame:
     Rising precedence: what is inherited, the tag, its classes, rules of the tag, attributes, the style attribute. html, head and
     body have no style of their own. A colour that can't be read takes back an inherited one.
     """
-    key = ["page key"]
+    key = [f"key {i}" for i in range(len(keys))]
     with storage.scope() as kept:
-        all_nodes = storage.table(nodes(pages.select(F.struct(*keys).alias("page key"), html), key, html), "nodes")
+        all_nodes = storage.table(nodes(pages.select(*(F.col(k).alias(name) for k, name in zip(keys, key, strict=True)), html), key, html), "nodes")
         silent = ("html", "head", "body")
         elements = all_nodes.filter(~F.col("tag").isin(*silent)).select("*", F.coalesce(F.col("attrs")["class"], F.lit("")).alias("kind"), F.when(~F.col("within").isin(*silent), F.col("parent")).alias("up"))
         stated = _stated(elements, key, _keyed_rules(all_nodes, key)).select(*key, "tag", "kind", F.struct(*STYLE).alias("stated"))
         by_tag, by_attribute = _own(F.col("tag"), F.col("attrs"))
         own = {s: F.coalesce(by_attribute[s], F.col(f"stated.{s}"), *([by_tag[s]] if s in by_tag else [])) for s in STYLE}
-        said = with_style(elements, F.when(F.col("attrs")["style"] != "", F.col("attrs")["style"]), "inline").join(stated, [*key, "tag", "kind"], "left").select(*key, "node", "up", *(own[s].alias(s) for s in STYLE))
+        said = with_style(elements, F.when(F.col("attrs")["style"] != "", F.col("attrs")["style"]), "inline")
+        said = _met(said, stated, key, ["tag", "kind"], "left").select(*key, "node", "up", *(own[s].alias(s) for s in STYLE))
         deepest = elements.agg(F.max(F.when(F.col("up").isNotNull(), F.col("depth"))) - F.min("depth")).first()[0] or 0
         full = inherited(said, key, "node", "up", list(STYLE), deepest).drop("up")
         shown = all_nodes.filter(F.col("place").isNotNull()).select(*key, "place", F.col("within").alias("tag"), "text", F.col("parent").alias("node"))
@@ -457,7 +464,7 @@ def text_styles(pages: DataFrame, keys: list[str], html: str) -> DataFrame:
         last |= {s: F.coalesce(last[s], F.lit(False)) for s in ("is_bold", "is_italic", "is_underline")}
         last |= {s: F.when(last[s] != "", last[s]) for s in ("color", "bg_color")}
         last |= {s: F.coalesce(last[s], F.lit(FIRST[s])) for s in FIRST}
-        styled = shown.join(full, [*key, "node"], "left").select(*(F.col("page key").getField(k).alias(k) for k in keys), "place", "tag", "text", *(last[s].alias(s) for s in STYLE))
+        styled = _met(shown, full, key, ["node"], "left").select(*(F.col(name).alias(k) for k, name in zip(keys, key, strict=True)), "place", "tag", "text", *(last[s].alias(s) for s in STYLE))
         out = storage.table(styled, "styled")
         kept.append(out)
     return out
