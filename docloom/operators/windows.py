@@ -338,13 +338,19 @@ def balanced(df: DataFrame, keys: list[str], order: list, height: str) -> DataFr
 
 
 def trimmed_fit(df: DataFrame, keys: list[str], x: str, y: str, rounds: int = 4) -> DataFrame:
-    """Least squares per key, refitted without rows whose residual exceeds the larger of 2 and 2.5 upper medians."""
-    rows, fit = df.select(*keys, x, y), None
+    """Least squares per key, refitted without rows whose residual exceeds the larger of 2 and 2.5 upper medians.
+
+    Each round's residuals are written once: a round reads its rows four times, and unwritten rounds would nest to the fourth power.
+    """
+    rows, before = df.select(*keys, x, y), None
     spread = scans.hot(rows, keys)
-    for k in range(rounds + 1):
-        fit = rows.groupBy(*keys).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.count("*").alias("n"))
-        if k < rounds:
-            off = rows.join(fit, keys).withColumn("off", F.abs(F.col(y) - F.col("slope") * F.col(x) - F.col("intercept")))
-            mid = medians.upper_medians(off, keys, "off", spread=spread)
-            rows = off.join(mid, keys).filter(F.coalesce(F.col("off") <= F.greatest(F.lit(2.0), 2.5 * F.col("mid")), F.lit(True))).select(*keys, x, y)
+    fitted = lambda d: d.groupBy(*keys).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.count("*").alias("n"))
+    for _ in range(rounds):
+        off = storage.table(rows.join(fitted(rows), keys).select(*keys, x, y, F.abs(F.col(y) - F.col("slope") * F.col(x) - F.col("intercept")).alias("off")), "residuals")
+        storage.drop(before)
+        mid = medians.upper_medians(off, keys, "off", spread=spread)
+        # a key without a slope has no residuals and keeps its rows
+        rows = off.join(mid, keys, "left").filter(F.coalesce(F.col("off") <= F.greatest(F.lit(2.0), 2.5 * F.col("mid")), F.lit(True))).select(*keys, x, y)
+        before = off
+    fit = fitted(rows)
     return fit.filter("n >= 6")
