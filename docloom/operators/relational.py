@@ -394,14 +394,19 @@ def two_sided(strict_a: DataFrame, strict_b: DataFrame) -> DataFrame:
     return both.select("page", F.when(total == 0, F.lit(1.0)).otherwise((F.col("met_a") + F.col("met_b")) / total).alias("ratio"))
 
 
-def overlapping(left: DataFrame, right: DataFrame, key: str, share: float, width: float = 100.0) -> DataFrame:
-    """Interval join: pairs of boxes of one key that overlap by a share of the shorter, each pair once, by buckets."""
+def overlapping(left: DataFrame, right: DataFrame, key: str, share: float, width: float = 100.0, height: float | None = None) -> DataFrame:
+    """Interval join: pairs of boxes of one key that overlap by a share of the shorter, each pair once, by buckets.
+
+    Where all boxes have one ``height``, that is what the share is taken of: the difference of two rounded ends may miss it by a last digit.
+    """
     from docloom.functions.calc import y_overlap
 
     spread = lambda d, p: d.select(key, F.col("id").alias(f"{p}_id"), F.col("y0").alias(f"{p}0"), F.col("y1").alias(f"{p}1"), F.explode(F.sequence(F.floor(F.col("y0") / width), F.floor(F.col("y1") / width))).alias("bucket"))
     first = F.greatest(F.floor(F.col("l0") / width), F.floor(F.col("r0") / width)) == F.col("bucket")
     both = spread(left, "l").join(spread(right, "r"), [key, "bucket"]).filter(first)
-    return both.filter(y_overlap(F.col("l0"), F.col("l1"), F.col("r0"), F.col("r1")) >= share).select(key, "l_id", "r_id")
+    ends = [F.col(c) for c in ("l0", "l1", "r0", "r1")]
+    shared = y_overlap(*ends) if height is None else (F.least(ends[1], ends[3]) - F.greatest(ends[0], ends[2])) / height
+    return both.filter(shared >= share).select(key, "l_id", "r_id")
 
 
 def reconciled(tokens: DataFrame, design: DataFrame) -> DataFrame:

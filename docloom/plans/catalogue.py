@@ -423,7 +423,7 @@ def tolerance_pairs(spark, d):
 SELECT l_id, r_id FROM c WHERE o / 10 >= 0.75""")
 def interval_overlap(spark, d):
     e = table(spark, d, "events").select("user_id", F.col("event_id").alias("id"), "event_type", F.col("value").alias("y0"), (F.col("value") + 10).alias("y1"))
-    return relational.overlapping(e.filter("event_type = 'click'"), e.filter("event_type = 'view'"), "user_id", 0.75, 20.0).select("l_id", "r_id")
+    return relational.overlapping(e.filter("event_type = 'click'"), e.filter("event_type = 'view'"), "user_id", 0.75, 20.0, height=10.0).select("l_id", "r_id")
 
 
 @query("SELECT n_nationkey, r_name AS canonical FROM nation JOIN region ON n_regionkey = r_regionkey")
