@@ -34,16 +34,22 @@ def value_runs(df: DataFrame, keys: list[str], order: list, value: str, name: st
 
 
 def islands(df: DataFrame, keys: list[str], at: str, gap: float, least: int = 1, spread: bool | None = False) -> DataFrame:
-    """Clusters of positions no further apart than ``gap``: (keys, lo, hi, n) for those of ``least`` rows or more."""
+    """Clusters of positions no further apart than ``gap``: (keys, lo, hi, n) for those of ``least`` rows or more.
+
+    Rows at one position are met as one, so no order among them decides; a row at no position, or at none that a distance can be taken from, is a cluster of its own.
+    """
     spread = scans.hot(df, keys) if spread is None else spread
-    met = scans.scan(df, keys, [at], lags={"at before": F.col(at)}, spread=spread).withColumn("jump", F.col(at) - F.col("at before") > gap)
-    numbered = runs(met, keys, [at], F.col("jump"), "run", spread)
-    return numbered.groupBy(*keys, "run").agg(F.min(at).alias("lo"), F.max(at).alias("hi"), F.count("*").alias("n")).filter(F.col("n") >= least)
+    alone = F.when(~F.coalesce(F.col(at) - F.col(at) <= gap, F.lit(False)), F.monotonically_increasing_id())
+    places = df.select(*keys, at, alone.alias("alone")).groupBy(*keys, at, "alone").agg(F.count("*").alias("rows"))
+    order = [F.asc_nulls_last(at)]
+    met = scans.scan(places, keys, order, lags={"at before": F.col(at)}, spread=spread).withColumn("jump", F.col(at) - F.col("at before") > gap)
+    numbered = runs(met, keys, order, F.col("jump"), "run", spread)
+    return numbered.groupBy(*keys, "run").agg(F.min(at).alias("lo"), F.max(at).alias("hi"), F.sum("rows").alias("n")).filter(F.col("n") >= least)
 
 
 def bands(clusters: DataFrame, keys: list[str]) -> DataFrame:
     """Consecutive rules as (top, bottom) pairs."""
-    return clusters.withColumn("bottom", F.lead("lo").over(_ordered(keys, ["lo"]))).filter("bottom IS NOT NULL").select(*keys, F.col("hi").alias("top"), "bottom")
+    return clusters.withColumn("bottom", F.lead("lo").over(_ordered(keys, [F.asc_nulls_last("lo")]))).filter("bottom IS NOT NULL").select(*keys, F.col("hi").alias("top"), "bottom")
 
 
 def carried(df: DataFrame, keys: list[str], order: list, opens: Column, keeps: Column, value: str, name: str = "owner", spread: bool | None = False) -> DataFrame:
