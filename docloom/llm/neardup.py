@@ -40,7 +40,9 @@ BINS, ROWS = 128, 4
 #: A pivot's members that are compared in one run.
 MEMBERS = 128
 #: Documents and shingles of a bucket in a block at most on average, and shingles in a slice of the matrix of two blocks.
-SIDE, SIDE_SHINGLES, COLUMNS = 512, 1 << 20, 4096
+SIDE, SIDE_SHINGLES, COLUMNS = 1024, 1 << 20, 4096
+#: Documents whose intersections are looked at together.
+LOOK = 512
 BLOCK = 3 << 19
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 SEEDS = scan.mix(np.arange(1, 2 * BINS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -163,14 +165,14 @@ def confirm(pairs: DataFrame, texts: tuple[DataFrame, DataFrame], width: int, sh
 def across(members: DataFrame, texts: tuple[DataFrame, DataFrame], width: int, share: tuple[int, int]) -> DataFrame:
     """Links (a, b) between members of one bucket that are in different components.
 
-    ``members`` has band, node, component and the bucket's documents m and shingles total. A bucket is dealt into blocks of
+    ``members`` has whole and band, which name the bucket, node, component and the bucket's documents m and shingles total. A bucket is dealt into blocks of
     about SIDE documents or SIDE_SHINGLES shingles, whatever is less, and each pair of blocks is one group: sets meet as
     rows of a matrix of shingles, pairs are never made as rows, and of the links found only as many come out as join components.
     """
     blocks = members.withColumn("k", F.greatest(F.ceil(F.col("m") / SIDE), F.ceil(F.col("total") / SIDE_SHINGLES), F.lit(1))).withColumn("mine", F.pmod(F.xxhash64("node", F.lit(3)), F.col("k")))
-    dealt = blocks.select("node", "component", "band", "mine", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("other"))
-    dealt = dealt.select(F.col("node").alias("want"), "component", "band", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), F.col("mine"))
-    rows = _with_texts(dealt, texts).select("band", "x", "y", "mine", F.col("want").alias("id"), "component", "text")
+    dealt = blocks.select("node", "component", "whole", "band", "mine", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("other"))
+    dealt = dealt.select(F.col("node").alias("want"), "component", "whole", "band", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), F.col("mine"))
+    rows = _with_texts(dealt, texts).select("whole", "band", "x", "y", "mine", F.col("want").alias("id"), "component", "text")
 
     def run(group: pa.Table) -> pa.Table:
         x, y = group.column("x")[0].as_py(), group.column("y")[0].as_py()
@@ -183,11 +185,7 @@ def across(members: DataFrame, texts: tuple[DataFrame, DataFrame], width: int, s
         names, counts = np.unique(comp, return_counts=True)
         # pairs inside the largest component need no look
         left = np.flatnonzero(comp != names[np.argmax(counts)])
-        common = _common(sets, left)
-        union = sizes[left][:, None] + sizes[None, :] - common
-        hit = (share[1] * common >= share[0] * union) & (common > 0) & (comp[left][:, None] != comp[None, :])
-        if x != y:
-            hit &= mine[left][:, None] != mine[None, :]
+        every = _common(sets, left)
         root = {c: c for c in names.tolist()}
 
         def find(c: int) -> int:
@@ -197,14 +195,20 @@ def across(members: DataFrame, texts: tuple[DataFrame, DataFrame], width: int, s
             return c
 
         out = []
-        for i, j in np.argwhere(hit):
-            a, b = find(int(comp[left[i]])), find(int(comp[j]))
-            if a != b:
-                root[max(a, b)] = min(a, b)
-                out.append((int(ids[left[i]]), int(ids[j])))
+        for lo in range(0, len(left), LOOK):
+            some, common = left[lo : lo + LOOK], every[lo : lo + LOOK].astype(np.int64)
+            union = sizes[some][:, None] + sizes[None, :] - common
+            hit = (share[1] * common >= share[0] * union) & (common > 0) & (comp[some][:, None] != comp[None, :])
+            if x != y:
+                hit &= mine[some][:, None] != mine[None, :]
+            for i, j in np.argwhere(hit):
+                a, b = find(int(comp[some[i]])), find(int(comp[j]))
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+                    out.append((int(ids[some[i]]), int(ids[j])))
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
-    return rows.groupBy("band", "x", "y").applyInArrow(run, "a long, b long").distinct()
+    return rows.groupBy("whole", "band", "x", "y").applyInArrow(run, "a long, b long").distinct()
 
 
 def _common(sets: list[np.ndarray], left: np.ndarray) -> np.ndarray:
@@ -224,8 +228,31 @@ def _common(sets: list[np.ndarray], left: np.ndarray) -> np.ndarray:
         a, b = np.searchsorted(column, [lo, lo + COLUMNS])
         table = np.zeros((len(sets), COLUMNS), np.float32)
         table[doc[a:b], column[a:b] - lo] = 1
-        out += table[left] @ table.T
-    return out.astype(np.int64)
+        for at in range(0, len(left), LOOK):
+            out[at : at + LOOK] += table[left[at : at + LOOK]] @ table.T
+    return out
+
+
+def _met_once(rest: DataFrame) -> DataFrame:
+    """Buckets (band, node, size, component) whose members are still apart, as ``across`` takes them.
+
+    Members of a group of near copies meet in many buckets, nearly the same ones each time. Buckets with one largest component are met as
+    one bucket (``whole``) with every member once, unless that would compare more pairs than they do by themselves; so rows follow the members.
+    """
+    per = rest.groupBy("band", "component").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
+    apart = per.groupBy("band").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("m"), F.sum("s").alias("total"), F.count("*").alias("parts")).filter("parts > 1")
+    apart = work.table(apart.select("band", F.col("top.component").alias("chief"), "m", "total", (F.col("m") * (F.col("m") - F.col("top.n"))).alias("looks")), "apart")
+    open_ = work.table(work.joined(rest, apart, ["band"], "m").select("band", "node", "size", "component", "chief", "m", "total"), "open-buckets")
+    # a node has one size and one component, so that any of its rows says them
+    members = work.table(open_.groupBy("chief", "node").agg(F.first("size").alias("size"), F.first("component").alias("component")), "members")
+    sums = members.groupBy("chief").agg(F.count("*").alias("m"), F.sum("size").alias("total"), F.count_if(F.col("component") != F.col("chief")).alias("minor"))
+    looks = apart.groupBy("chief").agg(F.sum("looks").alias("looks"))
+    whole = work.table(sums.join(looks, "chief").filter(F.col("m") * F.col("minor") <= F.col("looks")).select("chief", "m", "total"), "whole")
+    one = work.joined(members, whole, ["chief"], "m").select(F.lit(True).alias("whole"), F.col("chief").alias("band"), "node", "component", "m", "total")
+    single = open_.join(whole.select("chief"), "chief", "left_anti").select(F.lit(False).alias("whole"), "band", "node", "component", "m", "total")
+    out = work.table(one.unionByName(single), "open-members")
+    work.drop(apart, open_, members, whole)
+    return out
 
 
 def groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, share: tuple[int, int] = (80, 100)) -> DataFrame:
@@ -245,10 +272,8 @@ def groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     links = confirm(first, texts, width, share)
     comp = cc.components(links)
     # buckets whose members are still apart
-    rest = starred.filter("m > 2").select("band", "node", "m", "total").unionByName(buckets.filter("m > 2").select("band", F.col("a").alias("node"), "m", "total"))
-    rest = rest.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    apart = rest.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).filter("lo <> hi").select("band", F.col("m").alias("members"))
-    rest = work.table(work.joined(rest, apart, ["band"], "members").select("band", "node", "m", "total", "component"), "open-buckets")
+    rest = starred.filter("m > 2").select("band", "node", "size").unionByName(buckets.filter("m > 2").select("band", F.col("a").alias("node"), F.col("a_size").alias("size")))
+    rest = _met_once(rest.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node")))
     more = None
     if not rest.isEmpty():
         more = work.table(links.unionByName(across(rest, texts, width, share)), "links")
