@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
 
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from docloom import storage
 from docloom.operators import medians
+from docloom.parse import udfs
 
 # --- filters ---------------------------------------------------------------------------------------------
 
@@ -260,14 +262,57 @@ def similarity(left: DataFrame, right: DataFrame) -> DataFrame:
     return out.select("a", "b", ((F.col("common") / F.col("na") + F.col("common") / F.col("nb")) / 2).alias("similarity"))
 
 
+#: Texts that a text may meet one by one: those of its keys, on its page and the two beside it.
+NEIGHBOURS = 64
+
+
+def _bigram_counts(text: str) -> Counter:
+    return Counter(map(str.__add__, text, text[1:])) if len(text) > 1 else Counter(text)
+
+
+def _likeness_of(a: str, b: str) -> float | None:
+    """Mean of the two bigram containments of two texts; null if they share none."""
+    x, y = _bigram_counts(a), _bigram_counts(b)
+    x, y = (x, y) if len(x) <= len(y) else (y, x)
+    common = sum(min(n, y[g]) for g, n in x.items() if g in y)
+    return (common / x.total() + common / y.total()) / 2 if common else None
+
+
+_likeness = udfs.over_text(_likeness_of, "double")
+
+
 def match_candidates(left: DataFrame, right: DataFrame, least: float = 0.6, share: float = 0.25, keys: tuple[str, ...] = ()) -> DataFrame:
     """Pairs (a, b, similarity) of texts (id, page, text and the keys) of equal keys on the same or the next page (a page may be unknown), of like length and likeness.
 
-    A prefix-filtered join. Two multisets of x and y bigrams reach ``least`` only with (2 * least - 1) * x of them in common, and of y as well, so both
+    Where pages are known and a text has few texts beside it, all of those are met and compared whole, so a text is shuffled a few times and its
+    bigrams never are. Texts with more than ``NEIGHBOURS`` beside them or of an unknown page, and those that meet such, go by ``_prefixed``. Null keys match nothing.
+    """
+    keys = list(keys)
+    if not keys:
+        return _prefixed(left, right, least, share, keys)
+    alone = {name: d.select(*keys, "id", "page", "text").filter(F.length("text") > 0) for name, d in (("a", left), ("b", right))}
+    # a whole key goes one way: by its largest page of each side, and by bigrams if a page is unknown
+    counts = [d.groupBy(*keys, "page").agg(F.count("*").alias("n")).groupBy(*keys).agg(F.max("n").alias(f"most_{name}"), F.bool_or(F.col("page").isNull()).alias(f"loose_{name}")) for name, d in alone.items()]
+    many = counts[0].join(counts[1], keys).filter(F.col("loose_a") | F.col("loose_b") | (F.greatest(F.col("most_a"), F.col("most_b")) * 3 > NEIGHBOURS)).select(*keys)
+    many = storage.table(many, "many")
+    rest = {name: d.join(many, keys, "left_anti") for name, d in alone.items()}
+    asking = rest["a"].select(*keys, F.col("id").alias("a"), F.col("text").alias("text_a"), F.explode(F.array(*(F.col("page") + i for i in (-1, 0, 1)))).alias("page"))
+    both = asking.join(rest["b"].select(*keys, "page", F.col("id").alias("b"), F.col("text").alias("text_b")), [*keys, "page"])
+    both = both.filter(F.least(F.length("text_a"), F.length("text_b")) >= share * F.greatest(F.length("text_a"), F.length("text_b")))
+    met = both.select("a", "b", _likeness("text_a", "text_b").alias("similarity")).filter(F.col("similarity") >= least)
+    if many.isEmpty():
+        return met
+    return met.unionByName(_prefixed(*(alone[name].join(many, keys, "left_semi") for name in "ab"), least, share, keys))
+
+
+def _prefixed(left: DataFrame, right: DataFrame, least: float, share: float, keys: list[str]) -> DataFrame:
+    """Such pairs by a prefix-filtered join.
+
+    Two multisets of x and y bigrams reach ``least`` only with (2 * least - 1) * x of them in common, and of y as well, so both
     have one of their rarest x - that + 1 in common: these prefixes alone are joined. Of the pairs that meet, those go on whose sizes, and what stands
-    behind the first bigram they share, leave room for enough; only these are counted out. Null keys match nothing.
+    behind the first bigram they share, leave room for enough; only these are counted out.
     """
-    floor, keys = max(2 * least - 1, 0.0), list(keys)
+    floor = max(2 * least - 1, 0.0)
     each = {}
     for name, d in (("a", left), ("b", right)):
         rows = d.select(*keys, F.col("id").alias(name), F.col("page").alias(f"page_{name}"), F.col("text"), F.length("text").alias(f"length_{name}"))

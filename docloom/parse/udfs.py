@@ -1,14 +1,28 @@
-"""Arrow UDFs from plain functions over one row's values. Nulls stay null."""
+"""Arrow UDFs from plain functions over one row's values. Nulls stay null.
+
+Batches are bounded by rows alone, so a batch becomes Python objects slice by slice: what a task holds of them doesn't grow with the batch.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql.functions import arrow_udf
 
 
+#: Bytes of input that a task holds as Python objects, with what comes of them.
+SLICE_BYTES = 1 << 20
+
+
+def slices(size: int, rows: int) -> Iterator[tuple[int, int]]:
+    """(begin, rows) of slices of about SLICE_BYTES of a batch."""
+    step = max(1, rows * SLICE_BYTES // max(size, 1))
+    for at in range(0, rows, step):
+        yield at, min(step, rows - at)
+
+
 def over_text(f: Callable, kind: str) -> Callable[..., Column]:
     """A function of columns that runs ``f`` on each row in which none of them is null. The UDF is made when it is first used, as its type needs a session."""
     made: list = []
@@ -23,11 +37,13 @@ def over_text(f: Callable, kind: str) -> Callable[..., Column]:
 
             @arrow_udf(declared)
             def one(x: pa.Array) -> pa.Array:
-                return pa.array([None if v is None else f(v) for v in x.to_pylist()], arrow)
+                parts = [pa.array([None if v is None else f(v) for v in x.slice(at, n).to_pylist()], arrow) for at, n in slices(x.nbytes, len(x))]
+                return pa.concat_arrays(parts) if parts else pa.array([], arrow)
 
             @arrow_udf(declared)
             def two(x: pa.Array, y: pa.Array) -> pa.Array:
-                return pa.array([None if v is None or w is None else f(v, w) for v, w in zip(x.to_pylist(), y.to_pylist(), strict=True)], arrow)
+                parts = [pa.array([None if v is None or w is None else f(v, w) for v, w in zip(x.slice(at, n).to_pylist(), y.slice(at, n).to_pylist(), strict=True)], arrow) for at, n in slices(x.nbytes + y.nbytes, len(x))]
+                return pa.concat_arrays(parts) if parts else pa.array([], arrow)
 
             made.extend((one, two))
         return made[len(columns) - 1](*columns)
