@@ -6,6 +6,7 @@ those occur, and only patterns that can match are run at all. ``replaced_at_once
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -14,8 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from docloom import storage
+
 #: Characters of all words of a dictionary together, at most: every task holds its automaton.
 MOST_CHARACTERS = 1 << 24
+#: Words between blanks whose replacement a batch keeps, and the longest of those.
+KEPT_WORDS, KEPT_LENGTH = 1 << 17, 32
+_BLANK = re.compile(r"([\x20\x09-\x0D]+)")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -102,23 +108,40 @@ def replaced_at_once(rows: DataFrame, column: str, dictionary: DataFrame, count:
 
     The dictionary is one that a user keeps: its size is checked, and a larger one than ``MOST_CHARACTERS`` is refused. Null texts stay null.
     """
-    entries = dictionary.filter("length(trim(word)) > 0 AND length(trim(replacement)) > 0").groupBy("word").agg(F.min("replacement").alias("replacement"))
+    entries = storage.table(dictionary.filter("length(trim(word)) > 0 AND length(trim(replacement)) > 0").groupBy("word").agg(F.min("replacement").alias("replacement")), "entries")
     size = entries.agg(F.sum(F.length("word") + F.length("replacement"))).first()[0] or 0
     if size > MOST_CHARACTERS:
         raise ValueError(f"a dictionary of {size} characters; at most {MOST_CHARACTERS} fit every task")
     held = sorted((r["word"], r["replacement"]) for r in entries.collect())
+    storage.drop(entries)
     words, others = tuple(w for w, _ in held), [r for _, r in held]
+    apart = not any(_BLANK.search(w) for w in words)
 
     @arrow_udf("struct<text: string, n: bigint>")
     def put(texts: pa.Array) -> pa.Array:
-        a, out, ns = _automaton(words) if words else None, [], []
-        for t in texts.to_pylist():
+        a = _automaton(words) if words else None
+
+        def one(t: str) -> tuple[str, int]:
             parts, at, n = [], 0, 0
             for begin, end, word in _longest(t, a) if t and a else ():
                 parts += [t[at:begin], others[word]]
                 at, n = end, n + 1
-            out.append(None if t is None else "".join([*parts, t[at:]]))
-            ns.append(n)
+            return "".join([*parts, t[at:]]), n
+
+        kept = lru_cache(maxsize=KEPT_WORDS)(one)
+        out, ns = [], []
+        for t in texts:
+            t = t.as_py()
+            if t is None:
+                done = None, 0
+            elif apart:
+                # no word of the dictionary holds a blank, so what stands between blanks is replaced by itself, and mostly was before
+                each = [(x, 0) if i & 1 else kept(x) if len(x) <= KEPT_LENGTH else one(x) for i, x in enumerate(_BLANK.split(t))]
+                done = "".join([x for x, _ in each]), sum([n for _, n in each])
+            else:
+                done = one(t)
+            out.append(done[0])
+            ns.append(done[1])
         return pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(ns, pa.int64())], names=["text", "n"])
 
     return rows.withColumn("put in", put(F.col(column))).withColumn(column, F.col("put in.text")).withColumn(count, F.col("put in.n")).drop("put in")
