@@ -1,11 +1,12 @@
 """Arrow UDFs from plain functions over one row's values. Nulls stay null.
 
-Batches are bounded by rows alone, so a batch becomes Python objects slice by slice: what a task holds of them doesn't grow with the batch.
+A batch becomes Python objects slice by slice, and what comes of a slice is given on before the next one: a task holds a batch of its input (which
+Spark bounds by rows and by bytes), one slice as objects and one as Arrow, however many rows the batch, the partition or the table has.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -23,6 +24,30 @@ def slices(size: int, rows: int) -> Iterator[tuple[int, int]]:
         yield at, min(step, rows - at)
 
 
+def _taken(out: list, kind: pa.DataType) -> pa.Array:
+    """The results as Arrow; their objects go."""
+    array = pa.array(out, kind)
+    out.clear()
+    return array
+
+
+def in_slices(f: Callable, batches: Iterable[Sequence[pa.Array]], kind: pa.DataType) -> Iterator[pa.Array]:
+    """What ``f`` makes of each row, null where a value is null. An array ends with its slice, or where its texts come to SLICE_BYTES characters, as rows differ in size."""
+    for columns in batches:
+        for at, n in slices(sum(c.nbytes for c in columns), len(columns[0])):
+            out: list = []
+            held = 0
+            for row in zip(*(c.slice(at, n) for c in columns), strict=True):
+                values = [v.as_py() for v in row]
+                out.append(None if any(v is None for v in values) else f(*values))
+                held += sum(len(v) for v in values if isinstance(v, str))
+                if held >= SLICE_BYTES:
+                    yield _taken(out, kind)
+                    held = 0
+            if out:
+                yield _taken(out, kind)
+
+
 def over_text(f: Callable, kind: str) -> Callable[..., Column]:
     """A function of columns that runs ``f`` on each row in which none of them is null. The UDF is made when it is first used, as its type needs a session."""
     made: list = []
@@ -36,14 +61,12 @@ def over_text(f: Callable, kind: str) -> Callable[..., Column]:
             arrow = to_arrow_type(declared)
 
             @arrow_udf(declared)
-            def one(x: pa.Array) -> pa.Array:
-                parts = [pa.array([None if v is None else f(v) for v in x.slice(at, n).to_pylist()], arrow) for at, n in slices(x.nbytes, len(x))]
-                return pa.concat_arrays(parts) if parts else pa.array([], arrow)
+            def one(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+                return in_slices(f, ((x,) for x in batches), arrow)
 
             @arrow_udf(declared)
-            def two(x: pa.Array, y: pa.Array) -> pa.Array:
-                parts = [pa.array([None if v is None or w is None else f(v, w) for v, w in zip(x.slice(at, n).to_pylist(), y.slice(at, n).to_pylist(), strict=True)], arrow) for at, n in slices(x.nbytes + y.nbytes, len(x))]
-                return pa.concat_arrays(parts) if parts else pa.array([], arrow)
+            def two(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+                return in_slices(f, batches, arrow)
 
             made.extend((one, two))
         return made[len(columns) - 1](*columns)
