@@ -63,6 +63,7 @@ TITLE_SIZES = {"h1": "18pt", "h2": "16pt", "h3": "14pt"}
 FONT_SIZES = {1: "8pt", 2: "10pt", 3: "12pt", 4: "14pt", 5: "18pt", 6: "24pt", 7: "36pt"}
 FONT_OF_LANGUAGE = (("EN", "Times New Roman"), ("BN", "SutonnyMJ"))
 FIRST = {"font_size": "12pt", "text_align": "left"}
+SAYING = ("style", "lang", "face", "size", "color", "bgcolor", "align")
 RULE = r"([^{]+)\{([^}]+)\}"
 CLASS_OF_SELECTOR = r"\.([A-Za-z0-9_-]+)"
 
@@ -429,14 +430,16 @@ def inherited(df: DataFrame, keys: list[str], node: str, parent: str, columns: l
     """Every row of a forest with its columns filled from the nearest row above that has a value; ``depth`` bounds the longest way up.
 
     Doubling: after a round a row knows what it would get from twice as far up, and who stands there. Each round is one join of
-    the rows with themselves on (keys, node) and ends in a written table.
+    the rows with themselves on (keys, node) and ends in a written table. Rows with nobody left above them stay where they are,
+    and those that also have no value give nothing.
     """
     now = storage.table(df.withColumn("next up", F.col(parent)), "inherit")
     for _ in range(max(depth, 0).bit_length()):
-        above = now.select(*keys, F.col(node).alias("next up"), F.col("next up").alias("up next"), *(F.col(c).alias(f"up {c} value") for c in columns))
+        giving = now.filter(reduce(Column.__or__, (F.col(c).isNotNull() for c in ("next up", *columns))))
+        above = giving.select(*keys, F.col(node).alias("next up"), F.col("next up").alias("up next"), *(F.col(c).alias(f"up {c} value") for c in columns))
         rest = [c for c in now.columns if c not in columns and c != "next up"]
-        further = _met(now, above, keys, ["next up"], "left").select(*rest, *(F.coalesce(c, f"up {c} value").alias(c) for c in columns), F.col("up next").alias("next up"))
-        before, now = now, storage.table(further, "inherit")
+        further = _met(now.filter(F.col("next up").isNotNull()), above, keys, ["next up"], "left").select(*rest, *(F.coalesce(c, f"up {c} value").alias(c) for c in columns), F.col("up next").alias("next up"))
+        before, now = now, storage.table(now.filter(F.col("next up").isNull()).unionByName(further), "inherit")
         storage.drop(before)
     return now.drop("next up")
 
@@ -454,8 +457,11 @@ def text_styles(pages: DataFrame, keys: list[str], html: str) -> DataFrame:
         elements = all_nodes.filter(~F.col("tag").isin(*silent)).select("*", F.coalesce(F.col("attrs")["class"], F.lit("")).alias("kind"), F.when(~F.col("within").isin(*silent), F.col("parent")).alias("up"))
         stated = _stated(elements, key, _keyed_rules(all_nodes, key)).select(*key, "tag", "kind", F.struct(*STYLE).alias("stated"))
         by_tag, by_attribute = _own(F.col("tag"), F.col("attrs"))
-        own = {s: F.coalesce(by_attribute[s], F.col(f"stated.{s}"), *([by_tag[s]] if s in by_tag else [])) for s in STYLE}
+        own = {s: F.coalesce(F.col(f"given.{s}"), F.col(f"stated.{s}"), *([by_tag[s]] if s in by_tag else [])) for s in STYLE}
         said = with_style(elements, F.when(F.col("attrs")["style"] != "", F.col("attrs")["style"]), "inline")
+        # most elements have no attribute that says anything: they are not looked into, and attributes are not shuffled
+        says = F.arrays_overlap(F.map_keys("attrs"), F.array(*map(F.lit, SAYING)))
+        said = said.select(*key, "node", "up", "tag", "kind", F.when(says, F.struct(*(by_attribute[s].alias(s) for s in STYLE))).alias("given"))
         said = _met(said, stated, key, ["tag", "kind"], "left").select(*key, "node", "up", *(own[s].alias(s) for s in STYLE))
         deepest = elements.agg(F.max(F.when(F.col("up").isNotNull(), F.col("depth"))) - F.min("depth")).first()[0] or 0
         full = inherited(said, key, "node", "up", list(STYLE), deepest).drop("up")
