@@ -431,7 +431,7 @@ def inherited(df: DataFrame, keys: list[str], node: str, parent: str, columns: l
 
     Doubling: after a round a row knows what it would get from twice as far up, and who stands there. Each round is one join of
     the rows with themselves on (keys, node) and ends in a written table. Rows with nobody left above them stay where they are,
-    and those that also have no value give nothing.
+    and those that also have no value give nothing. A parent column named ``next up`` is used up, so it isn't carried along.
     """
     now = storage.table(df.withColumn("next up", F.col(parent)), "inherit")
     for _ in range(max(depth, 0).bit_length()):
@@ -462,9 +462,10 @@ def text_styles(pages: DataFrame, keys: list[str], html: str) -> DataFrame:
         # most elements have no attribute that says anything: they are not looked into, and attributes are not shuffled
         says = F.arrays_overlap(F.map_keys("attrs"), F.array(*map(F.lit, SAYING)))
         said = said.select(*key, "node", "up", "tag", "kind", F.when(says, F.struct(*(by_attribute[s].alias(s) for s in STYLE))).alias("given"))
-        said = _met(said, stated, key, ["tag", "kind"], "left").select(*key, "node", "up", *(own[s].alias(s) for s in STYLE))
+        said = _met(said, stated, key, ["tag", "kind"], "left").select(*key, "node", F.col("up").alias("next up"), *(own[s].alias(s) for s in STYLE))
         deepest = elements.agg(F.max(F.when(F.col("up").isNotNull(), F.col("depth"))) - F.min("depth")).first()[0] or 0
-        full = inherited(said, key, "node", "up", list(STYLE), deepest).drop("up")
+        full = inherited(said, key, "node", "next up", list(STYLE), deepest)
+        full = full.filter(reduce(Column.__or__, (F.col(s).isNotNull() for s in STYLE)))
         shown = all_nodes.filter(F.col("place").isNotNull()).select(*key, "place", F.col("within").alias("tag"), "text", F.col("parent").alias("node"))
         last: dict[str, Column] = {s: F.col(s) for s in STYLE}
         last |= {s: F.coalesce(last[s], F.lit(False)) for s in ("is_bold", "is_italic", "is_underline")}
