@@ -165,10 +165,11 @@ def confirm(pairs: DataFrame, texts: tuple[DataFrame, DataFrame], width: int, sh
 def across(members: DataFrame, texts: tuple[DataFrame, DataFrame], width: int, share: tuple[int, int]) -> DataFrame:
     """Links (a, b) between members of one bucket that are in different components.
 
-    ``members`` has whole and band, which name the bucket, node, component and the bucket's documents m and shingles total. A bucket is dealt into blocks of
+    ``members`` has band, which names the bucket, node, component and the bucket's documents m and shingles total; where buckets of two kinds meet, whole tells them apart. A bucket is dealt into blocks of
     about SIDE documents or SIDE_SHINGLES shingles, whatever is less, and each pair of blocks is one group: sets meet as
     rows of a matrix of shingles, pairs are never made as rows, and of the links found only as many come out as join components.
     """
+    members = members if "whole" in members.columns else members.withColumn("whole", F.lit(False))
     blocks = members.withColumn("k", F.greatest(F.ceil(F.col("m") / SIDE), F.ceil(F.col("total") / SIDE_SHINGLES), F.lit(1))).withColumn("mine", F.pmod(F.xxhash64("node", F.lit(3)), F.col("k")))
     dealt = blocks.select("node", "component", "whole", "band", "mine", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("other"))
     dealt = dealt.select(F.col("node").alias("want"), "component", "whole", "band", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), F.col("mine"))
